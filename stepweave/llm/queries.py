@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import compression_quality, license_scan, sentencepiece_codec, toxicity
+from stepweave.llm import compression_quality, decision_rules, license_scan, sentencepiece_codec, toxicity
 from stepweave.llm.common import fold, read
 
 
@@ -27,6 +27,13 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rules = decision_rules.learn(docs, labels)
+    judged = decision_rules.judge(docs.select("doc_id", "text"), rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,5 +41,5 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(encoded)
 
 
-QUERIES = {f.__name__: f for f in (op4_compression_quality, op6_license_scan, op7_toxicity_grammar, op9_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op4_compression_quality, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec)}
 ORACLE: dict[str, str] = {}
