@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import compression_quality, decision_rules, license_scan, sentencepiece_codec, toxicity
-from stepweave.llm.common import fold, read
+from stepweave.llm import compression_quality, decision_rules, license_scan, sentencepiece_codec, toxicity, url_rules, warc
+from stepweave.llm.common import fold, read, shared_dir
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write(read(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out, manifest).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +24,14 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The editorial rules of the query.
+RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"), url_rules.parse_rules(RULES.replace(",", "")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -41,5 +57,14 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(encoded)
 
 
-QUERIES = {f.__name__: f for f in (op4_compression_quality, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_warc, op4_compression_quality, op5_url_rules, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec)}
+ORACLE: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+             g AS (SELECT b, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY b)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.b) AS payload_digest,
+               CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN top > page_id THEN top END AS refers_to
+        FROM p LEFT JOIN g ON n >= 1000 AND p.b = g.b
+    """,
+}
