@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import compression_quality, decision_rules, license_scan, sentencepiece_codec, toxicity, url_rules, warc
+from stepweave.llm import bloom_lm, compression_quality, decision_rules, license_scan, sentencepiece_codec, toxicity, url_rules, warc
 from stepweave.llm.common import fold, read, shared_dir
 
 
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = warc.write(read(spark, sf_dir, "pages"), out)
@@ -57,7 +61,7 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(encoded)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_compression_quality, op5_url_rules, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op2_bloom_lm, op3_warc, op4_compression_quality, op5_url_rules, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec)}
 ORACLE: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
