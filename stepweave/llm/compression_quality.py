@@ -140,3 +140,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(p)], [key, "score"])
 
     return docs.select(key, F.col(text).alias("text")).mapInArrow(scored, f"`{key}` {kind}, score double")
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least the threshold, all columns kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizer, beta = _Sizer(model.good, model.bad), np.array(model.beta)
+        for whole in batches:
+            for batch in slices(whole, text):
+                x = np.array([sizer.features(t) for t in batch.column(text).to_pylist()]).reshape(batch.num_rows, 5)
+                yield batch.filter(pa.array(sigmoid(x @ beta[:-1] + beta[-1]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -209,3 +209,9 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with the statistics, base_failed, rule and kept."""
     rows = with_statistics(docs, text).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep_sound(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names."""
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("text"))
+    return judge(packed, rules).where("kept").select("_row.*")
