@@ -5,6 +5,327 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, has_placeholder
+from stepweave.operators import agreement, patterns, rollups, sequences
+from stepweave.plans import oracle
+from stepweave.sources.tables import Catalog, event_steps, lineitem_steps
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+RANKED = [c.strip() for c in oracle.RANKED_COLUMNS.split(",")]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _steps(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return lineitem_steps(spark, d) if kind == "li" else event_steps(spark, d, kind == "ev2")
+
+
+def _slices(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
+    return sequences.slices(sequences.scenarios(_steps(spark, d, kind)))
+
+
+def _ranked(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
+    return patterns.with_scopes(sequences.ranking(_slices(spark, d, kind)))
+
+
+def _candidates(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
+    return _ranked(spark, d, kind).where("scope_org <> 'noscope'")
+
+
+@query(oracle.over("li", "SELECT repo_slug, file_path, scenario, CAST(line AS INTEGER) AS line, cluster_id, text FROM steps WHERE NOT is_background AND cluster_id IS NOT NULL AND trim(scenario) <> ''"))
+def steps_join_members(spark, d):
+    return sequences.clean_steps(_steps(spark, d, "li")).drop("is_background")
+
+
+@query(oracle.over("li", "SELECT repo_slug, file_path, scenario, n FROM scen"))
+def scenario_lengths(spark, d):
+    return sequences.scenarios(_steps(spark, d, "li")).select(*sequences.KEY, "n")
+
+
+@query(oracle.over("ev", "SELECT n, count(*) AS scenarios FROM scen GROUP BY n"))
+def scenario_length_histogram(spark, d):
+    return sequences.scenarios(_steps(spark, d, "ev")).groupBy("n").agg(F.count(F.lit(1)).alias("scenarios"))
+
+
+@query(
+    oracle.over(
+        "li",
+        "SELECT count(*) AS scenarios, min(n) AS min_n, max(n) AS max_n, avg(n) AS mean_n, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, CAST(ceil(quantile_cont(n, 0.95)) AS BIGINT) AS recommended_l_max FROM scen",
+    )
+)
+def scenario_length_percentiles(spark, d):
+    return sequences.length_profile(sequences.scenarios(_steps(spark, d, "li")))
+
+
+_AUDIT = [
+    ("A name", "scenario", "true", 1),
+    ("B file and name", "file_path, scenario", "true", 1),
+    ("C full key, named", "repo_slug, file_path, scenario", "trim(scenario) <> ''", 1),
+    ("D without background", "repo_slug, file_path, scenario", "trim(scenario) <> '' AND NOT is_background", 1),
+    ("E clustered, two or more", "repo_slug, file_path, scenario", "trim(scenario) <> '' AND NOT is_background AND cluster_id IS NOT NULL", 2),
+]
+
+
+@query(
+    oracle.over("li", " UNION ALL ".join(f"SELECT '{a}' AS identity, count(*) AS scenarios, CAST(sum(n) AS BIGINT) AS steps, max(n) AS max_n, quantile_cont(n, 0.95) AS p95 FROM (SELECT count(*) AS n FROM steps WHERE {w} GROUP BY {k} HAVING count(*) >= {m})" for a, k, w, m in _AUDIT))
+)
+def scenario_identity_audit(spark, d):
+    return sequences.identity_audit(_steps(spark, d, "li"))
+
+
+@query(oracle.over("li", "SELECT repo_slug, file_path, scenario, position_start, L, pattern FROM slices"))
+def slices_enumerate(spark, d):
+    return _slices(spark, d).drop("text_seq")
+
+
+@query(oracle.over("ev", "SELECT L, count(*) AS slices FROM slices GROUP BY L"))
+def slices_per_l(spark, d):
+    return _slices(spark, d, "ev").groupBy("L").agg(F.count(F.lit(1)).alias("slices"))
+
+
+@query(oracle.over("li", f"SELECT {oracle.RANKED_COLUMNS}, has_template_structure FROM ranked"))
+def pattern_ranking(spark, d):
+    return _ranked(spark, d).select(*RANKED, "has_template_structure")
+
+
+@query(oracle.over("ev", f"SELECT {oracle.RANKED_COLUMNS} FROM ranked"))
+def pattern_ranking_events(spark, d):
+    return _ranked(spark, d, "ev").select(*RANKED)
+
+
+@query(oracle.over("li", "SELECT pattern, array_to_string(canonical, ' / ') AS canonical_text FROM ranked"))
+def canonical_text(spark, d):
+    return _ranked(spark, d).select("pattern", F.array_join("canonical_text_seq", " / ").alias("canonical_text"))
+
+
+def _top(name: str, where: str, score: str) -> None:
+    def run(spark, d):
+        return _ranked(spark, d).where(where).withColumn("score", F.expr(score)).orderBy(F.desc("score"), "pattern").limit(20).select("pattern", "L", "support_total", "score")
+
+    run.__name__ = name
+    query(oracle.over("li", f"SELECT pattern, L, support_total, {score} AS score FROM ranked WHERE {where} ORDER BY score DESC, pattern LIMIT 20"))(run)
+
+
+_top("top_support", "true", "support_total")
+_top("top_rq1", "max_within_file_recurrence >= 2", "max_within_file_recurrence * L")
+_top("top_rq2", "max_within_repo_files >= 2", "max_within_repo_files * L")
+_top("top_rq3", "n_distinct_orgs >= 2", "n_distinct_repos * L")
+
+
+@query(oracle.over("li", "SELECT count(*) AS recurring, count_if(n_distinct_repos >= 2) AS by_repo, count_if(n_distinct_orgs >= 2) AS by_org, count_if(n_distinct_repos >= 2 AND n_distinct_orgs < 2) AS inflated FROM ranked"))
+def org_correction(spark, d):
+    hit = lambda s: F.count_if(F.expr(s))
+    return _ranked(spark, d).agg(F.count(F.lit(1)).alias("recurring"), hit("n_distinct_repos >= 2").alias("by_repo"), hit("n_distinct_orgs >= 2").alias("by_org"), hit("n_distinct_repos >= 2 and n_distinct_orgs < 2").alias("inflated"))
+
+
+@query(oracle.qa("li", "SELECT pattern, has_template_structure, templated_outline, single_cluster FROM qa"))
+def pattern_flags(spark, d):
+    rows = _candidates(spark, d)
+    return rows.select("pattern", "has_template_structure", has_placeholder(F.col("canonical_text_seq")).alias("templated_outline"), (F.size(F.array_distinct(F.split("pattern", ","))) == 1).alias("single_cluster"))
+
+
+def _suites(spark, d, *thresholds) -> DataFrame:
+    rows = _slices(spark, d)
+    return patterns.spec_suite_files(rows, sequences.ranking(rows), *thresholds)
+
+
+@query(oracle.over("li", "SELECT * FROM suites", oracle.suite(50, 100, 0.30)))
+def spec_suite_files(spark, d):
+    return _suites(spark, d)
+
+
+@query(oracle.over("li", "SELECT * FROM suites", oracle.suite(40, 5, 0.9)))
+def spec_suite_files_low(spark, d):
+    return _suites(spark, d, 40, 5, 0.9)
+
+
+def _outliers(spark, d) -> DataFrame:
+    rows = _slices(spark, d)
+    ranked = sequences.ranking(rows)
+    return patterns.outlier_fraction(rows, ranked, patterns.spec_suite_files(rows, ranked))
+
+
+@query(oracle.over("li", "SELECT pattern, outlier_fraction, CASE WHEN outlier_fraction <= 0.5 THEN 'real_signal' ELSE 'spec_dominated' END AS stratum FROM ranked JOIN outliers USING (pattern)", oracle.suite(50, 100, 0.30)))
+def outlier_fraction(spark, d):
+    return _outliers(spark, d).select("pattern", "outlier_fraction", F.when(F.col("outlier_fraction") <= 0.5, "real_signal").otherwise("spec_dominated").alias("stratum"))
+
+
+def _case(column: str, bounds) -> str:
+    return "CASE " + " ".join(f"WHEN {column} >= {a}" + (f" AND {column} <= {b}" if b else "") + f" THEN '{n}'" for a, b, n in bounds) + " END"
+
+
+@query(oracle.over("ev", f"SELECT scope_repo, scope_org, {_case('L', LENGTH_BUCKETS)} AS l_bucket, {_case('support_total', SUPPORT_BUCKETS)} AS support_bucket, count(*) AS patterns FROM ranked GROUP BY ALL"))
+def scopes_and_buckets(spark, d):
+    rows = _ranked(spark, d, "ev")
+    return rows.groupBy("scope_repo", "scope_org", bucket(F.col("L"), LENGTH_BUCKETS).alias("l_bucket"), bucket(F.col("support_total"), SUPPORT_BUCKETS).alias("support_bucket")).agg(F.count(F.lit(1)).alias("patterns"))
+
+
+@query(
+    oracle.over(
+        "li",
+        "SELECT pattern, scope_org, n_distinct_files / CAST(greatest(n_distinct_repos, 1) AS DOUBLE) AS files_per_repo, n_distinct_scenarios / CAST(greatest(n_distinct_files, 1) AS DOUBLE) AS scenarios_per_file, support_total / CAST(greatest(n_distinct_scenarios, 1) AS DOUBLE) AS support_per_scenario, CAST(has_template_structure AS INTEGER) AS has_template FROM ranked",
+    )
+)
+def candidate_features(spark, d):
+    return patterns.candidate_features(_ranked(spark, d)).select("pattern", "scope_org", "files_per_repo", "scenarios_per_file", "support_per_scenario", "has_template")
+
+
+def _prevalence(name: str, level: tuple[str, ...], gate: str = "true", kind: str = "li") -> None:
+    def run(spark, d):
+        rows = _slices(spark, d, kind)
+        return rollups.prevalence(rollups.scenario_flags(rows, sequences.ranking(rows), F.expr(gate)), *level)
+
+    run.__name__ = name
+    query(oracle.rolled(kind, ", ".join(level), gate))(run)
+
+
+_prevalence("scenario_prevalence", ("repo_slug", "file_path", "scenario"))
+_prevalence("file_prevalence", ("repo_slug", "file_path"))
+_prevalence("repo_prevalence", ("repo_slug",))
+_prevalence("headline_gated", ("repo_slug", "file_path", "scenario"), "support_total >= 20 AND NOT has_template_structure")
+
+
+@query(
+    oracle.over(
+        "ev", "SELECT count(*) AS repos, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.95) AS p95, max(n) AS max_n FROM (SELECT repo_slug, count(DISTINCT pattern) AS n FROM slices WHERE pattern IN (SELECT pattern FROM ranked) GROUP BY 1)"
+    )
+)
+def repo_pattern_distribution(spark, d):
+    rows = _slices(spark, d, "ev")
+    return rollups.patterns_per_repo(rows, sequences.ranking(rows))
+
+
+@query(oracle.over("li", "SELECT repo_slug, count(*) AS files FROM suites WHERE is_spec_suite GROUP BY 1 ORDER BY files DESC, repo_slug LIMIT 10", oracle.suite(50, 100, 0.30)))
+def outlier_report(spark, d):
+    return _suites(spark, d).where("is_spec_suite").groupBy("repo_slug").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "repo_slug").limit(10)
+
+
+_QA_COLUMNS = ["pattern", "mechanism", *patterns.RULES, "rejection_reason", "scen_ratio", "quality_score"]
+
+
+@query(oracle.qa("li", f"SELECT {', '.join(_QA_COLUMNS)} FROM qa"))
+def qa_flags(spark, d):
+    return patterns.qa_flags(_candidates(spark, d)).select(*_QA_COLUMNS)
+
+
+@query(oracle.qa("ev2", "SELECT rejection_reason, scope_org, count(*) AS patterns FROM qa GROUP BY ALL"))
+def qa_by_scope_events(spark, d):
+    return patterns.qa_flags(_candidates(spark, d, "ev2")).groupBy("rejection_reason", "scope_org").agg(F.count(F.lit(1)).alias("patterns"))
+
+
+@query(oracle.qa("li", "SELECT pattern FROM opened"))
+def closed_patterns(spark, d):
+    return patterns.non_closed(_candidates(spark, d)).distinct()
+
+
+@query(
+    oracle.qa(
+        "li",
+        "SELECT CAST(step AS INTEGER) AS step, reason AS rejection_reason, coalesce(n, 0) AS dropped, CAST(total - sum(coalesce(n, 0)) OVER (ORDER BY step) AS BIGINT) AS \"left\" FROM (VALUES (0, 'templated_outline'), (1, 'single_cluster'), (2, 'single_scenario'), (3, 'overlap_dominated'), (4, 'mechanism_mismatch'), (5, 'non_closed')) v(step, reason) LEFT JOIN (SELECT rejection_reason, count(*) AS n FROM qa GROUP BY 1) c ON reason = rejection_reason, (SELECT count(*) AS total FROM qa)",
+    )
+)
+def qa_funnel(spark, d):
+    return patterns.funnel(patterns.qa_flags(_candidates(spark, d)))
+
+
+@query(oracle.qa("li", "SELECT mechanism, pattern, quality_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mechanism ORDER BY quality_score DESC, support_total DESC, pattern) AS rank FROM qa WHERE rejection_reason = 'kept') WHERE rank <= 500"))
+def quality_topn(spark, d):
+    kept = patterns.qa_flags(_candidates(spark, d)).where("rejection_reason = 'kept'")
+    return patterns.top_per_mechanism(kept).select("mechanism", "pattern", "quality_score", "rank")
+
+
+@query(
+    oracle.over(
+        "li", "SELECT pattern, CAST(site AS INTEGER) AS site, repo_slug, file_path, scenario, position_start FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY repo_slug, file_path, scenario, position_start) AS site FROM slices WHERE pattern IN (SELECT pattern FROM ranked WHERE support_total >= 20)) WHERE site <= 3"
+    )
+)
+def call_sites(spark, d):
+    rows = _slices(spark, d)
+    return patterns.call_sites(rows, sequences.ranking(rows).where("support_total >= 20"))
+
+
+@query(oracle.qa("li", "SELECT repo_slug, count(DISTINCT pattern) AS patterns FROM slices WHERE pattern IN (SELECT pattern FROM qa WHERE rejection_reason = 'kept') GROUP BY 1 ORDER BY patterns DESC, repo_slug LIMIT 10"))
+def top_repos(spark, d):
+    kept = patterns.qa_flags(_candidates(spark, d)).where("rejection_reason = 'kept'")
+    held = _slices(spark, d).select("pattern", "repo_slug").distinct().join(kept.select("pattern"), "pattern", "left_semi")
+    return held.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("patterns")).orderBy(F.desc("patterns"), "repo_slug").limit(10)
+
+
+def _base(spark, d) -> DataFrame:
+    t = Catalog(spark, (d,)).table
+    return t("labels", ["doc_id", "quality", "toxic"]).join(t("documents", ["doc_id", "n_chars"]), "doc_id")
+
+
+def _ratings(spark, d) -> DataFrame:
+    base = _base(spark, d)
+    first = base.select(F.col("doc_id").alias("item"), F.col("quality").cast("string").alias("label"))
+    second = base.select("doc_id", F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("string"))
+    third = base.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "unsure").when(F.col("toxic") == 1, "0").otherwise(F.col("quality").cast("string")))
+    return first.union(second).union(third)
+
+
+def _pairs(spark, d) -> DataFrame:
+    flipped = F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))
+    return _base(spark, d).select(F.col("quality").alias("actual"), flipped.alias("predicted"), "toxic", "n_chars", "doc_id")
+
+
+_PAIRS = f"WITH {oracle.RATERS}, pairs AS (SELECT quality AS actual, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS predicted, toxic, n_chars, doc_id FROM base) "
+
+
+@query(
+    f"WITH {oracle.RATERS}, c AS (SELECT item, label, count(*) AS n FROM ratings GROUP BY ALL), i AS (SELECT item, (sum(n * n) - 3) / 6.0 AS p FROM c GROUP BY item), t AS (SELECT label, sum(n) AS s FROM c GROUP BY label), e AS (SELECT sum(s * s) / (sum(s) * sum(s)) AS pe FROM t), o AS (SELECT avg(p) AS po, count(*) AS items FROM i) SELECT items, round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END, 9) AS kappa FROM o, e"
+)
+def fleiss_kappa(spark, d):
+    return agreement.fleiss_kappa(_ratings(spark, d), 3).withColumn("kappa", F.round("kappa", 9))
+
+
+@query(f"WITH {oracle.RATERS}, c AS (SELECT item, label, count(*) AS n FROM ratings GROUP BY ALL), m AS (SELECT item, max(n) AS top FROM c GROUP BY 1) SELECT item, CASE WHEN count(*) > 1 THEN 'tie' ELSE min(label) END AS label FROM c JOIN m USING (item) WHERE n = top GROUP BY item")
+def majority_vote(spark, d):
+    return agreement.majority(_ratings(spark, d))
+
+
+@query(_PAIRS + "SELECT n, po, round((po - pe) / (1 - pe), 9) AS kappa FROM (SELECT count(*) AS n, avg(CAST(actual = predicted AS INTEGER)) AS po, (sum(actual) * sum(predicted) + sum(1 - actual) * sum(1 - predicted)) / CAST(count(*) * count(*) AS DOUBLE) AS pe FROM pairs)")
+def cohen_kappa(spark, d):
+    return agreement.cohen_kappa(_pairs(spark, d).select(F.col("actual").alias("a"), F.col("predicted").alias("b"))).withColumn("kappa", F.round("kappa", 9))
+
+
+@query(
+    _PAIRS
+    + "SELECT tp, fp, fn, tn, (tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE) AS accuracy, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(tp + fn AS DOUBLE) AS recall, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM (SELECT count_if(actual = 1 AND predicted = 1) AS tp, count_if(actual = 0 AND predicted = 1) AS fp, count_if(actual = 1 AND predicted = 0) AS fn, count_if(actual = 0 AND predicted = 0) AS tn FROM pairs)"
+)
+def classification_metrics(spark, d):
+    return agreement.binary_metrics(_pairs(spark, d))
+
+
+@query(_PAIRS + "SELECT CAST(label AS INTEGER) AS label, 2 * count_if(actual = label AND predicted = label) / CAST(count_if(actual = label) + count_if(predicted = label) AS DOUBLE) AS f1 FROM pairs, (VALUES (0), (1)) v(label) GROUP BY label")
+def class_f1(spark, d):
+    return agreement.macro_f1(_pairs(spark, d))
+
+
+@query(_PAIRS + ", g AS (SELECT n_chars % 17 AS score, count_if(actual = 1) AS p, count_if(actual = 0) AS q FROM pairs GROUP BY 1), b AS (SELECT *, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT CAST(sum(p * (2 * below + q)) AS DOUBLE) / CAST(2 * sum(p) * sum(q) AS DOUBLE) AS auc FROM b")
+def auc_midrank(spark, d):
+    return agreement.auc(_pairs(spark, d).select((F.col("n_chars") % 17).alias("score"), "actual"))
+
+
+@query(_PAIRS + "SELECT b, c, CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / CAST(b + c AS DOUBLE) ELSE 0.0 END AS chi2 FROM (SELECT count_if(predicted = actual AND (1 - toxic) <> actual) AS b, count_if(predicted <> actual AND (1 - toxic) = actual) AS c FROM pairs)")
+def mcnemar_counts(spark, d):
+    right = lambda c: c == F.col("actual")
+    return agreement.mcnemar(_pairs(spark, d).select(right(F.col("predicted")).alias("right_a"), right(1 - F.col("toxic")).alias("right_b")))
+
+
+@query("SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY label, pos")
+def mean_pool(spark, d):
+    rows = Catalog(spark, (d,)).table("embeddings", ["label", "embedding"]).select("label", F.posexplode("embedding").alias("pos", "v"))
+    return rows.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
