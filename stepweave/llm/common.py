@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are processed in slices of about this many bytes, so that a task's
-#: memory does not depend on how many rows Spark puts in an Arrow batch.
+#: Texts are processed in slices of about this many bytes, and Arrow batches
+#: between the JVM and Python hold about as many at most.
 SLICE_BYTES = 4 << 20
 
 
@@ -21,6 +21,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` itself, once its session's Arrow batches are bounded by
+    SLICE_BYTES: the default, 64 MB for each task and direction, is too much
+    beside a small heap. Only the size of batches changes, no result."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name, None)
+    if held is None or not held.rstrip("bB").isdigit() or not 0 < int(held.rstrip("bB")) <= SLICE_BYTES:
+        conf.set(name, str(SLICE_BYTES))
+    return df
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key's decimal text, modulo ``folds``."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(folds)
@@ -56,6 +68,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
         yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def tokens(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

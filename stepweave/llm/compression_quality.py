@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import fit_logistic, sigmoid, slices
+from stepweave.llm.common import bounded, fit_logistic, sigmoid, slices
 
 #: Bounds of the sample of labelled rows that the model is fitted on.
 SAMPLE_PER_CLASS = 4000
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         return Model(b"", b"", (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
     # At most 2 * SAMPLE_PER_CLASS rows of two integers each.
     sample = spark.createDataFrame([(r["_k"], r["_y"], i % 2) for i, r in enumerate(picked)], "_k long, _y int, _half int")
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")
+    rows = bounded(docs).select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 p = sigmoid(x @ beta[:-1] + beta[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(p)], [key, "score"])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(scored, f"`{key}` {kind}, score double")
+    return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(scored, f"`{key}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -152,4 +152,4 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
                 x = np.array([sizer.features(t) for t in batch.column(text).to_pylist()]).reshape(batch.num_rows, 5)
                 yield batch.filter(pa.array(sigmoid(x @ beta[:-1] + beta[-1]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import hash_words, mix, shingle_hashes, slices, tokens
+from stepweave.llm.common import bounded, hash_words, mix, shingle_hashes, slices, tokens
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -153,7 +153,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """Key, item, similarity, first_word and n_words of the best window of each
     text and item that are similar."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = None
     for block in _blocks(benchmark, item, item_text):
 
@@ -185,5 +185,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     dirty = {r for r, _ in items.search(batch.column(text))}
                     yield batch.filter(pa.array([r not in dirty for r in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded(docs).mapInArrow(run, docs.schema)
     return docs

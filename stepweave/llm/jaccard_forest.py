@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import hash_words, shingle_hashes, slices, stored, tokens
+from stepweave.llm.common import bounded, hash_words, shingle_hashes, slices, stored, tokens
 from stepweave.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, prefix: int, key: str, text: str) -> DataFrame:
                     ["key", "node", "n", "trie"],
                 )
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = bounded(docs).where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, node binary, n long, trie array<long>")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import slices
+from stepweave.llm.common import bounded, slices
 
 # Phrases (as words) whose every place is counted.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -169,6 +169,6 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 rows = list(zip(*map(scan, batch.column("text").to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(v, t) for v, (_, t) in zip(rows, _FIELDS, strict=True))], [key, *(n for n, _ in _FIELDS)])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(
+    return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(
         run, f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, permitted boolean"
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import slices
+from stepweave.llm.common import bounded, slices
 
 _SPACE = "▁".encode()
 
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
                     [key, "ids", "bounds", "decoded"],
                 )
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>, bounds array<int>, decoded string")
+    return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>, bounds array<int>, decoded string")
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import fit_logistic, hash_words, shingle_hashes, sigmoid, slices, tokens
+from stepweave.llm.common import bounded, fit_logistic, hash_words, shingle_hashes, sigmoid, slices, tokens
 
 #: Bounds of the sample of labelled rows that the model is fitted on.
 SAMPLE_PER_CLASS = 6000
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         return Model({}, (0.0, 0.0, 0.0, 0.0, 0.0, 2.0, -3.0))
     # At most 2 * SAMPLE_PER_CLASS rows of a few integers.
     sample = spark.createDataFrame([(r["_k"], r["_y"], i % 3) for i, r in enumerate(picked)], "_k long, _y int, _part int")
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")
+    rows = bounded(docs).select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -264,4 +264,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 p = sigmoid(matcher.features(batch.column("text")) @ beta[:-1] + beta[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(p)], [key, "score"])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(scored, f"`{key}` {kind}, score double")
+    return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(scored, f"`{key}` {kind}, score double")

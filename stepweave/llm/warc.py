@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import stored
+from stepweave.llm.common import bounded, stored
 
 DEDUP_BYTES = 1000
 SHARD_BYTES = 32 << 20
@@ -155,7 +155,7 @@ def references(keyed: DataFrame, dedup_bytes: int) -> DataFrame:
 def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", dedup_bytes: int = DEDUP_BYTES, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the archives below ``out`` (a URI) and return the committed manifest."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
+    rows = bounded(pages).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     keyed = stored(rows.select("key", F.unhex(F.sha2("payload", 256)).alias("content"), F.octet_length("payload").cast("long").alias("bytes")), "warc-keys")
     refs = references(keyed, dedup_bytes)
     low, high = keyed.agg(F.min("key"), F.max("key")).first()
