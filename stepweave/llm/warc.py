@@ -7,7 +7,7 @@ temporary names and moved into place; the manifest, committed by Spark's own
 writer, names those that count. Every attempt of a task writes the same bytes.
 
 Defined cases: a null payload is empty; null keys sort first, their records
-carry no key and refer to nothing; equal payloads of at least ``dedup_bytes``
+carry no key and are never referred to; equal payloads of at least ``dedup_bytes``
 have one response, that of the largest key (rows that repeat this key too), and
 revisits; texts of any size are one record; no rows give an empty manifest;
 further columns are not read.
