@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import bounded, hash_words, shingle_hashes, slices, stored, tokens
@@ -29,8 +29,11 @@ from stepweave.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 20, 8, 0.9999
-#: A block of a candidate component has about so many texts and shingles at most.
+#: A block of a candidate component has about so many texts and shingles at
+#: most, and FINE_TEXTS where that makes no more than FINE_BLOCKS blocks: every
+#: block meets every other one, so more blocks mean more even tasks, but more copies.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 500_000
+FINE_TEXTS, FINE_BLOCKS = 200, 32
 SALTS = 8
 
 
@@ -85,6 +88,12 @@ def signatures(docs: DataFrame, prefix: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, node binary, n long, trie array<long>")
 
 
+def _blocks(texts: Column, shingles: Column) -> Column:
+    """Into how many blocks a component of so many texts and shingles is cut."""
+    fine = F.least(F.ceil(texts / FINE_TEXTS), F.lit(FINE_BLOCKS))
+    return F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(shingles / BLOCK_SHINGLES), fine)
+
+
 def _verify(threshold: float):
     """Links between the texts of one block, or of two different blocks."""
 
@@ -156,7 +165,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     linked = components(near, "forest-candidates")
     members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(nodes.select("node", "rep", "copies", "n"), "node")
-    total = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    total = members.groupBy("root").agg(_blocks(F.count(F.lit(1)), F.sum("n")).cast("int").alias("blocks"))
     placed = members.join(total, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = stored(placed.select("node", "root", "rep", "copies", "blocks", "block"), "forest-members")
 
