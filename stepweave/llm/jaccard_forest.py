@@ -160,13 +160,17 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     leaves = nodes.select("node", F.posexplode("trie").alias("tree", "prefix"))
     heads = leaves.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = leaves.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    node_salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    salted = leaves.withColumn("salt", node_salt)
     near = salted.join(heads.select("*", salt), ["tree", "prefix", "salt"]).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     linked = components(near, "forest-candidates")
     members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     members = members.join(nodes.select("node", "rep", "copies", "n"), "node")
     total = members.groupBy("root").agg(_blocks(F.count(F.lit(1)), F.sum("n")).cast("int").alias("blocks"))
-    placed = members.join(total, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Joined over salts: a component may hold a large share of all nodes.
+    cut = total.where("blocks > 1").select("*", salt)
+    placed = members.withColumn("salt", node_salt).join(cut, ["root", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = stored(placed.select("node", "root", "rep", "copies", "blocks", "block"), "forest-members")
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     some = nodes.select("node", "rep", "copies").join(links, "node", "left").where("copies > 1 or links is not null").join(classes, "node", "left")
     some = some.select("node", "rep", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     least = some.groupBy("root").agg(F.min("rep").alias("class_id"))
-    some = stored(some.join(least, "root").select("node", "class_id", "n_links"), "forest-classed")
+    some = some.withColumn("salt", node_salt).join(least.select("*", salt), ["root", "salt"])
+    some = stored(some.select("node", "class_id", "n_links"), "forest-classed")
     rows = signed.select("key", "node").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     whole = rows.join(some.select("*", salt), ["node", "salt"], "left")
     out = whole.select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
