@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, has_placeholder
-from stepweave.operators import agreement, patterns, rollups, sequences
+from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, has_placeholder, mechanism_of
+from stepweave.operators import agreement, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
 from stepweave.sources.tables import Catalog, event_steps, lineitem_steps
 
@@ -329,3 +329,60 @@ def mcnemar_counts(spark, d):
 def mean_pool(spark, d):
     rows = Catalog(spark, (d,)).table("embeddings", ["label", "embedding"]).select("label", F.posexplode("embedding").alias("pos", "v"))
     return rows.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+_CELLS = ["scope_org", "l_bucket", "support_bucket"]
+_POOL = f""",
+cells AS (SELECT *, {_case('L', LENGTH_BUCKETS)} AS l_bucket, {_case('support_total', SUPPORT_BUCKETS)} AS support_bucket, md5('42|' || pattern) AS h FROM ranked),
+filled AS (SELECT greatest(1, 200 // count(*)) AS share FROM (SELECT DISTINCT scope_org, l_bucket, support_bucket FROM cells)),
+late AS (SELECT *, row_number() OVER (PARTITION BY scope_org, l_bucket, support_bucket ORDER BY h, pattern) > share AS late FROM cells, filled),
+pool AS (SELECT * FROM late ORDER BY late, h, pattern LIMIT 200)"""
+
+
+def _pool(spark, d) -> DataFrame:
+    rows = _ranked(spark, d, "ev").withColumns({"l_bucket": bucket(F.col("L"), LENGTH_BUCKETS), "support_bucket": bucket(F.col("support_total"), SUPPORT_BUCKETS)})
+    return sampling.stratified(rows, _CELLS, 200)
+
+
+@query(oracle.over("ev", "SELECT pattern, scope_org, l_bucket, support_bucket FROM pool", _POOL))
+def stratified_pool(spark, d):
+    return _pool(spark, d).select("pattern", *_CELLS)
+
+
+@query(oracle.over("ev", "SELECT pattern, CASE WHEN i < 60 THEN 'overlap' WHEN i < 60 + (n - 60) // 3 THEN 'author_A' WHEN i < 60 + 2 * ((n - 60) // 3) THEN 'author_B' ELSE 'author_C' END AS assignment FROM (SELECT pattern, row_number() OVER (ORDER BY h, pattern) - 1 AS i, count(*) OVER () AS n FROM pool)", _POOL))
+def overlap_split(spark, d):
+    return sampling.assigned(_pool(spark, d).select("pattern"), 60, ["author_A", "author_B", "author_C"])
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return sampling.bootstrap_f1(_pairs(spark, d).select(F.col("doc_id").alias("key"), "actual", "predicted"))
+
+
+def _labelled(spark, d) -> DataFrame:
+    gate = (F.col("support_total") >= 20) & ~F.col("has_template_structure")
+    return patterns.candidate_features(_candidates(spark, d, "ev")).withColumn("label", gate.cast("int"))
+
+
+@query()
+def gbt_predictions(spark, d):
+    return models.out_of_fold(_labelled(spark, d).cache()).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+
+
+@query()
+def mechanism_predictions(spark, d):
+    rows = _labelled(spark, d).withColumn("mechanism_rule", mechanism_of(F.col("scope_org")))
+    return models.mechanism_predictions(rows.cache()).select("pattern", "scope_org", "mechanism", "mechanism_rule")
+
+
+@query(_PAIRS + "SELECT 'all yes' AS rule, tp, fp, fn, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM (SELECT count_if(actual = 1) AS tp, count_if(actual = 0) AS fp, 0 AS fn FROM pairs) UNION ALL SELECT 'not toxic', tp, fp, fn, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) FROM (SELECT count_if(actual = 1 AND toxic = 0) AS tp, count_if(actual = 0 AND toxic = 0) AS fp, count_if(actual = 1 AND toxic = 1) AS fn FROM pairs)")
+def rule_baseline(spark, d):
+    rows = _pairs(spark, d)
+    rules = {"all yes": F.lit(1), "not toxic": 1 - F.col("toxic")}
+    parts = [agreement.binary_metrics(rows.select("actual", v.alias("predicted"))).select(F.lit(k).alias("rule"), "tp", "fp", "fn", "f1") for k, v in rules.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def pattern_clusters(spark, d):
+    return models.reduced_clusters(Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"]))

@@ -26,11 +26,28 @@ def plain(value):
     return float(value) if hasattr(value, "is_finite") else value
 
 
-def test_all_have_sql():
-    assert set(catalogue.ORACLE) == set(catalogue.QUERIES)
+ROWS_ONLY = {"bootstrap_ci", "gbt_predictions", "mechanism_predictions", "pattern_clusters"}
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_all_others_have_sql():
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == ROWS_ONLY
+
+
+def test_bootstrap_holds_the_estimate(spark):
+    row = catalogue.QUERIES["bootstrap_ci"](spark, str(DATA)).first()
+    f1 = catalogue.QUERIES["classification_metrics"](spark, str(DATA)).first()["f1"]
+    assert row["resamples"] == 1000 and row["low"] < f1 < row["high"]
+
+
+def test_models_agree_with_their_labels(spark):
+    rows = catalogue.QUERIES["gbt_predictions"](spark, str(DATA)).collect()
+    assert sum(r["pred"] == r["label"] for r in rows) / len(rows) > 0.95
+    rows = catalogue.QUERIES["mechanism_predictions"](spark, str(DATA)).collect()
+    assert sum(r["mechanism"] == r["mechanism_rule"] for r in rows) / len(rows) > 0.95
+    assert catalogue.QUERIES["pattern_clusters"](spark, str(DATA)).select("cluster_id").distinct().count() == 10
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_equals_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, str(DATA))
     columns = sorted(got.columns)

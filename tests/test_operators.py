@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepweave.functions.columns import LENGTH_BUCKETS, bucket, has_quote_pair, not_blank
-from stepweave.operators import agreement, patterns, sequences
+from stepweave.operators import agreement, judging, patterns, sequences
 from stepweave.sources import tables
 
 STEP = "repo_slug string, file_path string, scenario string, line int, cluster_id int, text string, is_background boolean"
@@ -71,3 +71,20 @@ def test_sinks_round_trip_and_resume(spark, tmp_path):
     assert sorted(r["k"] for r in tables.read_jsonl(spark, path, "k long, v string").collect()) == [1, 2]
     with pytest.raises(FileNotFoundError):
         tables.Catalog(spark, (path,)).table("absent")
+
+
+def test_verdicts(spark):
+    said = {1: '```json\n{"extraction_worthy": "Yes"}\n```', 2: 'I think {"label_a": "Flagged Spec"} fits', 3: "", 4: None, 5: '{"label_extraction_worthy": "no"}'}
+    df = spark.createDataFrame(list(said.items()), "k long, c string")
+    got = {r["k"]: r["v"] for r in df.select("k", judging.verdict(F.col("c")).alias("v")).collect()}
+    assert got == {1: "yes", 2: "flagged-spec", 3: "PARSE_FAIL", 4: "API_FAIL", 5: "no"}
+
+
+def test_asking_retries_and_gives_up(spark):
+    def client(prompt):
+        if prompt == "bad":
+            raise OSError
+        return prompt.upper()
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad")], "k long, prompt string")
+    assert {r["k"]: r["content"] for r in judging.ask(df, client).collect()} == {1: "OK", 2: None}
