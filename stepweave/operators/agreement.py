@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -78,3 +81,76 @@ def mcnemar(rows: DataFrame) -> DataFrame:
     counts = rows.agg(F.count_if(F.col("right_a") & ~F.col("right_b")).alias("b"), F.count_if(~F.col("right_a") & F.col("right_b")).alias("c"))
     b, c = F.col("b"), F.col("c")
     return counts.withColumn("chi2", F.when(b + c > 0, F.pow(F.abs(b - c) - 1, F.lit(2)) / (b + c)).otherwise(0.0))
+
+
+def erfc_p(chi2: float) -> float:
+    """The p-value of a chi-square of one degree of freedom (a summary's scalar)."""
+    return math.erfc(math.sqrt(chi2 / 2))
+
+
+def pairwise(ratings: DataFrame) -> DataFrame:
+    """From (item, rater, label) rows: for each two raters, the items that both
+    rated and the share on which they agree."""
+    others = ratings.select("item", F.col("rater").alias("other"), F.col("label").alias("other_label"))
+    both = ratings.join(others, "item").where("rater < other")  # an item has few raters
+    agree = F.avg((F.col("label") == F.col("other_label")).cast("double"))
+    return both.groupBy("rater", "other").agg(F.count(F.lit(1)).alias("items"), agree.alias("agreement"))
+
+
+def distributions(ratings: DataFrame) -> DataFrame:
+    """Count and share of each label of each rater."""
+    counts = ratings.groupBy("rater", "label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.Window.partitionBy("rater")))
+
+
+def by_rater(ratings: DataFrame, raters: int) -> DataFrame:
+    """Per item a map of rater to label, the number of raters, and the label:
+    the majority's if all rated it, else that of the first rater by name."""
+    held = F.map_from_entries(F.array_sort(F.collect_list(F.struct("rater", "label"))))
+    rows = ratings.groupBy("item").agg(held.alias("labels_per_rater"), F.count(F.lit(1)).alias("n_raters"), F.min_by("label", "rater").alias("_first"))
+    rows = rows.join(majority(ratings.select("item", "label")), "item")
+    return rows.withColumn("label", F.when(F.col("n_raters") == raters, F.col("label")).otherwise(F.col("_first"))).drop("_first")
+
+
+def judge_summary(verdicts: DataFrame, human: DataFrame, failures: Sequence[str]) -> DataFrame:
+    """Per model of (model, item, verdict, mechanism) against (item, label,
+    mechanism): failures, agreement on all labels and on yes against the rest,
+    and the mechanisms where both say yes. Ties of the human raters are left
+    out; a ratio without cases is 0, and a kappa without chance to differ null."""
+    c = F.col
+    known = human.select("item", c("label").alias("_human"), c("mechanism").alias("_mechanism"))
+    rows = verdicts.join(known, "item", "left").withColumn("_valid", ~c("verdict").isin(*failures))
+    compared = c("_valid") & c("_human").isNotNull() & (c("_human") != "tie")
+    h, m = c("_human") == "yes", c("verdict") == "yes"
+    count = lambda cond: F.count_if(cond)
+    sums = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_total"), count(c("_valid")).alias("n_valid"), count(~c("_valid")).alias("n_failed"), count(compared).alias("n_compared"),
+        count(compared & (c("_human") == c("verdict"))).alias("_same"),
+        count(compared & h & m).alias("_tp"), count(compared & ~h & m).alias("_fp"), count(compared & h & ~m).alias("_fn"), count(compared & ~h & ~m).alias("_tn"),
+        count(c("_valid") & h & m).alias("n_yes_yes"), count(c("_valid") & h & m & (c("mechanism") == c("_mechanism"))).alias("_mech"),
+    )
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    n = c("n_compared")
+    left = rows.where(compared).groupBy("model", c("_human").alias("label")).agg(F.count(F.lit(1)).alias("l"))
+    right = rows.where(compared).groupBy("model", c("verdict").alias("label")).agg(F.count(F.lit(1)).alias("r"))
+    chance = left.join(right, ["model", "label"]).groupBy("model").agg(F.sum(c("l") * c("r")).alias("_lr"))
+    sums = sums.join(chance, "model", "left")
+    kappa = lambda po, pe: F.when(pe < 1, (po - pe) / (1 - pe))
+    tp, fp, fn, tn = c("_tp"), c("_fp"), c("_fn"), c("_tn")
+    binary_chance = ratio((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp), n * n)
+    return sums.select(
+        "model", "n_total", "n_valid", "n_failed", "n_compared",
+        ratio(c("_same"), n).alias("accuracy"), ratio(tp + tn, n).alias("accuracy_binary"),
+        kappa(ratio(c("_same"), n), ratio(F.coalesce("_lr", F.lit(0)), n * n)).alias("kappa"), kappa(ratio(tp + tn, n), binary_chance).alias("kappa_binary"),
+        ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        "n_yes_yes", ratio(c("_mech"), c("n_yes_yes")).alias("mechanism_accuracy"),
+    )
+
+
+def between_judges(verdicts: DataFrame, models: int, failures: Sequence[str]) -> DataFrame:
+    """Fleiss' kappa of the judges over items that all judged, on all labels and
+    on yes against the rest."""
+    valid = verdicts.where(~F.col("verdict").isin(*failures))
+    full = fleiss_kappa(valid.select("item", F.col("verdict").alias("label")), models).withColumnRenamed("kappa", "kappa_all")
+    yes = valid.select("item", F.when(F.col("verdict") == "yes", "yes").otherwise("not-yes").alias("label"))
+    return full.join(F.broadcast(fleiss_kappa(yes, models).select(F.col("kappa").alias("kappa_binary"))))  # one row each

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,21 +13,38 @@ from pyspark.sql import types as T
 FAILURES = ("PARSE_FAIL", "API_FAIL")
 
 
-def ask(prompts: DataFrame, client: Callable[[str], str], attempts: int = 6) -> DataFrame:
+def prompts(rows: DataFrame, rubric: str, shape: str, fields: Sequence[str], longest: int = 160) -> DataFrame:
+    """``rows`` with ``prompt``: the rubric, the named fields, the numbered texts
+    of canonical_text_seq, each cut at so many characters, and the answer's shape."""
+    facts = [F.concat(F.lit(f"  {f} = "), F.coalesce(F.col(f).cast("string"), F.lit("none"))) for f in fields]
+    lines = F.transform("canonical_text_seq", lambda t, i: F.concat(F.lit("  ["), i.cast("string"), F.lit("] "), F.substring(t, 1, longest)))
+    parts = [F.lit(rubric), F.lit("SLICE TO LABEL:"), *facts, F.lit("  steps:"), F.array_join(lines, "\n"), F.lit(shape)]
+    return rows.withColumn("prompt", F.concat_ws("\n", *parts))
+
+
+class Refused(Exception):
+    """An answer of the service that another attempt would not change."""
+
+
+def ask(prompts: DataFrame, client: Callable[[str], str], attempts: int = 6, wait: Callable[[float], None] = time.sleep, longest_wait: float = 60.0) -> DataFrame:
     """(key, prompt) rows with ``content``, the client's answer, or null after
-    so many failed attempts. The client is called in the tasks."""
+    so many failed attempts or one Refused. The client is called in the tasks;
+    between attempts they wait twice as long each time, up to ``longest_wait`` seconds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             answers = []
             for prompt in rows["prompt"]:
                 answer = None
-                for _ in range(attempts):
+                for attempt in range(1, attempts + 1):
                     try:
                         answer = client(prompt)
                         break
+                    except Refused:
+                        break
                     except Exception:  # the service's own errors, whatever they are
-                        continue
+                        if attempt < attempts:
+                            wait(min(2.0**attempt, longest_wait))
                 answers.append(answer)
             yield rows.assign(content=answers)
 

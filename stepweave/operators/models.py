@@ -47,3 +47,25 @@ def reduced_clusters(vectors: DataFrame, components: int = 50, clusters: int = 1
     pca = PCA(k=components, inputCol="raw", outputCol="features")
     model = Pipeline(stages=[pca, KMeans(k=clusters, seed=seed, featuresCol="features", predictionCol="cluster_id")]).fit(rows)
     return model.transform(rows).select(key, "cluster_id")
+
+
+def feature_importance(rows: DataFrame, trees: int = 20, depth: int = 4, label: str = "label", seed: int = 42) -> DataFrame:
+    """Importance of each feature, averaged over models that each leave out one
+    fold (column ``fold``); features of importance 0 are left out."""
+    names = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # one row per fold
+    sums = [0.0] * len(FEATURES)
+    for k in names:
+        booster = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
+        model = Pipeline(stages=[_vector(FEATURES), booster]).fit(rows.where(F.col("fold") != k))
+        sums = [a + b for a, b in zip(sums, model.stages[-1].featureImportances.toArray().tolist(), strict=True)]
+    found = [(f, v / len(names)) for f, v in zip(FEATURES, sums, strict=True) if v > 0]
+    return rows.sparkSession.createDataFrame(found, "feature string, importance double")
+
+
+def scored(labelled: DataFrame, population: DataFrame, trees: int = 20, depth: int = 4, label: str = "label", seed: int = 42) -> DataFrame:
+    """``population`` with the probability of label 1 by boosted trees that are
+    fitted on all labelled rows, and the prediction at 0.5."""
+    booster = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
+    model = Pipeline(stages=[_vector(FEATURES), booster]).fit(labelled)
+    rows = model.transform(population).withColumn("p", F.element_at(vector_to_array("probability"), 2))
+    return rows.withColumn("pred", (F.col("p") >= 0.5).cast("int")).drop("features", "rawPrediction", "probability", "prediction")

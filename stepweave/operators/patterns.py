@@ -101,3 +101,17 @@ def call_sites(slice_rows: DataFrame, wanted: DataFrame, n: int = 3) -> DataFram
     order = W.Window.partitionBy("pattern").orderBy("repo_slug", "file_path", "scenario", "position_start")
     rows = slice_rows.join(wanted.select("pattern"), "pattern", "left_semi").withColumn("site", F.row_number().over(order))
     return rows.where(F.col("site") <= n).select("pattern", "site", "repo_slug", "file_path", "scenario", "position_start")
+
+
+def call_site_lists(sites: DataFrame) -> DataFrame:
+    """Per pattern the list of its (bounded) call sites, and their repositories."""
+    place = F.struct("site", "repo_slug", "file_path", "scenario", "position_start")
+    rows = sites.groupBy("pattern").agg(F.array_sort(F.collect_list(place)).alias("sites"), F.countDistinct("repo_slug").alias("n_site_repos"))
+    return rows.select("pattern", "sites", "n_site_repos", F.size("sites").alias("n_sites"))
+
+
+def distribution(rows: DataFrame, *dimensions: str) -> DataFrame:
+    """Count and share (per cent) of each value of each dimension."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions]))
+    counts = rows.select(pairs.alias("d")).groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("patterns"))
+    return counts.withColumn("pct", 100.0 * F.col("patterns") / F.sum("patterns").over(W.Window.partitionBy("dimension")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.functions.columns import owner
 from stepweave.operators.sequences import KEY
 
 FLAGS = ("recurring", "rq1", "rq2", "rq3")
@@ -30,3 +31,20 @@ def patterns_per_repo(slice_rows: DataFrame, ranked: DataFrame) -> DataFrame:
     held = slice_rows.select("pattern", "repo_slug").distinct().join(ranked.select("pattern"), "pattern", "left_semi")
     counts = held.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.count(F.lit(1)).alias("repos"), *[F.percentile("n", v).alias(k) for k, v in {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}.items()], F.max("n").alias("max_n"))
+
+
+def corpus_shape(steps: DataFrame, scenario_rows: DataFrame) -> DataFrame:
+    """Repositories, owners, files, scenarios and steps: of all steps, and of
+    the scenarios that have slices."""
+    every = steps.agg(F.count(F.lit(1)).alias("n_steps"), F.countDistinct("repo_slug").alias("n_repos"))
+    held = scenario_rows.groupBy("repo_slug", "file_path").agg(F.count(F.lit(1)).alias("scenarios"), F.sum("n").alias("steps"))
+    held = held.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("files"), F.sum("scenarios").alias("scenarios"), F.sum("steps").alias("steps"))
+    held = held.agg(F.count(F.lit(1)).alias("n_repos_with_slices"), F.countDistinct(owner(F.col("repo_slug"))).alias("n_owners"), F.sum("files").alias("n_files_with_slices"), F.sum("scenarios").alias("n_scenarios_with_slices"), F.sum("steps").alias("n_steps_with_slices"))
+    return every.join(F.broadcast(held))  # one row each
+
+
+def by_level(flags: DataFrame) -> DataFrame:
+    """Units and flagged units of each owner, repository and file, and of all,
+    in one pass with a rollup."""
+    levels = flags.withColumn("owner", owner(F.col("repo_slug"))).rollup("owner", "repo_slug", "file_path")
+    return levels.agg(F.count(F.lit(1)).alias("scenarios"), *[F.count_if(f).alias(f"n_{f}") for f in FLAGS])

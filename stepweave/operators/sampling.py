@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -14,18 +16,79 @@ def seeded(key: str, seed: int) -> Column:
 
 def stratified(rows: DataFrame, cells: list[str], target: int, key: str = "pattern", seed: int = 42) -> DataFrame:
     """``target`` rows: an equal share of each cell (one at least), filled up
-    from the rest in seeded order, or cut in that order."""
-    filled = rows.select(*cells).distinct().count()
-    share = max(1, target // max(1, filled))
-    rank = F.row_number().over(W.Window.partitionBy(*cells).orderBy(seeded(key, seed), key))
-    ranked = rows.withColumn("_late", rank > share)
-    return ranked.orderBy("_late", seeded(key, seed), key).limit(target).drop("_late")
+    from the rest in seeded order, or cut in that order.
+
+    A cell's rows beyond its first ``target`` can't be picked, so each task
+    hands on no more of them, whatever share of the rows the cell holds."""
+    order = seeded(key, seed)
+    place = F.row_number().over(W.Window.partitionBy(*cells).orderBy("_order", key))
+    ranked = rows.withColumn("_order", order).withColumn("_place", place).where(F.col("_place") <= target)
+    share = ranked.where("_place = 1").agg(F.greatest(F.lit(1), F.floor(F.lit(target) / F.greatest(F.count(F.lit(1)), F.lit(1)))).alias("_share"))
+    late = ranked.join(F.broadcast(share)).withColumn("_late", F.col("_place") > F.col("_share"))  # one row
+    return late.orderBy("_late", "_order", key).limit(target).drop("_order", "_place", "_share", "_late")
+
+
+def two_strata(rows: DataFrame, cells: list[str], quotas: dict[str, int], stratum: str = "stratum", key: str = "pattern", seed: int = 42) -> DataFrame:
+    """A stratified sample of each stratum, of its own size."""
+    parts = [stratified(rows.where(F.col(stratum) == name), cells, n, key, seed) for name, n in quotas.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def representatives(pool: DataFrame, slice_rows: DataFrame, suites: DataFrame) -> DataFrame:
+    """``pool`` (a bounded sample) with one example place of each pattern: the
+    first in order of slices, places outside spec-suite files before others."""
+    wanted = slice_rows.join(F.broadcast(pool.select("pattern")), "pattern", "left_semi")
+    marked = wanted.join(suites.where("is_spec_suite").select("repo_slug", "file_path", F.lit(True).alias("_hit")), ["repo_slug", "file_path"], "left")
+    first = marked.groupBy("pattern").agg(F.min(F.struct(F.coalesce("_hit", F.lit(False)).alias("on_suite"), "repo_slug", "file_path", "scenario", "position_start")).alias("e"))
+    places = first.select("pattern", F.col("e.repo_slug").alias("example_repo"), F.col("e.file_path").alias("example_file"), F.col("e.scenario").alias("example_scenario"), F.col("e.on_suite").alias("example_on_outlier_file"))
+    return pool.join(places, "pattern", "left")
+
+
+#: The pilot's quotas (name, condition, order, rows, one for each L).
+PILOT = [
+    ("RQ3-cross-repo", "stratum = 'real_signal' AND scope_repo = 'RQ3' AND L >= 4 AND support_total >= 6", ["n_distinct_repos", "L"], 2, False),
+    ("RQ2-within-repo", "stratum = 'real_signal' AND scope_repo = 'RQ2' AND L >= 3 AND max_within_repo_files >= 3", ["max_within_repo_files"], 2, False),
+    ("RQ1-within-file", "stratum = 'real_signal' AND scope_repo = 'RQ1' AND max_within_file_recurrence >= 2", ["max_within_file_recurrence"], 2, True),
+    ("L=2-weak-candidate", "stratum = 'real_signal' AND L = 2 AND support_total <= 5", [], 1, False),
+    ("long-L", "stratum = 'real_signal' AND L >= 10", ["L"], 1, False),
+    ("spec-dominated", "stratum = 'spec_dominated'", ["support_total"], 1, False),
+    ("borderline", "stratum = 'real_signal' AND L BETWEEN 4 AND 7 AND support_total BETWEEN 5 AND 20", [], 1, False),
+]
+
+
+def pilot(pool: DataFrame, quotas: list[tuple[str, str, list[str], int, bool]] = PILOT, key: str = "pattern") -> DataFrame:
+    """A few diverse rows of a bounded ``pool``, by quota; a row can serve two."""
+    parts = []
+    for name, condition, measures, n, apart in quotas:
+        order = [*map(F.desc, measures), key]
+        rows = pool.where(condition)
+        if apart:
+            rows = rows.withColumn("_first", F.row_number().over(W.Window.partitionBy("L").orderBy(*order))).where("_first = 1").drop("_first")
+        parts.append(rows.orderBy(*order).limit(n).withColumn("quota", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def statistics(pool: DataFrame, *dimensions: str) -> DataFrame:
+    """Rows of each value of each dimension, and of all, by grouping sets."""
+    sets = [[F.col(d)] for d in dimensions]
+    counts = pool.groupingSets([*sets, []], *map(F.col, dimensions)).agg(F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("_id"))
+    top = 1 << len(dimensions)
+    which = F.lit("all")
+    for i, d in enumerate(dimensions):
+        which = F.when(F.col("_id") == top - 1 - (1 << (len(dimensions) - 1 - i)), d).otherwise(which)
+    return counts.select(which.alias("dimension"), F.coalesce(*[F.col(d).cast("string") for d in dimensions]).alias("value"), "rows")
+
+
+def folds(rows: DataFrame, label: str = "label", key: str = "pattern", n: int = 5, seed: int = 42) -> DataFrame:
+    """Labelled rows (a bounded set) with a fold, the labels spread evenly."""
+    place = F.row_number().over(W.Window.partitionBy(label).orderBy(seeded(key, seed), key)) - 1
+    return rows.withColumn("fold", F.pmod(place, F.lit(n)))
 
 
 def assigned(pool: DataFrame, overlap: int, raters: list[str], key: str = "pattern", seed: int = 42) -> DataFrame:
     """``pool`` (a bounded sample) with ``assignment``: the first ``overlap``
     rows go to all raters, the others in equal runs, the last taking the rest."""
-    size = max(1, (pool.count() - overlap) // len(raters))
+    size = F.greatest(F.lit(1), F.floor((F.count(F.lit(1)).over(W.Window.partitionBy()) - overlap) / len(raters)))
     place = F.row_number().over(W.Window.orderBy(seeded(key, seed), key)) - 1
     turn = F.least(F.floor((place - overlap) / size), F.lit(len(raters) - 1)).cast("int")
     name = F.element_at(F.array(*map(F.lit, raters)), turn + 1)

@@ -40,6 +40,34 @@ def latest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON document of many lines as one row."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_verdicts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All JSON-lines files of a folder, each with the file it came from."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def probe(df: DataFrame) -> DataFrame:
+    """Name, type, rows and nulls of each column, in one pass."""
+    counts = [F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns]]
+    each = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"), F.lit(t).alias("type"), F.col("_rows").alias("rows"), F.col(f"`{c}`").alias("nulls")) for i, (c, t) in enumerate(df.dtypes)]
+    return df.agg(*counts).select(F.explode(F.array(*each)).alias("c")).select("c.*")
+
+
+def common_columns(a: DataFrame, b: DataFrame) -> list[str]:
+    return [c for c in a.columns if c in set(b.columns)]
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """A summary of few rows as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 

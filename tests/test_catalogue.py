@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from stepweave.operators import models
 from stepweave.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
@@ -26,7 +27,7 @@ def plain(value):
     return float(value) if hasattr(value, "is_finite") else value
 
 
-ROWS_ONLY = {"bootstrap_ci", "gbt_predictions", "mechanism_predictions", "pattern_clusters"}
+ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_predictions", "mechanism_predictions", "pattern_clusters", "population_scores"}
 
 
 def test_all_others_have_sql():
@@ -44,6 +45,10 @@ def test_models_agree_with_their_labels(spark):
     assert sum(r["pred"] == r["label"] for r in rows) / len(rows) > 0.95
     rows = catalogue.QUERIES["mechanism_predictions"](spark, str(DATA)).collect()
     assert sum(r["mechanism"] == r["mechanism_rule"] for r in rows) / len(rows) > 0.95
+    rows = catalogue.QUERIES["population_scores"](spark, str(DATA)).collect()
+    assert sum(r["pred"] == r["label"] for r in rows) / len(rows) > 0.9
+    found = {r["feature"]: r["importance"] for r in catalogue.QUERIES["feature_importances"](spark, str(DATA)).collect()}
+    assert set(found) <= set(models.FEATURES) and sum(found.values()) == pytest.approx(1)
     assert catalogue.QUERIES["pattern_clusters"](spark, str(DATA)).select("cluster_id").distinct().count() == 10
 
 
