@@ -9,7 +9,8 @@ sum of the lesser over sum of the greater counts.
 
 A window without a shingle of an item has the similarity 0 to it, so only
 windows that hold one are fingerprinted. Items are taken in blocks of about
-BLOCK_SHINGLES, each sent to the tasks; more items are more passes.
+BLOCK_SHINGLES or BLOCK_ITEMS, whichever comes first, each sent to the tasks;
+more items are more passes.
 
 Defined cases: null and empty texts and items match nothing; an item or text of
 fewer words than a shingle is one shingle; a text shorter than an item is one
@@ -35,6 +36,8 @@ SIMILARITY = 0.8
 #: Texts of similarity 0.8 differ in 10 bits on average, with a deviation of 3.
 RADIUS = 19
 BLOCK_SHINGLES = 200_000
+#: The multi-index takes 32 KB an item.
+BLOCK_ITEMS = 2000
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -69,11 +72,11 @@ class Items:
         self.prints = np.array([simhash(h, len(h))[0] for h in self.shingles], np.uint64)
         blocks = self.prints.view(np.uint16).reshape(n, 4)
         every = np.arange(1 << 16, dtype=np.uint16)
-        near = [np.zeros((1 << 16, n), bool) for _ in range(4)] if n else []
-        for b, table in enumerate(near):
+        # Per block value a bit for each item, set where the item's block is near.
+        self.near = [np.zeros((1 << 16, -(-n // 8)), np.uint8) for _ in range(4)]
+        for b, table in enumerate(self.near):
             for i in range(n):
-                table[:, i] = _POPCOUNT[every ^ blocks[i, b]] <= RADIUS // 4
-        self.near = [np.packbits(t, axis=1, bitorder="little") for t in near]
+                table[:, i >> 3] |= (_POPCOUNT[every ^ blocks[i, b]] <= RADIUS // 4).astype(np.uint8) << np.uint8(i & 7)
         # Each width's shingles, sorted, with the items that hold them.
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for w in sorted(set(self.width)):
@@ -142,8 +145,8 @@ class Items:
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_SHINGLES))
+    size, items = rows.agg(F.coalesce(F.sum(F.size(F.split("text", "\\s+"))), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = max(1, math.ceil(size / BLOCK_SHINGLES), math.ceil(items / BLOCK_ITEMS))
     cut = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     for b in range(blocks):
         yield [(r["item"], r["text"]) for r in rows.where(cut == b).orderBy("item", "text").collect()]

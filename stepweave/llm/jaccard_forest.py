@@ -128,7 +128,7 @@ def _verify(threshold: float):
             held_in[who[a:b], at[a:b] - low] = 1
             common += held_in[left] @ held_in[right].T
         joined = sizes[left][:, None] + sizes[right][None, :] - common
-        linked = common >= threshold * joined - 1e-6 * joined
+        linked = common >= (threshold - 1e-12) * joined  # within a rounding error
         if first == second:
             np.fill_diagonal(linked, False)
         links = np.zeros(len(sets), np.int64)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stepweave.llm import bloom_lm, decontamination, jaccard_forest, license_scan, queries, toxicity
@@ -74,6 +75,15 @@ def test_op10_in_many_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_forest.similar(df).collect()} == linked(made)
 
 
+@pytest.mark.parametrize(("shared", "links"), [(800_000, [1, 1]), (799_999, [])])
+def test_long_texts_at_the_threshold(shared, links):
+    every = np.arange(1_000_000, dtype=np.uint64)
+    sets = [every[:900_000], every[900_000 - shared :]]
+    rows = pa.table({"node": pa.array([b"a", b"b"]), "block": [0, 0], "copies": [1, 1], "shingles": pa.array([s.tobytes() for s in sets])})
+    key = (pa.scalar(b"a"), pa.scalar(0), pa.scalar(0))
+    assert jaccard_forest._verify(0.8)(key, rows).column("links").to_pylist() == links
+
+
 def test_op1(spark, texts):
     want = {}
     for r in read(spark, DATA, "benchmark").collect():
@@ -90,6 +100,14 @@ def test_op1(spark, texts):
     assert want and got == pytest.approx(want)
 
 
+def test_op1_in_many_blocks(spark, monkeypatch):
+    docs, items = read(spark, DATA, "documents"), read(spark, DATA, "benchmark")
+    want = sorted(map(tuple, decontamination.matches(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 7)
+    assert items.count() > 7 and sorted(map(tuple, decontamination.matches(docs, items).collect())) == want
+    assert {r["doc_id"] for r in decontamination.clean(docs, items).collect()}.isdisjoint(r[0] for r in want)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     items = decontamination.Items([(i, " ".join(f"w{i}_{k}" for k in range(20))) for i in range(30)])
