@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepweave.functions.columns import mechanism_of
-from stepweave.operators import patterns, rollups, sequences, vectors
+from stepweave.operators import density, patterns, rollups, sequences, vectors
 from stepweave.plans import oracle
 from stepweave.plans.catalogue import _candidates, _outliers, _ranked, _slices, _steps, _suites, query
 from stepweave.sources import tables
@@ -117,3 +117,20 @@ def cluster_summary(spark, d):
 @query(" UNION ALL ".join(f"SELECT {i} AS pos, '{c}' AS name, '{t}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls FROM documents" for i, (c, t) in enumerate([("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")])))
 def schema_probe(spark, d):
     return tables.probe(tables.Catalog(spark, (d,)).table("documents"))
+
+
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding[1:3] AS DOUBLE[]) AS v FROM embeddings),
+    near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x, e y WHERE list_distance(x.v, y.v) <= 0.05),
+    core AS (SELECT a AS node FROM near GROUP BY a HAVING count(*) >= 5),
+    linked AS (SELECT a, b FROM near JOIN core x ON x.node = a JOIN core y ON y.node = b),
+    reach(node, seen) AS (SELECT node, node FROM core UNION SELECT a, seen FROM reach JOIN linked ON b = node),
+    roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1)
+    SELECT vec_id, bool_or(core.node IS NOT NULL) AS core, coalesce(min(root), -1) AS cluster_id
+    FROM e LEFT JOIN near ON a = vec_id LEFT JOIN roots ON roots.node = near.b LEFT JOIN core ON core.node = vec_id GROUP BY vec_id
+    """
+)
+def density_clusters(spark, d):
+    rows = tables.Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"])
+    return density.clusters(rows.withColumn("embedding", F.slice("embedding", 1, 3)), 0.05, 5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,15 @@ class Catalog:
         raise FileNotFoundError(f"no table {name} below {', '.join(self.bases)}")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder that the session
+    names; a temporary folder only where it names none, as in local tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
