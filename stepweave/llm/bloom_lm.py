@@ -8,8 +8,10 @@ broadcast; probabilities are smoothed with the words' own ones as the prior.
 The filter and the table of frequent words hold n-grams by their relative
 frequency: those of at least FILTER_SHARE (HEAD_SHARE) of all tokens, of which
 there are at most 1 / FILTER_SHARE (1 / HEAD_SHARE), whatever the corpus. All
-counts are taken over all training texts; exact counts of the other words come
-by a join. Words are told apart by 64-bit hashes.
+counts are taken over all training texts. What the broadcast leaves out comes by
+joins with the counts: exact counts of the other words for the base, and, where
+the filter leaves out any n-gram, the counts of rarer words and pairs for the
+model, put on the filter's scale. Words are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text has the end token only; texts of any length
 are scored whole; repeated rows give repeated rows; with no training text all
@@ -34,6 +36,8 @@ FILTER_SHARE = 1e-8
 HEAD_SHARE = 2.0**-22
 LOG_BASE = 2.0
 PROBES = 5
+#: Levels below the least one that entries of the filter have too.
+GUARD_LEVELS = 2
 BITS_PER_ENTRY = 8
 #: Weight of the word's own probability, in counts: PRIOR times this power of
 #: the previous word's count, as the pairs of frequent words vary more.
@@ -42,6 +46,7 @@ PRIOR, PRIOR_POWER = 4.0, 0.8
 HELD = 4_000_000
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = np.uint64(0x5BE0CD19137E2179)
+_WAITING = (np.uint8, np.int32, np.int32, np.int32, np.int32, np.int32)
 _PAIR_BITS = 44  # of a pair's hash; the filter errs far more often than these collide
 
 
@@ -147,7 +152,7 @@ class Filter:
     """The log-frequency Bloom filter: per kind and bucket a run of bits."""
 
     def __init__(self, segments: list[tuple[int, int, bytes]], buckets: int, cut: float):
-        self.buckets, self.cut = buckets, cut
+        self.buckets, self.least, self.first = buckets, *self.ends(cut)
         self.start = {k: np.zeros(buckets, np.int64) for k in (1, 2)}
         self.size = {k: np.zeros(buckets, np.int64) for k in (1, 2)}
         at = 0
@@ -157,9 +162,24 @@ class Filter:
         self.bits = np.frombuffer(b"".join(d for *_, d in segments), np.uint8)
 
     @staticmethod
-    def level(ns: np.ndarray, cut: float) -> np.ndarray:
+    def level(ns: np.ndarray, cut: float = 1.0) -> np.ndarray:
         return 1 + np.floor(np.log(np.maximum(ns / cut, 1.0)) / math.log(LOG_BASE) + 1e-9).astype(np.int64)
 
+    @staticmethod
+    def ends(cut: float) -> tuple[int, int]:
+        """The least level of an n-gram in the filter, the first with counts of
+        at least ``cut``, and the level at which entries and probes begin: some
+        below it, so that hardly any rarer n-gram passes for one in the filter."""
+        least = 1 + max(0, math.ceil(math.log(cut) / math.log(LOG_BASE) - 1e-9))
+        return least, max(1, least - GUARD_LEVELS)
+
+    @staticmethod
+    def value(level: np.ndarray) -> np.ndarray:
+        """The middle of a level's counts; 0 for level 0."""
+        low = np.ceil(LOG_BASE ** (level - 1.0))
+        high = np.maximum(np.ceil(LOG_BASE**level) - 1, low)
+        return np.where(level > 0, (low + high) / 2, 0.0)
+
     @staticmethod
     def spots(keys: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
         """The bits of each key at a level, in a segment of ``size`` bits."""
@@ -172,21 +192,23 @@ class Filter:
 
     @staticmethod
     def segment(keys: np.ndarray, ns: np.ndarray, cut: float) -> bytes:
-        keep = ns >= cut
-        keys, levels = keys[keep], Filter.level(ns[keep], cut)
-        size = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)
+        least, first = Filter.ends(cut)
+        levels = Filter.level(ns)
+        keep = levels >= least
+        keys, levels = keys[keep], levels[keep]
+        size = max(64, -(-int((levels - first + 1).sum()) * BITS_PER_ENTRY // 64) * 64)
         bits = np.zeros(size, bool)
-        for q in range(1, int(levels.max(initial=0)) + 1):
+        for q in range(first, int(levels.max(initial=0)) + 1):
             own = keys[levels >= q]
             for at in Filter.spots(own, q, np.full(len(own), size)):
                 bits[at] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def estimate(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Counts by repeated membership probes; 0 where level 1 is missing."""
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Levels by repeated membership probes; 0 where the least level is missing."""
         bucket = _bucket(keys, 64 if kind == 1 else _PAIR_BITS, self.buckets).astype(np.int64)
         start, size = self.start[kind][bucket], self.size[kind][bucket]
-        level = np.zeros(len(keys), np.int64)
+        level = np.full(len(keys), self.first - 1)
         left = np.flatnonzero(size > 0)
         while len(left):
             q = int(level[left[0]]) + 1
@@ -196,9 +218,83 @@ class Filter:
                 hit &= (self.bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)
             left = left[hit]
             level[left] = q
-        low = np.ceil(self.cut * LOG_BASE ** (level - 1.0))
-        high = np.maximum(np.ceil(self.cut * LOG_BASE**level) - 1, low)
-        return np.where(level > 0, (low + high) / 2, 0.0)
+        return np.where(level >= self.least, level, 0)
+
+    def estimate(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        return self.value(self.levels(keys, kind))
+
+
+def _log_odds(seen: np.ndarray, single: np.ndarray, both: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The model's terms, from the counts of the previous words, the words and the pairs."""
+    prior = (single + 0.5) / (n + 0.5 * (v + 1))
+    weight = PRIOR * np.maximum(seen, 1.0) ** PRIOR_POWER
+    return np.log10((np.minimum(both, seen) + weight * prior) / (seen + weight))
+
+
+def _split(keys: np.ndarray, kind: int, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of sorted keys that have any, and their places."""
+    at = np.searchsorted(_bucket(keys, 64 if kind == 1 else _PAIR_BITS, buckets), np.arange(buckets + 1))
+    return ((b, slice(i, j)) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i)
+
+
+def _open_terms(first: DataFrame, table: DataFrame, n: int, v: int) -> DataFrame:
+    """Row and more_score: the terms that wait for counts which the filter
+    leaves out. The keys that a slice of texts asks for meet the counts by
+    bucket; their levels, in the order of the keys, go back to the slice."""
+
+    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if known.num_rows:
+            keys, ns = _sorted_unpack(known.column("keys")[0].as_py()), _unpack(known.column("counts")[0].as_py(), np.int64)
+        told = []
+        for packed in asked.column("ask_keys").to_pylist():
+            wanted = _sorted_unpack(packed)
+            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+            levels = np.where(keys[at] == wanted, Filter.level(ns[at]), 0) if len(keys) else np.zeros(len(wanted), np.int64)
+            told.append(_pack(levels.astype(np.uint8)))
+        return pa.table({"slice": asked.column("slice"), "kind": asked.column("kind"), "ask_bucket": asked.column("ask_bucket"), "levels": pa.array(told, pa.binary())})
+
+    def finished(key: tuple, waiting: pa.Table, answers: pa.Table) -> pa.Table:
+        told: dict[int, list[np.ndarray]] = {1: [np.zeros(0, np.uint8)], 2: [np.zeros(0, np.uint8)]}
+        for r in sorted(answers.select(["kind", "ask_bucket", "levels"]).to_pylist(), key=lambda r: (r["kind"], r["ask_bucket"])):
+            told[r["kind"]].append(_unpack(r["levels"], np.uint8))
+        if not waiting.num_rows:
+            return pa.table({"row": pa.array([], pa.int64()), "more_score": pa.array([], pa.float64())})
+        words, left, right, pair, rows, times = (_unpack(x, t) for x, t in zip(waiting.column("waiting")[0].as_py(), _WAITING, strict=True))
+        words = words.astype(np.int64)
+        words[words == 0] = np.concatenate(told[1])
+        single, both = Filter.value(words), Filter.value(np.concatenate(told[2]).astype(np.int64))
+        p = _log_odds(single[left], single[right], both, n, v)
+        found, place = np.unique(rows, return_inverse=True)
+        return pa.table({"row": pa.array(found.astype(np.int64) + key[0].as_py(), pa.int64()), "more_score": np.bincount(place, times * p[np.cumsum(pair)], len(found))})
+
+    asked = first.where("ask_bucket is not null").select("slice", "kind", "ask_bucket", "ask_keys")
+    known = table.select("kind", F.col("bucket").alias("ask_bucket"), "keys", "counts")
+    answers = asked.groupBy("kind", "ask_bucket").cogroup(known.groupBy("kind", "ask_bucket")).applyInArrow(answer, "slice long, kind int, ask_bucket int, levels binary")
+    waiting = first.where("waiting is not null").select("slice", "waiting")
+    return waiting.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finished, "row long, more_score double")
+
+
+def _wait(own: Filter, hashes: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.ndarray, is_open: np.ndarray, place: np.ndarray, texts: np.ndarray) -> tuple[list[tuple[int, int, bytes]], list[bytes]]:
+    """What a slice asks for (kind, bucket, keys), and what waits for it: levels
+    of its words (0: asked) by hash, the open pairs' words, by the pair's hash,
+    and how often each occurs in which row."""
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    rank = np.r_[rank, rank[-1]]  # the start counts as the end does
+    turn = np.flatnonzero(is_open)
+    turn = turn[np.argsort(pairs[turn], kind="stable")]
+    position = np.full(len(pairs), -1)
+    position[turn] = np.arange(len(turn))
+    at = position[place]
+    rows = int(texts[-1]) + 1
+    both, times = np.unique(at[at >= 0] * rows + texts[at >= 0], return_counts=True)
+    asks = []
+    for kind, keys in ((1, hashes[order][words[order] == 0]), (2, pairs[turn])):
+        asks += [(kind, b, _sorted_pack(keys[of])) for b, of in _split(keys, kind, own.buckets)]
+    arrays = (words[order], rank[left[turn]], rank[right[turn]], np.diff(both // rows, prepend=0), both % rows, times)
+    return asks, [_pack(a.astype(t)) for a, t in zip(arrays, _WAITING, strict=True)]
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,6 +306,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     table = stored(counts(rows.where("not held_out").select("text"), buckets), "lm-counts")
     n, v = (table.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
     cut = max(1.0, n * FILTER_SHARE)
+    part_only = Filter.ends(cut)[0] > 1  # the filter leaves out n-grams
     head_cut = max(1.0, n * HEAD_SHARE)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +333,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         own, known_keys, known_counts = model.value
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 33
-        names = ["key", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "bucket", "tail_keys", "tail_rows", "tail_counts"]
-        kinds = [key_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names = list(kinds)
+
+        def emit(size: int, columns: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in kinds.items()], names)
+
         for whole in batches:
             for batch in slices(whole):
                 codes, offsets, hashes = _with_ends(*tokens(batch.column("text")))
@@ -249,20 +349,23 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 logs = np.log10(exact + 0.5) - unit
                 base = np.bincount(texts, np.where(in_head, logs, 0.0)[codes], batch.num_rows)
                 met = np.bincount(texts, in_head[codes], batch.num_rows).astype(np.int64)
-                # The model.
+                # The model: terms that lack no count now, the others by a join.
                 left, right, place = _pairs(codes, offsets, hashes)
-                all_keys = np.r_[hashes, _START]
-                single = own.estimate(hashes, 1)
-                prior = (single + 0.5) / (n + 0.5 * (v + 1))
-                seen = np.r_[single, single[-1]][left]  # as many starts as ends
-                both = np.minimum(own.estimate(_pair_hash(all_keys[left], all_keys[right]), 2), seen)
-                weight = PRIOR * np.maximum(seen, 1.0) ** PRIOR_POWER
-                p = np.log10((both + weight * prior[right]) / (seen + weight))
-                total = np.bincount(texts, p[place], batch.num_rows)
+                known = np.r_[hashes, _START]
+                pairs = _pair_hash(known[left], known[right])
+                words, levels = own.levels(hashes, 1), own.levels(pairs, 2)
+                before = np.r_[words, words[-1]][left]  # as many starts as ends
+                p = _log_odds(Filter.value(before), Filter.value(words[right]), Filter.value(levels), n, v)
+                is_open = (levels == 0) | (before == 0) | (words[right] == 0) if part_only else np.zeros(len(p), bool)
+                total = np.bincount(texts, np.where(is_open, 0.0, p)[place], batch.num_rows)
                 ids = row + np.arange(batch.num_rows)
                 row += batch.num_rows
-                blank = [None] * batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip([ids, np.diff(offsets), met, base, total, blank, blank, blank, blank], kinds[2:], strict=True))], names)
+                columns = (batch.column("key"), batch.column("held_out"), ids, np.diff(offsets), met, base, total)
+                yield emit(batch.num_rows, dict(zip(names, columns)))
+                if is_open.any():
+                    asks, waiting = _wait(own, hashes, words, left, right, pairs, is_open, place, texts)
+                    yield emit(1, {"slice": ids[:1], "waiting": [waiting]})
+                    yield emit(len(asks), dict(zip(("slice", "kind", "ask_bucket", "ask_keys"), (np.repeat(ids[:1], len(asks)), *zip(*asks, strict=True)), strict=True)))
                 rare = np.flatnonzero(~in_head[codes])
                 pair, times = np.unique(codes[rare] * batch.num_rows + texts[rare], return_counts=True)
                 tail = hashes[pair // batch.num_rows]
@@ -271,14 +374,16 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 cuts = np.searchsorted(_bucket(tail, 64, buckets), np.arange(buckets + 1))
                 out = [(b, _sorted_pack(tail[i:j]), _pack(rows_of[i:j]), _pack(times[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
                 if out:
-                    columns = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(out), t) for t in kinds[:7]), *(pa.array(c, t) for c, t in zip(columns, kinds[7:], strict=True))], names)
+                    yield emit(len(out), dict(zip(("bucket", "tail_keys", "tail_rows", "tail_counts"), zip(*out, strict=True), strict=True)))
 
     kind = docs.schema[key].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(kind)
-    schema = f"key {kind.simpleString()}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, bucket int, tail_keys binary, tail_rows binary, tail_counts binary"
+    kinds = {"key": key_type, "held_out": pa.bool_(), "row": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+    kinds |= {"bucket": pa.int32(), "tail_keys": pa.binary(), "tail_rows": pa.binary(), "tail_counts": pa.binary()}
+    kinds |= {"slice": pa.int64(), "kind": pa.int32(), "ask_bucket": pa.int32(), "ask_keys": pa.binary(), "waiting": pa.list_(pa.binary())}
+    schema = f"key {kind.simpleString()}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, bucket int, tail_keys binary, tail_rows binary, tail_counts binary, slice long, kind int, ask_bucket int, ask_keys binary, waiting array<binary>"
     first = stored(rows.mapInArrow(scored, schema), "lm-scored")
 
     def looked_up(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -300,8 +405,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     asked = first.where("bucket is not null").select("bucket", "tail_keys", "tail_rows", "tail_counts")
     known = table.where("kind = 1").select("bucket", "keys", "counts")
     more = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(looked_up, "row long, more_known long, more_base double")
-    more = more.groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
-    whole = first.where("bucket is null").join(more, "row", "left")
+    more = more.withColumn("more_score", F.lit(0.0))
+    if part_only:
+        more = more.unionByName(_open_terms(first, table, n, v), allowMissingColumns=True)
+    more = more.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more_known", "more_base", "more_score")))
+    whole = first.where("row is not null").join(more, "row", "left")
     return whole.select(
         F.col("key").alias(key),
         "held_out",
@@ -309,5 +417,5 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
