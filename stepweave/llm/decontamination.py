@@ -5,7 +5,10 @@ shingles. A multi-index finds all items within RADIUS bits: by the pigeonhole
 principle one of the four 16-bit blocks differs in at most RADIUS // 4 bits, and
 for every block value the items that near are tabled. Each candidate is then
 verified by the exact similarity of shingles, weighted by how often they occur:
-sum of the lesser over sum of the greater counts.
+sum of the lesser over sum of the greater counts. A repeated shingle may outweigh
+all others of a fingerprint, so RADIUS holds only for distinct shingles: a window
+or item that repeats one is compared exactly wherever the window holds enough of
+the item's shingles.
 
 A window without a shingle of an item has the similarity 0 to it, so only
 windows that hold one are fingerprinted. Items are taken in blocks of about
@@ -33,7 +36,7 @@ from stepweave.llm.common import bounded, hash_words, mix, shingle_hashes, slice
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts of similarity 0.8 differ in 10 bits on average, with a deviation of 3.
+#: Texts of distinct shingles and similarity 0.8 differ in 10 bits on average, with a deviation of 3.
 RADIUS = 19
 BLOCK_SHINGLES = 200_000
 #: The multi-index takes 32 KB an item.
@@ -50,6 +53,35 @@ def simhash(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(signs, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def repeats(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window of ``size`` shingles holds one twice."""
+    order = np.argsort(hashes, kind="stable")
+    again = np.full(len(hashes), len(hashes))
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again[order[:-1][same]] = order[1:][same]
+    soonest = np.minimum.accumulate(again[::-1])[::-1]  # end of a first repetition from here on
+    starts = np.arange(len(hashes) - size + 1)
+    return soonest[starts] < np.minimum(starts + size, len(hashes))
+
+
+def shared_counts(hashes: np.ndarray, size: int, starts: np.ndarray, own: Counter) -> Iterator[tuple[int, int]]:
+    """(start, sum of the lesser counts) of the windows at sorted ``starts``,
+    each from the one before by the shingles that leave and enter."""
+    held: Counter = Counter()
+    shared = low = high = 0
+    for start in starts.tolist():
+        if start >= high:
+            held, shared, low, high = Counter(), 0, start, start
+        for h in hashes[low:start].tolist():
+            held[h] -= 1
+            shared -= held[h] < own.get(h, 0)
+        for h in hashes[high : start + size].tolist():
+            shared += held[h] < own.get(h, 0)
+            held[h] += 1
+        low, high = start, start + size
+        yield start, shared
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _POPCOUNT[(a ^ b).view(np.uint16).reshape(*np.shape(a ^ b), 4)].sum(axis=-1)
 
@@ -69,6 +101,7 @@ class Items:
                 self.size.append(len(hashes))
                 self.width.append(min(SHINGLE, len(codes)))
         n = len(self.ids)
+        self.repeats = np.array([len(c) < m for c, m in zip(self.counts, self.size, strict=True)], bool)
         self.prints = np.array([simhash(h, len(h))[0] for h in self.shingles], np.uint64)
         blocks = self.prints.view(np.uint16).reshape(n, 4)
         every = np.arange(1 << 16, dtype=np.uint16)
@@ -113,16 +146,29 @@ class Items:
             size = min(m, len(hashes))
             last = len(hashes) - size
             starts = np.unique(np.concatenate([np.arange(max(0, p - size + 1), min(last, p) + 1) for i in items for p in places[i]]))
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            again = repeats(hashes, size)
+
+            def keep(i: int, start: int, shared: int, size: int = size) -> None:
+                similarity = shared / (size + self.size[i] - shared)
+                if similarity >= SIMILARITY - 1e-12 and (similarity, -start) > best.get(i, (0.0, 0))[:2]:
+                    best[i] = similarity, -start, size + width - 1
+
+            # The least shared count of the similarity; none has more than the item's shingles in the window.
+            least = (SIMILARITY - 1e-9) / (1 + SIMILARITY) * (size + m)
+            for i in items:
+                at = np.array(places[i])
+                own = starts if self.repeats[i] else starts[again[starts]]
+                own = own[(np.searchsorted(at, own + size) - np.searchsorted(at, own)) >= least]
+                for start, shared in shared_counts(hashes, size, own, self.counts[i]):
+                    keep(i, start, shared)
+            plain = np.array([i for i in items if not self.repeats[i]], int)
+            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(plain) else ():
                 prints = simhash(hashes[run[0] : run[-1] + size], size)
-                for window, i in self.within_radius(prints, np.array(items)).tolist():
-                    start = int(run[0] + window)
-                    mine, own = Counter(hashes[start : start + size].tolist()), self.counts[i]
-                    shared = sum((mine & own).values())
-                    similarity = shared / (size + self.size[i] - shared)
-                    if similarity >= SIMILARITY - 1e-12 and similarity > best.get(i, (0.0,))[0]:
-                        best[i] = similarity, start, size + width - 1
-        return [(self.ids[i], *v) for i, v in sorted(best.items())]
+                fresh = np.flatnonzero(~again[run])
+                for window, i in self.within_radius(prints[fresh], plain).tolist():
+                    start = int(run[fresh[window]])
+                    keep(i, start, sum((Counter(hashes[start : start + size].tolist()) & self.counts[i]).values()))
+        return [(self.ids[i], v, -start, n) for i, (v, start, n) in sorted(best.items())]
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
         """(row, match) of all texts of a batch."""

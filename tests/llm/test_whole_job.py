@@ -4,9 +4,10 @@ import math
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from stepweave.llm import bloom_lm
+from stepweave.llm import bloom_lm, decontamination
 from stepweave.llm.common import fold, read
 
 DATA = "/root/testdata/sf0.001"
@@ -46,3 +47,31 @@ def plain_scores(texts):
         return math.log10((min(middle(two[a, b]), seen) + weight * (middle(one[b]) + 0.5) / (n + 0.5 * (v + 1))) / (seen + weight))
 
     return {i: sum(term(a, b) for a, b in zip([0, *t], [*t, None], strict=True)) for i, t in split.items()}, n
+
+
+@pytest.mark.parametrize("size", [45, 100, 200])
+def test_cut_items_before_a_repeated_word(size):
+    """Items without their last tenth, in front of one word many times."""
+    texts = [[f"w{i}_{k}" for k in range(size + 4)] for i in range(40)]
+    items = decontamination.Items([(i, " ".join(t)) for i, t in enumerate(texts)])
+    cut = [" ".join([*t[: size + 4 - size // 10], *["same"] * 500]) for t in texts]
+    found = {(r, m[0]): m[1] for r, m in items.search(pa.array(cut, pa.string()))}
+    kept = size - size // 10
+    assert found == pytest.approx({(i, i): kept / (2 * size - kept) for i in range(40)})
+
+
+def test_repeating_items_are_found():
+    """Items of few distinct shingles, and windows counted one from another."""
+    items = ["a b c d e f g " * 12, "x " * 60, " ".join(f"v{k}" for k in range(30)) + " y" * 30]
+    texts = [f"head {t} {' '.join(f'z{k}' for k in range(n))}" for t in items for n in (0, 9)] + [t.rsplit(" ", 4)[0] + " tail" * 50 for t in items]
+    found = {(r, m[0]): m[1] for r, m in decontamination.Items(list(enumerate(items))).search(pa.array(texts, pa.string()))}
+    want = {}
+    for r, t in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = t.split(), item.split()
+            s, own = [tuple(a[k : k + 5]) for k in range(len(a) - 4)], Counter(tuple(b[k : k + 5]) for k in range(len(b) - 4))
+            m, size = min(len(s), own.total()), own.total()
+            shared = max((Counter(s[k : k + m]) & own).total() for k in range(len(s) - m + 1))
+            if shared / (m + size - shared) >= 0.8:
+                want[r, i] = shared / (m + size - shared)
+    assert len(want) >= 6 and found == pytest.approx(want)
