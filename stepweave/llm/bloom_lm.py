@@ -1,22 +1,28 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs of the training texts are quantised on a
-logarithmic scale; an n-gram of level q enters the filter q times, as level 1
-to q, and a look-up probes levels until one is missing. The filter is
-broadcast; probabilities are smoothed with the words' own ones as the prior.
-
-The filter and the table of frequent words hold n-grams by their relative
-frequency: those of at least FILTER_SHARE (HEAD_SHARE) of all tokens, of which
-there are at most 1 / FILTER_SHARE (1 / HEAD_SHARE), whatever the corpus. All
-counts are taken over all training texts. What the broadcast leaves out comes by
-joins with the counts: exact counts of the other words for the base, and, where
-the filter leaves out any n-gram, the counts of rarer words and pairs for the
-model, put on the filter's scale. Words are told apart by 64-bit hashes.
+Counts of word pairs and triples of the training texts are quantised on a
+logarithmic scale; an n-gram of level q enters the filter q times, as level 1 to
+q, and a look-up probes levels until one is missing. Probabilities are smoothed
+twice: a triple's by the pair's, a pair's by the word's own.
+
+The filter holds every n-gram of the corpus, so it grows with it (about 2 bytes
+for each distinct n-gram) and has no bound below which it could be broadcast. It
+is cut into hash ranges, as many as the bytes of text call for; a range's part is
+built and probed in one task, and the n-grams that a slice of texts asks for
+travel to it: each once a slice, with its count in the slice's training texts,
+so that counting and asking take one shuffle. Counts of words are exact and
+answered alike. Nothing depends on the number of partitions, and no size brings
+a rule of its own.
+
+A quantised count is the least of its level, and a context counts as the most of
+its level, so the probabilities of a context sum to at most 1 (but for the
+filter's false hits, about one n-gram in a hundred). Counts up to 4 are exact.
 
 Defined cases: a null or empty text has the end token only; texts of any length
-are scored whole; repeated rows give repeated rows; with no training text all
-counts are 0 and each token's base probability is 1; further columns of the
-input are not read.
+are scored whole; repeated rows give repeated rows, with equal scores in whatever
+task; tied counts are one level; an empty table gives no row; with no training
+text all counts are 0 and each token's probability is 1; further columns of the
+input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,24 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import bounded, hash_words, mix, slices, stored, tokens
-
-FILTER_SHARE = 1e-8
-HEAD_SHARE = 2.0**-22
-LOG_BASE = 2.0
-PROBES = 5
-#: Levels below the least one that entries of the filter have too.
-GUARD_LEVELS = 2
-BITS_PER_ENTRY = 8
-#: Weight of the word's own probability, in counts: PRIOR times this power of
-#: the previous word's count, as the pairs of frequent words vary more.
-PRIOR, PRIOR_POWER = 4.0, 0.8
-#: Distinct n-grams that a task holds before it hands them on.
-HELD = 4_000_000
+from stepweave.llm.common import bounded, hash_words, mix, stored, tokens
+
+#: Bytes of text in a slice, and of text whose n-grams one hash range holds.
+SLICE_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+PROBES, BITS_PER_ENTRY = 6, 10
+#: Weight of the lower order, in counts: a word's own probability weighs
+#: PAIR_WEIGHT times this power of the context's count, a pair's TRIPLE_WEIGHT.
+PAIR_WEIGHT, PAIR_POWER, TRIPLE_WEIGHT = 16.0, 0.8, 10.0
+#: The least count of each level: powers of the square root of 2, rounded up.
+LEVELS = np.unique(np.ceil(2.0 ** (np.arange(126) / 2) - 1e-9).astype(np.int64))
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = np.uint64(0x5BE0CD19137E2179)
-_WAITING = (np.uint8, np.int32, np.int32, np.int32, np.int32, np.int32)
-_PAIR_BITS = 44  # of a pair's hash; the filter errs far more often than these collide
+WORDS, PAIRS, TRIPLES = 1, 2, 3
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -74,348 +75,249 @@ def _sorted_unpack(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the leading 32 bits."""
-    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+def level(counts: np.ndarray) -> np.ndarray:
+    """The level of each count; 0 for none."""
+    return np.searchsorted(LEVELS, counts, "right")
 
 
-def _with_ends(codes: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes with an end token after each text, its offsets, and all hashes."""
-    hashes = np.r_[hash_words(words), _END]
-    texts = len(offsets) - 1
-    return np.insert(codes, offsets[1:], len(words)), offsets + np.arange(texts + 1), hashes
+def least(levels: np.ndarray) -> np.ndarray:
+    """The least count of each level; 0 for level 0."""
+    return np.r_[0, LEVELS][levels].astype(np.float64)
 
 
-def _pairs(codes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (previous, token) pairs' codes, and the place of each token's
-    pair in them; the start marker has the code len(hashes)."""
-    before = np.r_[0, codes[:-1]] if len(codes) else codes
-    before[offsets[:-1]] = len(hashes)
-    both, place = np.unique(before * (len(hashes) + 1) + codes, return_inverse=True)
-    return both // (len(hashes) + 1), both % (len(hashes) + 1), place
+def most(levels: np.ndarray) -> np.ndarray:
+    """The greatest count of each level."""
+    return np.r_[0, LEVELS[1:] - 1, LEVELS[-1]][levels].astype(np.float64)
 
 
-def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(left * np.uint64(0x9E3779B97F4A7C15) + right) >> np.uint64(64 - _PAIR_BITS)
-
-
-def counts(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """Rows of kind (1: words, 2: pairs), bucket, and packed sorted keys and
-    their counts over all texts."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
-
-        def hand_on() -> Iterator[pa.RecordBatch]:
-            out: list[tuple] = []
-            for kind, parts in held.items():
-                if parts:
-                    keys, ns = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-                    at = np.searchsorted(_bucket(keys, 64 if kind == 1 else _PAIR_BITS, buckets), np.arange(buckets + 1))
-                    out += [(kind, b, _sorted_pack(keys[i:j]), _pack(ns[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-                    parts.clear()
-            if out:
-                kinds, where, keys, ns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(where, pa.int32()), pa.array(keys, pa.binary()), pa.array(ns, pa.binary())], ["kind", "bucket", "keys", "counts"])
-
-        for whole in batches:
-            for batch in slices(whole):
-                codes, offsets, hashes = _with_ends(*tokens(batch.column("text")))
-                number = np.bincount(codes, minlength=len(hashes))
-                left, right, place = _pairs(codes, offsets, hashes)
-                known = np.r_[hashes, _START]
-                held[1].append((hashes[number > 0], number[number > 0]))
-                held[2].append(_summed(_pair_hash(known[left], known[right]), np.bincount(place, minlength=len(left))))
-                if sum(len(k) for k, _ in held[2]) > HELD:
-                    yield from hand_on()
-        yield from hand_on()
-
-    def merged(key: tuple, table: pa.Table) -> pa.Table:
-        packed = zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)
-        parts = [(_sorted_unpack(k), _unpack(n, np.int64)) for k, n in packed]
-        keys, ns = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-        return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "bucket": pa.array([key[1].as_py()], pa.int32()), "keys": pa.array([_sorted_pack(keys)], pa.binary()), "counts": pa.array([_pack(ns)], pa.binary()), "n": [int(ns.sum())], "distinct": [len(keys)]})
-
-    emitted = bounded(docs).select(F.col(text).alias("text")).mapInArrow(local, "kind int, bucket int, keys binary, counts binary")
-    return emitted.groupBy("kind", "bucket").applyInArrow(merged, "kind int, bucket int, keys binary, counts binary, n long, distinct long")
+class Filter:
+    """One hash range of the log-frequency Bloom filter."""
 
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY):
+        """Of distinct keys and their levels, 1 at least."""
+        self.size = max(64, int(levels.sum()) * bits_per_entry)
+        self.bits = np.zeros(self.size, bool)
+        for q in range(1, int(levels.max(initial=0)) + 1):
+            own = keys[levels >= q]
+            for at in self._spots(own, q):
+                self.bits[at] = True
 
-class Filter:
-    """The log-frequency Bloom filter: per kind and bucket a run of bits."""
-
-    def __init__(self, segments: list[tuple[int, int, bytes]], buckets: int, cut: float):
-        self.buckets, self.least, self.first = buckets, *self.ends(cut)
-        self.start = {k: np.zeros(buckets, np.int64) for k in (1, 2)}
-        self.size = {k: np.zeros(buckets, np.int64) for k in (1, 2)}
-        at = 0
-        for kind, bucket, data in segments:
-            self.start[kind][bucket], self.size[kind][bucket] = at, 8 * len(data)
-            at += 8 * len(data)
-        self.bits = np.frombuffer(b"".join(d for *_, d in segments), np.uint8)
-
-    @staticmethod
-    def level(ns: np.ndarray, cut: float = 1.0) -> np.ndarray:
-        return 1 + np.floor(np.log(np.maximum(ns / cut, 1.0)) / math.log(LOG_BASE) + 1e-9).astype(np.int64)
-
-    @staticmethod
-    def ends(cut: float) -> tuple[int, int]:
-        """The least level of an n-gram in the filter, the first with counts of
-        at least ``cut``, and the level at which entries and probes begin: some
-        below it, so that hardly any rarer n-gram passes for one in the filter."""
-        least = 1 + max(0, math.ceil(math.log(cut) / math.log(LOG_BASE) - 1e-9))
-        return least, max(1, least - GUARD_LEVELS)
-
-    @staticmethod
-    def value(level: np.ndarray) -> np.ndarray:
-        """The middle of a level's counts; 0 for level 0."""
-        low = np.ceil(LOG_BASE ** (level - 1.0))
-        high = np.maximum(np.ceil(LOG_BASE**level) - 1, low)
-        return np.where(level > 0, (low + high) / 2, 0.0)
-
-    @staticmethod
-    def spots(keys: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
-        """The bits of each key at a level, in a segment of ``size`` bits."""
+    def _spots(self, keys: np.ndarray, q: int) -> Iterator[np.ndarray]:
+        """The bits of each key at a level."""
         with np.errstate(over="ignore"):
-            h = mix(keys + np.uint64(level) * np.uint64(0xD1B54A32D192ED03))
+            h = mix(keys + np.uint64(q) * np.uint64(0xD1B54A32D192ED03))
             step = mix(h) | np.uint64(1)
             for _ in range(PROBES):
-                yield (h % size.astype(np.uint64)).astype(np.int64)
+                yield h % np.uint64(self.size)
                 h = h + step
 
-    @staticmethod
-    def segment(keys: np.ndarray, ns: np.ndarray, cut: float) -> bytes:
-        least, first = Filter.ends(cut)
-        levels = Filter.level(ns)
-        keep = levels >= least
-        keys, levels = keys[keep], levels[keep]
-        size = max(64, -(-int((levels - first + 1).sum()) * BITS_PER_ENTRY // 64) * 64)
-        bits = np.zeros(size, bool)
-        for q in range(first, int(levels.max(initial=0)) + 1):
-            own = keys[levels >= q]
-            for at in Filter.spots(own, q, np.full(len(own), size)):
-                bits[at] = True
-        return np.packbits(bits, bitorder="little").tobytes()
-
-    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Levels by repeated membership probes; 0 where the least level is missing."""
-        bucket = _bucket(keys, 64 if kind == 1 else _PAIR_BITS, self.buckets).astype(np.int64)
-        start, size = self.start[kind][bucket], self.size[kind][bucket]
-        level = np.full(len(keys), self.first - 1)
-        left = np.flatnonzero(size > 0)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by repeated membership probes, from level 1 until one is missing."""
+        found = np.zeros(len(keys), np.int64)
+        left, q = np.arange(len(keys)), 1
         while len(left):
-            q = int(level[left[0]]) + 1
             hit = np.ones(len(left), bool)
-            for at in self.spots(keys[left], q, size[left]):
-                where = start[left] + at
-                hit &= (self.bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)
+            for at in self._spots(keys[left], q):
+                hit &= self.bits[at]
             left = left[hit]
-            level[left] = q
-        return np.where(level >= self.least, level, 0)
-
-    def estimate(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        return self.value(self.levels(keys, kind))
-
-
-def _log_odds(seen: np.ndarray, single: np.ndarray, both: np.ndarray, n: int, v: int) -> np.ndarray:
-    """The model's terms, from the counts of the previous words, the words and the pairs."""
-    prior = (single + 0.5) / (n + 0.5 * (v + 1))
-    weight = PRIOR * np.maximum(seen, 1.0) ** PRIOR_POWER
-    return np.log10((np.minimum(both, seen) + weight * prior) / (seen + weight))
-
-
-def _split(keys: np.ndarray, kind: int, buckets: int) -> Iterator[tuple[int, slice]]:
-    """The buckets of sorted keys that have any, and their places."""
-    at = np.searchsorted(_bucket(keys, 64 if kind == 1 else _PAIR_BITS, buckets), np.arange(buckets + 1))
-    return ((b, slice(i, j)) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i)
-
-
-def _open_terms(first: DataFrame, table: DataFrame, n: int, v: int) -> DataFrame:
-    """Row and more_score: the terms that wait for counts which the filter
-    leaves out. The keys that a slice of texts asks for meet the counts by
-    bucket; their levels, in the order of the keys, go back to the slice."""
-
-    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if known.num_rows:
-            keys, ns = _sorted_unpack(known.column("keys")[0].as_py()), _unpack(known.column("counts")[0].as_py(), np.int64)
-        told = []
-        for packed in asked.column("ask_keys").to_pylist():
-            wanted = _sorted_unpack(packed)
-            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            levels = np.where(keys[at] == wanted, Filter.level(ns[at]), 0) if len(keys) else np.zeros(len(wanted), np.int64)
-            told.append(_pack(levels.astype(np.uint8)))
-        return pa.table({"slice": asked.column("slice"), "kind": asked.column("kind"), "ask_bucket": asked.column("ask_bucket"), "levels": pa.array(told, pa.binary())})
-
-    def finished(key: tuple, waiting: pa.Table, answers: pa.Table) -> pa.Table:
-        told: dict[int, list[np.ndarray]] = {1: [np.zeros(0, np.uint8)], 2: [np.zeros(0, np.uint8)]}
-        for r in sorted(answers.select(["kind", "ask_bucket", "levels"]).to_pylist(), key=lambda r: (r["kind"], r["ask_bucket"])):
-            told[r["kind"]].append(_unpack(r["levels"], np.uint8))
-        if not waiting.num_rows:
-            return pa.table({"row": pa.array([], pa.int64()), "more_score": pa.array([], pa.float64())})
-        words, left, right, pair, rows, times = (_unpack(x, t) for x, t in zip(waiting.column("waiting")[0].as_py(), _WAITING, strict=True))
-        words = words.astype(np.int64)
-        words[words == 0] = np.concatenate(told[1])
-        single, both = Filter.value(words), Filter.value(np.concatenate(told[2]).astype(np.int64))
-        p = _log_odds(single[left], single[right], both, n, v)
-        found, place = np.unique(rows, return_inverse=True)
-        return pa.table({"row": pa.array(found.astype(np.int64) + key[0].as_py(), pa.int64()), "more_score": np.bincount(place, times * p[np.cumsum(pair)], len(found))})
-
-    asked = first.where("ask_bucket is not null").select("slice", "kind", "ask_bucket", "ask_keys")
-    known = table.select("kind", F.col("bucket").alias("ask_bucket"), "keys", "counts")
-    answers = asked.groupBy("kind", "ask_bucket").cogroup(known.groupBy("kind", "ask_bucket")).applyInArrow(answer, "slice long, kind int, ask_bucket int, levels binary")
-    waiting = first.where("waiting is not null").select("slice", "waiting")
-    return waiting.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finished, "row long, more_score double")
-
-
-def _wait(own: Filter, hashes: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.ndarray, is_open: np.ndarray, place: np.ndarray, texts: np.ndarray) -> tuple[list[tuple[int, int, bytes]], list[bytes]]:
-    """What a slice asks for (kind, bucket, keys), and what waits for it: levels
-    of its words (0: asked) by hash, the open pairs' words, by the pair's hash,
-    and how often each occurs in which row."""
-    order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order))
-    rank = np.r_[rank, rank[-1]]  # the start counts as the end does
-    turn = np.flatnonzero(is_open)
-    turn = turn[np.argsort(pairs[turn], kind="stable")]
-    position = np.full(len(pairs), -1)
-    position[turn] = np.arange(len(turn))
-    at = position[place]
-    rows = int(texts[-1]) + 1
-    both, times = np.unique(at[at >= 0] * rows + texts[at >= 0], return_counts=True)
-    asks = []
-    for kind, keys in ((1, hashes[order][words[order] == 0]), (2, pairs[turn])):
-        asks += [(kind, b, _sorted_pack(keys[of])) for b, of in _split(keys, kind, own.buckets)]
-    arrays = (words[order], rank[left[turn]], rank[right[turn]], np.diff(both // rows, prepend=0), both % rows, times)
-    return asks, [_pack(a.astype(t)) for a, t in zip(arrays, _WAITING, strict=True)]
-
-
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, held_out, n_tokens, n_known, train_tokens, base_score and score of
-    every row; rows that are held out do not train."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    table = stored(counts(rows.where("not held_out").select("text"), buckets), "lm-counts")
-    n, v = (table.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
-    cut = max(1.0, n * FILTER_SHARE)
-    part_only = Filter.ends(cut)[0] > 1  # the filter leaves out n-grams
-    head_cut = max(1.0, n * HEAD_SHARE)
+            found[left] = q
+            q += 1
+        return found
 
-    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, bucket, keys, ns in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts")), strict=True):
-                keys, ns = _sorted_unpack(keys), _unpack(ns, np.int64)
-                head = ns >= head_cut if kind == 1 else np.zeros(len(ns), bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([Filter.segment(keys, ns, cut)], pa.binary()), pa.array([keys[head].tobytes()], pa.binary()), pa.array([ns[head].tobytes()], pa.binary())],
-                    ["kind", "bucket", "bits", "head", "head_counts"],
-                )
-
-    # Bounded: see the module's text on relative frequencies.
-    parts = table.select("kind", "bucket", "keys", "counts").mapInArrow(built, "kind int, bucket int, bits binary, head binary, head_counts binary").collect()
-    parts.sort(key=lambda r: (r["kind"], r["bucket"]))
-    head_keys = np.concatenate([np.frombuffer(r["head"], np.uint64) for r in parts] or [np.zeros(0, np.uint64)])
-    head_counts = np.concatenate([np.frombuffer(r["head_counts"], np.int64) for r in parts] or [np.zeros(0, np.int64)])
-    order = np.argsort(head_keys)
-    model = spark.sparkContext.broadcast((Filter([(r["kind"], r["bucket"], bytes(r["bits"])) for r in parts], buckets, cut), head_keys[order], head_counts[order]))
-    del parts
-    unit = math.log10(n + 0.5 * (v + 1))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known_keys, known_counts = model.value
+
+def _shifted(codes: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
+    """The code before each token; ``start`` before a text's first."""
+    before = np.r_[start, codes[:-1]]
+    before[offsets[:-1]] = start
+    return before
+
+
+def _ngrams(hashes: np.ndarray, codes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the hash of its pair, and of its triple (a text's first
+    token has no triple: its hash is that of another pair's kind, never asked)."""
+    known = np.r_[hashes, _START]
+    one = _shifted(codes, offsets, len(hashes))
+    two = _shifted(one, offsets, len(hashes))
+    with np.errstate(over="ignore"):
+        pair = mix(known[one] * np.uint64(0x9E3779B97F4A7C15) + known[codes])
+        triple = mix(known[two] * np.uint64(0xC2B2AE3D27D4EB4F) + pair)
+    return pair >> np.uint64(64 - bits), triple >> np.uint64(64 - bits)
+
+
+def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (below 2 ** 63) and how often each is in training."""
+    both = np.sort((keys << np.uint64(1)) | train.astype(np.uint64))
+    keys, flags = both >> np.uint64(1), (both & np.uint64(1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(flags, first)
+
+
+def sliced(rows: DataFrame, key_type: str) -> DataFrame:
+    """Slices of the rows ``key``, ``text``, ``held_out``: their keys, and their
+    tokens as codes of sorted word hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 33
-        names = list(kinds)
-
-        def emit(size: int, columns: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in kinds.items()], names)
-
-        for whole in batches:
-            for batch in slices(whole):
-                codes, offsets, hashes = _with_ends(*tokens(batch.column("text")))
-                texts = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                # The base: exact counts of frequent words now, of the others by a join.
-                at = np.minimum(np.searchsorted(known_keys, hashes), max(0, len(known_keys) - 1))
-                in_head = known_keys[at] == hashes if len(known_keys) else np.zeros(len(hashes), bool)
-                exact = np.where(in_head, known_counts[at] if len(known_keys) else 0, 0)
-                logs = np.log10(exact + 0.5) - unit
-                base = np.bincount(texts, np.where(in_head, logs, 0.0)[codes], batch.num_rows)
-                met = np.bincount(texts, in_head[codes], batch.num_rows).astype(np.int64)
-                # The model: terms that lack no count now, the others by a join.
-                left, right, place = _pairs(codes, offsets, hashes)
-                known = np.r_[hashes, _START]
-                pairs = _pair_hash(known[left], known[right])
-                words, levels = own.levels(hashes, 1), own.levels(pairs, 2)
-                before = np.r_[words, words[-1]][left]  # as many starts as ends
-                p = _log_odds(Filter.value(before), Filter.value(words[right]), Filter.value(levels), n, v)
-                is_open = (levels == 0) | (before == 0) | (words[right] == 0) if part_only else np.zeros(len(p), bool)
-                total = np.bincount(texts, np.where(is_open, 0.0, p)[place], batch.num_rows)
-                ids = row + np.arange(batch.num_rows)
-                row += batch.num_rows
-                columns = (batch.column("key"), batch.column("held_out"), ids, np.diff(offsets), met, base, total)
-                yield emit(batch.num_rows, dict(zip(names, columns)))
-                if is_open.any():
-                    asks, waiting = _wait(own, hashes, words, left, right, pairs, is_open, place, texts)
-                    yield emit(1, {"slice": ids[:1], "waiting": [waiting]})
-                    yield emit(len(asks), dict(zip(("slice", "kind", "ask_bucket", "ask_keys"), (np.repeat(ids[:1], len(asks)), *zip(*asks, strict=True)), strict=True)))
-                rare = np.flatnonzero(~in_head[codes])
-                pair, times = np.unique(codes[rare] * batch.num_rows + texts[rare], return_counts=True)
-                tail = hashes[pair // batch.num_rows]
-                turn = np.argsort(tail, kind="stable")
-                tail, rows_of, times = tail[turn], ids[(pair % batch.num_rows)[turn]], times[turn]
-                cuts = np.searchsorted(_bucket(tail, 64, buckets), np.arange(buckets + 1))
-                out = [(b, _sorted_pack(tail[i:j]), _pack(rows_of[i:j]), _pack(times[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-                if out:
-                    yield emit(len(out), dict(zip(("bucket", "tail_keys", "tail_rows", "tail_counts"), zip(*out, strict=True), strict=True)))
+        number = (context.partitionId() if context else 0) << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def slice_of(batch: pa.Table) -> pa.RecordBatch:
+            nonlocal number
+            codes, offsets, words = tokens(batch.column("text").combine_chunks())
+            hashes = np.r_[hash_words(words), _END]
+            codes, offsets = np.insert(codes, offsets[1:], len(words)), offsets + np.arange(len(offsets))
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            number += 1
+            columns = {
+                "slice": pa.array([number - 1], pa.int64()),
+                "keys": pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key").combine_chunks()),
+                "held": pa.array([batch.column("held_out").to_pylist()], pa.list_(pa.bool_())),
+                "sizes": pa.array([_pack(np.diff(offsets).astype(np.int32))], pa.binary()),
+                "hashes": pa.array([_sorted_pack(hashes[order])], pa.binary()),
+                "codes": pa.array([_pack(rank[codes].astype(np.int32))], pa.binary()),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    kind = docs.schema[key].dataType
+        for batch in batches:
+            step = 1024
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= SLICE_BYTES:
+                    yield slice_of(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            yield slice_of(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, f"slice long, keys array<{key_type}>, held array<boolean>, sizes binary, hashes binary, codes binary")
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted word hashes, codes, offsets, and whether each token is in training."""
+    sizes = _unpack(row["sizes"], np.int32).astype(np.int64)
+    held = np.array(row["held"], bool)
+    return _sorted_unpack(row["hashes"]), _unpack(row["codes"], np.int32).astype(np.int64), np.r_[0, np.cumsum(sizes)], np.repeat(~held, sizes)
+
+
+def asked(slices: DataFrame, bits: int, range_bits: int) -> DataFrame:
+    """What each slice asks for: per kind and hash range the sorted distinct
+    keys, and their counts in the slice's training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["slice", "held", "sizes", "hashes", "codes"]).to_pylist():
+                hashes, codes, offsets, train = _opened(row)
+                pair, triple = _ngrams(hashes, codes, offsets, bits)
+                inner = np.ones(len(codes), bool)
+                inner[offsets[:-1]] = False
+                kinds = {WORDS: (hashes, np.bincount(codes, train, len(hashes)).astype(np.int64), 64), PAIRS: (*_distinct(pair, train), bits), TRIPLES: (*_distinct(triple[inner], train[inner]), bits) if inner.any() else (triple[:0], codes[:0], bits)}
+                out = []
+                for kind, (keys, counts, width) in kinds.items():
+                    where = (keys >> np.uint64(width - range_bits)).astype(np.int64) if range_bits else np.zeros(len(keys), np.int64)
+                    cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
+                    for i, j in zip(cuts, np.r_[cuts[1:], len(keys)], strict=False):  # no keys, no cuts
+                        out.append((row["slice"], kind, int(where[i]), _sorted_pack(keys[i:j]), _pack(counts[i:j].astype(np.int32 if counts[i:j].max() < 1 << 31 else np.int64))))
+                for at in range(0, len(out), 4096):
+                    part = list(zip(*out[at : at + 4096], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["slice", "kind", "range", "keys", "counts"])
+
+    return slices.mapInArrow(run, "slice long, kind int, range long, keys binary, counts binary")
+
+
+def answered(asks: DataFrame, bits_per_entry: int) -> DataFrame:
+    """Per slice, kind and range the answers in the order of its keys: exact
+    counts of words, levels of pairs and triples by probes of the range's part of
+    the filter. A row without a slice holds a range's training tokens and
+    distinct words."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        slices, keys, counts = [], [], []
+        for s, k, c in zip(*(table.column(x).to_pylist() for x in ("slice", "keys", "counts")), strict=True):
+            own = _sorted_unpack(k)
+            packed = _unpack(c, np.uint8)
+            width = len(packed) // max(1, len(own))
+            slices.append(s)
+            keys.append(own)
+            counts.append(_unpack(c, np.int32 if width == 4 else np.int64).astype(np.int64))
+        every = np.concatenate(keys)
+        found, place = np.unique(every, return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
+        tokens_in, distinct = (int(total.sum()), int((total > 0).sum())) if kind == WORDS else (0, 0)
+        if kind == WORDS:
+            answers = total
+        else:
+            seen = total > 0
+            answers = Filter(found[seen], level(total[seen]), bits_per_entry).levels(found).astype(np.uint8)
+        ends = np.cumsum([len(k) for k in keys])
+        told = [_pack(answers[place[j - len(k) : j]]) for k, j in zip(keys, ends, strict=True)]
+        n = len(slices)
+        return pa.table({
+            "slice": pa.array([*slices, None], pa.int64()), "kind": pa.array([kind] * (n + 1), pa.int32()), "range": pa.array([key[1].as_py()] * (n + 1), pa.int64()),
+            "answers": pa.array([*told, None], pa.binary()), "tokens": pa.array([None] * n + [tokens_in], pa.int64()), "distinct": pa.array([None] * n + [distinct], pa.int64()),
+        })
+
+    return asks.groupBy("kind", "range").applyInArrow(run, "slice long, kind int, range long, answers binary, tokens long, distinct long")
+
+
+def probabilities(words: np.ndarray, seen: np.ndarray, pairs: np.ndarray, triples: np.ndarray, first: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of each token's probability, from the exact counts of the words and
+    of the words before them, and the levels of pairs and triples."""
+    prior = (words + 0.5) / (n + 0.5 * (v + 1))
+    weight = PAIR_WEIGHT * np.maximum(seen, 1.0) ** PAIR_POWER
+    by_pair = (np.minimum(least(pairs), seen) + weight * prior) / (seen + weight)
+    context = np.where(first, 0.0, most(np.r_[0, pairs[:-1]]))
+    by_triple = (np.minimum(np.where(first, 0.0, least(triples)), context) + TRIPLE_WEIGHT * by_pair) / (context + TRIPLE_WEIGHT)
+    return np.log10(np.where(first, by_pair, by_triple))
+
+
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", bits_per_entry: int = BITS_PER_ENTRY, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Key, held_out, n_tokens, n_known, train_tokens, base_score and score of
+    every row; rows that are held out do not train."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = docs.schema[key].dataType
+    rows = bounded(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    range_bits = max(0, math.ceil(math.log2(max(1, size) / range_bytes)))
+    # Two n-grams of a corpus have equal hashes in less than one case of 2 ** 18.
+    bits = min(62, 18 + max(8, size.bit_length()))
+    slices = stored(sliced(rows, kind.simpleString()), "lm-slices")
+    answers = stored(answered(asked(slices, bits, range_bits), bits_per_entry), "lm-answers")
+    n, v = answers.where("slice is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     key_type = to_arrow_type(kind)
-    kinds = {"key": key_type, "held_out": pa.bool_(), "row": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    kinds |= {"bucket": pa.int32(), "tail_keys": pa.binary(), "tail_rows": pa.binary(), "tail_counts": pa.binary()}
-    kinds |= {"slice": pa.int64(), "kind": pa.int32(), "ask_bucket": pa.int32(), "ask_keys": pa.binary(), "waiting": pa.list_(pa.binary())}
-    schema = f"key {kind.simpleString()}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, bucket int, tail_keys binary, tail_rows binary, tail_counts binary, slice long, kind int, ask_bucket int, ask_keys binary, waiting array<binary>"
-    first = stored(rows.mapInArrow(scored, schema), "lm-scored")
-
-    def looked_up(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if known.num_rows:
-            keys, ns = _sorted_unpack(known.column("keys")[0].as_py()), _unpack(known.column("counts")[0].as_py(), np.int64)
-        rows_of, found, sums = [], [], []
-        for a, b, c in zip(*(asked.column(x).to_pylist() for x in ("tail_keys", "tail_rows", "tail_counts")), strict=True):
-            tail, who, times = _sorted_unpack(a), _unpack(b, np.int64), _unpack(c, np.int64)
-            at = np.minimum(np.searchsorted(keys, tail), max(0, len(keys) - 1))
-            exact = np.where(keys[at] == tail, ns[at], 0) if len(keys) else np.zeros(len(tail), np.int64)
-            rows, place = np.unique(who, return_inverse=True)
-            rows_of.append(rows)
-            found.append(np.bincount(place, times * (exact > 0), len(rows)).astype(np.int64))
-            sums.append(np.bincount(place, times * (np.log10(exact + 0.5) - unit), len(rows)))
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"row": join(rows_of, np.int64), "more_known": join(found, np.int64), "more_base": join(sums, np.float64)})
-
-    asked = first.where("bucket is not null").select("bucket", "tail_keys", "tail_rows", "tail_counts")
-    known = table.where("kind = 1").select("bucket", "keys", "counts")
-    more = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(looked_up, "row long, more_known long, more_base double")
-    more = more.withColumn("more_score", F.lit(0.0))
-    if part_only:
-        more = more.unionByName(_open_terms(first, table, n, v), allowMissingColumns=True)
-    more = more.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more_known", "more_base", "more_score")))
-    whole = first.where("row is not null").join(more, "row", "left")
-    return whole.select(
-        F.col("key").alias(key),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-    )
+
+    def finished(_: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
+        got: dict[int, list[np.ndarray]] = {WORDS: [np.zeros(0, np.int64)], PAIRS: [np.zeros(0, np.uint8)], TRIPLES: [np.zeros(0, np.uint8)]}
+        for r in sorted(told.select(["kind", "range", "answers"]).to_pylist(), key=lambda r: (r["kind"], r["range"])):
+            got[r["kind"]].append(_unpack(r["answers"], np.int64 if r["kind"] == WORDS else np.uint8))
+        row = own.select(["held", "sizes", "hashes", "codes"]).to_pylist()[0]
+        hashes, codes, offsets, _train = _opened(row)
+        first = np.zeros(len(codes), bool)
+        first[offsets[:-1]] = True
+        counts = np.concatenate(got[WORDS])
+        pair, triple = _ngrams(hashes, codes, offsets, bits)
+        pairs = np.concatenate(got[PAIRS]).astype(np.int64)[np.unique(pair, return_inverse=True)[1]]
+        triples = np.zeros(len(codes), np.int64)
+        if len(codes) > len(offsets) - 1:
+            triples[~first] = np.concatenate(got[TRIPLES]).astype(np.int64)[np.unique(triple[~first], return_inverse=True)[1]]
+        ends = int(counts[np.searchsorted(hashes, _END)])  # as many starts as ends
+        before = np.r_[counts, ends][_shifted(codes, offsets, len(hashes))].astype(np.float64)
+        model = probabilities(counts[codes], before, pairs, triples, first, n, v)
+        base = (np.log10(counts + 0.5) - math.log10(n + 0.5 * (v + 1)))[codes]
+        of = offsets[:-1]
+        keys = own.column("keys").combine_chunks()
+        keys = (keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten()
+        return pa.table({
+            "key": keys.cast(key_type), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(np.diff(offsets)), "n_known": pa.array(np.add.reduceat((counts > 0)[codes].astype(np.int64), of)),
+            "base_score": pa.array(np.add.reduceat(base, of)), "score": pa.array(np.add.reduceat(model, of)),
+        })
+
+    told = answers.where("slice is not null").select("slice", "kind", "range", "answers")
+    out = slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(finished, f"key {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

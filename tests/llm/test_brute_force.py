@@ -136,13 +136,18 @@ def test_op2(spark, texts):
 
 def test_filter_never_underestimates():
     rng = np.random.default_rng(2)
-    keys = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
-    ns = rng.integers(1, 500, len(keys))
-    bits = [(1, 0, bloom_lm.Filter.segment(keys, ns, 1.0)), (2, 0, b"")]
-    found = bloom_lm.Filter(bits, 1, 1.0).estimate(keys, 1)
-    assert (bloom_lm.Filter.level(found, 1.0) >= bloom_lm.Filter.level(ns, 1.0)).all()
-    other = bloom_lm.Filter(bits, 1, 1.0).estimate(rng.integers(0, 1 << 63, 4000, dtype=np.uint64), 1)
-    assert (other > 0).mean() < 0.05
+    keys = np.unique(rng.integers(0, 1 << 62, 4000, dtype=np.uint64))
+    levels = bloom_lm.level(rng.integers(1, 500, len(keys)))
+    own = bloom_lm.Filter(keys, levels)
+    assert (own.levels(keys) >= levels).all() and (own.levels(keys) > levels).mean() < 0.03
+    assert (own.levels(rng.integers(0, 1 << 62, 4000, dtype=np.uint64)) > 0).mean() < 0.03
+
+
+def test_levels_are_exact_for_small_counts():
+    counts = np.arange(1, 5000)
+    q = bloom_lm.level(counts)
+    assert (bloom_lm.least(q) <= counts).all() and (counts <= bloom_lm.most(q)).all()
+    assert (bloom_lm.least(q)[:4] == counts[:4]).all() and (bloom_lm.most(q)[:3] == counts[:3]).all()
 
 
 def test_op3(spark):
