@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from stepweave.llm.common import bounded, hash_words, mix, stored, tokens
 
 #: Bytes of text in a slice, and of text whose n-grams one hash range holds.
-SLICE_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+SLICE_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 PROBES, BITS_PER_ENTRY = 6, 10
 #: Weight of the lower order, in counts: a word's own probability weighs
 #: PAIR_WEIGHT times this power of the context's count, a pair's TRIPLE_WEIGHT.

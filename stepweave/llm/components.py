@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         large = spread.join(least, ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
+        wide = lower.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        small = large.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(wide, ["a", "salt"])
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select("a", F.col("m").alias("b")))
         now = stored(moved.distinct(), name)
         before, state = state, _state(now)

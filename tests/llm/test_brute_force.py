@@ -76,12 +76,35 @@ def test_op10_in_many_blocks(spark, monkeypatch):
 
 
 @pytest.mark.parametrize(("shared", "links"), [(800_000, [1, 1]), (799_999, [])])
-def test_long_texts_at_the_threshold(shared, links):
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_long_texts_at_the_threshold(monkeypatch, shared, links, dense):
+    monkeypatch.setattr(jaccard_forest, "DENSE", dense)
     every = np.arange(1_000_000, dtype=np.uint64)
     sets = [every[:900_000], every[900_000 - shared :]]
-    rows = pa.table({"node": pa.array([b"a", b"b"]), "block": [0, 0], "copies": [1, 1], "shingles": pa.array([s.tobytes() for s in sets])})
-    key = (pa.scalar(b"a"), pa.scalar(0), pa.scalar(0))
-    assert jaccard_forest._verify(0.8)(key, rows).column("links").to_pylist() == links
+    rows = [{"node": n, "block": 0, "copies": 1, "shingles": s.tobytes(), "label": bytes(320)} for n, s in zip((b"a", b"b"), sets, strict=True)]
+    assert jaccard_forest._verified(rows, 0, 0, 0.8, 4)["links"] == links
+
+
+def test_prefixes_are_shortened_to_the_target():
+    assert jaccard_forest.depth_for({20: 1000}) == 8
+    assert 1 < jaccard_forest.depth_for({20: 1000, 3: 500}) < 8
+    assert jaccard_forest.depth_for({2: 10}, target=1 - 1e-12) == 1
+    assert jaccard_forest.depth_for({}) == 8
+
+
+def test_recall_where_the_first_depth_is_too_long(spark, monkeypatch):
+    """Pairs near the threshold: the measure after verification shortens on."""
+    monkeypatch.setattr(jaccard_forest, "depth_for", lambda *_: 8)
+    rng = random.Random(4)
+    made = {}
+    for i in range(60):
+        w = [f"a{i}_{k}" for k in range(100)]
+        made[2 * i] = " ".join(w)
+        w[rng.randint(20, 30)] = "x"
+        w[rng.randint(60, 70)] = "y"
+        made[2 * i + 1] = " ".join(w)
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_forest.similar(df).collect()} == linked(made)
 
 
 def test_op1(spark, texts):
