@@ -3,12 +3,20 @@
 Two zstandard dictionaries are built, one from good and one from bad labelled
 texts. A text that compresses better with the good dictionary resembles the
 good texts: the difference of its two compressed sizes, divided by the larger
-one, is turned into a probability by a logistic calibration.
+one, is turned into a probability by a logistic calibration, together with the
+like difference of its worst chunk and that to the text's own size, which tells
+repetitive texts, as both dictionaries serve them alike.
+
+It is fitted on bounded samples, both parameters of ``fit``: at most
+SAMPLE_PER_CLASS labelled rows of each class, and for each dictionary at most
+PIECES_PER_CLASS kilobyte pieces of all those of these rows' whole texts.
 
 Defined cases: null and empty texts have no chunks and get the calibrated score
 of a zero difference; a text of any length is compressed whole, chunk by chunk;
 labels with null fields are left out; no labels, or labels of one class, give
-the smoothed prior; other columns of the inputs are kept aside and never read.
+the smoothed prior; keys are of any type; samples follow hashes, and ties go by
+key or by content; repeated rows get equal scores each; an empty table gives no
+row; other columns of the inputs are kept aside and never read.
 """
 
 from __future__ import annotations
@@ -27,8 +35,12 @@ from stepweave.llm.common import bounded, fit_logistic, sigmoid, slices
 #: Bounds of the sample of labelled rows that the model is fitted on.
 SAMPLE_PER_CLASS = 4000
 CHUNK_BYTES = 1024
-CHUNKS_PER_TEXT = 6
+#: Bound of the pieces that a dictionary is trained on.
+PIECES_PER_CLASS = 16_000
 DICTIONARY_BYTES = 110_000
+#: Size differences of a text, and the logarithm of the share of its size that
+#: prose keeps at least: below it the slope may be another.
+FEATURES, LEAST_KEPT = 5, -1.5
 LEVEL = 3
 
 
@@ -61,18 +73,18 @@ class _Sizer:
     def features(self, text: str | None) -> list[float]:
         chunks = _chunks(text)
         if not chunks:
-            return [0.0] * 5
+            return [0.0] * FEATURES
         good, bad = ([len(c.compress(x)) for x in chunks] for c in self.pair)
         g, b, n = sum(good), sum(bad), sum(map(len, chunks))
         diff = (b - g) / max(b, g)
         low = min((y - x) / max(x, y) for x, y in zip(good, bad, strict=True))
-        dense = math.log(g / n)
-        return [diff, min(diff, 0.0), low, dense, min(dense + 1.5, 0.0)]
+        kept = math.log(g / n)
+        return [diff, min(diff, 0.0), low, kept, min(kept - LEAST_KEPT, 0.0)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on at most SAMPLE_PER_CLASS labelled texts of each class (those with
-    the smallest hash of their key): half for the dictionaries, half for the
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS, pieces_per_class: int = PIECES_PER_CLASS) -> Model:
+    """Fit on at most ``per_class`` labelled texts of each class (those with the
+    smallest hash of their key): half for the dictionaries, half for the
     calibration, weighted back to the classes' shares of all labels."""
     import zstandard
 
@@ -82,32 +94,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     rank = F.xxhash64("_k", F.lit(17))
     picked = []
     for y in sorted(counts):
-        picked += known.where(F.col("_y") == y).distinct().orderBy(rank, "_k").limit(SAMPLE_PER_CLASS).collect()
+        picked += known.where(F.col("_y") == y).distinct().orderBy(rank, "_k").limit(per_class).collect()
     if not picked:
-        return Model(b"", b"", (0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
-    # At most 2 * SAMPLE_PER_CLASS rows of two integers each.
-    sample = spark.createDataFrame([(r["_k"], r["_y"], i % 2) for i, r in enumerate(picked)], "_k long, _y int, _half int")
+        return Model(b"", b"", (0.0,) * (FEATURES + 1))
+    # At most 2 * per_class rows of a key and two integers each.
+    sample = spark.createDataFrame([(r["_k"], r["_y"], i % 2) for i, r in enumerate(picked)], f"_k {labels.schema[key].dataType.simpleString()}, _y int, _half int")
     rows = bounded(docs).select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"y": [], "piece": []}
-            for k, y, t in zip(*(batch.column(c).to_pylist() for c in ("_k", "_y", "text")), strict=True):
-                chunks = _chunks(t)
-                order = np.random.default_rng(k & 0x7FFFFFFF).permutation(len(chunks))[:CHUNKS_PER_TEXT]
-                for i in sorted(order):
+            for y, t in zip(*(batch.column(c).to_pylist() for c in ("_y", "text")), strict=True):
+                for chunk in _chunks(t):
                     out["y"].append(y)
-                    out["piece"].append(chunks[i])
+                    out["piece"].append(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(out["y"], pa.int32()), pa.array(out["piece"], pa.binary())], ["y", "piece"])
 
-    got = rows.where("_half = 0").mapInArrow(pieces, "y int, piece binary").collect()
-    got.sort(key=lambda r: (r["y"], bytes(r["piece"])))
+    cut = rows.where("_half = 0").mapInArrow(pieces, "y int, piece binary").where(F.octet_length("piece") >= 16)
     made = {}
     for y in (1, 0):
-        parts = [bytes(r["piece"]) for r in got if r["y"] == y and len(r["piece"]) >= 16]
-        np.random.default_rng(5).shuffle(parts)
+        got = cut.where(F.col("y") == y).orderBy(F.xxhash64("piece"), "piece").limit(pieces_per_class).collect()
+        parts = [bytes(r["piece"]) for r in got]
         try:
-            made[y] = zstandard.train_dictionary(DICTIONARY_BYTES, parts[: 2 * SAMPLE_PER_CLASS]).as_bytes()
+            made[y] = zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
         except (zstandard.ZstdError, ValueError):
             made[y] = b"".join(parts)[-DICTIONARY_BYTES:]  # too few pieces: their own bytes serve
     good, bad = made[1], made[0]
@@ -120,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
     seen = rows.where("_half = 1").mapInArrow(measured, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in seen], float)
-    x = np.array([r["x"] for r in seen], float).reshape(len(seen), 5)
+    x = np.array([r["x"] for r in seen], float).reshape(len(seen), FEATURES)
     share = {k: counts[k] / max(1, (y == k).sum()) for k in counts}
     w = np.array([share[int(v)] for v in y])
     w *= len(w) / max(w.sum(), 1e-9)
@@ -135,7 +144,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         sizer, beta = _Sizer(model.good, model.bad), np.array(model.beta)
         for whole in batches:
             for batch in slices(whole):
-                x = np.array([sizer.features(t) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, 5)
+                x = np.array([sizer.features(t) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, FEATURES)
                 p = sigmoid(x @ beta[:-1] + beta[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(p)], [key, "score"])
 
@@ -149,7 +158,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
         sizer, beta = _Sizer(model.good, model.bad), np.array(model.beta)
         for whole in batches:
             for batch in slices(whole, text):
-                x = np.array([sizer.features(t) for t in batch.column(text).to_pylist()]).reshape(batch.num_rows, 5)
+                x = np.array([sizer.features(t) for t in batch.column(text).to_pylist()]).reshape(batch.num_rows, FEATURES)
                 yield batch.filter(pa.array(sigmoid(x @ beta[:-1] + beta[-1]) >= threshold))
 
     return bounded(docs).mapInArrow(run, docs.schema)

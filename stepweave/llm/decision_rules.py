@@ -6,10 +6,17 @@ is grown on one part of the labelled texts, literal by literal, by FOIL gain,
 and pruned on the other; the texts that it covers are then set aside. The
 ordered rules become one conditional expression.
 
+Rules are learned on a bounded sample, the parameter ``per_class`` of ``learn``:
+at most so many labelled texts of each class among those that are judged. Growth
+ends where no literal gains, covering at the first rule of too little precision.
+
 Defined cases: null and empty texts have no words and all statistics zero;
 texts of any length are read whole, a text's windows within its own row; labels
 with null fields are left out; no labels, or one class, give an empty list that
-keeps every text; ties between literals go to the first by name and value.
+keeps every text; ties between literals go to the first by name and value;
+repeated rows are judged alike and stay repeated; an empty table gives no row;
+``keep_sound`` keeps columns of any name, ``judge`` the key only, so that none
+of its own columns clashes.
 """
 
 from __future__ import annotations
@@ -26,7 +33,6 @@ from stepweave.llm.common import stored
 WINDOW = 5
 #: Thresholds tried per statistic (quantiles of the labelled texts).
 THRESHOLDS = 12
-MAX_RULES, MAX_LITERALS = 8, 4
 #: A rule is kept if so large a share of what it covers in the pruning part has the label.
 MIN_PRECISION = 0.9
 #: Bound of the sample of labelled texts of each class that the rules are learned on.
@@ -142,7 +148,7 @@ def _grow(rows: DataFrame, marks: list[list[float]]) -> Rule:
     """FOIL: add the literal with most gain until only labelled rows are covered."""
     rule: Rule = ()
     p0, n0 = _counts(rows, [F.lit(True)])[0]
-    while len(rule) < MAX_LITERALS and n0 > 0 and p0 > 0:
+    while n0 > 0 and p0 > 0:
         counted = _literal_counts(rows.where(covers(rule)) if rule else rows, marks)
         gains = [p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p > 0 else 0.0 for _, p, n in counted]
         best = max(range(len(counted)), key=lambda i: (gains[i], -i), default=None)
@@ -163,16 +169,17 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, float]:
     return rule[: best + 1], (p + 0.5) / (p + n + 1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> list[Rule]:
-    """Rules for the label 0, in order. Learned on at most SAMPLE_PER_CLASS
-    labelled texts of each class (smallest hash of their key), weighted back to
-    the classes' shares."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> list[Rule]:
+    """Rules for the label 0, in order. Learned on at most ``per_class`` labelled
+    texts of ``docs`` of each class (smallest hash of their key), weighted back
+    to the classes' shares."""
     known = labels.select(F.col(key).alias("_k"), (F.col(label) <= 0).cast("int").alias("_y")).dropna().distinct()
+    known = stored(known.join(docs.select(F.col(key).alias("_k")).distinct(), "_k", "left_semi"), "rule-labels")
     total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return []
-    parts = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_k", F.lit(3)), "_k").limit(SAMPLE_PER_CLASS).withColumn("_w", F.lit(total[y] / min(total[y], SAMPLE_PER_CLASS))) for y in (0, 1)]
-    sample = parts[0].unionByName(parts[1])  # 2 * SAMPLE_PER_CLASS rows at most: it may be broadcast
+    parts = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_k", F.lit(3)), "_k").limit(per_class).withColumn("_w", F.lit(total[y] / min(total[y], per_class))) for y in (0, 1)]
+    sample = parts[0].unionByName(parts[1])  # 2 * per_class rows at most: it may be broadcast
     chosen = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")
     rows = with_statistics(chosen).select("_y", "_w", (F.xxhash64("_k", F.lit(7)) % 3 == 0).alias("_prune"), *STATISTICS)
     rows = stored(rows, "rule-statistics")
@@ -182,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     binned = [_bin(F.col(s), m) for s, m in zip(STATISTICS, marks, strict=True)]
     rows = rows.withColumn("_bins", F.array(*binned)).coalesce(8).cache()
     left, rules = rows, []
-    while len(rules) < MAX_RULES:
+    while True:
         rule = _grow(left.where(~F.col("_prune")), marks)
         if not rule:
             break
@@ -190,7 +197,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         if precision < MIN_PRECISION:
             break
         rules.append(rule)
-        left = left.where(~covers(rule))
+        before, left = left, left.where(~covers(rule))
+        if before.where(covers(rule)).isEmpty():
+            break
     rows.unpersist()
     return rules
 
@@ -205,9 +214,10 @@ def verdict(rules: list[Rule]) -> Column:
     return reduce(lambda rest, k: F.when(covers(rules[k - 1]), F.lit(k)).otherwise(rest), range(len(rules), 0, -1), F.lit(0))
 
 
-def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """``docs`` with the statistics, base_failed, rule and kept."""
-    rows = with_statistics(docs, text).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
+def judge(docs: DataFrame, rules: list[Rule], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the statistics, base_failed, rule and kept."""
+    own = docs.select(*(F.col(k) for k in keep), F.col(text).alias("text"))
+    rows = with_statistics(own).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
@@ -216,5 +226,5 @@ def keep_sound(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFr
     packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("text"))
     # A filter is not pushed below a column that depends on the partition; pushed
     # down, it would repeat the statistics' nested expressions in each other.
-    judged = judge(packed, rules).withColumn("_part", F.spark_partition_id())
+    judged = judge(packed, rules, keep=("_row",)).withColumn("_part", F.spark_partition_id())
     return judged.where("kept and _part >= 0").select("_row.*")

@@ -275,7 +275,7 @@ def _links(docs: DataFrame, nodes: DataFrame, depth: int, key: str, text: str, t
     whole = whole.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "blocks", "copies", "label", "shingles")
     # Groups of a component go to the partitions in turn, which evens them out.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = whole.withColumn("part", F.pmod(F.xxhash64("root") + F.col("j") * (F.col("j") + 1) / 2 + F.col("i"), F.lit(parts)).cast("int"))
+    whole = whole.withColumn("part", F.pmod(F.xxhash64("root") + F.shiftright(F.col("j").cast("long") * (F.col("j") + 1), 1) + F.col("i"), F.lit(parts)).cast("int"))
     dealt = whole.drop("blocks").repartitionById(parts, "part").sortWithinPartitions("root", "i", "j")
     return stored(dealt.mapInArrow(_verify(threshold, depth), _VERIFIED), "forest-verified")
 

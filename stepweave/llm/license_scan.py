@@ -7,7 +7,9 @@ shunting yard and evaluated against the permitted licences.
 Defined cases: null and empty texts have no words, no labels and the score 0;
 texts of any length are scanned whole; a phrase inside a longer one counts as a
 base place but adds no further label; malformed expressions keep the licences
-they name and count as not permitted; repeated rows give repeated rows.
+they name and count as not permitted; of two phrases that start alike the longer
+labels; repeated rows give repeated rows; an empty table gives no row; columns
+with clashing names are not read.
 """
 
 from __future__ import annotations
@@ -132,11 +134,17 @@ def scan(text: str | None) -> tuple:
         return len(words), 0, None, None, "", "", 0.0, None, None
     spans = [(at, at + len(phrase) + 2, phrase) for at, phrase in places]
     base = [(at, phrase) for at, _, phrase in spans if phrase in BASE]
-    starts = [joined.count(" ", 0, at) for at, _ in base]
+    starts, before, word = [], 0, 0
+    for at, _ in sorted(base):
+        word += joined.count(" ", before, at)
+        before = at
+        starts.append(word)
     base_labels = {BASE[phrase] for _, phrase in base}
     labels, doubt, verdicts = set(base_labels), 0.01 if base else 1.0, []
-    for a, b, phrase in spans:
-        if phrase in NOTICES and not any(c <= a and b <= d and d - c > b - a for c, d, _ in spans):
+    reached = 0  # where the spans that start no later, longer ones first, end at most
+    for a, b, phrase in sorted(spans, key=lambda s: (s[0], -s[1])):
+        inside, reached = b <= reached, max(reached, b)
+        if phrase in NOTICES and not inside:
             label, surely = NOTICES[phrase]
             labels.add(label)
             doubt *= 1 - surely

@@ -1,14 +1,15 @@
 """SentencePiece encoding with byte spans, and decoding.
 
-The library encodes; this module recomputes the normalisation that it applies,
-longest prefix first through the model's compiled character map, and keeps for
-every normalised byte the source byte it stems from. Pieces are consecutive
-runs of normalised bytes, so their lengths project them to spans of the
-original UTF-8 text.
+This module normalises, longest prefix first through the model's compiled
+character map, and keeps for every normalised byte the source byte it stems from.
+The library segments the normalised text, by the model without its normaliser.
+Pieces are consecutive runs of normalised bytes, so their lengths project them to
+spans of the original UTF-8 text.
 
 Defined cases: null is encoded as the empty text, which has no pieces; texts of
-any length are encoded whole; repeated rows give repeated rows; columns with
-clashing names are not read.
+any length are encoded whole; of map entries of which one starts with the other
+the longer is taken, so there are no ties; repeated rows give repeated rows; an
+empty table gives no row; columns with clashing names are not read.
 """
 
 from __future__ import annotations
@@ -77,6 +78,9 @@ class Codec:
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         self.unknown = self.model.unk_id()
+        spec.precompiled_charsmap, spec.name = b"", "identity"
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.sizes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.is_byte = np.array([p.type == 6 for p in proto.pieces])
 
@@ -127,19 +131,22 @@ class Codec:
             where += [end] * len(space)
         return bytes(out), np.array([*where, end], np.int64)
 
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """The bounds of the pieces in the text's bytes: piece i spans from
-        bound i to bound i + 1."""
-        normal, at = self.normalise(text.encode())
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
+        """Ids of each text's pieces, and their bounds in its bytes: piece i
+        spans from bound i to bound i + 1."""
+        normal = [self.normalise(t.encode()) for t in texts]
+        plain = [data.decode("utf-8", "replace") for data, _ in normal]
+        ids = self.plain.encode(plain, num_threads=1)
+        return ids, [self._bounds(*x) for x in zip(plain, (at for _, at in normal), ids, strict=True)]
+
+    def _bounds(self, normal: str, at: np.ndarray, ids: list[int]) -> np.ndarray:
         codes = np.asarray(ids, np.int64)
         sizes = self.sizes[codes] if len(codes) else np.zeros(0, np.int64)
         if self.unknown in ids:
-            pieces = self.model.encode(text, out_type=str)
+            pieces = self.plain.encode(normal, out_type=str)
             sizes = np.array([1 if self.is_byte[i] else len(p.encode()) for i, p in zip(ids, pieces, strict=True)], np.int64)
         ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        if ends[-1] != len(normal):
-            raise ValueError("pieces do not cover the normalised text")
-        return at[ends]
+        return at[np.minimum(ends, len(at) - 1)]
 
 
 @lru_cache(maxsize=4)
@@ -158,12 +165,12 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         for whole in batches:
             for batch in slices(whole):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = own.model.encode(texts, num_threads=1)
+                ids, bounds = own.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(key),
                         pa.array(ids, pa.list_(pa.int32())),
-                        pa.array([own.spans(t, i).astype(np.int32) for t, i in zip(texts, ids, strict=True)], pa.list_(pa.int32())),
+                        pa.array([b.astype(np.int32) for b in bounds], pa.list_(pa.int32())),
                         pa.array([own.model.decode(i) for i in ids], pa.string()),
                     ],
                     [key, "ids", "bounds", "decoded"],
@@ -173,11 +180,12 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The digest columns of :func:`encode`'s result."""
+    """The digest columns of :func:`encode`'s result, that of the bounds too."""
     return encoded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.array_join(F.col("bounds").cast("array<string>"), ",").cast("binary"), 256).alias("bounds_sha256"),
         F.coalesce(F.element_at("bounds", -1), F.lit(0)).cast("long").alias("n_bytes"),
     )

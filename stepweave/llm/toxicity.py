@@ -1,15 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens become symbols (insult, threat, target, negation, reported speech,
-clause end, other) through a lexicon of fixed seeds and of terms learned from
-labels. Small transducers for targets, negation and reported speech are
-composed into one that rewrites each insult or threat by its place in the
-clause; a document is scored by its matched clauses, calibrated on labels.
+Tokens become symbols (insulting word, intensifier, harmful verb, intent, target,
+negation, reported speech, clause end, other) through a lexicon of fixed seeds
+and of terms learned from labels. Small transducers are composed into one that
+rewrites each insulting word or harmful verb by its place in the clause: an
+insult (alone or intensified), a threat (a verb after an intent), what is aimed
+at a target, negated, or reported. A document is scored by its matched clauses,
+calibrated on labels.
+
+Fitted on a bounded sample, the parameter ``per_class`` of ``fit``: so many
+labelled rows of each class at most, whose whole texts are read.
 
 Defined cases: null and empty texts match nothing and get the score of a text
 without matches; texts of any length are read whole; labels with null fields
 are left out; no labels, or one class, give the smoothed prior with the seed
-lexicon; ties in the sample are broken by key; other columns are not read.
+lexicon; keys are of any type; ties in the sample are broken by key; repeated
+rows get equal scores each; an empty table gives no row; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -23,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import bounded, fit_logistic, hash_words, shingle_hashes, sigmoid, slices, tokens
+from stepweave.llm.common import bounded, fit_logistic, hash_words, shingle_hashes, sigmoid, slices, stored, tokens
 
 #: Bounds of the sample of labelled rows that the model is fitted on.
 SAMPLE_PER_CLASS = 6000
 #: A learned term occurs in so many toxic texts of the sample at least, and so
 #: many times as often (in logarithms) in toxic texts as in others.
 MIN_SUPPORT, MIN_LOG_RATIO = 3, 3.0
-MAX_TERMS = 5000
+#: A term's gain, in twice the log likelihood, is this at least beyond what chance gives the best of all terms tried.
+MIN_GAIN = -4.0
+#: The sample is dealt over so many parts: one for the calibration, the others for the lexicon.
+PARTS = 4
 PREFIXES = (4, 5, 6, 7)
 
 # Seed words of each symbol, in English, German, French and Spanish.
@@ -39,12 +49,14 @@ SEEDS = {
     "h": "kill hurt destroy beat shoot stab strangle töten umbringen verprügeln tuer frapper détruire matar golpear destruir",
     "t": "you your you're youre u he she they them him her this that those these everyone du ihr euch dich dein sie diese tu toi vous ton ils elle cette tú usted ustedes ellos ellas ese esa esta",
     "n": "not no never neither nor isn't aren't wasn't don't doesn't didn't won't without nicht kein keine keinen nie niemals ohne ne pas jamais aucun aucune sans nunca jamás ni sin",
+    "m": "will gonna going shall must should i'll we'll werde werden sollte muss vais vas allons voy vas vamos",
+    "a": "so such very utterly total totally complete completely absolute absolutely real really damn bloody fucking sehr total völlig verdammt très vraiment totalement sacré muy tan totalmente maldito",
     "r": "said says say wrote writes called calls claimed claims quoted quotes reported reportedly according alleged sagte sagt schrieb nannte laut angeblich zitierte dit disait écrit écrivait selon appelé cité dijo dice escribió llamó según citó",
 }
 SEED_WEIGHT = 3.0
-SYMBOLS = "oithnrb"  # other, insult, target, threat, negation, report, clause end
+SYMBOLS = "oithnrbma"  # other, insult, target, harm, negation, report, clause end, intent, intensifier
 #: What a matched insult or threat has become, and its factor in a clause's score.
-FACTORS = {"i": 1.0, "I": 1.5, "j": 0.3, "q": 0.3, "h": 0.2, "H": 1.5, "k": 0.2}
+FACTORS = {"i": 1.0, "x": 1.2, "I": 1.5, "j": 0.3, "q": 0.3, "h": 0.1, "y": 0.5, "H": 1.5, "k": 0.2}
 _PUNCT = "\"'`.,;:!?()[]{}<>*_~…«»„“”‚‘’¿¡-–—|"
 _ENDS = ".,;:!?…|"
 
@@ -94,10 +106,15 @@ def within(trigger: str, reach: int, rewrite: dict[str, str], symbols: str, ends
 
 
 def grammar() -> Transducer:
-    target = within("t", 4, {"i": "I", "h": "H"}, SYMBOLS)
-    negation = within("n", 3, {"i": "j", "I": "j", "h": "k", "H": "k"}, SYMBOLS + "IH")
-    reported = within("r", 8, {"i": "q", "I": "q", "j": "q", "h": "k", "H": "k"}, SYMBOLS + "IHjk")
-    return compose(compose(target, negation, SYMBOLS), reported, SYMBOLS)
+    insult = within("a", 2, {"i": "x"}, SYMBOLS)
+    threat = within("m", 3, {"h": "y"}, SYMBOLS + "x")
+    target = within("t", 4, {"i": "I", "x": "I", "h": "y", "y": "H"}, SYMBOLS + "xy")
+    negation = within("n", 3, {"i": "j", "x": "j", "I": "j", "h": "k", "y": "k", "H": "k"}, SYMBOLS + "xyIH")
+    reported = within("r", 8, {"i": "q", "x": "q", "I": "q", "j": "q", "h": "k", "y": "k", "H": "k"}, SYMBOLS + "xyIHjk")
+    whole = insult
+    for part in (threat, target, negation, reported):
+        whole = compose(whole, part, SYMBOLS)
+    return whole
 
 
 def _compiled(machine: Transducer) -> tuple[int, list[list[tuple[str, int]]]]:
@@ -158,7 +175,7 @@ class _Matcher:
         ends = np.array([w[-1] in _ENDS for w in words], bool)
         loud = np.array([s in "ih" for s, _ in found], bool)
         at = np.flatnonzero(loud[codes]) if len(codes) else np.zeros(0, np.int64)
-        column = {"i": 0, "I": 1, "j": 2, "q": 3, "h": 4, "H": 4, "k": 4}
+        column = {"i": 0, "x": 0, "I": 1, "j": 2, "q": 3, "h": 4, "y": 4, "H": 4, "k": 4}
         for d in np.unique(np.searchsorted(offsets, at, "right") - 1):
             own = codes[offsets[d] : offsets[d + 1]]
             state, clause, heaviest = self.start, 0.0, 0.0
@@ -175,20 +192,20 @@ class _Matcher:
         return np.log1p(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on at most SAMPLE_PER_CLASS labelled texts of each class (those with
-    the smallest hash of their key): two thirds for the lexicon, the rest, with
-    weights for the classes' shares of all labels, for the calibration."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """Fit on at most ``per_class`` labelled texts of each class (those with the
+    smallest hash of their key): one part, with weights for the classes' shares
+    of all labels, for the calibration, the other parts for the lexicon."""
     spark = docs.sparkSession
     known = labels.select(F.col(key).alias("_k"), (F.col(label) > 0).cast("int").alias("_y")).dropna()
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
     for y in sorted(counts):
-        picked += known.where(F.col("_y") == y).distinct().orderBy(F.xxhash64("_k", F.lit(29)), "_k").limit(SAMPLE_PER_CLASS).collect()
+        picked += known.where(F.col("_y") == y).distinct().orderBy(F.xxhash64("_k", F.lit(29)), "_k").limit(per_class).collect()
     if not picked:
         return Model({}, (0.0, 0.0, 0.0, 0.0, 0.0, 2.0, -3.0))
-    # At most 2 * SAMPLE_PER_CLASS rows of a few integers.
-    sample = spark.createDataFrame([(r["_k"], r["_y"], i % 3) for i, r in enumerate(picked)], "_k long, _y int, _part int")
+    # At most 2 * per_class rows of a key and two integers.
+    sample = spark.createDataFrame([(r["_k"], r["_y"], i % PARTS) for i, r in enumerate(picked)], f"_k {labels.schema[key].dataType.simpleString()}, _y int, _part int")
     rows = bounded(docs).select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,17 +235,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), pa.array(seen[1]), pa.array(seen[0])], ["term", "toxic", "clean"])
 
     # Copies of one text, exact or near, are one witness: most share the mark.
-    witnesses = rows.where("_part < 2").select("_y", "text").mapInArrow(marked, "_y int, text string, mark long").dropDuplicates(["_y", "mark"])
+    witnesses = rows.where("_part > 0").select("_y", "text").mapInArrow(marked, "_y int, text string, mark long").dropDuplicates(["_y", "mark"])
     terms = witnesses.mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    of = [sum(1 for i, r in enumerate(picked) if r["_y"] == y and i % 3 < 2) for y in (0, 1)]
+    of = [sum(1 for i, r in enumerate(picked) if r["_y"] == y and i % PARTS) for y in (0, 1)]
     ratio = F.log((F.col("toxic") + 0.5) / (of[1] + 1)) - F.log((F.col("clean") + 0.5) / (of[0] + 1))
     share = of[1] / max(1, sum(of))
     gain = 2 * F.col("toxic") * F.log(F.col("toxic") / ((F.col("toxic") + F.col("clean")) * share)) if share else F.lit(0.0)
     common = terms.where(F.col("toxic") >= MIN_SUPPORT).withColumns({"ratio": ratio, "gain": gain})
     # The more terms there are to choose from, the more support each must have.
-    strong = common.where(F.col("ratio") >= MIN_LOG_RATIO).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()
-    tried = common.count()
-    strong = [r for r in strong if r["gain"] >= 2 * math.log(max(2, tried)) + 6]
+    common = stored(common, "toxic-terms")
+    bar = 2 * math.log(max(2, common.count())) + MIN_GAIN
+    # Terms of the bounded sample only: each toxic text of it supports a few.
+    strong = common.where((F.col("ratio") >= MIN_LOG_RATIO) & (F.col("gain") >= bar)).orderBy("term").collect()
     # A prefix is kept where it reaches clearly more texts than any one term in it.
     reach: dict[str, int] = {}
     for r in strong:
@@ -244,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(matcher.features(batch.column("text")).tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows.where("_part = 2").mapInArrow(measured, "y int, x array<double>").collect()
+    got = rows.where("_part = 0").mapInArrow(measured, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in got], float)
     x = np.array([r["x"] for r in got], float).reshape(len(got), 6)
     per = {k: counts[k] / max(1, (y == k).sum()) for k in counts}

@@ -1,34 +1,34 @@
 """URL filters: editorial host and path rules, and rules mined by FP-growth.
 
 Tokens of labelled URLs are mined for frequent combinations; combinations that
-imply a verdict with enough confidence and support, and more surely than any
-part of them, judge the URLs on which no editorial rule fits. Mined rules are
-matched through an inverted index from token to rules.
+imply a verdict with enough confidence and support judge the URLs on which no
+editorial rule fits, the surest first. Mined rules are matched by a join with an
+inverted index, from each rule's rarest token, and their other tokens checked;
+they stay on Spark, however many there are.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path
-and no tokens; they get the verdict of URLs on which nothing fits, allow;
-repeated rows give repeated rows; no labelled URL or no frequent combination
-gives no mined rule; ties between mined rules go to the first in order.
+and no tokens; they get the verdict of URLs on which nothing fits, allow; URLs of
+any length are read whole; repeated rows give repeated rows; no labelled URL or
+no frequent combination gives no mined rule; ties between mined rules go to the
+first in order; an empty table gives no row; further columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least share of the labelled URLs, least confidence, and longest combination.
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 3
-#: Bound of the mined rules that are sent to the tasks.
-MAX_RULES = 2000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from stepweave.llm.common import stored
 
-MinedRule = tuple[frozenset[str], str, float, float]  # tokens, verdict, confidence, support
+#: Least share of the labelled URLs, and least confidence.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
+SALTS = 8
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -66,64 +66,51 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(scheme, labels, parts, keys, more)))
 
 
-def mine(labelled: DataFrame) -> list[MinedRule]:
+def mine(labelled: DataFrame) -> DataFrame:
     """Rules from rows of ``tokens`` and ``verdict`` (null verdicts are left
-    out), the surest first; a rule goes if a part of it is as sure."""
+    out): all of enough support and confidence, with ``needs``, their tokens, and
+    ``through``, the one of these that the index holds them by."""
     rows = labelled.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0)).select(F.array_append("tokens", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
     if rows.isEmpty():
-        return []
+        return labelled.sparkSession.createDataFrame([], "through string, needs array<string>, said string, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(rows)
-    sure = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=") & (F.size("antecedent") <= MAX_TOKENS))
-    order = [F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")]
-    kept: list[MinedRule] = []
-    by_tokens: dict[frozenset[str], float] = {}
-    for r in sure.orderBy(*order).limit(20 * MAX_RULES).collect():
-        tokens, verdict = frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict=")
-        parts = [by_tokens.get(tokens - {t}, 0.0) for t in tokens] + [by_tokens.get(frozenset({t}), 0.0) for t in tokens if len(tokens) > 1]
-        by_tokens[tokens] = max([r["confidence"], *parts])
-        if all(r["confidence"] > c for c in parts):
-            kept.append((tokens, verdict, r["confidence"], r["support"]))
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0])))[:MAX_RULES]
-
-
-class RuleIndex:
-    """From token to the rules that hold it; a rule matches when all its tokens were met."""
-
-    def __init__(self, rules: list[MinedRule]):
-        self.rules = rules
-        self.index: dict[str, list[int]] = {}
-        for i, (tokens, *_) in enumerate(rules):
-            for t in tokens:
-                self.index.setdefault(t, []).append(i)
-
-    def best(self, tokens: list[str]) -> int | None:
-        met: dict[int, int] = {}
-        for t in set(tokens):
-            for i in self.index.get(t, ()):
-                met[i] = met.get(i, 0) + 1
-        return min((i for i, n in met.items() if n == len(self.rules[i][0])), default=None)
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=")).select(
+        F.array_sort("antecedent").alias("needs"), F.regexp_replace(F.element_at("consequent", 1), "^verdict=", "").alias("said"), "confidence", "support"
+    )
+    # The index holds a rule by its rarest token; frequent single tokens are few.
+    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
+    rarest = rules.select("needs", F.explode("needs").alias("token")).distinct().join(single, "token").groupBy("needs").agg(F.min(F.struct("freq", "token")).alias("least"))
+    return stored(rules.join(rarest, "needs").select(F.col("least.token").alias("through"), "needs", "said", "confidence", "support"), "url-rules")
+
+
+def surest(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each distinct ``tokens`` that a rule matches, what the best rule said
+    and its tokens (``mined``): the surest, then the one of most support, of
+    fewest tokens, and first in order. A rule with a part that is as sure never
+    is the best, so none need be pruned away."""
+    asked = token_sets.where(F.size("tokens") > 0).select("tokens", F.explode("tokens").alias("through"))
+    met = asked.join(rules, "through").where(F.size(F.array_intersect("tokens", "needs")) == F.size("needs"))
+    order = F.struct((-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), F.size("needs").alias("c"), F.array_join("needs", " ").alias("mined"), "said")
+    best = met.groupBy("tokens").agg(F.min(order).alias("best"))
+    return best.select("tokens", "best.said", "best.mined")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """Key, host, path, rule, verdict, and the mined rule that decided, if one did."""
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
+    rows = rows.withColumns({"host": host, "path": path})
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
     said = reduce(lambda rest, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(rest), rules, F.lit(None).cast("string"))
     rows = rows.withColumn("verdict", said).drop("url")
-    index = RuleIndex(mine(rows.select("tokens", "verdict")))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            verdicts, mined = [], []
-            for tokens, verdict in zip(batch.column("tokens").to_pylist(), batch.column("verdict").to_pylist(), strict=True):
-                found = None if verdict else index.best(tokens)
-                verdicts.append(verdict or ("allow" if found is None else index.rules[found][1]))
-                mined.append(None if found is None else " ".join(sorted(index.rules[found][0])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(mined, pa.string())], ["key", "host", "path", "rule", "verdict", "mined"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return rows.mapInArrow(apply, f"key {kind}, host string, path string, rule string, verdict string, mined string").withColumnRenamed("key", key)
+    open_sets = rows.where("verdict is null").select("tokens").distinct()
+    found = surest(open_sets, mine(rows.select("tokens", "verdict")))
+    # Joined over salts: one set of tokens may be that of a large share of the pages.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int"))
+    whole = salted.join(found.select("*", salts), ["tokens", "salt"], "left")
+    open_one = F.col("verdict").isNull()
+    return whole.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("verdict", "said", F.lit("allow")).alias("verdict"), F.when(open_one, F.col("mined")).alias("mined"))
 
 
 def parse_rules(lines: str) -> list[tuple[str, str]]:

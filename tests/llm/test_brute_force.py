@@ -5,14 +5,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from stepweave.llm import bloom_lm, decontamination, jaccard_forest, license_scan, queries, toxicity
+from stepweave.llm import bloom_lm, decontamination, jaccard_forest, license_scan, queries, toxicity, url_rules
 from stepweave.llm.common import read
 from stepweave.llm.sentencepiece_codec import CharacterMap
 
@@ -234,7 +236,77 @@ def test_grammar_rewrites_by_clause():
 
     assert run("toi") == "toI" and run("noi") == "noj" and run("roi") == "roq"
     assert run("tbi") == "tbi" and run("rbi") == "rbi" and run("toooooi") == "toooooi"
-    assert run("th") == "tH" and run("nth") == "ntk"
+    assert run("h") == "h" and run("mh") == "my" and run("tmh") == "tmH" and run("ntmh") == "ntmk" and run("mbh") == "mbh"
+    assert run("ai") == "ax" and run("tai") == "taI" and run("nai") == "naj" and run("rtai") == "rtaq" and run("abi") == "abi"
+
+
+def test_clauses_score_by_their_grammar():
+    """Against a plain reading of each clause."""
+    own = toxicity._Matcher({"zork": 2.0})
+    texts = ["you are such an idiot. nice day", "he is not an idiot", "she said you are a zork", "we will kill you", "i will not hurt you, zork!", "plain words", ""]
+    got = np.expm1(own.features(pa.array(texts)))
+    want = np.zeros((7, 6))
+    want[0, 1] = want[0, 5] = 1.5 * toxicity.SEED_WEIGHT  # aimed at you
+    want[1, 2] = want[1, 5] = 0.3 * toxicity.SEED_WEIGHT  # negated
+    want[2, 3] = want[2, 5] = 0.3 * 2.0  # reported
+    want[3, 4] = want[3, 5] = 0.5 * toxicity.SEED_WEIGHT  # a threat without a target before it
+    want[4, 4] = want[4, 5] = 0.2 * toxicity.SEED_WEIGHT  # negated, in its own clause
+    want[4, 0] = 2.0
+    want[4, 5] = max(want[4, 5], 2.0)
+    assert got == pytest.approx(want)
+
+
+def test_op5_mined_verdicts(spark):
+    """All combinations of tokens of a small table, judged in plain loops."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        host = rng.choice(["a.org", "b.com", "c.net"])
+        rows.append((i, f"http://{host}/{rng.choice(['de', 'fr', 'xx'])}/{rng.choice(['p', 'q'])}{'?k=1' if rng.random() < 0.3 else ''}"))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = url_rules.parse_rules("allow org/ block com/de/ allow com/fr/")
+    got = {r["page_id"]: r for r in url_rules.judge(df, rules).collect()}
+    host, path = url_rules.host_and_path(F.col("url"))
+    kinds = {r["page_id"]: frozenset(r["t"]) for r in df.select("page_id", url_rules.url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    known = {i: r["verdict"] for i, r in got.items() if r["rule"]}
+    count, said = Counter(), Counter()
+    for i, v in known.items():
+        for n in range(1, len(kinds[i]) + 1):
+            for c in combinations(sorted(kinds[i]), n):
+                count[c] += 1
+                said[c, v] += 1
+    mined = {(c, v): (k / count[c], k / len(known)) for (c, v), k in said.items() if k / len(known) >= url_rules.MIN_SUPPORT and k / count[c] >= url_rules.MIN_CONFIDENCE}
+    decided = 0
+    for i, r in got.items():
+        if not r["rule"]:
+            fit = [(-a, -b, len(c), " ".join(c), v) for (c, v), (a, b) in mined.items() if set(c) <= kinds[i]]
+            assert (r["verdict"], r["mined"]) == ((min(fit)[4], min(fit)[3]) if fit else ("allow", None))
+            decided += bool(fit)
+    assert decided
+
+
+def test_op6_many_matches_and_labels():
+    plain = " under the mit license cc by nc sa gnu gpl " * 3000
+    row = license_scan.scan(plain)
+    assert row[:4] == (30_000, 6000, 0, 29_994)
+    assert row[5] == "cc-by-nc,cc-by-nc-sa,gpl,mit" and 0.99 < row[6] <= 1
+    # A longer phrase takes the place of those inside it; base labels stay.
+    assert license_scan.scan("gnu general public license version 3")[5] == "gpl-3"
+    assert license_scan.scan("the mit license and cc by")[4:6] == ("", "cc-by,mit")
+
+
+def test_op9_spans_are_the_librarys():
+    import public_tokenizers
+
+    from stepweave.llm.sentencepiece_codec import codec
+
+    own = codec(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet'").fetchall()] + ["", " ", "  a  b ", "漢字 \U0001f600 \x00 z", "<s> <0x41> ▁x"]
+    ids, bounds = own.encode(texts)
+    assert ids == own.model.encode(texts)
+    for proto, i, b, text in zip(own.model.encode(texts, return_type="proto"), ids, bounds, texts, strict=True):
+        assert b[-1:].tolist() == [len(text.encode())] or not text
+        assert all(p.begin == x for p, k, x in zip(proto.pieces, i, b, strict=False) if not own.is_byte[k])
 
 
 def test_op8_base(spark, texts):

@@ -19,6 +19,8 @@ def test_classifiers(odd, none, labels, module, label):
         assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
         assert len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1
     assert module.score(none, module.fit(none, labels, label)).count() == 0
+    named = [t.withColumn("doc_id", t["doc_id"].cast("string")) for t in (odd, labels)]
+    assert module.score(named[0], module.fit(*named, label)).count() == 10
 
 
 def test_filters_keep_columns(odd, none, labels, spark):
@@ -37,10 +39,10 @@ def test_filters_keep_columns(odd, none, labels, spark):
 
 def test_rules(odd, none, labels):
     assert decision_rules.learn(odd, labels.where("false")) == []
-    rows = {r["doc_id"]: r for r in decision_rules.judge(odd.select("doc_id", "text"), []).collect()}
+    rows = {r["doc_id"]: r for r in decision_rules.judge(odd, []).collect()}
     for key in (3, 4, 5):
         assert (rows[key]["n_words"], rows[key]["word_chars"], rows[key]["n_repeat_words"], rows[key]["kept"]) == (0, 0, 0, False)
-    assert decision_rules.judge(none.select("doc_id", "text"), []).count() == 0
+    assert decision_rules.judge(none, []).count() == 0
 
 
 def test_codec(odd, none):
