@@ -37,11 +37,11 @@ def scope(cross: Column, repo_files: Column, within_file: Column) -> Column:
 
 
 def has_quote_pair(texts: Column) -> Column:
-    return F.exists(texts, lambda t: t.rlike(_CUE))
+    return F.coalesce(F.exists(texts, lambda t: t.rlike(_CUE)), F.lit(False))
 
 
 def has_placeholder(texts: Column) -> Column:
-    return F.exists(texts, lambda t: t.rlike(_PLACEHOLDER))
+    return F.coalesce(F.exists(texts, lambda t: t.rlike(_PLACEHOLDER)), F.lit(False))
 
 
 def guarded_ratio(a: Column, b: Column) -> Column:

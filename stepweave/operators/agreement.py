@@ -154,3 +154,17 @@ def between_judges(verdicts: DataFrame, models: int, failures: Sequence[str]) ->
     full = fleiss_kappa(valid.select("item", F.col("verdict").alias("label")), models).withColumnRenamed("kappa", "kappa_all")
     yes = valid.select("item", F.when(F.col("verdict") == "yes", "yes").otherwise("not-yes").alias("label"))
     return full.join(F.broadcast(fleiss_kappa(yes, models).select(F.col("kappa").alias("kappa_binary"))))  # one row each
+
+
+def by_fold(rows: DataFrame) -> DataFrame:
+    """Accuracy and macro F1 (over the classes that are actual or predicted) of
+    each fold and of all rows (fold null), from (fold, actual, predicted)."""
+    both = F.explode(F.array(F.col("fold"), F.lit(None).cast("int"))).alias("fold")
+    counts = rows.select(both, "actual", "predicted").groupBy("fold", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.col("actual") == F.col("predicted")
+    # A row counts for its actual class and for its predicted one.
+    ends = counts.select("fold", "n", hit.alias("hit"), F.explode(F.array("actual", "predicted")).alias("label"))
+    per = ends.groupBy("fold", "label").agg((F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n")).alias("f1"))
+    macro = per.groupBy("fold").agg(F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
+    whole = counts.groupBy("fold").agg(F.sum("n").alias("n"), (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    return whole.join(macro, whole["fold"].eqNullSafe(macro["fold"])).drop(macro["fold"])

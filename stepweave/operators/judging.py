@@ -51,16 +51,60 @@ def ask(prompts: DataFrame, client: Callable[[str], str], attempts: int = 6, wai
     return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("content", T.StringType())]))
 
 
-def _field(json: Column, *names: str) -> Column:
-    return F.coalesce(*[F.get_json_object(json, f"$.{n}") for n in names])
+# Names under which services answer, and the categories.
+_SAID = ("extraction_worthy", "label_extraction_worthy", "label_a")
+_BY = ("mechanism", "label_mechanism", "label_b")
+_WHY = ("notes", "rationale", "reason")
+VERDICTS = ("yes", "no", "uncertain", "flagged-spec")
+MECHANISM_NAMES = ("background", "reusable_scenario", "shared_higher_level_step", "unsure", "n/a")
+_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+
+
+def _is_object(text: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def _answer(content: Column) -> Column:
+    """The JSON object of an answer: all of it, without a fence around it, or
+    else the first object in it that has an extraction field; null if none."""
+    plain = F.trim(content)
+    plain = F.when(plain.startswith("```"), F.regexp_replace(F.regexp_replace(plain, r"^```[A-Za-z]*\s*", ""), r"\s*```\s*$", "")).otherwise(plain)
+    named = lambda t: F.get_json_object(t, "$.extraction_worthy").isNotNull() | F.get_json_object(t, "$.label_extraction_worthy").isNotNull()
+    inside = F.filter(F.regexp_extract_all(plain, F.lit(_OBJECT), 0), lambda t: _is_object(t) & named(t))
+    return F.when(_is_object(plain), plain).otherwise(F.get(inside, 0))
+
+
+def _field(json: Column, names: Sequence[str]) -> Column:
+    """The first of the fields that is neither null nor empty, false nor 0."""
+    values = [F.get_json_object(json, f"$.{n}") for n in names]
+    return F.coalesce(*[F.when(~v.isin("", "false", "0"), v) for v in values], F.lit(""))
 
 
 def verdict(content: Column) -> Column:
     """The normalised extraction verdict: yes, no, uncertain or flagged-spec;
     PARSE_FAIL where none is found, API_FAIL where there was no answer."""
-    plain = F.regexp_replace(content, "```[A-Za-z]*", "")
-    json = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
-    said = F.lower(F.trim(F.coalesce(_field(json, "extraction_worthy", "label_extraction_worthy", "label_a"), F.lit(""))))
-    said = F.regexp_replace(said, "[ _]+", "-")
-    known = F.when(said.startswith("flag"), "flagged-spec").when(said.startswith("yes") | (said == "true"), "yes").when(said.startswith("no") | (said == "false"), "no").when(said.startswith("uncertain") | said.startswith("unsure"), "uncertain")
-    return F.when(content.isNull(), "API_FAIL").otherwise(F.coalesce(known, F.lit("PARSE_FAIL")))
+    json = _answer(content)
+    said = F.replace(F.lower(F.trim(_field(json, _SAID))), F.lit(" "), F.lit("-"))
+    near = F.when(said.contains("flag") & said.contains("spec"), "flagged-spec").when(said.startswith("y"), "yes").when(said.startswith("n") & ~said.contains("n/a"), "no").when(said.contains("uncert"), "uncertain").otherwise("PARSE_FAIL")
+    return F.when(content.isNull(), "API_FAIL").when(json.isNull(), "PARSE_FAIL").when(said.isin(*VERDICTS), said).otherwise(near)
+
+
+def mechanism(content: Column) -> Column:
+    """The normalised mechanism of an answer, or what failed."""
+    json = _answer(content)
+    said = F.replace(F.lower(F.trim(_field(json, _BY))), F.lit(" "), F.lit("_"))
+    near = (
+        F.when(said.contains("background"), "background")
+        .when(said.contains("reusable"), "reusable_scenario")
+        .when(said.contains("shared") | said.contains("higher"), "shared_higher_level_step")
+        .when(said.isin("na", "none", ""), "n/a")
+        .when(said.contains("unsure"), "unsure")
+        .otherwise("PARSE_FAIL")
+    )
+    return F.when(content.isNull(), "API_FAIL").when(json.isNull(), "PARSE_FAIL").when(said.isin(*MECHANISM_NAMES), said).otherwise(near)
+
+
+def notes(content: Column, longest: int = 300, raw: int = 200) -> Column:
+    """The reason that an answer gives, or the start of one that can't be read."""
+    json = _answer(content)
+    return F.when(json.isNull(), F.substring(F.trim(F.coalesce(content, F.lit(""))), 1, raw)).otherwise(F.substring(_field(json, _WHY), 1, longest))

@@ -2,42 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ["L", "support_total", "n_distinct_repos", "n_distinct_orgs", "n_distinct_files", "max_within_file_recurrence", "max_within_repo_files", "files_per_repo", "scenarios_per_file", "support_per_scenario", "has_template"]
+from stepweave.operators import sampling
+
+#: What the classifiers read of a pattern.
+FEATURES = "L support_total n_distinct_repos n_distinct_orgs n_distinct_files max_within_file_recurrence max_within_repo_files outlier_fraction has_template scope_RQ1 scope_RQ2 scope_RQ3 ratio_within_file ratio_within_repo ratio_orgs".split()
+#: Boosting rounds and depth of a tree; the classes in order.
+ROUNDS, DEPTH = 200, 4
+ROWS_PER_TASK = 50_000
+T = TypeVar("T")
+MECHANISMS = ["background", "reusable_scenario", "shared_higher_level_step"]
 
 
 def _vector(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
 
-def out_of_fold(rows: DataFrame, folds: int = 5, trees: int = 20, depth: int = 4, key: str = "pattern", label: str = "label", seed: int = 42) -> DataFrame:
+def _booster(label: str, rounds: int, depth: int, seed: int) -> Pipeline:
+    booster = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)
+    return Pipeline(stages=[_vector(FEATURES), booster])
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Labelled rows in as few partitions as their number calls for: boosting
+    runs many small jobs, one after the other."""
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
+
+
+def _each_fold(fit: Callable[[int], T], folds: Sequence[int]) -> list[T]:
+    """The folds' models, fitted side by side."""
+    with ThreadPoolExecutor(max(1, len(folds))) as pool:
+        return list(pool.map(fit, folds))
+
+
+def out_of_fold(rows: DataFrame, folds: int = 5, rounds: int = ROUNDS, depth: int = DEPTH, key: str = "pattern", label: str = "label", seed: int = 42) -> DataFrame:
     """Each row's probability of label 1 from boosted trees fitted on the other
-    folds; folds follow from the key's hash."""
-    cut = rows.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int"))
+    folds, over which the labels are spread evenly."""
+    cut = sampling.folds(rows, label, key, folds, seed)
+    made = _each_fold(lambda k: _booster(label, rounds, depth, seed).fit(_packed(cut.where(F.col("fold") != k))), range(folds))
     out = None
-    for k in range(folds):
-        booster = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-        model = Pipeline(stages=[_vector(FEATURES), booster]).fit(cut.where(F.col("fold") != k))
+    for k, model in enumerate(made):
         scored = model.transform(cut.where(F.col("fold") == k))
         part = scored.select(key, label, "fold", F.element_at(vector_to_array("probability"), 2).alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def mechanism_predictions(rows: DataFrame, label: str = "mechanism_rule", trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
-    """Multi-class predictions; Spark's boosted trees are binary, so these are
-    random forests of the same depth."""
-    index = StringIndexer(inputCol=label, outputCol="_label").fit(rows)
+def mechanism_predictions(rows: DataFrame, label: str = "mechanism_rule", key: str = "pattern", folds: int = 5, trees: int = ROUNDS, depth: int = DEPTH, seed: int = 42) -> DataFrame:
+    """Multi-class predictions out of fold, the classes in fixed order; Spark's
+    boosted trees are binary, so these are random forests of as many trees."""
+    index = F.array_position(F.array(*map(F.lit, MECHANISMS)), F.col(label)) - 1
+    cut = sampling.folds(rows, label, key, folds, seed).withColumn("_label", index.cast("double"))
     forest = RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed)
-    scored = Pipeline(stages=[_vector(FEATURES), forest]).fit(index.transform(rows)).transform(index.transform(rows))
-    return scored.withColumn("mechanism", F.element_at(F.array(*map(F.lit, index.labels)), F.col("prediction").cast("int") + 1)).drop("features", "rawPrediction", "probability", "prediction", "_label")
+    made = _each_fold(lambda k: Pipeline(stages=[_vector(FEATURES), forest]).fit(_packed(cut.where(F.col("fold") != k))), range(folds))
+    out = None
+    for k, model in enumerate(made):
+        scored = model.transform(cut.where(F.col("fold") == k))
+        out = scored if out is None else out.unionByName(scored)
+    named = out.withColumn("mechanism", F.element_at(F.array(*map(F.lit, MECHANISMS)), F.col("prediction").cast("int") + 1))
+    return named.drop("features", "rawPrediction", "probability", "prediction", "_label")
 
 
 def reduced_clusters(vectors: DataFrame, components: int = 50, clusters: int = 10, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
@@ -49,23 +83,20 @@ def reduced_clusters(vectors: DataFrame, components: int = 50, clusters: int = 1
     return model.transform(rows).select(key, "cluster_id")
 
 
-def feature_importance(rows: DataFrame, trees: int = 20, depth: int = 4, label: str = "label", seed: int = 42) -> DataFrame:
+def feature_importance(rows: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, label: str = "label", seed: int = 42) -> DataFrame:
     """Importance of each feature, averaged over models that each leave out one
-    fold (column ``fold``); features of importance 0 are left out."""
+    fold (column ``fold``)."""
     names = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # one row per fold
+    made = _each_fold(lambda k: _booster(label, rounds, depth, seed).fit(_packed(rows.where(F.col("fold") != k))), names)
     sums = [0.0] * len(FEATURES)
-    for k in names:
-        booster = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-        model = Pipeline(stages=[_vector(FEATURES), booster]).fit(rows.where(F.col("fold") != k))
+    for model in made:
         sums = [a + b for a, b in zip(sums, model.stages[-1].featureImportances.toArray().tolist(), strict=True)]
-    found = [(f, v / len(names)) for f, v in zip(FEATURES, sums, strict=True) if v > 0]
+    found = [(f, v / max(1, len(names))) for f, v in zip(FEATURES, sums, strict=True)]
     return rows.sparkSession.createDataFrame(found, "feature string, importance double")
 
 
-def scored(labelled: DataFrame, population: DataFrame, trees: int = 20, depth: int = 4, label: str = "label", seed: int = 42) -> DataFrame:
+def scored(labelled: DataFrame, population: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, label: str = "label", seed: int = 42) -> DataFrame:
     """``population`` with the probability of label 1 by boosted trees that are
     fitted on all labelled rows, and the prediction at 0.5."""
-    booster = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-    model = Pipeline(stages=[_vector(FEATURES), booster]).fit(labelled)
-    rows = model.transform(population).withColumn("p", F.element_at(vector_to_array("probability"), 2))
+    rows = _booster(label, rounds, depth, seed).fit(_packed(labelled)).transform(population).withColumn("p", F.element_at(vector_to_array("probability"), 2))
     return rows.withColumn("pred", (F.col("p") >= 0.5).cast("int")).drop("features", "rawPrediction", "probability", "prediction")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from stepweave.functions.columns import guarded_ratio, has_placeholder, mechanism_of, scope
+from stepweave.functions.columns import MECHANISMS, guarded_ratio, has_placeholder, mechanism_of, scope
 
 FILE = ("repo_slug", "file_path")
 
@@ -37,13 +37,17 @@ def with_scopes(ranked: DataFrame) -> DataFrame:
 
 
 def candidate_features(ranked: DataFrame) -> DataFrame:
+    """``ranked`` (with outlier_fraction) and what a classifier reads beside its
+    counts: the scope one-hot, the template flag, and three ratios."""
     c = F.col
+    one_hot = {f"scope_{s}": (c("scope_repo") == s).cast("int") for s in ("RQ1", "RQ2", "RQ3")}
     return with_scopes(ranked).withColumns(
-        {
-            "files_per_repo": guarded_ratio(c("n_distinct_files"), c("n_distinct_repos")),
-            "scenarios_per_file": guarded_ratio(c("n_distinct_scenarios"), c("n_distinct_files")),
-            "support_per_scenario": guarded_ratio(c("support_total"), c("n_distinct_scenarios")),
+        one_hot
+        | {
             "has_template": c("has_template_structure").cast("int"),
+            "ratio_within_file": guarded_ratio(c("max_within_file_recurrence"), c("support_total")),
+            "ratio_within_repo": guarded_ratio(c("max_within_repo_files"), c("support_total")),
+            "ratio_orgs": guarded_ratio(c("n_distinct_orgs"), c("n_distinct_repos")),
         }
     )
 
@@ -61,7 +65,8 @@ RULES = ("templated_outline", "single_cluster", "single_scenario", "overlap_domi
 
 
 def qa_flags(candidates: DataFrame, mechanism: Column | None = None) -> DataFrame:
-    """The six rules, the first that fails, and the quality score."""
+    """The six rules, the first that fails, and the quality score. A mechanism
+    that is shared between owners is a mismatch with fewer than two of them."""
     rule = mechanism_of(F.col("scope_org"))
     open_ones = non_closed(candidates).distinct().withColumn("hit", F.lit(True))
     ratio = guarded_ratio(F.col("n_distinct_scenarios"), F.col("support_total"))
@@ -71,12 +76,12 @@ def qa_flags(candidates: DataFrame, mechanism: Column | None = None) -> DataFram
         "single_cluster": F.size(F.array_distinct(F.split("pattern", ","))) == 1,
         "single_scenario": F.col("n_distinct_scenarios") <= 1,
         "overlap_dominated": F.col("scen_ratio") < 0.20,
-        "mechanism_mismatch": F.col("mechanism") != F.col("mechanism_rule"),
+        "mechanism_mismatch": F.coalesce((F.col("mechanism") == MECHANISMS["RQ3"]) & (F.col("n_distinct_orgs") < 2), F.lit(False)),
         "non_closed": F.coalesce("hit", F.lit(False)),
     }
     rows = rows.withColumns(flags).drop("hit")
     reason = reduce(lambda rest, r: F.when(F.col(r), F.lit(r)).otherwise(rest), reversed(RULES), F.lit("kept"))
-    score = F.col("n_distinct_scenarios") * F.sqrt("support_total") * F.when(F.col("scope_org") == "RQ3", F.col("n_distinct_orgs")).otherwise(1)
+    score = F.col("n_distinct_scenarios") * F.sqrt("support_total") * F.when(F.col("mechanism") == MECHANISMS["RQ3"], F.greatest("n_distinct_orgs", F.lit(1))).otherwise(1)
     return rows.withColumns({"rejection_reason": reason, "quality_score": score})
 
 
@@ -103,10 +108,12 @@ def call_sites(slice_rows: DataFrame, wanted: DataFrame, n: int = 3) -> DataFram
     return rows.where(F.col("site") <= n).select("pattern", "site", "repo_slug", "file_path", "scenario", "position_start")
 
 
-def call_site_lists(sites: DataFrame) -> DataFrame:
-    """Per pattern the list of its (bounded) call sites, and their repositories."""
+def call_site_lists(sites: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Per pattern the list of its (bounded) call sites, and the number of
+    repositories of all its occurrences, which ``ranked`` has."""
     place = F.struct("site", "repo_slug", "file_path", "scenario", "position_start")
-    rows = sites.groupBy("pattern").agg(F.array_sort(F.collect_list(place)).alias("sites"), F.countDistinct("repo_slug").alias("n_site_repos"))
+    rows = sites.groupBy("pattern").agg(F.array_sort(F.collect_list(place)).alias("sites"))
+    rows = rows.join(ranked.select("pattern", F.col("n_distinct_repos").alias("n_site_repos")), "pattern")
     return rows.select("pattern", "sites", "n_site_repos", F.size("sites").alias("n_sites"))
 
 

@@ -55,7 +55,7 @@ def ranking(slice_rows: DataFrame, min_support: int = 2) -> DataFrame:
 
 def length_profile(lengths: DataFrame) -> DataFrame:
     """Exact statistics of a column ``n``."""
-    marks = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    marks = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
     return lengths.agg(
         F.count(F.lit(1)).alias("scenarios"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.avg("n").alias("mean_n"), *[F.percentile("n", v).alias(k) for k, v in marks.items()], F.ceil(F.percentile("n", 0.95)).cast("long").alias("recommended_l_max")
     )

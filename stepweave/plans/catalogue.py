@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, has_placeholder, mechanism_of
 from stepweave.operators import agreement, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
-from stepweave.sources.tables import Catalog, event_steps, lineitem_steps
+from stepweave.sources.tables import Catalog, cut, event_steps, lineitem_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,7 +62,7 @@ def scenario_length_histogram(spark, d):
 @query(
     oracle.over(
         "li",
-        "SELECT count(*) AS scenarios, min(n) AS min_n, max(n) AS max_n, avg(n) AS mean_n, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, CAST(ceil(quantile_cont(n, 0.95)) AS BIGINT) AS recommended_l_max FROM scen",
+        "SELECT count(*) AS scenarios, min(n) AS min_n, max(n) AS max_n, avg(n) AS mean_n, quantile_cont(n, 0.01) AS p1, quantile_cont(n, 0.05) AS p5, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, quantile_cont(n, 0.999) AS p999, CAST(ceil(quantile_cont(n, 0.95)) AS BIGINT) AS recommended_l_max FROM scen",
     )
 )
 def scenario_length_percentiles(spark, d):
@@ -151,8 +151,8 @@ def spec_suite_files_low(spark, d):
     return _suites(spark, d, 40, 5, 0.9)
 
 
-def _outliers(spark, d) -> DataFrame:
-    rows = _slices(spark, d)
+def _outliers(spark, d, kind: str = "li") -> DataFrame:
+    rows = _slices(spark, d, kind)
     ranked = sequences.ranking(rows)
     return patterns.outlier_fraction(rows, ranked, patterns.spec_suite_files(rows, ranked))
 
@@ -175,11 +175,12 @@ def scopes_and_buckets(spark, d):
 @query(
     oracle.over(
         "li",
-        "SELECT pattern, scope_org, n_distinct_files / CAST(greatest(n_distinct_repos, 1) AS DOUBLE) AS files_per_repo, n_distinct_scenarios / CAST(greatest(n_distinct_files, 1) AS DOUBLE) AS scenarios_per_file, support_total / CAST(greatest(n_distinct_scenarios, 1) AS DOUBLE) AS support_per_scenario, CAST(has_template_structure AS INTEGER) AS has_template FROM ranked",
+        "SELECT pattern, " + ", ".join(oracle.FEATURES) + " FROM ranked JOIN outliers USING (pattern)",
+        oracle.suite(50, 100, 0.30),
     )
 )
 def candidate_features(spark, d):
-    return patterns.candidate_features(_ranked(spark, d)).select("pattern", "scope_org", "files_per_repo", "scenarios_per_file", "support_per_scenario", "has_template")
+    return patterns.candidate_features(_outliers(spark, d)).select("pattern", *models.FEATURES)
 
 
 def _prevalence(name: str, level: tuple[str, ...], gate: str = "true", kind: str = "li") -> None:
@@ -212,17 +213,22 @@ def outlier_report(spark, d):
     return _suites(spark, d).where("is_spec_suite").groupBy("repo_slug").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "repo_slug").limit(10)
 
 
+def _qa(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
+    """Flags under a mechanism told by repositories, while scopes count owners."""
+    return patterns.qa_flags(_candidates(spark, d, kind), mechanism_of(F.col("scope_repo")))
+
+
 _QA_COLUMNS = ["pattern", "mechanism", *patterns.RULES, "rejection_reason", "scen_ratio", "quality_score"]
 
 
 @query(oracle.qa("li", f"SELECT {', '.join(_QA_COLUMNS)} FROM qa"))
 def qa_flags(spark, d):
-    return patterns.qa_flags(_candidates(spark, d)).select(*_QA_COLUMNS)
+    return _qa(spark, d).select(*_QA_COLUMNS)
 
 
 @query(oracle.qa("ev2", "SELECT rejection_reason, scope_org, count(*) AS patterns FROM qa GROUP BY ALL"))
 def qa_by_scope_events(spark, d):
-    return patterns.qa_flags(_candidates(spark, d, "ev2")).groupBy("rejection_reason", "scope_org").agg(F.count(F.lit(1)).alias("patterns"))
+    return _qa(spark, d, "ev2").groupBy("rejection_reason", "scope_org").agg(F.count(F.lit(1)).alias("patterns"))
 
 
 @query(oracle.qa("li", "SELECT pattern FROM opened"))
@@ -237,12 +243,12 @@ def closed_patterns(spark, d):
     )
 )
 def qa_funnel(spark, d):
-    return patterns.funnel(patterns.qa_flags(_candidates(spark, d)))
+    return patterns.funnel(_qa(spark, d))
 
 
 @query(oracle.qa("li", "SELECT mechanism, pattern, quality_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mechanism ORDER BY quality_score DESC, support_total DESC, pattern) AS rank FROM qa WHERE rejection_reason = 'kept') WHERE rank <= 500"))
 def quality_topn(spark, d):
-    kept = patterns.qa_flags(_candidates(spark, d)).where("rejection_reason = 'kept'")
+    kept = _qa(spark, d).where("rejection_reason = 'kept'")
     return patterns.top_per_mechanism(kept).select("mechanism", "pattern", "quality_score", "rank")
 
 
@@ -258,7 +264,7 @@ def call_sites(spark, d):
 
 @query(oracle.qa("li", "SELECT repo_slug, count(DISTINCT pattern) AS patterns FROM slices WHERE pattern IN (SELECT pattern FROM qa WHERE rejection_reason = 'kept') GROUP BY 1 ORDER BY patterns DESC, repo_slug LIMIT 10"))
 def top_repos(spark, d):
-    kept = patterns.qa_flags(_candidates(spark, d)).where("rejection_reason = 'kept'")
+    kept = _qa(spark, d).where("rejection_reason = 'kept'")
     held = _slices(spark, d).select("pattern", "repo_slug").distinct().join(kept.select("pattern"), "pattern", "left_semi")
     return held.groupBy("repo_slug").agg(F.count(F.lit(1)).alias("patterns")).orderBy(F.desc("patterns"), "repo_slug").limit(10)
 
@@ -359,20 +365,49 @@ def bootstrap_ci(spark, d):
     return sampling.bootstrap_f1(_pairs(spark, d).select(F.col("doc_id").alias("key"), "actual", "predicted"))
 
 
+#: Boosting rounds of the registered queries; the operators' own default is 200. Spark
+#: runs a round as several jobs one after the other, so more rounds only take longer.
+ROUNDS = 20
+
+
+def _verdicts(spark, d) -> DataFrame:
+    """Labels of patterns, which the tables don't have: those of the document
+    that a pattern's hash names, and a tie for every eleventh. They know nothing
+    of the features."""
+    rows = Catalog(spark, (d,)).table("labels", ["doc_id", "quality", "toxic"])
+    said = F.when(F.col("doc_id") % 11 == 0, "tie").when(F.col("toxic") == 1, "flagged-spec").when(F.col("quality") == 1, "yes").when(F.col("doc_id") % 3 == 0, "uncertain").otherwise("no")
+    return rows.select(F.col("doc_id").alias("slot"), said.alias("verdict"))
+
+
 def _labelled(spark, d) -> DataFrame:
-    gate = (F.col("support_total") >= 20) & ~F.col("has_template_structure")
-    return patterns.candidate_features(_candidates(spark, d, "ev")).withColumn("label", gate.cast("int"))
+    """Candidates with features and a label: 1 for yes, 0 for no, uncertain and
+    flagged-spec; ties and patterns without a verdict are left out."""
+    rows = patterns.candidate_features(_outliers(spark, d, "ev")).where("scope_repo <> 'noscope'")
+    rows = rows.withColumn("slot", F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("long") % 500)
+    return rows.join(_verdicts(spark, d), "slot").where("verdict <> 'tie'").withColumn("label", (F.col("verdict") == "yes").cast("int")).drop("slot")
+
+
+@query(oracle.over("ev", "SELECT pattern, verdict, label FROM labelled", oracle.suite(50, 100, 0.30) + oracle.LABELLED))
+def classifier_targets(spark, d):
+    return _labelled(spark, d).select("pattern", "verdict", "label")
 
 
 @query()
 def gbt_predictions(spark, d):
-    return models.out_of_fold(_labelled(spark, d).cache()).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    return models.out_of_fold(cut(_labelled(spark, d)), rounds=ROUNDS).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
 
 
 @query()
 def mechanism_predictions(spark, d):
-    rows = _labelled(spark, d).withColumn("mechanism_rule", mechanism_of(F.col("scope_org")))
-    return models.mechanism_predictions(rows.cache()).select("pattern", "scope_org", "mechanism", "mechanism_rule")
+    rows = cut(patterns.candidate_features(_outliers(spark, d, "ev")).where("scope_org <> 'noscope'").withColumn("mechanism_rule", mechanism_of(F.col("scope_org"))))
+    return models.mechanism_predictions(rows).select("pattern", "scope_org", "fold", "mechanism", "mechanism_rule")
+
+
+@query()
+def mechanism_metrics(spark, d):
+    """Accuracy and macro F1 of the predictions out of fold, of each fold and of all."""
+    rows = cut(mechanism_predictions(spark, d).select("fold", F.col("mechanism_rule").alias("actual"), F.col("mechanism").alias("predicted")))
+    return agreement.by_fold(rows)
 
 
 @query(_PAIRS + "SELECT 'all yes' AS rule, tp, fp, fn, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM (SELECT count_if(actual = 1) AS tp, count_if(actual = 0) AS fp, 0 AS fn FROM pairs) UNION ALL SELECT 'not toxic', tp, fp, fn, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) FROM (SELECT count_if(actual = 1 AND toxic = 0) AS tp, count_if(actual = 0 AND toxic = 0) AS fp, count_if(actual = 1 AND toxic = 1) AS fn FROM pairs)")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, mechanism_of
 from stepweave.operators import agreement, judging, models, patterns, sampling, sequences
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _PAIRS, _base, _candidates, _case, _labelled, _pairs, _ranked, _slices, query
+from stepweave.plans.catalogue import _PAIRS, ROUNDS, _base, _candidates, _case, _labelled, _outliers, _pairs, _ranked, _slices, query
+from stepweave.sources.tables import cut
 
 _CELLS = ["l_bucket", "scope_repo", "support_bucket"]
 _QUOTAS = {"real_signal": 180, "spec_dominated": 20}
@@ -74,23 +75,24 @@ def _pilot_sql(name: str, where: str, measures: list[str], n: int, apart: bool)
 
 @query(oracle.over("li", " UNION ALL ".join(_pilot_sql(*q) for q in sampling.PILOT), _POOL))
 def pilot_pick(spark, d):
-    return sampling.pilot(_pool(spark, d)[0].cache()).select("quota", "pattern")  # 200 rows, read once per quota
+    return sampling.pilot(cut(_pool(spark, d)[0])).select("quota", "pattern")  # 200 rows, read once per quota
 
 
-@query(oracle.over("ev", "SELECT pattern, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || pattern), pattern) - 1) % 5 AS INTEGER) AS fold FROM (SELECT *, CAST(support_total >= 20 AND NOT has_template_structure AS INTEGER) AS label FROM ranked WHERE scope_org <> 'noscope')"))
+@query(oracle.over("ev", "SELECT pattern, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || pattern), pattern) - 1) % 5 AS INTEGER) AS fold FROM labelled", oracle.suite(50, 100, 0.30) + oracle.LABELLED))
 def stratified_folds(spark, d):
     return sampling.folds(_labelled(spark, d)).select("pattern", "label", "fold")
 
 
 @query()
 def feature_importances(spark, d):
-    return models.feature_importance(sampling.folds(_labelled(spark, d)).cache())
+    return models.feature_importance(cut(sampling.folds(_labelled(spark, d))), rounds=ROUNDS)
 
 
 @query()
 def population_scores(spark, d):
-    rows = _labelled(spark, d).cache()
-    return models.scored(rows.where(F.pmod(F.xxhash64("pattern"), F.lit(2)) == 0), rows).select("pattern", "label", "p", "pred")
+    """All candidates, scored by a model of the labelled ones."""
+    every = patterns.candidate_features(_outliers(spark, d, "ev")).where("scope_repo <> 'noscope'")
+    return models.scored(cut(_labelled(spark, d)), every, rounds=ROUNDS).select("pattern", "p", "pred")
 
 
 # Three raters of documents: (rater, label) by the same rules in both engines.
@@ -209,22 +211,51 @@ def judge_interrater(spark, d):
     return rows.withColumns({c: F.round(c, 9) for c in ("kappa_all", "kappa_binary")})
 
 
-# Answers of a service as it words them, and what they mean.
-_ANSWERS = {
-    0: ('```json\n{"extraction_worthy": "Yes", "mechanism": "background"}\n```', "yes"),
-    1: ('I think {"label_a": "Flagged Spec"} fits', "flagged-spec"),
-    2: ('{"label_extraction_worthy": "no"}', "no"),
-    3: ("no JSON here", "PARSE_FAIL"),
-    4: (None, "API_FAIL"),
-    5: ('{"extraction_worthy": "unsure"}', "uncertain"),
-}
-
-
-@query("SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in _ANSWERS.items()) + " END AS verdict FROM documents")
+# Answers of a service as it words them.
+_ANSWERS = [
+    '```json\n{"extraction_worthy": "Yes", "mechanism": "background", "notes": "fine"}\n```',
+    'I think {"label_extraction_worthy": "Flagged Spec", "label_b": "Reusable thing"} fits, not {"a": 1}',
+    '{"label_extraction_worthy": "no", "reason": "short"}',
+    "no JSON here",
+    None,
+    '{"extraction_worthy": "unsure"}',
+    '{"extraction_worthy": "y", "mechanism": "higher level"}',
+    '{"extraction_worthy": true}',
+    '{"extraction_worthy": "it is flagged as spec", "mechanism": "none"}',
+    '{"extraction_worthy": "", "label_a": "no", "label_mechanism": "unsure yet"}',
+    'first {"other": 1} then {"extraction_worthy": "N/A"}',
+    "",
+]
+_TEXTS = ", ".join(f"({i}, {'NULL' if a is None else chr(39) + a.replace(chr(39), chr(39) * 2) + chr(39)})" for i, a in enumerate(_ANSWERS))
+
+
+def _pick(*names: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN json_extract_string(j, '$.{n}') NOT IN ('', 'false', '0') THEN json_extract_string(j, '$.{n}') END" for n in names) + ", '')"
+
+
+_PARSED = f"""
+WITH answers(k, content) AS (VALUES {_TEXTS}),
+bare AS (SELECT k, content, CASE WHEN trim(content) LIKE '```%' THEN regexp_replace(regexp_replace(trim(content), '^```[a-zA-Z]*\\s*', ''), '\\s*```\\s*$', '') ELSE trim(content) END AS s FROM answers),
+found AS (
+  SELECT k, content, CASE WHEN json_valid(s) AND json_type(s) = 'OBJECT' THEN s
+    ELSE list_filter(regexp_extract_all(s, '\\{{[^{{}}]*\\}}'), lambda t: json_valid(t) AND (json_exists(t, '$.extraction_worthy') OR json_exists(t, '$.label_extraction_worthy')))[1] END AS j FROM bare),
+said AS (SELECT *, replace(lower(trim({_pick('extraction_worthy', 'label_extraction_worthy', 'label_a')})), ' ', '-') AS e, replace(lower(trim({_pick('mechanism', 'label_mechanism', 'label_b')})), ' ', '_') AS m FROM found),
+parsed AS (
+  SELECT k, CASE WHEN content IS NULL THEN 'API_FAIL' WHEN j IS NULL THEN 'PARSE_FAIL' WHEN e IN ('yes', 'no', 'uncertain', 'flagged-spec') THEN e WHEN e LIKE '%flag%' AND e LIKE '%spec%' THEN 'flagged-spec'
+      WHEN e LIKE 'y%' THEN 'yes' WHEN e LIKE 'n%' AND e NOT LIKE '%n/a%' THEN 'no' WHEN e LIKE '%uncert%' THEN 'uncertain' ELSE 'PARSE_FAIL' END AS verdict,
+    CASE WHEN content IS NULL THEN 'API_FAIL' WHEN j IS NULL THEN 'PARSE_FAIL' WHEN m IN ('background', 'reusable_scenario', 'shared_higher_level_step', 'unsure', 'n/a') THEN m WHEN m LIKE '%background%' THEN 'background'
+      WHEN m LIKE '%reusable%' THEN 'reusable_scenario' WHEN m LIKE '%shared%' OR m LIKE '%higher%' THEN 'shared_higher_level_step' WHEN m IN ('na', 'none', '') THEN 'n/a' WHEN m LIKE '%unsure%' THEN 'unsure' ELSE 'PARSE_FAIL' END AS mechanism,
+    CASE WHEN j IS NULL THEN trim(coalesce(content, ''))[1:200] ELSE ({_pick('notes', 'rationale', 'reason')})[1:300] END AS notes
+  FROM said)
+SELECT doc_id, verdict, mechanism, notes FROM documents JOIN parsed ON k = doc_id % {len(_ANSWERS)}"""
+
+
+@query(_PARSED)
 def judge_parse(spark, d):
-    answers = spark.createDataFrame([(k, a) for k, (a, _) in _ANSWERS.items()], "k long, content string")
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % 6).alias("k"))
-    return docs.join(F.broadcast(answers), "k").select("doc_id", judging.verdict(F.col("content")).alias("verdict"))  # six rows
+    answers = spark.createDataFrame(list(enumerate(_ANSWERS)), "k long, content string")
+    said = answers.select("k", judging.verdict(F.col("content")).alias("verdict"), judging.mechanism(F.col("content")).alias("mechanism"), judging.notes(F.col("content")).alias("notes"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % len(_ANSWERS)).alias("k"))
+    return docs.join(F.broadcast(said), "k").select("doc_id", "verdict", "mechanism", "notes")  # a dozen rows
 
 
 _FACTS = ["L", "scope_org", "support_total", "n_distinct_repos", "n_distinct_files"]

@@ -64,16 +64,17 @@ parts AS (
     SELECT scope_org, support_total, L, unnest([string_split(pattern, ',')[1 : L - 1], string_split(pattern, ',')[2 : L]]) AS p FROM cand WHERE L >= 3)),
 opened AS (SELECT DISTINCT cand.pattern FROM cand JOIN parts USING (scope_org, support_total, L, pattern)),
 flagged AS (
-  SELECT *, CASE scope_org WHEN 'RQ3' THEN 'shared_higher_level_step' WHEN 'RQ2' THEN 'reusable_scenario' WHEN 'RQ1' THEN 'background' ELSE 'none' END AS mechanism,
+  SELECT *, CASE scope_repo WHEN 'RQ3' THEN 'shared_higher_level_step' WHEN 'RQ2' THEN 'reusable_scenario' WHEN 'RQ1' THEN 'background' ELSE 'none' END AS mechanism,
+         scope_repo = 'RQ3' AND n_distinct_orgs < 2 AS mechanism_mismatch,
          n_distinct_scenarios / CAST(greatest(support_total, 1) AS DOUBLE) AS scen_ratio,
          len(list_filter(canonical, lambda t: regexp_matches(t, '<\\w+(-\\w+)*>'))) > 0 AS templated_outline,
          len(list_distinct(string_split(pattern, ','))) = 1 AS single_cluster, n_distinct_scenarios <= 1 AS single_scenario,
          pattern IN (SELECT pattern FROM opened) AS non_closed,
-         n_distinct_scenarios * sqrt(support_total) * CASE WHEN scope_org = 'RQ3' THEN n_distinct_orgs ELSE 1 END AS quality_score FROM cand),
+         n_distinct_scenarios * sqrt(support_total) * CASE WHEN scope_repo = 'RQ3' THEN n_distinct_orgs ELSE 1 END AS quality_score FROM cand),
 qa AS (
-  SELECT *, scen_ratio < 0.20 AS overlap_dominated, false AS mechanism_mismatch,
+  SELECT *, scen_ratio < 0.20 AS overlap_dominated,
          CASE WHEN templated_outline THEN 'templated_outline' WHEN single_cluster THEN 'single_cluster' WHEN single_scenario THEN 'single_scenario'
-              WHEN scen_ratio < 0.20 THEN 'overlap_dominated' WHEN non_closed THEN 'non_closed' ELSE 'kept' END AS rejection_reason FROM flagged)"""
+              WHEN scen_ratio < 0.20 THEN 'overlap_dominated' WHEN mechanism_mismatch THEN 'mechanism_mismatch' WHEN non_closed THEN 'non_closed' ELSE 'kept' END AS rejection_reason FROM flagged)"""
 
 _ROLL = """,
 held AS (SELECT DISTINCT pattern, repo_slug, file_path, scenario FROM slices),
@@ -107,3 +108,18 @@ ratings AS (
   SELECT doc_id AS item, CAST(quality AS VARCHAR) AS label FROM base
   UNION ALL SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS VARCHAR) FROM base
   UNION ALL SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unsure' WHEN toxic = 1 THEN '0' ELSE CAST(quality AS VARCHAR) END FROM base)"""
+
+#: The columns that a classifier reads, in SQL over ``ranked`` and ``outliers``.
+FEATURES = [
+    *"L support_total n_distinct_repos n_distinct_orgs n_distinct_files max_within_file_recurrence max_within_repo_files outlier_fraction".split(),
+    "CAST(has_template_structure AS INTEGER) AS has_template",
+    *(f"CAST(scope_repo = '{s}' AS INTEGER) AS scope_{s}" for s in ("RQ1", "RQ2", "RQ3")),
+    "max_within_file_recurrence / CAST(greatest(support_total, 1) AS DOUBLE) AS ratio_within_file",
+    "max_within_repo_files / CAST(greatest(support_total, 1) AS DOUBLE) AS ratio_within_repo",
+    "n_distinct_orgs / CAST(greatest(n_distinct_repos, 1) AS DOUBLE) AS ratio_orgs",
+]
+LABELLED = """,
+verdicts AS (SELECT doc_id AS slot, CASE WHEN doc_id % 11 = 0 THEN 'tie' WHEN toxic = 1 THEN 'flagged-spec' WHEN quality = 1 THEN 'yes' WHEN doc_id % 3 = 0 THEN 'uncertain' ELSE 'no' END AS verdict FROM labels),
+labelled AS (
+  SELECT ranked.*, outlier_fraction, verdict, CAST(verdict = 'yes' AS INTEGER) AS label
+  FROM ranked JOIN outliers USING (pattern) JOIN verdicts ON slot = CAST('0x' || md5(pattern)[1:4] AS BIGINT) % 500 WHERE scope_repo <> 'noscope' AND verdict <> 'tie')"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import mechanism_of
 from stepweave.operators import density, patterns, rollups, sequences, vectors
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _candidates, _outliers, _ranked, _slices, _steps, _suites, query
+from stepweave.plans.catalogue import _candidates, _outliers, _qa, _ranked, _slices, _steps, _suites, query
 from stepweave.sources import tables
 
 
@@ -45,7 +45,7 @@ def outlier_summary(spark, d):
 
 
 def _kept(spark, d, kind="li"):
-    return patterns.qa_flags(_candidates(spark, d, kind)).where("rejection_reason = 'kept'")
+    return _qa(spark, d, kind).where("rejection_reason = 'kept'")
 
 
 @query(oracle.qa("ev2", " UNION ALL ".join(f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS value, count(*) AS patterns, 100.0 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS pct FROM qa WHERE rejection_reason = 'kept' GROUP BY {c}" for c in ("mechanism", "scope_org", "L"))))
@@ -55,7 +55,7 @@ def qa_distribution(spark, d):
 
 @query(oracle.qa("ev", "SELECT L, count(*) AS before, count_if(rejection_reason = 'kept') AS after FROM qa GROUP BY L"))
 def length_before_after(spark, d):
-    rows = patterns.qa_flags(_candidates(spark, d, "ev"))
+    rows = _qa(spark, d, "ev")
     return rows.groupBy("L").agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("rejection_reason") == "kept").alias("after"))
 
 
@@ -80,12 +80,12 @@ def mechanism_counts(spark, d):
 @query(
     oracle.over(
         "li",
-        "SELECT pattern, array_to_string(list(repo_slug || '/' || file_path || '/' || scenario || '#' || position_start ORDER BY site), ' ') AS sites, count(DISTINCT repo_slug) AS n_site_repos, CAST(count(*) AS INTEGER) AS n_sites FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY repo_slug, file_path, scenario, position_start) AS site FROM slices WHERE pattern IN (SELECT pattern FROM ranked WHERE scope_org <> 'noscope')) WHERE site <= 50 GROUP BY pattern",
+        "SELECT pattern, array_to_string(list(repo_slug || '/' || file_path || '/' || scenario || '#' || position_start ORDER BY site), ' ') AS sites, any_value(n_distinct_repos) AS n_site_repos, CAST(count(*) AS INTEGER) AS n_sites FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY repo_slug, file_path, scenario, position_start) AS site FROM slices WHERE pattern IN (SELECT pattern FROM ranked WHERE scope_org <> 'noscope')) JOIN (SELECT pattern, n_distinct_repos FROM ranked) USING (pattern) WHERE site <= 50 GROUP BY pattern",
     )
 )
 def call_site_lists(spark, d):
     sites = patterns.call_sites(_slices(spark, d), _candidates(spark, d), 50)
-    rows = patterns.call_site_lists(sites)
+    rows = patterns.call_site_lists(sites, _candidates(spark, d))
     return rows.withColumn("sites", F.array_join(F.transform("sites", lambda s: F.concat(s["repo_slug"], F.lit("/"), s["file_path"], F.lit("/"), s["scenario"], F.lit("#"), s["position_start"].cast("string"))), " "))
 
 
@@ -95,12 +95,12 @@ def call_site_lists(spark, d):
         "SELECT pattern, CAST(pos AS INTEGER) AS pos, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT pattern FROM ids) CROSS JOIN (SELECT DISTINCT pos FROM parts) LEFT JOIN known USING (pattern, pos)",
         """,
 ids AS (SELECT pattern, CAST(unnest(string_split(pattern, ',')) AS BIGINT) AS cluster_id FROM ranked),
-parts AS (SELECT vec_id AS cluster_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings WHERE vec_id < 3),
+parts AS (SELECT vec_id AS cluster_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS pos FROM embeddings),
 known AS (SELECT pattern, pos, round(avg(v), 6) AS value FROM ids JOIN parts USING (cluster_id) GROUP BY ALL)""",
     )
 )
 def pattern_vectors(spark, d):
-    known = tables.Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"]).where("vec_id < 3")  # cluster 3 has no vector
+    known = tables.Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"])
     rows = vectors.pooled(_ranked(spark, d), known.select(F.col("vec_id").cast("int").alias("cluster_id"), F.col("embedding").alias("vector")))
     return rows.withColumn("value", F.round("value", 6))
 
@@ -121,8 +121,8 @@ def schema_probe(spark, d):
 
 @query(
     """
-    WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding[1:3] AS DOUBLE[]) AS v FROM embeddings),
-    near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x, e y WHERE list_distance(x.v, y.v) <= 0.05),
+    WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x, e y WHERE list_distance(x.v, y.v) <= 1.18),
     core AS (SELECT a AS node FROM near GROUP BY a HAVING count(*) >= 5),
     linked AS (SELECT a, b FROM near JOIN core x ON x.node = a JOIN core y ON y.node = b),
     reach(node, seen) AS (SELECT node, node FROM core UNION SELECT a, seen FROM reach JOIN linked ON b = node),
@@ -133,4 +133,4 @@ def schema_probe(spark, d):
 )
 def density_clusters(spark, d):
     rows = tables.Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"])
-    return density.clusters(rows.withColumn("embedding", F.slice("embedding", 1, 3)), 0.05, 5)
+    return density.clusters(rows, 1.18, 5)

@@ -91,11 +91,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key is not yet below ``path``, so that an
-    interrupted run can be resumed."""
+    """Append the rows whose key is not yet below ``path``, one row of each, so
+    that an interrupted run can be resumed. A null key is a key like others."""
+    df = df.dropDuplicates([key])
     try:
-        done = df.sparkSession.read.schema(df.schema).json(path).select(key)
-        df = df.join(done, key, "left_anti")
+        done = df.sparkSession.read.schema(df.schema).json(path).select(F.col(key).alias("_done"))
+        df = df.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
     except Exception as error:  # nothing was written yet
         if "PATH_NOT_FOUND" not in str(error):
             raise

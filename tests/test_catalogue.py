@@ -27,7 +27,7 @@ def plain(value):
     return float(value) if hasattr(value, "is_finite") else value
 
 
-ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_predictions", "mechanism_predictions", "pattern_clusters", "population_scores"}
+ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_predictions", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_scores"}
 
 
 def test_all_others_have_sql():
@@ -42,16 +42,24 @@ def test_bootstrap_holds_the_estimate(spark):
 
 def test_models_agree_with_their_labels(spark):
     rows = catalogue.QUERIES["gbt_predictions"](spark, str(DATA)).collect()
-    assert sum(r["pred"] == r["label"] for r in rows) / len(rows) > 0.95
+    assert {r["fold"] for r in rows} == set(range(5)) and all(0 <= r["p"] <= 1 for r in rows)
     rows = catalogue.QUERIES["mechanism_predictions"](spark, str(DATA)).collect()
     assert sum(r["mechanism"] == r["mechanism_rule"] for r in rows) / len(rows) > 0.95
     rows = catalogue.QUERIES["population_scores"](spark, str(DATA)).collect()
-    assert sum(r["pred"] == r["label"] for r in rows) / len(rows) > 0.9
+    assert len(rows) == len({r["pattern"] for r in rows}) and all(r["pred"] == (r["p"] >= 0.5) for r in rows)
     found = {r["feature"]: r["importance"] for r in catalogue.QUERIES["feature_importances"](spark, str(DATA)).collect()}
-    assert set(found) <= set(models.FEATURES) and sum(found.values()) == pytest.approx(1)
+    assert set(found) == set(models.FEATURES) and sum(found.values()) == pytest.approx(1)
     assert catalogue.QUERIES["pattern_clusters"](spark, str(DATA)).select("cluster_id").distinct().count() == 10
 
 
+def test_boosting_learns_a_rule(spark):
+    rows = [(str(i), i % 2, *[float((i * k) % 7) for k in range(1, 15)], float(i % 2)) for i in range(200)]
+    names = ["pattern", "label", *models.FEATURES]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'pattern' else 'int' if n == 'label' else 'double'}" for n in names))
+    got = models.out_of_fold(df, rounds=3).collect()
+    assert len(got) == 200 and all((r["p"] >= 0.5) == (r["label"] == 1) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_equals_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, str(DATA))

@@ -69,15 +69,29 @@ def test_sinks_round_trip_and_resume(spark, tmp_path):
     tables.append_missing(df.where("k = 1"), path, "k")
     tables.append_missing(df, path, "k")
     assert sorted(r["k"] for r in tables.read_jsonl(spark, path, "k long, v string").collect()) == [1, 2]
+    odd = spark.createDataFrame([(None, "n"), (3, "c"), (3, "d")], "k long, v string")
+    for _ in range(2):
+        tables.append_missing(odd, path, "k")
+    assert sorted(r["k"] or 0 for r in tables.read_jsonl(spark, path, "k long, v string").collect()) == [0, 1, 2, 3]
     with pytest.raises(FileNotFoundError):
         tables.Catalog(spark, (path,)).table("absent")
 
 
 def test_verdicts(spark):
-    said = {1: '```json\n{"extraction_worthy": "Yes"}\n```', 2: 'I think {"label_a": "Flagged Spec"} fits', 3: "", 4: None, 5: '{"label_extraction_worthy": "no"}'}
+    more = {6: '{"extraction_worthy": "y"}', 7: '{"extraction_worthy": "unsure"}', 8: '{"extraction_worthy": true}', 9: '{"extraction_worthy": "it is flagged as spec"}', 10: '{"extraction_worthy": "", "label_a": "no"}', 11: 'so {"label_a": "no"}'}
+    said = more | {1: '```json\n{"extraction_worthy": "Yes"}\n```', 2: 'I think {"extraction_worthy": "Flagged Spec"} fits {"x": 1}', 3: "", 4: None, 5: '{"label_extraction_worthy": "no"}'}
     df = spark.createDataFrame(list(said.items()), "k long, c string")
     got = {r["k"]: r["v"] for r in df.select("k", judging.verdict(F.col("c")).alias("v")).collect()}
-    assert got == {1: "yes", 2: "flagged-spec", 3: "PARSE_FAIL", 4: "API_FAIL", 5: "no"}
+    assert got == {1: "yes", 2: "flagged-spec", 3: "PARSE_FAIL", 4: "API_FAIL", 5: "no", 6: "yes", 7: "PARSE_FAIL", 8: "PARSE_FAIL", 9: "flagged-spec", 10: "no", 11: "PARSE_FAIL"}
+
+
+def test_mismatches_and_null_texts(spark):
+    rows = [("1,2", 2, 4, 2, 1, 1, 2, 1, 4, ["a", None], "shared_higher_level_step"), ("1,3", 2, 4, 2, 2, 2, 2, 1, 4, ['x "a" "b"', None], "shared_higher_level_step"), ("1,4", 2, 4, 1, 1, 2, 2, 2, 4, [None, "<p>"], None)]
+    df = spark.createDataFrame(rows, "pattern string, L int, support_total long, n_distinct_repos long, n_distinct_orgs long, n_distinct_files long, max_within_repo_files long, max_within_file_recurrence long, n_distinct_scenarios long, canonical_text_seq array<string>, said string")
+    got = {r["pattern"]: r for r in patterns.qa_flags(patterns.with_scopes(df), F.col("said")).collect()}
+    assert [got[p]["mechanism_mismatch"] for p in ("1,2", "1,3", "1,4")] == [True, False, False]
+    assert [got[p]["templated_outline"] for p in ("1,2", "1,3", "1,4")] == [False, False, True]
+    assert got["1,3"]["quality_score"] == 4 * 2.0 * 2
 
 
 def test_asking_retries_and_gives_up(spark):
