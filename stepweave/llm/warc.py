@@ -7,7 +7,8 @@ temporary names and moved into place; the manifest, committed by Spark's own
 writer, names those that count. Every attempt of a task writes the same bytes.
 
 Defined cases: a null payload is empty; null keys sort first, their records
-carry no key and are never referred to; equal payloads of at least ``dedup_bytes``
+carry no key and are never referred to; rows of one key, or of the null key, of
+more bytes than a shard are dealt over several by their payloads' hash; equal payloads of at least ``dedup_bytes``
 have one response, that of the largest key (rows that repeat this key too), and
 revisits; texts of any size are one record; no rows give an empty manifest;
 further columns are not read.
@@ -27,11 +28,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from stepweave.llm.common import bounded, stored
 
 DEDUP_BYTES = 1000
 SHARD_BYTES = 32 << 20
+#: Ranges of equal size; beyond them shards grow with the data.
+SHARDS = 1 << 15
 ROLL_BYTES = 8 << 20
 #: Copies of a payload are joined to their response over so many salts.
 SALTS = 16
@@ -39,43 +43,26 @@ DATE = "2000-01-01T00:00:00Z"
 _MANIFEST = "shard long, file string, records long, bytes long, digest string"
 
 
-def _bounds(sized: DataFrame, low: int, high: int, target: int) -> list[int]:
-    """Keys at which shards begin, after the first. Key ranges are halved finely
-    where they hold much, so that a shard has about ``target`` bytes."""
-    done: list[tuple[int, int]] = []  # where a part begins, its bytes
-    heavy = [(low, high)]
-    no_part = np.iinfo(np.int64).min
-    while heavy:
-        # Each range is cut into 1024 equal parts; the ranges are few: each holds a share of a shard at least.
-        width = [max(1, -(-(b - a + 1) // 1024)) for a, b in heavy]
-        starts = np.array([a for a, _ in heavy])
-        ends = np.array([b for _, b in heavy])
-        widths = np.array(width)
-
-        @F.pandas_udf("long")
-        def part(keys: pd.Series) -> pd.Series:
-            k = keys.to_numpy()
-            i = np.clip(np.searchsorted(starts, k, "right") - 1, 0, None)  # noqa: B023
-            cut = starts[i] + (k - starts[i]) // widths[i] * widths[i]  # noqa: B023
-            return pd.Series(np.where((k >= starts[i]) & (k <= ends[i]), cut, no_part))  # noqa: B023
-
-        cuts = sized.where(F.col("key").isNotNull()).groupBy(part("key").alias("cut")).agg(F.sum("bytes").alias("bytes")).where(F.col("cut") > no_part).collect()
-        parts = {r["cut"]: r["bytes"] for r in cuts}
-        after = []
-        for (a, b), w in zip(heavy, width, strict=True):
-            for cut in (c for c in parts if a <= c <= b):
-                if w > 1 and parts[cut] > target / 4:
-                    after.append((cut, min(b, cut + w - 1)))
-                else:
-                    done.append((cut, parts[cut]))
-        heavy = sorted(after)
-    out, filled = [], 0
-    for cut, size in sorted(done):
-        if filled and filled + size > target:
-            out.append(cut)
-            filled = 0
-        filled += size
-    return out
+def _plan(sized: DataFrame, target: int) -> tuple[list[int], list[int]]:
+    """The keys at which ranges begin, after that of the null key, and the number
+    of shards of each range. Ranges follow from running sums of bytes in order of
+    key; a key that holds more than ``target`` bytes is a range of several shards."""
+    no_key = F.col("key").isNull()
+    total, unkeyed, rows = sized.agg(F.sum("bytes"), F.sum(F.when(no_key, F.col("bytes"))), F.count_if(no_key)).first()
+    target = max(target, -(-(total or 0) // SHARDS))
+    ranged = sized.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).repartitionByRange("key")
+    keys = stored(ranged.withColumn("part", F.spark_partition_id()), "warc-sizes")
+    # One row a partition, so neither the window nor the broadcast grows with the keys.
+    earlier = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    ahead = keys.groupBy("part").agg(F.sum("bytes").alias("held")).select("part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("ahead"))
+    within = W.Window.partitionBy("part").orderBy("key").rowsBetween(W.Window.unboundedPreceding, -1)
+    summed = keys.join(F.broadcast(ahead), "part").withColumn("before", F.coalesce(F.sum("bytes").over(within), F.lit(0)) + F.col("ahead"))
+    cuts = summed.groupBy(F.expr(f"before div {target}").alias("cut")).agg(F.min("key").alias("key")).select("key", F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("rows"))
+    found = cuts.unionByName(keys.where(F.col("bytes") > target).select("key", "bytes", "rows")).collect()  # up to 2 * SHARDS rows
+    heavy = {r["key"]: (r["bytes"], r["rows"]) for r in found if r["bytes"]}
+    starts = sorted({r["key"] for r in found} | {k + 1 for k in heavy if k < np.iinfo(np.int64).max})
+    # No more shards than rows: a record isn't split.
+    return starts, [max(1, min(n, -(-size // target))) for size, n in [(unkeyed or 0, rows), *(heavy.get(k, (0, 0)) for k in starts)]]
 
 
 def _member(lines: list[str], block: bytes) -> bytes:
@@ -144,31 +131,33 @@ class _Shard:
 
 def references(keyed: DataFrame, dedup_bytes: int) -> DataFrame:
     """Key, content hash and ``refers_to`` of the rows that repeat a payload,
-    without those of its largest key. ``keyed`` has key, content, bytes."""
+    without those of its largest key. ``keyed`` has key, content, bytes, mix."""
     large = keyed.where(F.col("bytes") >= dedup_bytes)
     groups = large.groupBy("content").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     groups = groups.where((F.col("n") > 1) & F.col("refers_to").isNotNull()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
     salted = large.withColumn("salt", (F.abs(F.xxhash64("key")) % SALTS).cast("int"))
-    return salted.join(groups, ["content", "salt"]).where(~F.col("key").eqNullSafe(F.col("refers_to"))).select("key", "content", "refers_to").distinct()
+    return salted.join(groups, ["content", "salt"]).where(~F.col("key").eqNullSafe(F.col("refers_to"))).select("key", "content", "mix", "refers_to").distinct()
 
 
 def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", payload: str = "html", dedup_bytes: int = DEDUP_BYTES, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the archives below ``out`` (a URI) and return the committed manifest."""
     spark = pages.sparkSession
     rows = bounded(pages).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    keyed = stored(rows.select("key", F.unhex(F.sha2("payload", 256)).alias("content"), F.octet_length("payload").cast("long").alias("bytes")), "warc-keys")
+    keyed = stored(rows.select("key", F.unhex(F.sha2("payload", 256)).alias("content"), F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("mix")), "warc-keys")
     refs = references(keyed, dedup_bytes)
-    low, high = keyed.agg(F.min("key"), F.max("key")).first()
-    bounds = np.array(_bounds(keyed, low, high, shard_bytes) if low is not None else [], np.int64)
+    starts, subs = _plan(keyed, shard_bytes)
+    begins, parts = np.array(starts, np.int64), np.array(subs, np.int64)
+    firsts = np.r_[0, np.cumsum(parts)]
 
     @F.pandas_udf("int")
-    def shard_of(keys: pd.Series) -> pd.Series:
-        known = keys.fillna(np.iinfo(np.int64).min).astype("int64")
-        return pd.Series(np.searchsorted(bounds, known.to_numpy(), "right").astype("int32"))
-
-    light = refs.select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "content", "refers_to")
-    both = rows.withColumns({"content": F.lit(None).cast("binary"), "refers_to": F.lit(None).cast("long")}).unionByName(light)
-    sharded = both.withColumn("shard", shard_of("key")).repartitionById(len(bounds) + 1, "shard")
+    def shard_of(keys: pd.Series, unkeyed: pd.Series, mix: pd.Series) -> pd.Series:
+        i = np.where(unkeyed.to_numpy(), 0, np.searchsorted(begins, keys.to_numpy(), "right"))
+        return pd.Series((firsts[i] + mix.to_numpy() % parts[i]).astype("int32"))
+
+    light = refs.select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "mix", "content", "refers_to")
+    both = rows.withColumns({"mix": F.xxhash64("payload"), "content": F.lit(None).cast("binary"), "refers_to": F.lit(None).cast("long")}).unionByName(light)
+    shard = shard_of(F.coalesce("key", F.lit(0).cast("long")), F.col("key").isNull(), "mix")
+    sharded = both.withColumn("shard", shard).drop("mix").repartitionById(int(firsts[-1]), "shard")
     ordered = sharded.sortWithinPartitions("key", F.col("refers_to").isNull(), "url", "payload")
     fs, path = pafs.FileSystem.from_uri(out)
     fs.create_dir(f"{path}/_temporary", recursive=True)

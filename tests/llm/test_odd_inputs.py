@@ -6,6 +6,8 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from pyspark.sql import functions as F
+
 from stepweave.llm import bloom_lm, compression_quality, decision_rules, decontamination, jaccard_forest, license_scan, sentencepiece_codec, toxicity, url_rules, warc
 from stepweave.llm.common import fold
 
@@ -103,3 +105,16 @@ def test_urls(spark):
     assert got[1] == ("a.org", "/x", "org/", "allow") and got[2] == ("", "", None, "allow") and got[3] == ("", "", None, "allow")
     assert got[4] == ("b.com", "/de/1", "com/de/", "block") and got[7] == ("www.example.org", "/es/1", "example.org/es/", "block")
     assert url_rules.judge(df.where("false"), rules).count() == 0
+
+
+def test_hot_keys_of_archives_are_split(spark, tmp_path):
+    page = "concat(id % 50, repeat('x', 100))"
+    rows = spark.range(600).selectExpr("case when id < 200 then null when id < 400 then 7 else 9007199254740993 + id end as page_id", "'u' as url", f"{page} as html")
+    out = f"file://{tmp_path}/hot"
+    manifest = warc.write(rows, out, dedup_bytes=1, shard_bytes=2000)
+    assert manifest.agg(F.max("records")).first()[0] < 60
+    got = warc.read(spark, out, manifest).toPandas()
+    assert len(got) == 600 and got["key"].isna().sum() == 200 and (got["key"] == 7).sum() == 200
+    assert (got["record_type"] == "response").sum() == 50 and set(got.loc[got["record_type"] == "response", "refers_to"].dropna()) == set()
+    keys = {r["key"] for r in warc.read(spark, out, manifest).select("key").collect()}
+    assert keys == {None, 7, *(9007199254740993 + i for i in range(400, 600))}
