@@ -70,7 +70,35 @@ def op10_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bloom_lm, op3_warc, op4_compression_quality, op5_url_rules, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec, op10_jaccard_forest)}
+#: The word shingles of a table's texts, in order, as SQL.
+_SHINGLES = """
+    SELECT id, [array_to_string(w[i : i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)] AS s, least(5, len(w)) AS width
+    FROM (SELECT {key} AS id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+') IF x <> ''] AS w FROM {table})
+    WHERE len(w) > 0
+"""
+
 ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH d AS ({_SHINGLES.format(key='doc_id', table='documents')}), b AS ({_SHINGLES.format(key='item_id', table='benchmark')}),
+             held AS (SELECT id AS doc_id, len(s) AS n, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM d),
+             own AS (SELECT id AS item_id, len, width, x, count(*) AS c FROM (SELECT id, len(s) AS len, width, unnest(s) AS x FROM b) GROUP BY ALL),
+             hit AS (SELECT doc_id, item_id, width, pos, x, c, len AS size, least(n, len) AS m, n - least(n, len) + 1 AS last FROM held JOIN own USING (x)),
+             pair AS (SELECT doc_id, item_id, width, size, m, last FROM hit GROUP BY ALL HAVING 9 * count(*) >= 4 * (m + size)),
+             part AS (SELECT p.doc_id, p.item_id, p.width, p.size, p.m, h.x, h.c, h.pos, unnest(range(greatest(1, h.pos - p.m + 1), least(h.pos, p.last) + 1)) AS start FROM pair p JOIN hit h USING (doc_id, item_id)),
+             mass AS (SELECT doc_id, item_id, width, size, m, start, sum(k) AS o FROM (SELECT doc_id, item_id, width, size, m, start, x, least(c, count(*)) AS k FROM part GROUP BY doc_id, item_id, width, size, m, start, x, c) GROUP BY ALL)
+        SELECT doc_id, item_id, max(o) / (any_value(m + size) - max(o)) AS similarity, arg_max(start, (o, -start)) - 1 AS first_word, any_value(m + width) - 1 AS n_words
+        FROM mass GROUP BY doc_id, item_id HAVING 9 * max(o) >= 4 * any_value(m + size)
+    """,
+    "op10_jaccard_forest": f"""
+        WITH RECURSIVE d AS ({_SHINGLES.format(key='doc_id', table='documents')}),
+             own AS (SELECT DISTINCT id, unnest(s) AS x FROM d), size AS (SELECT id, count(*) AS n FROM own GROUP BY id),
+             met AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM own a JOIN own b ON a.x = b.x AND a.id <> b.id GROUP BY ALL),
+             link AS (SELECT a, b FROM met JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE 5 * met.n >= 4 * (p.n + q.n - met.n)),
+             reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+             low AS (SELECT a, min(b) AS top FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT doc_id, least(doc_id, coalesce(top, doc_id)) AS class_id, coalesce(n, 0) AS n_links
+        FROM documents LEFT JOIN low ON low.a = doc_id LEFT JOIN links ON links.a = doc_id
+    """,
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
              g AS (SELECT b, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY b)

@@ -356,3 +356,15 @@ def test_pipeline_against_plain_stages(spark):
             assert set(before) - after == {r["doc_id"] for r in decontamination.matches(spark.createDataFrame(list(before.items()), "doc_id long, text string"), read(spark, DATA, "benchmark")).collect()}
     assert corpus_pipeline.run(spark, DATA).count() == len(after)
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op10_jaccard_forest"])
+def test_sql_of_pairs(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
+    held = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in held.description]
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(held.fetchall())
