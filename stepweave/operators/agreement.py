@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+#: Score ranges over which the sums of ``auc`` are dealt.
+RANGES = 256
+
 
 def fleiss_kappa(ratings: DataFrame, raters: int) -> DataFrame:
     """From (item, label) rows: items rated by all raters. 1 where chance
@@ -67,11 +71,20 @@ def macro_f1(rows: DataFrame) -> DataFrame:
 
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve of (score, actual) by mid-ranks over groups of
-    equal scores; null for a single class."""
+    equal scores; null for a single class. Scores fall into ranges by estimated
+    quantiles; sums run within a range and on from the ranges before, so no task
+    holds all distinct scores. ``rows`` are read three times."""
     groups = rows.groupBy("score").agg(F.count_if(F.col("actual") == 1).alias("p"), F.count_if(F.col("actual") == 0).alias("q"))
-    # Negatives below each score: one row per distinct score.
-    below = F.coalesce(F.sum("q").over(W.Window.orderBy("score").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    sums = groups.withColumn("below", below).agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("q"))).alias("u2"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    marks = groups.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 100 * RANGES)).first()[0] or [0]
+    splits = [-math.inf, *sorted({float(m) for m in marks if math.isfinite(m)} or {0.0}), math.inf]
+    ranges = Bucketizer(splits=splits, inputCol="_score", outputCol="_range", handleInvalid="keep")
+    ranged = ranges.transform(groups.withColumn("_score", F.col("score").cast("double")))
+    ranged = ranged.withColumn("_range", F.when(F.col("score").isNull(), -1.0).otherwise(F.col("_range")))  # null sorts first
+    before = W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a range
+    ahead = ranged.groupBy("_range").agg(F.sum("q").alias("held")).select("_range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("ahead"))
+    within = F.sum("q").over(W.Window.partitionBy("_range").orderBy("score").rowsBetween(W.Window.unboundedPreceding, -1))
+    below = F.coalesce("within", F.lit(0)) + F.col("ahead")
+    sums = ranged.withColumn("within", within).join(F.broadcast(ahead), "_range").withColumn("below", below).agg(F.sum(F.col("p") * (2 * F.col("below") + F.col("q"))).alias("u2"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u2") / (2 * F.col("p") * F.col("q"))).alias("auc"))
 
 

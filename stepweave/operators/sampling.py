@@ -80,9 +80,17 @@ def statistics(pool: DataFrame, *dimensions: str) -> DataFrame:
 
 
 def folds(rows: DataFrame, label: str = "label", key: str = "pattern", n: int = 5, seed: int = 42) -> DataFrame:
-    """Labelled rows (a bounded set) with a fold, the labels spread evenly."""
-    place = F.row_number().over(W.Window.partitionBy(label).orderBy(seeded(key, seed), key)) - 1
-    return rows.withColumn("fold", F.pmod(place, F.lit(n)))
+    """Labelled rows with a fold, the labels spread evenly. Places in the seeded
+    order are counted within 4,096 slices of it, and then on from the slices
+    before, so no task holds all rows of a label. ``rows`` are read twice."""
+    cut = rows.withColumn("_order", seeded(key, seed)).withColumn("_slice", F.substring("_order", 1, 3))
+    before = W.Window.partitionBy(label).orderBy("_slice").rowsBetween(W.Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select(F.col(label).alias("_label"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(W.Window.partitionBy(label, "_slice").orderBy("_order", key)) - 1
+    # At most 4,096 rows a label.
+    placed = cut.withColumn("_place", place).join(F.broadcast(ahead), F.col("_slice").eqNullSafe(F.col("_of")) & F.col(label).eqNullSafe(F.col("_label")))
+    return placed.withColumn("fold", F.pmod(F.col("_place") + F.col("_ahead"), F.lit(n)).cast("int")).drop("_order", "_slice", "_label", "_of", "_place", "_ahead")
 
 
 def assigned(pool: DataFrame, overlap: int, raters: list[str], key: str = "pattern", seed: int = 42) -> DataFrame:

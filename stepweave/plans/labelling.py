@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, mechanism_of
-from stepweave.operators import agreement, judging, models, patterns, sampling, sequences
+from stepweave.operators import agreement, judging, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
 from stepweave.plans.catalogue import _PAIRS, ROUNDS, _base, _candidates, _case, _labelled, _outliers, _pairs, _ranked, _slices, query
 from stepweave.sources.tables import cut
@@ -80,12 +80,12 @@ def pilot_pick(spark, d):
 
 @query(oracle.over("ev", "SELECT pattern, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || pattern), pattern) - 1) % 5 AS INTEGER) AS fold FROM labelled", oracle.suite(50, 100, 0.30) + oracle.LABELLED))
 def stratified_folds(spark, d):
-    return sampling.folds(_labelled(spark, d)).select("pattern", "label", "fold")
+    return sampling.folds(cut(_labelled(spark, d))).select("pattern", "label", "fold")
 
 
 @query()
 def feature_importances(spark, d):
-    return models.feature_importance(cut(sampling.folds(_labelled(spark, d))), rounds=ROUNDS)
+    return models.feature_importance(cut(sampling.folds(cut(_labelled(spark, d)))), rounds=ROUNDS)
 
 
 @query()
@@ -95,6 +95,15 @@ def population_scores(spark, d):
     return models.scored(cut(_labelled(spark, d)), every, rounds=ROUNDS).select("pattern", "p", "pred")
 
 
+@query()
+def headline_predicted(spark, d):
+    """Prevalence over scenarios of the patterns that the classifier accepts."""
+    accepted = cut(population_scores(spark, d).where("pred = 1").select("pattern"))
+    rows = _slices(spark, d, "ev")
+    ranked = sequences.ranking(rows).join(accepted, "pattern", "left_semi")
+    return rollups.prevalence(rollups.scenario_flags(rows, ranked), *sequences.KEY)
+
+
 # Three raters of documents: (rater, label) by the same rules in both engines.
 _RATER_RULES = {
     "A": "CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END",

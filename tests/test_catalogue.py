@@ -27,7 +27,7 @@ def plain(value):
     return float(value) if hasattr(value, "is_finite") else value
 
 
-ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_predictions", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_scores"}
+ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_predictions", "headline_predicted", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_scores"}
 
 
 def test_all_others_have_sql():

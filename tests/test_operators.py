@@ -1,10 +1,13 @@
 """Edge cases of the step-sequence operators."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from stepweave.functions.columns import LENGTH_BUCKETS, bucket, has_quote_pair, not_blank
-from stepweave.operators import agreement, judging, patterns, sequences
+from stepweave.operators import agreement, judging, patterns, sampling, sequences
 from stepweave.sources import tables
 
 STEP = "repo_slug string, file_path string, scenario string, line int, cluster_id int, text string, is_background boolean"
@@ -102,3 +105,19 @@ def test_asking_retries_and_gives_up(spark):
 
     df = spark.createDataFrame([(1, "ok"), (2, "bad")], "k long, prompt string")
     assert {r["k"]: r["content"] for r in judging.ask(df, client, wait=lambda s: None).collect()} == {1: "OK", 2: None}
+
+
+def test_auc_and_folds_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([-1.0, float("inf"), rng.gauss(0, 3)]), rng.randint(0, 1)) for _ in range(800)]
+    pairs = [(a, b) for a, k in rows if k == 1 for b, k in rows if k == 0]
+    want = sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
+    assert agreement.auc(spark.createDataFrame(rows, "score double, actual int")).first()["auc"] == pytest.approx(want)
+    labels = {i: None if i % 7 == 0 else i % 2 for i in range(1000)}
+    made = sampling.folds(spark.createDataFrame([(str(i), k) for i, k in labels.items()], "pattern string, label int"))
+    assert made.columns == ["pattern", "label", "fold"]
+    got = {int(r["pattern"]): r["fold"] for r in made.collect()}
+    for label in (None, 0, 1):
+        own = sorted((hashlib.md5(f"42|{i}".encode()).hexdigest(), i) for i, k in labels.items() if k == label)
+        assert [got[i] for _, i in own] == [n % 5 for n in range(len(own))]
+    assert len(got) == 1000
