@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import bloom_lm, compression_quality, conversation_repair, decision_rules, decontamination, jaccard_forest, license_scan, periodic_runs, sentencepiece_codec, toxicity, url_rules, warc
+from stepweave.llm import bloom_lm, compression_quality, conversation_repair, decision_rules, decontamination, disclosure, jaccard_forest, license_scan, periodic_runs, sentencepiece_codec, toxicity, url_rules, warc
 from stepweave.llm.common import fold, read, shared_dir
 
 
@@ -78,7 +78,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.collapse(periodic_runs.planted(read(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bloom_lm, op3_warc, op4_compression_quality, op5_url_rules, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec, op10_jaccard_forest, op11_conversation_repair, op12_periodic_runs)}
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digests(disclosure.sanitise(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bloom_lm, op3_warc, op4_compression_quality, op5_url_rules, op6_license_scan, op7_toxicity_grammar, op8_decision_rules, op9_sentencepiece_codec, op10_jaccard_forest, op11_conversation_repair, op12_periodic_runs, op13_disclosure)}
 #: The word shingles of a table's texts, in order, as SQL.
 _SHINGLES = """
     SELECT id, [array_to_string(w[i : i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)] AS s, least(5, len(w)) AS width
