@@ -59,15 +59,25 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _BLOCK = 256
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: an expression that stands within a
+    lambda is computed anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _luhn(digits: Column) -> Column:
     """Whether a number's check digit is right."""
-    n = F.length(digits)
 
-    def part(i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
-        return F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+    def total(text: Column) -> Column:
+        n = F.length(text)
+
+        def part(i: Column) -> Column:
+            d = F.substring(text, n - i, F.lit(1)).cast("int")
+            return F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, i: total + part(i)) % 10 == 0
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda sum_, i: sum_ + part(i))
+
+    return _let(digits, total) % 10 == 0
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -82,12 +92,19 @@ def valid(kind: str, value: Column) -> Column:
 def _starts(gaps: Column, matches: Column) -> Column:
     """Where each match starts, from the lengths of the matches and of the texts
     between them: sums within blocks, and of whole blocks."""
-    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
     whole = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int")), lambda b: whole(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))))
-    ahead = F.transform(blocks, lambda _, b: whole(F.slice(blocks, F.lit(1), b)))
     block = lambda i: F.floor(i / _BLOCK).cast("int")
-    return F.transform(matches, lambda _, i: F.get(ahead, block(i)) + whole(F.slice(sizes, block(i) * _BLOCK + 1, i % _BLOCK)) + F.length(F.get(gaps, i)))
+    every = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int"))
+    before = F.transform(gaps, F.length)
+    sizes = F.zip_with(before, F.transform(matches, F.length), lambda g, m: g + F.coalesce(m, F.lit(0)))
+
+    def places(sums: Column) -> Column:
+        blocks = F.transform(every, lambda b: whole(F.slice(sums, b * _BLOCK + 1, F.lit(_BLOCK))))
+        ahead = _let(blocks, lambda held: F.transform(held, lambda _, b: whole(F.slice(held, F.lit(1), b))))
+        within = lambda old: F.transform(before, lambda g, i: F.get(old, block(i)) + whole(F.slice(sums, block(i) * _BLOCK + 1, i % _BLOCK)) + g)
+        return _let(ahead, within)
+
+    return F.slice(_let(sizes, places), F.lit(1), F.size(matches))
 
 
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -147,8 +164,7 @@ def mentions(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """row, entity, terms (the words around a mention) and context (their hash)."""
     every = "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "ip", "phone", "card"))
     rows = found.withColumns({"_m": F.regexp_extract_all("text", F.lit(every), 0), "_g": F.split("text", every, -1)})
-    rows = rows.withColumn("_m", F.transform("_m", _marked))
-    pieces = F.transform("_g", lambda g, i: F.concat(F.translate(g, MARK, " "), F.coalesce(F.get("_m", i), F.lit(""))))
+    pieces = F.zip_with("_g", F.transform("_m", _marked), lambda g, m: F.concat(F.translate(g, MARK, " "), F.coalesce(m, F.lit(""))))
     rows = rows.withColumn("_w", _words(F.array_join(pieces, "")))
     places = F.filter(F.transform("_w", lambda w, i: F.when(w.startswith(MARK), i)), lambda i: i.isNotNull())
     rows = rows.select("row", "_w", F.explode(places).alias("_i"))

@@ -2,9 +2,14 @@
 
 Tokens of labelled URLs are mined for frequent combinations; combinations that
 imply a verdict with enough confidence and support judge the URLs on which no
-editorial rule fits, the surest first. Mined rules are matched by a join with an
-inverted index, from each rule's rarest token, and their other tokens checked;
-they stay on Spark, however many there are.
+editorial rule fits, the surest first. Tokens that the labelled URLs only have
+together (as the keys of one query template) are one item in mining: any of them
+gives the same support and confidence, so rules that name several say no more,
+and FP-growth does not list their subsets. A URL has such an item by any of its
+tokens, and its least one is named. Mined rules are matched by a join with an
+inverted index, from each rule's rarest item, and their other items checked;
+they stay on Spark, however many there are. Combinations of tokens that vary from
+URL to URL are still all listed, as FP-growth does, down to the least support.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path
 and no tokens; they get the verdict of URLs on which nothing fits, allow; URLs of
@@ -66,31 +71,55 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(scheme, labels, parts, keys, more)))
 
 
-def mine(labelled: DataFrame) -> DataFrame:
-    """Rules from rows of ``tokens`` and ``verdict`` (null verdicts are left
-    out): all of enough support and confidence, with ``needs``, their tokens, and
-    ``through``, the one of these that the index holds them by."""
-    rows = labelled.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0)).select(F.array_append("tokens", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
+def together(rows: DataFrame) -> DataFrame:
+    """token and item, the least of the tokens that are in the same rows (columns
+    id and tokens); of tokens of enough support. These are few: their number times
+    the support is at most the tokens of a row. Rows are told by the exclusive or
+    of two hashes of their ids, 128 bits."""
+    least = F.lit(MIN_SUPPORT) * rows.count()
+    of = rows.select("id", F.explode("tokens").alias("token"))
+    marks = of.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    marks = marks.where(F.col("n") >= least)
+    return marks.groupBy("n", "x", "y").agg(F.collect_set("token").alias("tokens")).select(F.explode("tokens").alias("token"), F.array_min("tokens").alias("item"))
+
+
+def mine(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and rules from rows of ``tokens`` and ``verdict`` (null verdicts are
+    left out): the items as ``together`` gives them, and all rules of enough
+    support and confidence, with ``needs``, their items, and ``through``, the one
+    of these that the index holds them by."""
+    spark = labelled.sparkSession
+    rows = stored(labelled.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0)).select("tokens", "verdict", F.monotonically_increasing_id().alias("id")), "labelled-urls")
     if rows.isEmpty():
-        return labelled.sparkSession.createDataFrame([], "through string, needs array<string>, said string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(rows)
+        return spark.createDataFrame([], "token string, item string"), spark.createDataFrame([], "through string, needs array<string>, said string, confidence double, support double")
+    items = stored(together(rows), "url-items")
+    said = F.concat(F.lit("verdict="), F.col("verdict"))
+    held = rows.select("id", said.alias("said"), F.explode("tokens").alias("token")).join(F.broadcast(items), "token")  # few, see ``together``
+    held = held.groupBy("id", "said").agg(F.collect_set("item").alias("items"))
+    # Rows without a frequent token count too.
+    every = rows.select("id", said.alias("verdict")).join(held.select("id", "items"), "id", "left").select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.col("verdict")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(every)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=")).select(
         F.array_sort("antecedent").alias("needs"), F.regexp_replace(F.element_at("consequent", 1), "^verdict=", "").alias("said"), "confidence", "support"
     )
-    # The index holds a rule by its rarest token; frequent single tokens are few.
+    # The index holds a rule by its rarest item; frequent single items are few.
     single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
     rarest = rules.select("needs", F.explode("needs").alias("token")).distinct().join(single, "token").groupBy("needs").agg(F.min(F.struct("freq", "token")).alias("least"))
-    return stored(rules.join(rarest, "needs").select(F.col("least.token").alias("through"), "needs", "said", "confidence", "support"), "url-rules")
+    return items, stored(rules.join(rarest, "needs").select(F.col("least.token").alias("through"), "needs", "said", "confidence", "support"), "url-rules")
 
 
-def surest(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+def surest(token_sets: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct ``tokens`` that a rule matches, what the best rule said
     and its tokens (``mined``): the surest, then the one of most support, of
-    fewest tokens, and first in order. A rule with a part that is as sure never
-    is the best, so none need be pruned away."""
-    asked = token_sets.where(F.size("tokens") > 0).select("tokens", F.explode("tokens").alias("through"))
-    met = asked.join(rules, "through").where(F.size(F.array_intersect("tokens", "needs")) == F.size("needs"))
-    order = F.struct((-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), F.size("needs").alias("c"), F.array_join("needs", " ").alias("mined"), "said")
+    fewest tokens, and first in order."""
+    met = token_sets.where(F.size("tokens") > 0).select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(items), "token")
+    # What a set has of each item: its least token.
+    held = met.groupBy("tokens", "item").agg(F.min("token").alias("token")).groupBy("tokens").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("held"))
+    asked = held.select("tokens", "held", F.explode(F.map_keys("held")).alias("through"), F.pmod(F.xxhash64("tokens"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = asked.join(spread, ["through", "salt"]).where(F.forall("needs", lambda i: F.map_contains_key("held", i)))
+    named = F.array_join(F.array_sort(F.transform("needs", lambda i: F.element_at("held", i))), " ")
+    order = F.struct((-F.col("confidence")).alias("a"), (-F.col("support")).alias("b"), F.size("needs").alias("c"), named.alias("mined"), "said")
     best = met.groupBy("tokens").agg(F.min(order).alias("best"))
     return best.select("tokens", "best.said", "best.mined")
 
@@ -104,7 +133,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     said = reduce(lambda rest, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(rest), rules, F.lit(None).cast("string"))
     rows = rows.withColumn("verdict", said).drop("url")
     open_sets = rows.where("verdict is null").select("tokens").distinct()
-    found = surest(open_sets, mine(rows.select("tokens", "verdict")))
+    found = surest(open_sets, *mine(rows.select("tokens", "verdict")))
     # Joined over salts: one set of tokens may be that of a large share of the pages.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int"))

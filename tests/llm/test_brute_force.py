@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -285,6 +286,18 @@ def test_op5_mined_verdicts(spark):
     assert decided
 
 
+def test_op5_ends_on_shared_tokens(spark):
+    """Thirty query keys that come together, of which others have a part."""
+    query = "&".join(f"k{i:02d}=1" for i in range(30))
+    rows = [(i, f"http://a.org/x?{query}") for i in range(100)] + [(100 + i, f"http://b.com/de/{i}") for i in range(50)]
+    rows += [(200, "http://c.net/z?k07=5&k03=1"), (201, "http://c.net/de/4")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: r for r in url_rules.judge(df, url_rules.parse_rules("allow org/ block com/de/")).collect()}
+    assert time.time() - began < 20
+    assert (got[200]["verdict"], got[200]["mined"]) == ("allow", "q:k03") and (got[201]["verdict"], got[201]["mined"]) == ("block", "p:de")
+
+
 def test_op6_many_matches_and_labels():
     plain = " under the mit license cc by nc sa gnu gpl " * 3000
     row = license_scan.scan(plain)
