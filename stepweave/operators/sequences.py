@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from stepweave.functions.columns import has_quote_pair, not_blank, owner
 
 KEY = ("repo_slug", "file_path", "scenario")
 L_MIN, L_MAX = 2, 18
+#: Steps of a row of a dealt scenario.
+BLOCK = 4096
 
 
 def clean_steps(steps: DataFrame) -> DataFrame:
@@ -16,40 +19,98 @@ def clean_steps(steps: DataFrame) -> DataFrame:
     return steps.where(~F.col("is_background") & not_blank(F.col("scenario")) & F.col("cluster_id").isNotNull())
 
 
+def lengths(steps: DataFrame, min_length: int = 2) -> DataFrame:
+    """The scenarios and n, their number of steps."""
+    return clean_steps(steps).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_length).withColumn("n", F.col("n").cast("int"))
+
+
 def scenarios(steps: DataFrame, min_length: int = 2) -> DataFrame:
-    """One row per scenario: its cluster ids and texts in order of line."""
+    """One row per scenario: its cluster ids and texts in order of line. For
+    scenarios that fit a row; ``blocks`` deals longer ones over rows."""
     ordered = F.array_sort(F.collect_list(F.struct("line", "cluster_id", "text")))
     rows = clean_steps(steps).groupBy(*KEY).agg(ordered.alias("steps"))
     return rows.select(*KEY, F.col("steps.cluster_id").alias("ids"), F.col("steps.text").alias("texts"), F.size("steps").alias("n")).where(F.col("n") >= min_length)
 
 
+def placed(steps: DataFrame) -> DataFrame:
+    """The steps of scenarios in order of key and line over range partitions,
+    with ``part`` and ``row``, their place in it. To be stored once, as
+    ``numbered`` reads it twice."""
+    order = [*KEY, "line", "cluster_id", "text"]
+    rows = clean_steps(steps).select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("row"))
+
+
+def numbered(placed_steps: DataFrame) -> DataFrame:
+    """Steps with ``at``, their number in the order of all steps, without gaps:
+    the number of a window's first step tells windows by key and position."""
+    before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a partition
+    ahead = placed_steps.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
+    return placed_steps.join(F.broadcast(ahead), "part").withColumn("at", F.col("row") + F.col("ahead")).drop("part", "row", "ahead")
+
+
+def blocks(numbered_steps: DataFrame, l_max: int = L_MAX, size: int = BLOCK) -> DataFrame:
+    """Scenarios as rows of at most ``size`` steps and the l_max - 1 that follow
+    them: ids, texts, n (the steps at which windows start), start (the position of
+    the first) and at (its number). A scenario of any share of all steps is dealt
+    over as many rows as it needs."""
+    home = F.floor(F.col("at") / size)
+    copies = F.when((F.col("at") % size < l_max - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    grouped = numbered_steps.withColumn("block", F.explode(copies)).groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("at", "cluster_id", "text"))).alias("steps"))
+    rows = grouped.select(*KEY, "block", F.col("steps.at")[0].alias("at"), F.col("steps.cluster_id").alias("ids"), F.col("steps.text").alias("texts"))
+    rows = rows.withColumn("n", F.least(F.size("ids").cast("long"), (F.col("block") + 1) * size - F.col("at")).cast("int")).where("n > 0")
+    # At most one scenario goes on into a block: where it began.
+    ends = numbered_steps.groupBy(*KEY).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    long = ends.where(F.floor(F.col("first") / size) < F.floor(F.col("last") / size))
+    began = long.select("first", F.explode(F.sequence(F.floor(F.col("first") / size) + 1, F.floor(F.col("last") / size))).alias("block"))
+    rows = rows.join(began, "block", "left").withColumn("start", F.when(F.col("at") == F.col("block") * size, F.col("at") - F.col("first")))
+    return rows.select(*KEY, "ids", "texts", "n", "at", F.coalesce("start", F.lit(0)).cast("int").alias("start"))
+
+
 def slices(scenario_rows: DataFrame, l_max: int = L_MAX) -> DataFrame:
-    """Every window of L_MIN to l_max consecutive steps, at every start."""
-    lengths = scenario_rows.withColumn("L", F.explode(F.sequence(F.lit(L_MIN), F.least(F.lit(l_max), F.col("n")))))
-    starts = lengths.withColumn("position_start", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("L"))))
-    window = F.slice("ids", F.col("position_start") + 1, F.col("L"))
-    return starts.select(*KEY, "position_start", "L", F.array_join(window.cast("array<string>"), ",").alias("pattern"), F.slice("texts", F.col("position_start") + 1, F.col("L")).alias("text_seq"))
-
-
-def ranking(slice_rows: DataFrame, min_support: int = 2) -> DataFrame:
-    """Patterns with their support and spread, from one hierarchy of sums:
-    scenario, file, repository, pattern. Each level is aggregated before its
-    shuffle, so a frequent pattern reaches a task as one row per repository."""
-    place = F.min(F.struct(*KEY, "position_start", "text_seq"))
-    by_scenario = slice_rows.groupBy("pattern", "L", *KEY).agg(F.count(F.lit(1)).alias("n"), place.alias("first"))
-    by_file = by_scenario.groupBy("pattern", "L", "repo_slug", "file_path").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scenarios"), F.min("first").alias("first"))
-    by_repo = by_file.groupBy("pattern", "L", "repo_slug").agg(F.sum("n").alias("n"), F.sum("scenarios").alias("scenarios"), F.max("scenarios").alias("within_file"), F.count(F.lit(1)).alias("files"), F.min("first").alias("first"))
-    rows = by_repo.groupBy("pattern", "L").agg(
-        F.sum("n").alias("support_total"),
-        F.count(F.lit(1)).alias("n_distinct_repos"),
-        F.sum("files").alias("n_distinct_files"),
-        F.sum("scenarios").alias("n_distinct_scenarios"),
-        F.max("within_file").alias("max_within_file_recurrence"),
-        F.max("files").alias("max_within_repo_files"),
-        F.countDistinct(owner(F.col("repo_slug"))).alias("n_distinct_orgs"),
-        F.min("first").alias("first"),
+    """Every window of L_MIN to l_max consecutive steps, at every start: of whole
+    scenarios, or of ``blocks``, whose windows have the number of their first
+    step, ``at``, beside their position."""
+    most = F.least(F.lit(l_max), F.size("ids"))
+    lengths = scenario_rows.where(most >= L_MIN).withColumn("L", F.explode(F.sequence(F.lit(L_MIN), most)))
+    last = F.least(F.size("ids") - F.col("L"), F.col("n") - 1)
+    starts = lengths.where(last >= 0).withColumn("_from", F.explode(F.sequence(F.lit(0), last)))
+    window = F.slice("ids", F.col("_from") + 1, F.col("L"))
+    dealt = "start" in scenario_rows.columns
+    position = (F.col("_from") + F.col("start") if dealt else F.col("_from")).alias("position_start")
+    own = [(F.col("at") + F.col("_from")).alias("at")] if dealt else []
+    return starts.select(*KEY, position, "L", F.array_join(window.cast("array<string>"), ",").alias("pattern"), F.slice("texts", F.col("_from") + 1, F.col("L")).alias("text_seq"), *own)
+
+
+def counts(slice_rows: DataFrame, min_support: int = 2) -> DataFrame:
+    """Patterns with their support and spread, and ``at``, the number of their
+    first window's first step, from one hierarchy of sums: scenario, file,
+    repository, owner, pattern. Each level is aggregated before its shuffle, so a
+    frequent pattern reaches a task as one row per owner, and all measures are
+    numbers, so that all levels aggregate by hash."""
+    n, low = F.count(F.lit(1)), F.min("at").alias("at")
+    total = lambda c: F.sum(c).alias(c)
+    rows = slice_rows.groupBy("pattern", "L", *KEY).agg(n.alias("support_total"), low)
+    rows = rows.groupBy("pattern", "L", "repo_slug", "file_path").agg(total("support_total"), n.alias("n_distinct_scenarios"), low)
+    within = F.max("n_distinct_scenarios").alias("max_within_file_recurrence")
+    rows = rows.groupBy("pattern", "L", "repo_slug").agg(total("support_total"), total("n_distinct_scenarios"), within, n.alias("n_distinct_files"), low)
+    # Owner and pattern: the spread over repositories as a maximum and a sum.
+    rows = rows.groupBy("pattern", "L", owner(F.col("repo_slug")).alias("owner")).agg(
+        total("support_total"), total("n_distinct_scenarios"), F.max("max_within_file_recurrence").alias("max_within_file_recurrence"), total("n_distinct_files"), F.max("n_distinct_files").alias("max_within_repo_files"), n.alias("n_distinct_repos"), low
     )
-    rows = rows.where(F.col("support_total") >= min_support).withColumn("canonical_text_seq", F.col("first.text_seq")).drop("first")
+    rows = rows.groupBy("pattern", "L").agg(
+        total("support_total"), total("n_distinct_scenarios"), F.max("max_within_file_recurrence").alias("max_within_file_recurrence"), total("n_distinct_files"), F.max("max_within_repo_files").alias("max_within_repo_files"), total("n_distinct_repos"), n.alias("n_distinct_orgs"), low
+    )
+    return rows.where(F.col("support_total") >= min_support)
+
+
+def ranking(slice_rows: DataFrame, numbered_steps: DataFrame, min_support: int = 2) -> DataFrame:
+    """``counts`` with the texts of each pattern's first window in order of key
+    and position, fetched for recurring patterns alone."""
+    rows = counts(slice_rows, min_support)
+    spots = rows.select("pattern", F.posexplode(F.sequence(F.col("at"), F.col("at") + F.col("L") - 1)).alias("i", "at"))
+    texts = spots.join(numbered_steps.select("at", "text"), "at").groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("t"))
+    rows = rows.drop("at").join(texts.select("pattern", F.col("t.text").alias("canonical_text_seq")), "pattern")
     return rows.withColumn("has_template_structure", has_quote_pair(F.col("canonical_text_seq")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket,
 from stepweave.operators import agreement, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
 from stepweave.sources.tables import Catalog, cut, event_steps, lineitem_steps
+from stepweave.sources.versions import Stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,12 +34,34 @@ def _steps(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return lineitem_steps(spark, d) if kind == "li" else event_steps(spark, d, kind == "ev2")
 
 
+def _kept(spark: SparkSession, d: str, kind: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage table of this run, written by the query that needs it first. Its
+    name tells the input files by length and time, so changed input is a new one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    marks = [d]
+    for table in ("lineitem", "orders", "customer", "nation", "region", "part") if kind == "li" else ("events",):
+        path = fs_path(f"{d}/{table}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        marks.append(f"{table} {status.getLen()} {status.getModificationTime()}")
+    stages = Stages.of(spark, f"stages-{spark.sparkContext.applicationId}")
+    named = f"{name}-{kind}-{hashlib.md5(' '.join(marks).encode()).hexdigest()}"
+    return stages.read(named) if stages.exists(named) else stages.write(named, make())
+
+
+def _numbered(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
+    return sequences.numbered(_kept(spark, d, kind, "steps", lambda: sequences.placed(_steps(spark, d, kind))))
+
+
 def _slices(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
-    return sequences.slices(sequences.scenarios(_steps(spark, d, kind)))
+    return _kept(spark, d, kind, "slices", lambda: sequences.slices(sequences.blocks(_numbered(spark, d, kind))).drop("text_seq"))
+
+
+def _ranking(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
+    return _kept(spark, d, kind, "ranking", lambda: sequences.ranking(_slices(spark, d, kind), _numbered(spark, d, kind)))
 
 
 def _ranked(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
-    return patterns.with_scopes(sequences.ranking(_slices(spark, d, kind)))
+    return patterns.with_scopes(_ranking(spark, d, kind))
 
 
 def _candidates(spark: SparkSession, d: str, kind: str = "li") -> DataFrame:
@@ -51,12 +75,12 @@ def steps_join_members(spark, d):
 
 @query(oracle.over("li", "SELECT repo_slug, file_path, scenario, n FROM scen"))
 def scenario_lengths(spark, d):
-    return sequences.scenarios(_steps(spark, d, "li")).select(*sequences.KEY, "n")
+    return sequences.lengths(_steps(spark, d, "li"))
 
 
 @query(oracle.over("ev", "SELECT n, count(*) AS scenarios FROM scen GROUP BY n"))
 def scenario_length_histogram(spark, d):
-    return sequences.scenarios(_steps(spark, d, "ev")).groupBy("n").agg(F.count(F.lit(1)).alias("scenarios"))
+    return sequences.lengths(_steps(spark, d, "ev")).groupBy("n").agg(F.count(F.lit(1)).alias("scenarios"))
 
 
 @query(
@@ -66,7 +90,7 @@ def scenario_length_histogram(spark, d):
     )
 )
 def scenario_length_percentiles(spark, d):
-    return sequences.length_profile(sequences.scenarios(_steps(spark, d, "li")))
+    return sequences.length_profile(sequences.lengths(_steps(spark, d, "li")))
 
 
 _AUDIT = [
@@ -87,7 +111,7 @@ def scenario_identity_audit(spark, d):
 
 @query(oracle.over("li", "SELECT repo_slug, file_path, scenario, position_start, L, pattern FROM slices"))
 def slices_enumerate(spark, d):
-    return _slices(spark, d).drop("text_seq")
+    return _slices(spark, d).drop("at")
 
 
 @query(oracle.over("ev", "SELECT L, count(*) AS slices FROM slices GROUP BY L"))
@@ -137,8 +161,7 @@ def pattern_flags(spark, d):
 
 
 def _suites(spark, d, *thresholds) -> DataFrame:
-    rows = _slices(spark, d)
-    return patterns.spec_suite_files(rows, sequences.ranking(rows), *thresholds)
+    return patterns.spec_suite_files(_slices(spark, d), _ranking(spark, d), *thresholds)
 
 
 @query(oracle.over("li", "SELECT * FROM suites", oracle.suite(50, 100, 0.30)))
@@ -152,9 +175,11 @@ def spec_suite_files_low(spark, d):
 
 
 def _outliers(spark, d, kind: str = "li") -> DataFrame:
-    rows = _slices(spark, d, kind)
-    ranked = sequences.ranking(rows)
-    return patterns.outlier_fraction(rows, ranked, patterns.spec_suite_files(rows, ranked))
+    def make() -> DataFrame:
+        rows, ranked = _slices(spark, d, kind), _ranking(spark, d, kind)
+        return patterns.outlier_fraction(rows, ranked, patterns.spec_suite_files(rows, ranked))
+
+    return _kept(spark, d, kind, "outliers", make)
 
 
 @query(oracle.over("li", "SELECT pattern, outlier_fraction, CASE WHEN outlier_fraction <= 0.5 THEN 'real_signal' ELSE 'spec_dominated' END AS stratum FROM ranked JOIN outliers USING (pattern)", oracle.suite(50, 100, 0.30)))
@@ -186,7 +211,7 @@ def candidate_features(spark, d):
 def _prevalence(name: str, level: tuple[str, ...], gate: str = "true", kind: str = "li") -> None:
     def run(spark, d):
         rows = _slices(spark, d, kind)
-        return rollups.prevalence(rollups.scenario_flags(rows, sequences.ranking(rows), F.expr(gate)), *level)
+        return rollups.prevalence(rollups.scenario_flags(rows, _ranking(spark, d, kind), F.expr(gate)), *level)
 
     run.__name__ = name
     query(oracle.rolled(kind, ", ".join(level), gate))(run)
@@ -204,8 +229,7 @@ _prevalence("headline_gated", ("repo_slug", "file_path", "scenario"), "support_t
     )
 )
 def repo_pattern_distribution(spark, d):
-    rows = _slices(spark, d, "ev")
-    return rollups.patterns_per_repo(rows, sequences.ranking(rows))
+    return rollups.patterns_per_repo(_slices(spark, d, "ev"), _ranking(spark, d, "ev"))
 
 
 @query(oracle.over("li", "SELECT repo_slug, count(*) AS files FROM suites WHERE is_spec_suite GROUP BY 1 ORDER BY files DESC, repo_slug LIMIT 10", oracle.suite(50, 100, 0.30)))
@@ -258,8 +282,7 @@ def quality_topn(spark, d):
     )
 )
 def call_sites(spark, d):
-    rows = _slices(spark, d)
-    return patterns.call_sites(rows, sequences.ranking(rows).where("support_total >= 20"))
+    return patterns.call_sites(_slices(spark, d), _ranking(spark, d).where("support_total >= 20"))
 
 
 @query(oracle.qa("li", "SELECT repo_slug, count(DISTINCT pattern) AS patterns FROM slices WHERE pattern IN (SELECT pattern FROM qa WHERE rejection_reason = 'kept') GROUP BY 1 ORDER BY patterns DESC, repo_slug LIMIT 10"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, mechanism_of
 from stepweave.operators import agreement, judging, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _PAIRS, ROUNDS, _base, _candidates, _case, _labelled, _outliers, _pairs, _ranked, _slices, query
+from stepweave.plans.catalogue import _PAIRS, ROUNDS, _base, _candidates, _case, _labelled, _outliers, _pairs, _ranked, _ranking, _slices, query
 from stepweave.sources.tables import cut
 
 _CELLS = ["l_bucket", "scope_repo", "support_bucket"]
@@ -36,9 +36,8 @@ examples AS (
 def _pool(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The pool, with the slices and files that it was made of."""
     rows = _slices(spark, d)
-    ranked = sequences.ranking(rows)
-    suites = patterns.spec_suite_files(rows, ranked)
-    known = patterns.with_scopes(patterns.outlier_fraction(rows, ranked, suites)).where("scope_repo <> 'noscope'")
+    suites = patterns.spec_suite_files(rows, _ranking(spark, d))
+    known = patterns.with_scopes(_outliers(spark, d)).where("scope_repo <> 'noscope'")
     known = known.withColumns(
         {
             "l_bucket": bucket(F.col("L"), LENGTH_BUCKETS),
@@ -100,7 +99,7 @@ def headline_predicted(spark, d):
     """Prevalence over scenarios of the patterns that the classifier accepts."""
     accepted = cut(population_scores(spark, d).where("pred = 1").select("pattern"))
     rows = _slices(spark, d, "ev")
-    ranked = sequences.ranking(rows).join(accepted, "pattern", "left_semi")
+    ranked = _ranking(spark, d, "ev").join(accepted, "pattern", "left_semi")
     return rollups.prevalence(rollups.scenario_flags(rows, ranked), *sequences.KEY)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import mechanism_of
 from stepweave.operators import density, patterns, rollups, sequences, vectors
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _candidates, _outliers, _qa, _ranked, _slices, _steps, _suites, query
+from stepweave.plans.catalogue import _candidates, _outliers, _qa, _ranked, _ranking, _slices, _steps, _suites, query
 from stepweave.sources import tables
 
 
@@ -19,7 +19,7 @@ from stepweave.sources import tables
 )
 def corpus_shape(spark, d):
     steps = _steps(spark, d, "li")
-    return rollups.corpus_shape(steps, sequences.scenarios(steps))
+    return rollups.corpus_shape(steps, sequences.lengths(steps))
 
 
 @query(oracle.rolled("li", "repo_slug, file_path, scenario", "pattern IN (SELECT pattern FROM outliers WHERE outlier_fraction <= 0.5)").replace(",\nheld AS", oracle.suite(50, 100, 0.30) + ",\nheld AS"))
@@ -36,7 +36,7 @@ def real_signal_prevalence(spark, d):
 )
 def prevalence_rollup(spark, d):
     rows = _slices(spark, d)
-    return rollups.by_level(rollups.scenario_flags(rows, sequences.ranking(rows)))
+    return rollups.by_level(rollups.scenario_flags(rows, _ranking(spark, d)))
 
 
 @query(oracle.over("li", "SELECT count(*) AS files, count_if(is_spec_suite) AS suites, quantile_cont(n_distinct_rq1_patterns, 0.5) AS median_rq1_patterns FROM suites", oracle.suite(50, 100, 0.30)))

@@ -26,12 +26,19 @@ class Catalog:
         raise FileNotFoundError(f"no table {name} below {', '.join(self.bases)}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder that the session
-    names; a temporary folder only where it names none, as in local tests."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a temporary
+    one only where it names none, as in local tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

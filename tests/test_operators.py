@@ -18,6 +18,17 @@ def steps(spark, *scenarios, repo="o_r", file="f"):
     return spark.createDataFrame(rows, STEP)
 
 
+def dealt(rows, size=4096):
+    """Numbered steps, and all windows."""
+    numbered = tables.cut(sequences.numbered(tables.cut(sequences.placed(rows))))
+    return numbered, sequences.slices(sequences.blocks(numbered, size=size))
+
+
+def ranking(rows):
+    numbered, windows = dealt(rows)
+    return sequences.ranking(windows, numbered)
+
+
 def test_blank_and_null_scenarios_go_and_unclustered_steps_close_up(spark):
     rows = steps(spark, ("a", [1, None, 2]), (" \t", [1, 2]), (None, [1, 2]), ("b", [5]))
     assert [(r["scenario"], r["ids"]) for r in sequences.scenarios(rows).collect()] == [("a", [1, 2])]
@@ -30,17 +41,35 @@ def test_window_counts(spark, n):
 
 
 def test_support_counts_overlaps_of_one_scenario(spark):
-    ranked = sequences.ranking(sequences.slices(sequences.scenarios(steps(spark, ("a", [7, 7, 7, 7])))))
+    ranked = ranking(steps(spark, ("a", [7, 7, 7, 7])))
     row = ranked.where("pattern = '7,7'").first()
     assert (row["support_total"], row["n_distinct_scenarios"], row["max_within_file_recurrence"]) == (3, 1, 1)
 
 
 def test_repositories_of_one_owner_are_one_owner(spark):
     rows = steps(spark, ("a", [1, 2]), repo="o_r1").union(steps(spark, ("a", [1, 2]), repo="o_r2"))
-    row = sequences.ranking(sequences.slices(sequences.scenarios(rows))).first()
+    row = ranking(rows).first()
     assert (row["n_distinct_repos"], row["n_distinct_orgs"]) == (2, 1)
 
 
+@pytest.mark.parametrize("size", [18, 23, 64, 4096])
+def test_long_scenarios_are_dealt_over_rows(spark, size):
+    """All windows once, wherever the rows are cut."""
+    rng = random.Random(size)
+    made = [(f"s{i}", [rng.randrange(3) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 17, 18, 19, 40, 200, 5])]
+    rows = steps(spark, *made).repartition(5)
+    want = sorted((r["scenario"], r["position_start"], r["L"], r["pattern"], tuple(r["text_seq"])) for r in sequences.slices(sequences.scenarios(rows)).collect())
+    numbered, windows = dealt(rows, size)
+    assert sorted((r["scenario"], r["position_start"], r["L"], r["pattern"], tuple(r["text_seq"])) for r in windows.collect()) == want
+    assert [r["at"] for r in numbered.orderBy("at").collect()] == list(range(sum(len(ids) for _, ids in made)))
+    first = {}
+    for scenario, position, _, pattern, texts in want:
+        first.setdefault(pattern, (scenario, position, texts))
+        first[pattern] = min(first[pattern], (scenario, position, texts))
+    got = {r["pattern"]: tuple(r["canonical_text_seq"]) for r in sequences.ranking(windows, numbered, 1).collect()}
+    assert got == {p: v[2] for p, v in first.items()}
+
+
 def test_bucket_raises_outside(spark):
     with pytest.raises(Exception, match="outside all buckets"):
         spark.range(1).select(bucket(F.lit(19), LENGTH_BUCKETS)).collect()
