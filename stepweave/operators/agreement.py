@@ -181,3 +181,16 @@ def by_fold(rows: DataFrame) -> DataFrame:
     macro = per.groupBy("fold").agg(F.avg("f1").alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
     whole = counts.groupBy("fold").agg(F.sum("n").alias("n"), (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     return whole.join(macro, whole["fold"].eqNullSafe(macro["fold"])).drop(macro["fold"])
+
+
+def scores_by_fold(rows: DataFrame, folds: int) -> DataFrame:
+    """fold, n, precision, recall, f1 and auc of (fold, actual, predicted, score)
+    rows: of each fold, and of all rows (fold null)."""
+    out = None
+    for k in [*range(folds), None]:
+        part = rows if k is None else rows.where(F.col("fold") == k)
+        # One row each.
+        one = binary_metrics(part).join(F.broadcast(auc(part.select("score", "actual"))))
+        one = one.select(F.lit(k).cast("int").alias("fold"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), "precision", "recall", "f1", "auc")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -1,102 +1,54 @@
-"""Classifiers and clusters of patterns as Spark ML pipelines."""
+"""Classifiers of patterns on histogram boosting, and reduced clusters."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from typing import TypeVar
-
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.operators import sampling
+from stepweave.operators import boosting, sampling
 
-#: What the classifiers read of a pattern.
+#: What the classifiers read of a pattern, and the classes in order.
 FEATURES = "L support_total n_distinct_repos n_distinct_orgs n_distinct_files max_within_file_recurrence max_within_repo_files outlier_fraction has_template scope_RQ1 scope_RQ2 scope_RQ3 ratio_within_file ratio_within_repo ratio_orgs".split()
-#: Boosting rounds and depth of a tree; the classes in order.
-ROUNDS, DEPTH = 200, 4
-ROWS_PER_TASK = 50_000
-T = TypeVar("T")
 MECHANISMS = ["background", "reusable_scenario", "shared_higher_level_step"]
+ROUNDS, DEPTH, FOLDS = boosting.ROUNDS, boosting.DEPTH, 5
 
 
-def _vector(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="features")
-
-
-def _booster(label: str, rounds: int, depth: int, seed: int) -> Pipeline:
-    booster = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)
-    return Pipeline(stages=[_vector(FEATURES), booster])
+def extraction(labelled: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, folds: int = FOLDS, key: str = "pattern", label: str = "label", seed: int = 42) -> tuple[DataFrame, boosting.Model]:
+    """The labelled rows with their fold and p, the probability of label 1 out of
+    fold, and the models: one without each fold, one of all rows."""
+    cut_rows = sampling.folds(labelled, label, key, folds, seed)
+    model = boosting.fit(cut_rows, FEATURES, label, folds=folds, rounds=rounds, depth=depth)
+    return boosting.scored(cut_rows, model, "fold").withColumn("pred", (F.col("p") >= 0.5).cast("int")), model
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Labelled rows in as few partitions as their number calls for: boosting
-    runs many small jobs, one after the other."""
-    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK)))
-
+def mechanisms(labelled: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, folds: int = FOLDS, key: str = "pattern", label: str = "mechanism", seed: int = 42) -> tuple[DataFrame, boosting.Model]:
+    """Rows labelled with one of MECHANISMS (others are left out) with their fold
+    and ``predicted`` out of fold, and the models."""
+    index = F.array_position(F.array(*map(F.lit, MECHANISMS)), F.col(label)) - 1
+    rows = sampling.folds(labelled.where(F.col(label).isin(MECHANISMS)), label, key, folds, seed).withColumn("_label", index.cast("int"))
+    model = boosting.fit(rows, FEATURES, "_label", folds=folds, classes=len(MECHANISMS), rounds=rounds, depth=depth)
+    return named(boosting.scored(rows.drop("_label"), model, "fold")), model
 
-def _each_fold(fit: Callable[[int], T], folds: Sequence[int]) -> list[T]:
-    """The folds' models, fitted side by side."""
-    with ThreadPoolExecutor(max(1, len(folds))) as pool:
-        return list(pool.map(fit, folds))
 
+def named(scored: DataFrame) -> DataFrame:
+    """``predicted``, the mechanism of the greatest probability, the first of equals."""
+    return scored.withColumn("predicted", F.element_at(F.array(*map(F.lit, MECHANISMS)), F.array_position("p", F.array_max("p")).cast("int")))
 
-def out_of_fold(rows: DataFrame, folds: int = 5, rounds: int = ROUNDS, depth: int = DEPTH, key: str = "pattern", label: str = "label", seed: int = 42) -> DataFrame:
-    """Each row's probability of label 1 from boosted trees fitted on the other
-    folds, over which the labels are spread evenly."""
-    cut = sampling.folds(rows, label, key, folds, seed)
-    made = _each_fold(lambda k: _booster(label, rounds, depth, seed).fit(_packed(cut.where(F.col("fold") != k))), range(folds))
-    out = None
-    for k, model in enumerate(made):
-        scored = model.transform(cut.where(F.col("fold") == k))
-        part = scored.select(key, label, "fold", F.element_at(vector_to_array("probability"), 2).alias("p"))
-        out = part if out is None else out.unionByName(part)
-    return out
 
-
-def mechanism_predictions(rows: DataFrame, label: str = "mechanism_rule", key: str = "pattern", folds: int = 5, trees: int = ROUNDS, depth: int = DEPTH, seed: int = 42) -> DataFrame:
-    """Multi-class predictions out of fold, the classes in fixed order; Spark's
-    boosted trees are binary, so these are random forests of as many trees."""
-    index = F.array_position(F.array(*map(F.lit, MECHANISMS)), F.col(label)) - 1
-    cut = sampling.folds(rows, label, key, folds, seed).withColumn("_label", index.cast("double"))
-    forest = RandomForestClassifier(labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed)
-    made = _each_fold(lambda k: Pipeline(stages=[_vector(FEATURES), forest]).fit(_packed(cut.where(F.col("fold") != k))), range(folds))
-    out = None
-    for k, model in enumerate(made):
-        scored = model.transform(cut.where(F.col("fold") == k))
-        out = scored if out is None else out.unionByName(scored)
-    named = out.withColumn("mechanism", F.element_at(F.array(*map(F.lit, MECHANISMS)), F.col("prediction").cast("int") + 1))
-    return named.drop("features", "rawPrediction", "probability", "prediction", "_label")
+def importances(spark_rows: DataFrame, model: boosting.Model) -> DataFrame:
+    """Features of importance above 0, the greatest first."""
+    found = sorted(((f, v) for f, v in model.importances().items() if v > 0), key=lambda x: (-x[1], x[0]))
+    return spark_rows.sparkSession.createDataFrame(found, "feature string, importance double")
 
 
 def reduced_clusters(vectors: DataFrame, components: int = 50, clusters: int = 10, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """Principal components and k-means in place of a neighbour-graph layout
-    and density clusters, which have no distributed form here."""
+    """Principal components and k-means, beside the layout by ``neighbours`` and
+    the clusters of ``hierarchy``."""
     rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
     pca = PCA(k=components, inputCol="raw", outputCol="features")
     model = Pipeline(stages=[pca, KMeans(k=clusters, seed=seed, featuresCol="features", predictionCol="cluster_id")]).fit(rows)
     return model.transform(rows).select(key, "cluster_id")
-
-
-def feature_importance(rows: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, label: str = "label", seed: int = 42) -> DataFrame:
-    """Importance of each feature, averaged over models that each leave out one
-    fold (column ``fold``)."""
-    names = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # one row per fold
-    made = _each_fold(lambda k: _booster(label, rounds, depth, seed).fit(_packed(rows.where(F.col("fold") != k))), names)
-    sums = [0.0] * len(FEATURES)
-    for model in made:
-        sums = [a + b for a, b in zip(sums, model.stages[-1].featureImportances.toArray().tolist(), strict=True)]
-    found = [(f, v / max(1, len(names))) for f, v in zip(FEATURES, sums, strict=True)]
-    return rows.sparkSession.createDataFrame(found, "feature string, importance double")
-
-
-def scored(labelled: DataFrame, population: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, label: str = "label", seed: int = 42) -> DataFrame:
-    """``population`` with the probability of label 1 by boosted trees that are
-    fitted on all labelled rows, and the prediction at 0.5."""
-    rows = _booster(label, rounds, depth, seed).fit(_packed(labelled)).transform(population).withColumn("p", F.element_at(vector_to_array("probability"), 2))
-    return rows.withColumn("pred", (F.col("p") >= 0.5).cast("int")).drop("features", "rawPrediction", "probability", "prediction")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from stepweave.sources.tables import cut
+
 
 def seeded(key: str, seed: int) -> Column:
     """A fixed pseudo-random order of keys."""
@@ -103,18 +108,74 @@ def assigned(pool: DataFrame, overlap: int, raters: list[str], key: str = "patte
     return pool.withColumn("assignment", F.when(place < overlap, "overlap").otherwise(name))
 
 
-def bootstrap_f1(pairs: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Median and 95 % interval of F1 over Poisson resamples of (actual,
-    predicted) rows: every row draws its weight in each resample from a hash, so
-    rows are resampled where they are and only sums are shuffled."""
-    rows = pairs.where("actual = 1 or predicted = 1").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draw = (F.pmod(F.xxhash64("key", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, below, p = F.lit(0), 0.0, 0.36787944117144233  # exp(-1), the chance of weight 0
-    for k in range(8):
-        below += p
-        weight = F.when(draw > below, k + 1).otherwise(weight)
-        p /= k + 1
-    kind = lambda a, b: F.sum(F.when((F.col("actual") == a) & (F.col("predicted") == b), F.col("w")).otherwise(0))
-    sums = rows.withColumn("w", weight).groupBy("b").agg(kind(1, 1).alias("tp"), (kind(1, 0) + kind(0, 1)).alias("off"))
-    f1 = sums.where("2 * tp + off > 0").select((2 * F.col("tp") / (2 * F.col("tp") + F.col("off"))).alias("f1"))
-    return f1.agg(F.percentile("f1", 0.5).alias("median"), F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.975).alias("high"), F.count(F.lit(1)).alias("resamples"))
+#: Parts that a bootstrap deals its cells over; one row of sums a part comes back.
+PARTS = 256
+MEASURES = ("precision", "recall", "f1", "auc", "accuracy")
+
+
+def resampled(rows: DataFrame, resamples: int = 1000, seed: int = 42, parts: int | None = None) -> np.ndarray:
+    """MEASURES (rows) of each resample (columns) of (actual, predicted, score)
+    rows, n of n with replacement; nan where a resample has one class only.
+
+    Equal rows are one cell with a count, and weights are multinomial over cells:
+    first over parts of the range of scores, then cell by cell within a part, by
+    binomials of what is left, for all resamples at once. Running sums by score
+    within a part, and on from the parts below, give the area under the curve."""
+    cells = rows.groupBy("score", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    n_parts = parts or max(1, min(PARTS, -(-cells.count() // 2000)))
+    keys = ["score", "actual", "predicted"]
+    placed = cut(cells.repartitionByRange(n_parts, "score").select("*", F.spark_partition_id().alias("part")))
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    names = sorted(sizes)
+    if not names:
+        return np.full((len(MEASURES), resamples), np.nan)
+    total = sum(sizes.values())
+    drawn = np.random.default_rng(seed).multinomial(total, [sizes[k] / total for k in names], size=resamples)
+    share = {k: drawn[:, i] for i, k in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state = None, None
+
+        def close() -> pa.RecordBatch:
+            sums = state["sums"] + [state["area"] + state["hits"] * (state["below"] + state["same"] / 2)]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.concatenate(sums).tolist()], pa.list_(pa.float64()))], ["part", "sums"])
+
+        for batch in batches:
+            for now, score, actual, predicted, n in zip(*(batch.column(c).to_pylist() for c in ("part", *keys, "n")), strict=True):
+                if now != part:
+                    if part is not None:
+                        yield close()
+                    part = now
+                    zero = lambda: np.zeros(resamples)
+                    state = {"rng": np.random.default_rng([seed, now]), "left": share[now].copy(), "of": sizes[now], "sums": [zero() for _ in range(4)], "area": zero(), "below": zero(), "same": zero(), "hits": zero(), "score": score}
+                w = state["left"] if n >= state["of"] else state["rng"].binomial(state["left"], n / state["of"])
+                state["left"], state["of"] = state["left"] - w, state["of"] - n
+                state["sums"][2 * (1 - actual) + (1 - predicted if actual else predicted)] += w
+                if score != state["score"]:
+                    state["area"] += state["hits"] * (state["below"] + state["same"] / 2)
+                    state["below"] = state["below"] + state["same"]
+                    state["hits"], state["same"], state["score"] = np.zeros(resamples), np.zeros(resamples), score
+                state["hits" if actual else "same"] = state["hits" if actual else "same"] + w
+        if part is not None:
+            yield close()
+
+    made = placed.repartition("part").sortWithinPartitions("part", *keys).mapInArrow(run, "part int, sums array<double>")
+    # tp, fn, tn, fp and the area within, of each part in order of score.
+    found = np.array([r["sums"] for r in made.orderBy("part").collect()]).reshape(len(names), 5, resamples)
+    tp, fn, tn, fp = found[:, :4].sum(axis=0)
+    others = found[:, 2] + found[:, 3]
+    below = np.cumsum(others, axis=0) - others
+    area = (found[:, 4] + (found[:, 0] + found[:, 1]) * below).sum(axis=0)
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+    both = (tp + fn > 0) & (tn + fp > 0)
+    auc = np.where(both, area / np.maximum((tp + fn) * (tn + fp), 1), np.nan)
+    return np.stack([ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(2 * tp, 2 * tp + fp + fn), auc, (tp + tn) / total])
+
+
+def bootstrap(rows: DataFrame, resamples: int = 1000, seed: int = 42, parts: int | None = None) -> DataFrame:
+    """metric, median, low and high (95 %) over the resamples that have it."""
+    out = []
+    for name, values in zip(MEASURES, resampled(rows, resamples, seed, parts), strict=True):
+        known = values[~np.isnan(values)]
+        out.append((name, *(map(float, np.percentile(known, [50, 2.5, 97.5])) if len(known) else (None,) * 3), len(known)))
+    return rows.sparkSession.createDataFrame(out, "metric string, median double, low double, high double, resamples long")

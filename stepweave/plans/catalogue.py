@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, has_placeholder, mechanism_of
-from stepweave.operators import agreement, models, patterns, rollups, sampling, sequences
+from stepweave.operators import agreement, boosting, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
 from stepweave.sources.tables import Catalog, cut, event_steps, lineitem_steps
 from stepweave.sources.versions import Stages
@@ -39,7 +40,7 @@ def _kept(spark: SparkSession, d: str, kind: str, name: str, make: Callable[[],
     name tells the input files by length and time, so changed input is a new one."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     marks = [d]
-    for table in ("lineitem", "orders", "customer", "nation", "region", "part") if kind == "li" else ("events",):
+    for table in ("lineitem", "orders", "customer", "nation", "region", "part") if kind == "li" else ("events", "labels"):
         path = fs_path(f"{d}/{table}.parquet")
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         marks.append(f"{table} {status.getLen()} {status.getModificationTime()}")
@@ -385,52 +386,120 @@ def overlap_split(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return sampling.bootstrap_f1(_pairs(spark, d).select(F.col("doc_id").alias("key"), "actual", "predicted"))
+    return sampling.bootstrap(_pairs(spark, d).select("actual", "predicted", (F.col("n_chars") % 17).cast("double").alias("score")))
+
+
+#: Patterns that are labelled, as a labelling pool has them.
+LABELS = 200
+_LABEL_CELLS = ["scope_repo", "l_bucket", "support_bucket"]
+# Labels of patterns, which the tables don't have: those of the documents at the
+# same places of a seeded order of all labels. They know nothing of the features.
+_SAID = "CASE WHEN doc_id % 11 = 0 THEN 'tie' WHEN toxic = 1 THEN 'flagged-spec' WHEN quality = 1 THEN 'yes' WHEN doc_id % 3 = 0 THEN 'uncertain' ELSE 'no' END"
+_SAID_MECHANISM = "CASE doc_id % 7 WHEN 0 THEN 'unsure' WHEN 1 THEN 'background' WHEN 2 THEN 'background' WHEN 3 THEN 'reusable_scenario' WHEN 4 THEN 'reusable_scenario' ELSE 'shared_higher_level_step' END"
+LABELLED = (
+    oracle.suite(50, 100, 0.30)
+    + f""",
+eligible AS (SELECT *, {_case('L', LENGTH_BUCKETS)} AS l_bucket, {_case('support_total', SUPPORT_BUCKETS)} AS support_bucket, md5('42|' || pattern) AS h FROM ranked JOIN outliers USING (pattern) WHERE scope_repo <> 'noscope'),
+portions AS (SELECT greatest(1, {LABELS} // count(*)) AS share FROM (SELECT DISTINCT scope_repo, l_bucket, support_bucket FROM eligible)),
+queued AS (SELECT *, row_number() OVER (PARTITION BY scope_repo, l_bucket, support_bucket ORDER BY h, pattern) > share AS late FROM eligible, portions),
+picked AS (SELECT *, row_number() OVER (ORDER BY h, pattern) AS slot FROM (SELECT * FROM queued ORDER BY late, h, pattern LIMIT {LABELS})),
+said AS (SELECT *, row_number() OVER (ORDER BY g, doc_id) AS slot FROM (SELECT doc_id, {_SAID} AS verdict, {_SAID_MECHANISM} AS mechanism, md5('42|' || doc_id) AS g FROM labels ORDER BY g, doc_id LIMIT {LABELS})),
+labelled AS (SELECT picked.*, verdict, mechanism, CAST(verdict = 'yes' AS INTEGER) AS label FROM picked JOIN said USING (slot) WHERE verdict <> 'tie')"""
+)
 
 
-#: Boosting rounds of the registered queries; the operators' own default is 200. Spark
-#: runs a round as several jobs one after the other, so more rounds only take longer.
-ROUNDS = 20
+def _features(spark, d) -> DataFrame:
+    """Patterns with a scope, and what a classifier reads of them."""
+    return patterns.candidate_features(_outliers(spark, d, "ev")).where("scope_repo <> 'noscope'")
 
 
-def _verdicts(spark, d) -> DataFrame:
-    """Labels of patterns, which the tables don't have: those of the document
-    that a pattern's hash names, and a tie for every eleventh. They know nothing
-    of the features."""
-    rows = Catalog(spark, (d,)).table("labels", ["doc_id", "quality", "toxic"])
-    said = F.when(F.col("doc_id") % 11 == 0, "tie").when(F.col("toxic") == 1, "flagged-spec").when(F.col("quality") == 1, "yes").when(F.col("doc_id") % 3 == 0, "uncertain").otherwise("no")
-    return rows.select(F.col("doc_id").alias("slot"), said.alias("verdict"))
+def _labelled(spark, d) -> DataFrame:
+    """A bounded pool of patterns with features and a label: 1 for yes, 0 for no,
+    uncertain and flagged-spec; ties are left out."""
+    rows = _features(spark, d).withColumns({"l_bucket": bucket(F.col("L"), LENGTH_BUCKETS), "support_bucket": bucket(F.col("support_total"), SUPPORT_BUCKETS)})
+    pool = sampling.stratified(rows, _LABEL_CELLS, LABELS)
+    # Two bounded tables, side by side by their places.
+    slot = lambda key: F.row_number().over(W.Window.orderBy(sampling.seeded(key, 42), key))
+    said = Catalog(spark, (d,)).table("labels", ["doc_id", "quality", "toxic"]).orderBy(sampling.seeded("doc_id", 42), "doc_id").limit(LABELS)
+    said = said.select(slot("doc_id").alias("slot"), F.expr(_SAID).alias("verdict"), F.expr(_SAID_MECHANISM).alias("mechanism"))
+    rows = pool.withColumn("slot", slot("pattern")).join(said, "slot").where("verdict <> 'tie'")
+    return rows.withColumn("label", (F.col("verdict") == "yes").cast("int")).drop("slot")
+
+
+@query(oracle.over("ev", "SELECT pattern, verdict, mechanism, label FROM labelled", LABELLED))
+def classifier_targets(spark, d):
+    return _labelled(spark, d).select("pattern", "verdict", "mechanism", "label")
 
 
-def _labelled(spark, d) -> DataFrame:
-    """Candidates with features and a label: 1 for yes, 0 for no, uncertain and
-    flagged-spec; ties and patterns without a verdict are left out."""
-    rows = patterns.candidate_features(_outliers(spark, d, "ev")).where("scope_repo <> 'noscope'")
-    rows = rows.withColumn("slot", F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("long") % 500)
-    return rows.join(_verdicts(spark, d), "slot").where("verdict <> 'tie'").withColumn("label", (F.col("verdict") == "yes").cast("int")).drop("slot")
+@query()
+def gbt_predictions(spark, d):
+    """Probabilities out of fold."""
+    return _kept(spark, d, "ev", "out-of-fold", lambda: models.extraction(cut(_labelled(spark, d)))[0].select("pattern", "label", "fold", "p", "pred"))
 
 
-@query(oracle.over("ev", "SELECT pattern, verdict, label FROM labelled", oracle.suite(50, 100, 0.30) + oracle.LABELLED))
-def classifier_targets(spark, d):
-    return _labelled(spark, d).select("pattern", "verdict", "label")
+@query()
+def gbt_metrics(spark, d):
+    """Precision, recall, F1 and AUC of each fold and of all (fold null)."""
+    return agreement.scores_by_fold(cut(gbt_predictions(spark, d).select("fold", F.col("label").alias("actual"), F.col("pred").alias("predicted"), F.col("p").alias("score"))), models.FOLDS)
 
 
 @query()
-def gbt_predictions(spark, d):
-    return models.out_of_fold(cut(_labelled(spark, d)), rounds=ROUNDS).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+def gbt_intervals(spark, d):
+    """Median and 95 % interval of the measures out of fold."""
+    return sampling.bootstrap(cut(gbt_predictions(spark, d).select(F.col("label").alias("actual"), F.col("pred").alias("predicted"), F.col("p").alias("score"))))
+
+
+def _population(spark, d) -> DataFrame:
+    """All patterns with a scope, scored by the model of all labelled ones."""
+
+    def make() -> DataFrame:
+        model = models.extraction(cut(_labelled(spark, d)))[1]
+        return boosting.scored(cut(_features(spark, d)), model).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+
+    return _kept(spark, d, "ev", "population", make)
+
+
+@query()
+def population_scores(spark, d):
+    return _population(spark, d).select("pattern", "p", "pred")
+
+
+def _accepted(spark, d) -> DataFrame:
+    """The patterns that are predicted yes, with the mechanism that the model of
+    all labelled yes patterns gives them, and that of the rule."""
+
+    def make() -> DataFrame:
+        model = models.mechanisms(cut(_labelled(spark, d).where("verdict = 'yes'")))[1]
+        rows = models.named(boosting.scored(cut(_population(spark, d).where("pred = 1").drop("p")), model))
+        return rows.withColumnRenamed("predicted", "mechanism").withColumn("mechanism_rule", mechanism_of(F.col("scope_org")))
+
+    return _kept(spark, d, "ev", "accepted", make)
+
+
+@query()
+def population_mechanisms(spark, d):
+    return _accepted(spark, d).select("pattern", "scope_org", "mechanism", "mechanism_rule")
 
 
 @query()
 def mechanism_predictions(spark, d):
-    rows = cut(patterns.candidate_features(_outliers(spark, d, "ev")).where("scope_org <> 'noscope'").withColumn("mechanism_rule", mechanism_of(F.col("scope_org"))))
-    return models.mechanism_predictions(rows).select("pattern", "scope_org", "fold", "mechanism", "mechanism_rule")
+    """Mechanisms of the labelled yes patterns, out of fold."""
+    rows = models.mechanisms(cut(_labelled(spark, d).where("verdict = 'yes'")))[0]
+    return rows.select("pattern", "scope_org", "fold", "mechanism", "predicted")
 
 
 @query()
 def mechanism_metrics(spark, d):
     """Accuracy and macro F1 of the predictions out of fold, of each fold and of all."""
-    rows = cut(mechanism_predictions(spark, d).select("fold", F.col("mechanism_rule").alias("actual"), F.col("mechanism").alias("predicted")))
-    return agreement.by_fold(rows)
+    return agreement.by_fold(cut(mechanism_predictions(spark, d).select("fold", F.col("mechanism").alias("actual"), "predicted")))
+
+
+@query()
+def qa_predicted(spark, d):
+    """The QA rules over the patterns that are predicted yes, closure among these
+    alone, under the predicted mechanism."""
+    rows = _accepted(spark, d).where("scope_org <> 'noscope'").withColumnRenamed("mechanism", "_said")
+    return patterns.qa_flags(rows, F.col("_said")).select(*_QA_COLUMNS)
 
 
 @query(_PAIRS + "SELECT 'all yes' AS rule, tp, fp, fn, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM (SELECT count_if(actual = 1) AS tp, count_if(actual = 0) AS fp, 0 AS fn FROM pairs) UNION ALL SELECT 'not toxic', tp, fp, fn, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) FROM (SELECT count_if(actual = 1 AND toxic = 0) AS tp, count_if(actual = 0 AND toxic = 0) AS fp, count_if(actual = 1 AND toxic = 1) AS fn FROM pairs)")

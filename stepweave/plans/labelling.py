@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, mechanism_of
 from stepweave.operators import agreement, judging, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _PAIRS, ROUNDS, _base, _candidates, _case, _labelled, _outliers, _pairs, _ranked, _ranking, _slices, query
+from stepweave.plans.catalogue import _PAIRS, LABELLED, _base, _candidates, _case, _labelled, _outliers, _pairs, _population, _ranked, _ranking, _slices, query
 from stepweave.sources.tables import cut
 
 _CELLS = ["l_bucket", "scope_repo", "support_bucket"]
@@ -77,30 +77,33 @@ def pilot_pick(spark, d):
     return sampling.pilot(cut(_pool(spark, d)[0])).select("quota", "pattern")  # 200 rows, read once per quota
 
 
-@query(oracle.over("ev", "SELECT pattern, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || pattern), pattern) - 1) % 5 AS INTEGER) AS fold FROM labelled", oracle.suite(50, 100, 0.30) + oracle.LABELLED))
+@query(oracle.over("ev", "SELECT pattern, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || pattern), pattern) - 1) % 5 AS INTEGER) AS fold FROM labelled", LABELLED))
 def stratified_folds(spark, d):
     return sampling.folds(cut(_labelled(spark, d))).select("pattern", "label", "fold")
 
 
 @query()
 def feature_importances(spark, d):
-    return models.feature_importance(cut(sampling.folds(cut(_labelled(spark, d)))), rounds=ROUNDS)
+    rows = cut(_labelled(spark, d))
+    return models.importances(rows, models.extraction(rows)[1])
 
 
-@query()
-def population_scores(spark, d):
-    """All candidates, scored by a model of the labelled ones."""
-    every = patterns.candidate_features(_outliers(spark, d, "ev")).where("scope_repo <> 'noscope'")
-    return models.scored(cut(_labelled(spark, d)), every, rounds=ROUNDS).select("pattern", "p", "pred")
+def _predicted_flags(spark, d):
+    """Which scopes of patterns that are predicted yes each scenario holds."""
+    accepted = _population(spark, d).where("pred = 1").select("pattern")
+    return rollups.scenario_flags(_slices(spark, d, "ev"), _ranking(spark, d, "ev").join(accepted, "pattern", "left_semi"))
 
 
 @query()
 def headline_predicted(spark, d):
     """Prevalence over scenarios of the patterns that the classifier accepts."""
-    accepted = cut(population_scores(spark, d).where("pred = 1").select("pattern"))
-    rows = _slices(spark, d, "ev")
-    ranked = _ranking(spark, d, "ev").join(accepted, "pattern", "left_semi")
-    return rollups.prevalence(rollups.scenario_flags(rows, ranked), *sequences.KEY)
+    return rollups.prevalence(_predicted_flags(spark, d), *sequences.KEY)
+
+
+@query()
+def repo_prevalence_predicted(spark, d):
+    """The same over repositories."""
+    return rollups.prevalence(_predicted_flags(spark, d), "repo_slug")
 
 
 # Three raters of documents: (rater, label) by the same rules in both engines.

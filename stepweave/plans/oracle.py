@@ -118,8 +118,3 @@ FEATURES = [
     "max_within_repo_files / CAST(greatest(support_total, 1) AS DOUBLE) AS ratio_within_repo",
     "n_distinct_orgs / CAST(greatest(n_distinct_repos, 1) AS DOUBLE) AS ratio_orgs",
 ]
-LABELLED = """,
-verdicts AS (SELECT doc_id AS slot, CASE WHEN doc_id % 11 = 0 THEN 'tie' WHEN toxic = 1 THEN 'flagged-spec' WHEN quality = 1 THEN 'yes' WHEN doc_id % 3 = 0 THEN 'uncertain' ELSE 'no' END AS verdict FROM labels),
-labelled AS (
-  SELECT ranked.*, outlier_fraction, verdict, CAST(verdict = 'yes' AS INTEGER) AS label
-  FROM ranked JOIN outliers USING (pattern) JOIN verdicts ON slot = CAST('0x' || md5(pattern)[1:4] AS BIGINT) % 500 WHERE scope_repo <> 'noscope' AND verdict <> 'tie')"""

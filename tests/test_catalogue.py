@@ -6,8 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from stepweave.operators import models
-from stepweave.plans import catalogue
+from stepweave.plans import catalogue, oracle
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,45 +26,66 @@ def plain(value):
     return float(value) if hasattr(value, "is_finite") else value
 
 
-ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_predictions", "headline_predicted", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_scores"}
+ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_intervals", "gbt_metrics", "gbt_predictions", "headline_predicted", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_mechanisms", "population_scores", "qa_predicted", "repo_prevalence_predicted"}
 
 
 def test_all_others_have_sql():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == ROWS_ONLY
 
 
-def test_bootstrap_holds_the_estimate(spark):
-    row = catalogue.QUERIES["bootstrap_ci"](spark, str(DATA)).first()
-    f1 = catalogue.QUERIES["classification_metrics"](spark, str(DATA)).first()["f1"]
-    assert row["resamples"] == 1000 and row["low"] < f1 < row["high"]
+def rows_of(spark, name):
+    return catalogue.QUERIES[name](spark, str(DATA)).collect()
 
 
-def test_models_agree_with_their_labels(spark):
-    rows = catalogue.QUERIES["gbt_predictions"](spark, str(DATA)).collect()
-    assert {r["fold"] for r in rows} == set(range(5)) and all(0 <= r["p"] <= 1 for r in rows)
-    rows = catalogue.QUERIES["mechanism_predictions"](spark, str(DATA)).collect()
-    assert sum(r["mechanism"] == r["mechanism_rule"] for r in rows) / len(rows) > 0.95
-    rows = catalogue.QUERIES["population_scores"](spark, str(DATA)).collect()
-    assert len(rows) == len({r["pattern"] for r in rows}) and all(r["pred"] == (r["p"] >= 0.5) for r in rows)
-    found = {r["feature"]: r["importance"] for r in catalogue.QUERIES["feature_importances"](spark, str(DATA)).collect()}
-    assert set(found) == set(models.FEATURES) and sum(found.values()) == pytest.approx(1)
+def test_bootstrap_holds_the_estimates(spark):
+    known = {r["metric"]: r for r in rows_of(spark, "bootstrap_ci")}
+    whole = rows_of(spark, "classification_metrics")[0].asDict() | {"auc": rows_of(spark, "auc_midrank")[0]["auc"]}
+    for name, r in known.items():
+        assert r["resamples"] == 1000 and r["low"] < whole[name] < r["high"]
+
+
+def test_models_out_of_fold(spark):
+    rows = rows_of(spark, "gbt_predictions")
+    assert {r["fold"] for r in rows} == set(range(5)) and all(0 <= r["p"] <= 1 and r["pred"] == (r["p"] >= 0.5) for r in rows)
+    metrics = {r["fold"]: r for r in rows_of(spark, "gbt_metrics")}
+    hit = sum(r["label"] == 1 and r["pred"] == 1 for r in rows)
+    assert set(metrics) == {None, *range(5)} and metrics[None]["n"] == len(rows)
+    assert metrics[None]["recall"] == pytest.approx(hit / sum(r["label"] for r in rows))
+    intervals = {r["metric"]: r for r in rows_of(spark, "gbt_intervals")}
+    assert intervals["f1"]["low"] <= metrics[None]["f1"] <= intervals["f1"]["high"]
+    found = [r["importance"] for r in rows_of(spark, "feature_importances")]
+    assert found == sorted(found, reverse=True) and min(found) > 0 and sum(found) == pytest.approx(1)
+    rows = rows_of(spark, "mechanism_predictions")
+    every = {r["fold"]: r for r in rows_of(spark, "mechanism_metrics")}[None]
+    assert every["accuracy"] == pytest.approx(sum(r["mechanism"] == r["predicted"] for r in rows) / len(rows))
     assert catalogue.QUERIES["pattern_clusters"](spark, str(DATA)).select("cluster_id").distinct().count() == 10
 
 
-def test_boosting_learns_a_rule(spark):
-    rows = [(str(i), i % 2, *[float((i * k) % 7) for k in range(1, 15)], float(i % 2)) for i in range(200)]
-    names = ["pattern", "label", *models.FEATURES]
-    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'pattern' else 'int' if n == 'label' else 'double'}" for n in names))
-    got = models.out_of_fold(df, rounds=3).collect()
-    assert len(got) == 200 and all((r["p"] >= 0.5) == (r["label"] == 1) for r in got)
+def test_predicted_population_equals_sql(spark, duck):
+    """What follows from the stored predictions, by SQL over the same predictions."""
+    predicted = catalogue.QUERIES["population_mechanisms"](spark, str(DATA)).toPandas()
+    scores = {r["pattern"]: r["pred"] for r in rows_of(spark, "population_scores")}
+    assert {p for p, v in scores.items() if v} == set(predicted["pattern"]) and len(predicted) > 10
+    duck.register("predicted", predicted)
+    gate = "pattern IN (SELECT pattern FROM predicted)"
+    for name, level in (("headline_predicted", "repo_slug, file_path, scenario"), ("repo_prevalence_predicted", "repo_slug")):
+        check(spark, duck, name, oracle.rolled("ev", level, gate))
+    sql = oracle.qa("ev", f"SELECT {', '.join(catalogue._QA_COLUMNS)} FROM qa")
+    sql = sql.replace("WHERE scope_org <> 'noscope'),", f"WHERE scope_org <> 'noscope' AND {gate}),").replace("CASE scope_repo WHEN 'RQ3' THEN 'shared_higher_level_step' WHEN 'RQ2' THEN 'reusable_scenario' WHEN 'RQ1' THEN 'background' ELSE 'none' END AS mechanism", "(SELECT mechanism FROM predicted p WHERE p.pattern = cand.pattern) AS mechanism")
+    sql = sql.replace("scope_repo = 'RQ3' AND n_distinct_orgs < 2", "(SELECT mechanism FROM predicted p WHERE p.pattern = cand.pattern) = 'shared_higher_level_step' AND n_distinct_orgs < 2").replace("CASE WHEN scope_repo = 'RQ3' THEN n_distinct_orgs", "CASE WHEN (SELECT mechanism FROM predicted p WHERE p.pattern = cand.pattern) = 'shared_higher_level_step' THEN greatest(n_distinct_orgs, 1)")
+    check(spark, duck, "qa_predicted", sql)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
-def test_equals_sql(spark, duck, name):
+def check(spark, duck, name, sql):
     got = catalogue.QUERIES[name](spark, str(DATA))
     columns = sorted(got.columns)
-    cursor = duck.execute(catalogue.ORACLE[name])
+    cursor = duck.execute(sql)
     names = [c[0] for c in cursor.description]
     assert sorted(names) == columns
     want = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in cursor.fetchall())
     assert sorted(repr([plain(r[c]) for c in columns]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
+def test_equals_sql(spark, duck, name):
+    check(spark, duck, name, catalogue.ORACLE[name])
