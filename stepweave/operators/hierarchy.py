@@ -2,10 +2,10 @@
 
 Two vectors reach each other at the greatest of their distance and of both core
 distances (to the ``min_points``-th row, the vector itself included). A minimum
-spanning tree of the graph of neighbours under this measure comes of rounds of
-joins: each component takes its least edge to another. Components that the graph
-does not link are linked by the least edge within blocks of neighbouring
-vectors, and at last of a few members of each.
+spanning tree under this measure comes of rounds: each component takes its least
+edge to another, found within blocks of neighbouring vectors as the graph of
+neighbours is, and components are joined along these edges. Components that no
+block links are linked through a few members of each.
 
 The tree is read at ``levels`` distances at once: components of the edges up to
 each level follow from one run of joins over (level, node), not level by level.
@@ -16,7 +16,7 @@ so that the sum of stabilities is greatest, never the one of all rows. Rows of n
 cluster are noise, -1; a cluster is named by its least node.
 
 Results are those of the exact hierarchy with distances rounded up to a level,
-where the graph is exact: see ``neighbours``.
+where one block holds all vectors: see ``neighbours``.
 """
 
 from __future__ import annotations
@@ -85,39 +85,27 @@ def _bridges(rows: DataFrame, trees: int, block: int, seed: int) -> DataFrame:
     return neighbours.in_blocks(rows.select("node", "v", "core", "comp"), compare, f"w double, a {kind}, b {kind}, x {kind}, y {kind}", trees, block, seed)
 
 
-def spanning_tree(points: DataFrame, made: DataFrame, trees: int = neighbours.TREES, block: int = neighbours.BLOCK, seed: int = 42) -> DataFrame:
-    """a, b and w of a minimum spanning tree; ``points`` have core. Equal weights
-    are told apart by the ends."""
-    core = points.select(F.col("node").alias("a"), F.col("core").alias("core_a"))
-    other = points.select(F.col("node").alias("b"), F.col("core").alias("core_b"))
-    edges = made.select("a", F.inline("near")).join(core, "a").join(other, "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("distance", "core_a", "core_b").alias("w"))
-    edges = cut(edges.distinct())
-    comps = cut(points.select("node", F.col("node").alias("comp")))
-    tree, linked, tries = None, True, 0
+def spanning_tree(points: DataFrame, trees: int = neighbours.TREES, block: int = neighbours.BLOCK, seed: int = 42) -> DataFrame:
+    """a, b and w of the edges of a minimum spanning tree; ``points`` have core.
+    Among equal weights there may be edges to spare: they join what is joined."""
+    comps, tree, few = points.select("node", F.col("node").alias("comp")), None, False
     while True:
-        if linked:
-            ends = edges.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b").where("x <> y")
-            edges = ends = cut(ends.select("w", "a", "b", "x", "y"))
-        else:
-            rows = points.join(comps, "node")
-            if tries:  # a few members of each component, by hash
-                place = F.row_number().over(W.Window.partitionBy("comp").orderBy(F.xxhash64("node", F.lit(tries)), "node"))
-                rows = rows.withColumn("_place", place).where(F.col("_place") <= MEMBERS).drop("_place")
-            ends = cut(_bridges(cut(rows), trees, block, seed + tries).select("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-            tries += 1
-        least = cut(ends.select("w", "a", "b", F.explode(F.array("x", "y")).alias("comp"), "x", "y").groupBy("comp").agg(F.min(F.struct("w", "a", "b", "x", "y")).alias("e")).select("e.*").distinct())
+        rows = points.join(comps, "node")
+        if few:  # by hash
+            place = F.row_number().over(W.Window.partitionBy("comp").orderBy(F.xxhash64("node"), "node"))
+            rows = rows.withColumn("_place", place).where(F.col("_place") <= MEMBERS).drop("_place")
+        ends = _bridges(cut(rows), trees, block, seed)
+        least = cut(ends.groupBy("x").agg(F.min(F.struct("w", "a", "b", "y")).alias("e")).select("x", "e.*"))
         if least.isEmpty():
             if comps.select("comp").distinct().limit(2).count() < 2:
-                return tree if tree is not None else edges.select("a", "b", "w").where("false")
-            linked = False
+                return tree if tree is not None else least.select("a", "b", "w")
+            few = True
             continue
         tree = cut(least.select("a", "b", "w") if tree is None else tree.unionByName(least.select("a", "b", "w")))
         links = cut(least.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(least.select(F.col("y").alias("a"), F.col("x").alias("b"))))
         ids = links.select(F.col("a").alias("id")).distinct()
         roots = _roots(links, ids.select("id", F.col("id").alias("root")))
         comps = cut(comps.join(roots.withColumnRenamed("id", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
-        if linked:
-            edges = edges.select("w", "a", "b")
 
 
 def _grid(tree: DataFrame, levels: int) -> list[float]:
@@ -130,13 +118,13 @@ def _grid(tree: DataFrame, levels: int) -> list[float]:
     return [float(s) for s in steps]
 
 
-def clusters(vectors: DataFrame, min_points: int = 3, min_cluster: int = 5, levels: int | Sequence[float] = LEVELS, key: str = "vec_id", vector: str = "embedding", neighbours_of: int = 15, trees: int = neighbours.TREES, block: int = neighbours.BLOCK, seed: int = 42) -> DataFrame:
+def clusters(vectors: DataFrame, min_points: int = 3, min_cluster: int = 5, levels: int | Sequence[float] = LEVELS, key: str = "vec_id", vector: str = "embedding", trees: int = neighbours.TREES, block: int = neighbours.BLOCK, seed: int = 42) -> DataFrame:
     """Key, cluster_id and stability of every row's cluster. Null vectors and keys
     are noise, with no stability."""
     points = cut(neighbours.nodes(vectors, key, vector))
-    made = cut(neighbours.graph(points, max(neighbours_of, min_points), trees, block, seed))
+    made = neighbours.graph(points, min_points, trees, block, seed)
     points = cut(cores(points, made, min_points))
-    tree = spanning_tree(points, made, trees, block, seed)
+    tree = spanning_tree(points, trees, block, seed)
     grid = _grid(tree, levels) if isinstance(levels, int) else sorted(levels)
     named = _chosen(points, tree, grid, min_cluster)
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))

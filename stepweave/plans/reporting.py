@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepweave.functions.columns import mechanism_of
-from stepweave.operators import density, patterns, rollups, sequences, vectors
+from stepweave.operators import density, hierarchy, neighbours, patterns, rollups, sequences, vectors
 from stepweave.plans import oracle
 from stepweave.plans.catalogue import _candidates, _outliers, _qa, _ranked, _ranking, _slices, _steps, _suites, query
 from stepweave.sources import tables
@@ -134,3 +134,28 @@ def schema_probe(spark, d):
 def density_clusters(spark, d):
     rows = tables.Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"])
     return density.clusters(rows, 1.18, 5)
+
+
+def _points(spark, d):
+    return tables.cut(neighbours.nodes(tables.Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"]), "vec_id", "embedding"))
+
+
+@query()
+def density_hierarchy(spark, d):
+    """Clusters of several densities, cut by stability; noise is -1."""
+    return hierarchy.clusters(tables.Catalog(spark, (d,)).table("embeddings", ["vec_id", "embedding"]), levels=16)
+
+
+@query()
+def neighbour_recall(spark, d):
+    """How much of the 15 nearest neighbours the graph has, over queries by hash."""
+    points = _points(spark, d)
+    return neighbours.recall(points, tables.cut(neighbours.graph(points, 15)), 15)
+
+
+@query()
+def neighbour_layout(spark, d):
+    """Places of the vectors in two dimensions, by the edges of their graph."""
+    points = _points(spark, d)
+    rows = neighbours.layout(points, tables.cut(neighbours.graph(points, 15)))
+    return rows.select(F.col("node").alias("vec_id"), F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))

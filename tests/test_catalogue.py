@@ -26,7 +26,7 @@ def plain(value):
     return float(value) if hasattr(value, "is_finite") else value
 
 
-ROWS_ONLY = {"bootstrap_ci", "feature_importances", "gbt_intervals", "gbt_metrics", "gbt_predictions", "headline_predicted", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_mechanisms", "population_scores", "qa_predicted", "repo_prevalence_predicted"}
+ROWS_ONLY = {"density_hierarchy", "neighbour_layout", "neighbour_recall", "bootstrap_ci", "feature_importances", "gbt_intervals", "gbt_metrics", "gbt_predictions", "headline_predicted", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_mechanisms", "population_scores", "qa_predicted", "repo_prevalence_predicted"}
 
 
 def test_all_others_have_sql():

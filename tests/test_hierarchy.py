@@ -40,7 +40,6 @@ def plain(rows, min_points, min_cluster, levels):
                         comp[j] = i
                         stack.append(j)
         comps.append(np.array(comp))
-    tree = {}  # (level, component): members, mass
 
     def parts(level, members):
         """Components of size one level down."""
@@ -76,11 +75,10 @@ def plain(rows, min_points, min_cluster, levels):
 
     tops = parts(len(levels) - 1, range(len(v)))
     chosen = all_rows(len(levels) - 1, tops[0]) if len(tops) == 1 else [c for m in tops for c in follow(len(levels) - 1, m)[2]]
-    del tree
     out = {}
     for members, stability in chosen:
         for i in members:
-            out[tuple(v[i])] = (min(names[j] for j in members), round(stability, 6))
+            out[tuple(v[i])] = (min(names[j] for j in members), round(float(stability), 6))
     return sorted(((k, *out.get(tuple(x) if x else None, (-1, None))) for k, x in rows), key=repr)
 
 
@@ -92,7 +90,7 @@ def found(frame):
     return sorted(((r["vec_id"], r["cluster_id"], r["stability"] and round(r["stability"], 6)) for r in frame.collect()), key=repr)
 
 
-@pytest.mark.parametrize("levels", [[0.02 * 1.35**i for i in range(24)], [0.05, 0.5, 1.0, 2.5]])
+@pytest.mark.parametrize("levels", [[0.03 * 1.7**i for i in range(12)], [0.05, 0.5, 1.0, 2.5]])
 def test_equals_the_plain_hierarchy(spark, levels):
     rows = two_densities()
     want = plain(rows, 3, 5, levels)
@@ -103,7 +101,7 @@ def test_equals_the_plain_hierarchy(spark, levels):
 def test_small_blocks_find_the_same_groups(spark):
     """Blocks of 64 vectors: an inexact graph, whose groups must still be those."""
     rows = [r for r in two_densities(5) if r[1] is not None and r[0] is not None][:145]
-    levels = [0.02 * 1.35**i for i in range(24)]
+    levels = [0.03 * 1.7**i for i in range(12)]
     want = {k: c for k, c, _ in plain(rows, 3, 5, levels)}
     got = {k: c for k, c, _ in found(hierarchy.clusters(table(spark, rows), levels=levels, block=64))}
     together = lambda c: np.array([[c[i] == c[j] and c[i] != -1 for i in range(145)] for j in range(145)])
