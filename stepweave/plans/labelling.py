@@ -236,27 +236,39 @@ _ANSWERS = [
     '{"extraction_worthy": "", "label_a": "no", "label_mechanism": "unsure yet"}',
     'first {"other": 1} then {"extraction_worthy": "N/A"}',
     "",
+    '\n```json\n{"label_a": "yes", "mechanism": "n/a\\n"}\n```\n',
+    '{"extraction_worthy": [], "label_a": "no"}',
+    '{"extraction_worthy": 0.0, "label_a": "no", "mechanism": {}, "label_b": "Shared step"}',
+    '{"extraction_worthy": "0", "label_a": "no"}',
 ]
 _TEXTS = ", ".join(f"({i}, {'NULL' if a is None else chr(39) + a.replace(chr(39), chr(39) * 2) + chr(39)})" for i, a in enumerate(_ANSWERS))
 
 
 def _pick(*names: str) -> str:
-    return "coalesce(" + ", ".join(f"CASE WHEN json_extract_string(j, '$.{n}') NOT IN ('', 'false', '0') THEN json_extract_string(j, '$.{n}') END" for n in names) + ", '')"
+    def truth(n: str) -> str:
+        text = f"json_extract_string(j, '$.{n}')"
+        return f"CASE json_type(j, '$.{n}') WHEN 'VARCHAR' THEN nullif({text}, '') WHEN 'BOOLEAN' THEN nullif({text}, 'false') WHEN 'ARRAY' THEN nullif({text}, '[]') WHEN 'OBJECT' THEN nullif({text}, '{{}}') WHEN 'NULL' THEN NULL ELSE CASE WHEN TRY_CAST({text} AS DOUBLE) <> 0 THEN {text} END END"
+
+    return "coalesce(" + ", ".join(map(truth, names)) + ", '')"
+
+
+def _bare(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
 
 
 _PARSED = f"""
 WITH answers(k, content) AS (VALUES {_TEXTS}),
-bare AS (SELECT k, content, CASE WHEN trim(content) LIKE '```%' THEN regexp_replace(regexp_replace(trim(content), '^```[a-zA-Z]*\\s*', ''), '\\s*```\\s*$', '') ELSE trim(content) END AS s FROM answers),
+bare AS (SELECT k, content, CASE WHEN {_bare('content')} LIKE '```%' THEN regexp_replace(regexp_replace({_bare('content')}, '^```[a-zA-Z]*\\s*', ''), '\\s*```\\s*$', '') ELSE {_bare('content')} END AS s FROM answers),
 found AS (
   SELECT k, content, CASE WHEN json_valid(s) AND json_type(s) = 'OBJECT' THEN s
     ELSE list_filter(regexp_extract_all(s, '\\{{[^{{}}]*\\}}'), lambda t: json_valid(t) AND (json_exists(t, '$.extraction_worthy') OR json_exists(t, '$.label_extraction_worthy')))[1] END AS j FROM bare),
-said AS (SELECT *, replace(lower(trim({_pick('extraction_worthy', 'label_extraction_worthy', 'label_a')})), ' ', '-') AS e, replace(lower(trim({_pick('mechanism', 'label_mechanism', 'label_b')})), ' ', '_') AS m FROM found),
+said AS (SELECT *, replace(lower({_bare(_pick('extraction_worthy', 'label_extraction_worthy', 'label_a'))}), ' ', '-') AS e, replace(lower({_bare(_pick('mechanism', 'label_mechanism', 'label_b'))}), ' ', '_') AS m FROM found),
 parsed AS (
   SELECT k, CASE WHEN content IS NULL THEN 'API_FAIL' WHEN j IS NULL THEN 'PARSE_FAIL' WHEN e IN ('yes', 'no', 'uncertain', 'flagged-spec') THEN e WHEN e LIKE '%flag%' AND e LIKE '%spec%' THEN 'flagged-spec'
       WHEN e LIKE 'y%' THEN 'yes' WHEN e LIKE 'n%' AND e NOT LIKE '%n/a%' THEN 'no' WHEN e LIKE '%uncert%' THEN 'uncertain' ELSE 'PARSE_FAIL' END AS verdict,
     CASE WHEN content IS NULL THEN 'API_FAIL' WHEN j IS NULL THEN 'PARSE_FAIL' WHEN m IN ('background', 'reusable_scenario', 'shared_higher_level_step', 'unsure', 'n/a') THEN m WHEN m LIKE '%background%' THEN 'background'
       WHEN m LIKE '%reusable%' THEN 'reusable_scenario' WHEN m LIKE '%shared%' OR m LIKE '%higher%' THEN 'shared_higher_level_step' WHEN m IN ('na', 'none', '') THEN 'n/a' WHEN m LIKE '%unsure%' THEN 'unsure' ELSE 'PARSE_FAIL' END AS mechanism,
-    CASE WHEN j IS NULL THEN trim(coalesce(content, ''))[1:200] ELSE ({_pick('notes', 'rationale', 'reason')})[1:300] END AS notes
+    CASE WHEN j IS NULL THEN {_bare("coalesce(content, '')")}[1:200] ELSE ({_pick('notes', 'rationale', 'reason')})[1:300] END AS notes
   FROM said)
 SELECT doc_id, verdict, mechanism, notes FROM documents JOIN parsed ON k = doc_id % {len(_ANSWERS)}"""
 

@@ -112,3 +112,48 @@ def test_streams(spark, tmp_path):
     for turn in ("1", "2"):
         supports.append_new(new, str(tmp_path / "out"), "scenario", str(tmp_path / turn)).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("content", "said", "how"),
+    [
+        ('\n```json\n{"label_a": "yes"}\n```', "yes", "n/a"),
+        ('{"extraction_worthy": [], "label_a": "no"}', "no", "n/a"),
+        ('{"extraction_worthy": 0.0, "label_a": "no"}', "no", "n/a"),
+        ('{"extraction_worthy": "no", "extraction_worthy": "yes"}', "yes", "n/a"),
+        ('{"extraction_worthy": "yes", "mechanism": "n/a\\n"}', "yes", "n/a"),
+        ('{"extraction_worthy": null, "label_a": false, "mechanism": true}', "PARSE_FAIL", "PARSE_FAIL"),
+        ('so {"extraction_worthy": null} it is', "PARSE_FAIL", "n/a"),
+        ('{"label_a": "yes"} and more', "PARSE_FAIL", "PARSE_FAIL"),
+    ],
+)
+def test_answers_of_judges(spark, content, said, how):
+    df = spark.createDataFrame([(content,)], "c string")
+    assert tuple(df.select(judging.verdict(F.col("c")), judging.mechanism(F.col("c"))).first()) == (said, how)
+
+
+def test_models_are_asked_once_a_key(spark, tmp_path):
+    """Two models with passing and lasting errors; a run that was ended goes on."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def client(model, system, prompt):
+        n = len(list(calls.glob(f"{model}-{prompt}-*")))
+        (calls / f"{model}-{prompt}-{n}").touch()
+        if prompt == "p1" and n == 0:
+            raise judging.Status(429, retry_after=3)
+        if prompt == "p2" and n < 2:
+            raise judging.Status(503)
+        if prompt == "p3" and model == "b":
+            raise judging.Status(400, "bad request")
+        return '{"extraction_worthy": "yes", "mechanism": "background"}'
+
+    prompts = spark.createDataFrame([(f"k{i}", f"p{i}") for i in range(6)], "pattern string, prompt string")
+    ask = lambda rows: judging.ask_models(rows, ["a", "b"], client, str(tmp_path / "log"), wait=lambda s: None, batch=2)
+    ask(prompts.where("pattern < 'k3'"))
+    rows = ask(prompts).collect()
+    assert len(rows) == 12 == len({(r["model"], r["pattern"]) for r in rows})
+    bad = {(r["model"], r["pattern"]): r for r in rows if r["verdict"] != "yes"}
+    assert set(bad) == {("b", "k3")} and bad["b", "k3"]["verdict"] == "API_FAIL" and bad["b", "k3"]["notes"].startswith("400")
+    tries = {m: len(list(calls.glob(f"{m}-*"))) for m in "ab"}
+    assert tries == {"a": 6 + 1 + 2, "b": 6 + 1 + 2}
