@@ -194,3 +194,14 @@ def scores_by_fold(rows: DataFrame, folds: int) -> DataFrame:
         one = one.select(F.lit(k).cast("int").alias("fold"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), "precision", "recall", "f1", "auc")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def class_report(rows: DataFrame) -> DataFrame:
+    """label, support, precision and recall of each class of (actual, predicted)."""
+    cells = rows.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    ends = cells.select("actual", "predicted", "n", F.explode(F.array_distinct(F.array("actual", "predicted"))).alias("label"))
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    is_actual, is_predicted = F.col("actual") == F.col("label"), F.col("predicted") == F.col("label")
+    sums = ends.groupBy("label").agg(count(is_actual).alias("support"), count(is_predicted).alias("_said"), count(is_actual & is_predicted).alias("_hit"))
+    ratio = lambda b: F.col("_hit") / F.greatest(F.col(b), F.lit(1))
+    return sums.select("label", "support", ratio("_said").alias("precision"), ratio("support").alias("recall"))

@@ -116,7 +116,7 @@ def ask_models(prompts: DataFrame, models: Sequence[str], client: Callable[[str,
         dealt = asked.withColumn("_task", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(tasks))).repartition(len(models) * tasks, "model", "_task").sortWithinPartitions("model", key).drop("_task")
         said = dealt.mapInPandas(run, f"model string, `{key}` {kind}, answer string, error string, seconds double")
         failed = F.when(F.col("answer").isNull(), F.substring("error", 1, 200))
-        rows = said.select("model", key, verdict(F.col("answer")).alias("verdict"), mechanism(F.col("answer")).alias("mechanism"), F.coalesce(failed, notes(F.col("answer"))).alias("notes"), F.substring("answer", 1, 300).alias("content"), "error", "seconds")
+        rows = parsed(said, "answer").select("model", key, "verdict", "mechanism", F.coalesce(failed, "notes").alias("notes"), F.substring("answer", 1, 300).alias("content"), "error", "seconds")
         rows.write.mode("append").json(log)
     return spark.read.schema(schema).json(log)
 
@@ -148,11 +148,15 @@ def _is_object(text: Column) -> Column:
     return text.startswith("{") & text.endswith("}") & (F.coalesce(whole, F.lit(False)) | F.coalesce(repeated, F.lit(False)))
 
 
-def _answer(content: Column) -> Column:
-    """The JSON object of an answer: all of it, without a fence around it, or
-    else the first object in it that has an extraction field; null if none."""
+def _plain(content: Column) -> Column:
+    """An answer without white space and without a fence around it."""
     plain = _strip(content)
-    plain = F.when(plain.startswith("```"), F.regexp_replace(F.regexp_replace(plain, r"\A```[A-Za-z]*\s*", ""), r"\s*```\s*\z", "")).otherwise(plain)
+    return F.when(plain.startswith("```"), F.regexp_replace(F.regexp_replace(plain, r"\A```[A-Za-z]*\s*", ""), r"\s*```\s*\z", "")).otherwise(plain)
+
+
+def _object(plain: Column) -> Column:
+    """The JSON object of an answer: all of it, or else the first object in it
+    that has an extraction field; null if none."""
     named = lambda t: F.arrays_overlap(F.json_object_keys(t), F.array(F.lit("extraction_worthy"), F.lit("label_extraction_worthy")))
     inside = F.filter(F.regexp_extract_all(plain, F.lit(_OBJECT), 0), lambda t: _is_object(t) & F.coalesce(named(t), F.lit(False)))
     return F.when(_is_object(plain), plain).otherwise(F.get(inside, 0))
@@ -161,10 +165,9 @@ def _answer(content: Column) -> Column:
 _FIELDS = ", ".join(f"{n} variant" for n in (*_SAID, *_BY, *_WHY))
 
 
-def _field(json: Column, names: Sequence[str]) -> Column:
+def _field(held: Column, names: Sequence[str]) -> Column:
     """The first of the fields that is not null, empty, false or zero; of a
     repeated field, the last."""
-    held = F.from_json(json, _FIELDS)
 
     def truth(value: Column) -> Column:
         kind, text = F.schema_of_variant(value), value.cast("string")
@@ -174,31 +177,32 @@ def _field(json: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*[truth(held[n]) for n in names], F.lit(""))
 
 
-def verdict(content: Column) -> Column:
-    """The normalised extraction verdict: yes, no, uncertain or flagged-spec;
-    PARSE_FAIL where none is found, API_FAIL where there was no answer."""
-    json = _answer(content)
-    said = F.replace(F.lower(_strip(_field(json, _SAID))), F.lit(" "), F.lit("-"))
+def parsed(rows: DataFrame, content: str = "content", longest: int = 300, raw: int = 200) -> DataFrame:
+    """``rows`` with verdict (yes, no, uncertain or flagged-spec), mechanism, both
+    PARSE_FAIL where none is found and API_FAIL where there was no answer, and
+    notes: the reason that an answer gives, or the start of one that can't be read.
+    Step by step, as each step is used more than once by the next."""
+    c = F.col
+    rows = rows.withColumn("_plain", _plain(c(content)))
+    rows = rows.withColumn("_json", _object(c("_plain")))
+    rows = rows.withColumn("_held", F.from_json("_json", _FIELDS))
+    rows = rows.withColumns({"_said": F.replace(F.lower(_strip(_field(c("_held"), _SAID))), F.lit(" "), F.lit("-")), "_by": F.replace(F.lower(_strip(_field(c("_held"), _BY))), F.lit(" "), F.lit("_")), "_why": _field(c("_held"), _WHY)})
+    said, by = c("_said"), c("_by")
     near = F.when(said.contains("flag") & said.contains("spec"), "flagged-spec").when(said.startswith("y"), "yes").when(said.startswith("n") & ~said.contains("n/a"), "no").when(said.contains("uncert"), "uncertain").otherwise("PARSE_FAIL")
-    return F.when(content.isNull(), "API_FAIL").when(json.isNull(), "PARSE_FAIL").when(said.isin(*VERDICTS), said).otherwise(near)
-
-
-def mechanism(content: Column) -> Column:
-    """The normalised mechanism of an answer, or what failed."""
-    json = _answer(content)
-    said = F.replace(F.lower(_strip(_field(json, _BY))), F.lit(" "), F.lit("_"))
-    near = (
-        F.when(said.contains("background"), "background")
-        .when(said.contains("reusable"), "reusable_scenario")
-        .when(said.contains("shared") | said.contains("higher"), "shared_higher_level_step")
-        .when(said.isin("na", "none", ""), "n/a")
-        .when(said.contains("unsure"), "unsure")
+    means = (
+        F.when(by.contains("background"), "background")
+        .when(by.contains("reusable"), "reusable_scenario")
+        .when(by.contains("shared") | by.contains("higher"), "shared_higher_level_step")
+        .when(by.isin("na", "none", ""), "n/a")
+        .when(by.contains("unsure"), "unsure")
         .otherwise("PARSE_FAIL")
     )
-    return F.when(content.isNull(), "API_FAIL").when(json.isNull(), "PARSE_FAIL").when(said.isin(*MECHANISM_NAMES), said).otherwise(near)
-
-
-def notes(content: Column, longest: int = 300, raw: int = 200) -> Column:
-    """The reason that an answer gives, or the start of one that can't be read."""
-    json = _answer(content)
-    return F.when(json.isNull(), F.substring(_strip(F.coalesce(content, F.lit(""))), 1, raw)).otherwise(F.substring(_field(json, _WHY), 1, longest))
+    failed = F.when(c(content).isNull(), "API_FAIL").when(c("_json").isNull(), "PARSE_FAIL")
+    rows = rows.withColumns(
+        {
+            "verdict": F.coalesce(failed, F.when(said.isin(*VERDICTS), said).otherwise(near)),
+            "mechanism": F.coalesce(failed, F.when(by.isin(*MECHANISM_NAMES), by).otherwise(means)),
+            "notes": F.when(c("_json").isNull(), F.substring(_strip(F.coalesce(c(content), F.lit(""))), 1, raw)).otherwise(F.substring("_why", 1, longest)),
+        }
+    )
+    return rows.drop("_plain", "_json", "_held", "_said", "_by", "_why")

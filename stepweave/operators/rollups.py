@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from stepweave.functions.columns import owner
 from stepweave.operators.sequences import KEY
+from stepweave.sources.tables import cut
 
 FLAGS = ("recurring", "rq1", "rq2", "rq3")
 
@@ -48,3 +50,31 @@ def by_level(flags: DataFrame) -> DataFrame:
     in one pass with a rollup."""
     levels = flags.withColumn("owner", owner(F.col("repo_slug"))).rollup("owner", "repo_slug", "file_path")
     return levels.agg(F.count(F.lit(1)).alias("scenarios"), *[F.count_if(f).alias(f"n_{f}") for f in FLAGS])
+
+
+def percentiles(rows: DataFrame, by: str, value: str, marks: dict[str, float], ranges: int = 256) -> DataFrame:
+    """Exact interpolated percentiles of each group, by name, and n. Values fall
+    into ranges by estimated quantiles; counts tell which range holds a rank, and
+    only the values of these ranges are put in order, each range by itself. Nulls
+    are left out, and groups without a value."""
+    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    found = counts.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
+    splits = F.array(*map(F.lit, sorted(set(found)))).cast("array<double>")
+    counts = counts.withColumn("r", F.size(F.filter(splits, lambda s: s < F.col("v"))))
+    # A row for each group and range.
+    group = W.Window.partitionBy("g")
+    sums = counts.groupBy("g", "r").agg(F.sum("n").alias("held"))
+    sums = sums.withColumns({"total": F.sum("held").over(group), "ahead": F.sum("held").over(group.orderBy("r")) - F.col("held")})
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("mark"), (q * (F.col("total") - 1)).alias("place")) for k, q in marks.items()]))
+    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("end"), f("a.place").cast("long").alias("rank")) for e, f in (("low", F.floor), ("high", F.ceil))]))
+    wanted = sums.select("*", asked.alias("a")).select("g", "r", "total", "ahead", "held", "a.mark", "a.place", ends.alias("e")).select("*", "e.*")
+    wanted = wanted.where((F.col("rank") >= F.col("ahead")) & (F.col("rank") < F.col("ahead") + F.col("held"))).drop("e", "held")
+    named = lambda t, tag: t.withColumnsRenamed({"g": f"g{tag}", "r": f"r{tag}"})
+    here = wanted.select("g", "r").distinct()
+    few = counts.join(named(here, "_"), F.col("g").eqNullSafe(F.col("g_")) & (F.col("r") == F.col("r_")), "left_semi")
+    few = few.withColumn("below", F.sum("n").over(W.Window.partitionBy("g", "r").orderBy("v")) - F.col("n"))
+    hit = named(wanted, "_").join(few, F.col("g").eqNullSafe(F.col("g_")) & (F.col("r") == F.col("r_")))
+    hit = hit.where((F.col("rank") - F.col("ahead") >= F.col("below")) & (F.col("rank") - F.col("ahead") < F.col("below") + F.col("n")))
+    at = lambda k, e: F.max(F.when((F.col("mark") == k) & (F.col("end") == e), F.col("v")))
+    part = lambda k: F.max(F.when(F.col("mark") == k, F.col("place") - F.floor("place")))
+    return hit.groupBy(F.col("g").alias(by)).agg(*[(at(k, "low") + (at(k, "high") - at(k, "low")) * part(k)).alias(k) for k in marks], F.max("total").alias("n"))

@@ -276,9 +276,9 @@ SELECT doc_id, verdict, mechanism, notes FROM documents JOIN parsed ON k = doc_i
 @query(_PARSED)
 def judge_parse(spark, d):
     answers = spark.createDataFrame(list(enumerate(_ANSWERS)), "k long, content string")
-    said = answers.select("k", judging.verdict(F.col("content")).alias("verdict"), judging.mechanism(F.col("content")).alias("mechanism"), judging.notes(F.col("content")).alias("notes"))
+    said = judging.parsed(answers).select("k", "verdict", "mechanism", "notes")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % len(_ANSWERS)).alias("k"))
-    return docs.join(F.broadcast(said), "k").select("doc_id", "verdict", "mechanism", "notes")  # a dozen rows
+    return docs.join(F.broadcast(said), "k").select("doc_id", "verdict", "mechanism", "notes")  # a few rows
 
 
 _FACTS = ["L", "scope_org", "support_total", "n_distinct_repos", "n_distinct_files"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepweave.functions.columns import mechanism_of
-from stepweave.operators import density, hierarchy, neighbours, patterns, rollups, sequences, vectors
+from stepweave.operators import agreement, density, hierarchy, neighbours, patterns, rollups, sequences, vectors
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _candidates, _outliers, _qa, _ranked, _ranking, _slices, _steps, _suites, query
+from stepweave.plans.catalogue import _PAIRS, LABELLED, _candidates, _labelled, _outliers, _pairs, _qa, _ranked, _ranking, _slices, _steps, _suites, query
 from stepweave.sources import tables
 
 
@@ -61,8 +61,9 @@ def length_before_after(spark, d):
 
 @query(oracle.qa("ev", "SELECT mechanism, count(*) AS patterns, " + ", ".join(f"round(quantile_cont(quality_score, {q}), 6) AS p{int(100 * q)}" for q in (0.25, 0.5, 0.75, 0.95)) + " FROM qa WHERE rejection_reason = 'kept' GROUP BY mechanism"))
 def quality_by_mechanism(spark, d):
-    marks = [F.round(F.percentile("quality_score", q), 6).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75, 0.95)]
-    return _kept(spark, d, "ev").groupBy("mechanism").agg(F.count(F.lit(1)).alias("patterns"), *marks)
+    marks = {f"p{int(100 * q)}": q for q in (0.25, 0.5, 0.75, 0.95)}
+    rows = rollups.percentiles(_kept(spark, d, "ev"), "mechanism", "quality_score", marks)
+    return rows.select("mechanism", F.col("n").alias("patterns"), *[F.round(m, 6).alias(m) for m in marks])
 
 
 @query(oracle.qa("ev", "SELECT pattern, array_to_string(string_split(pattern, ',')[1:6], ',') AS shown, L, quality_score FROM qa WHERE rejection_reason = 'kept' AND scope_org = 'RQ3' ORDER BY quality_score DESC, pattern LIMIT 20"))
@@ -159,3 +160,48 @@ def neighbour_layout(spark, d):
     points = _points(spark, d)
     rows = neighbours.layout(points, tables.cut(neighbours.graph(points, 15)))
     return rows.select(F.col("node").alias("vec_id"), F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+
+
+_MEMBERS = "members AS (SELECT p_partkey AS part, p_size % 4 AS cluster_id FROM part WHERE p_size <= 46 UNION ALL SELECT p_partkey, p_size % 4 + 4 FROM part WHERE p_size <= 46 AND p_size % 10 = 0)"
+
+
+def _members(spark, d):
+    """Clusters of parts: none of the largest, two of some."""
+    parts = tables.Catalog(spark, (d,)).table("part", ["p_partkey", "p_size"]).where("p_size <= 46")
+    ids = F.when(F.col("p_size") % 10 == 0, F.array(F.col("p_size") % 4, F.col("p_size") % 4 + 4)).otherwise(F.array(F.col("p_size") % 4))
+    return parts.select(F.col("p_partkey").alias("part"), F.explode(ids).alias("cluster_id"))
+
+
+@query(f"WITH {_MEMBERS} SELECT l_orderkey, l_linenumber, l_partkey AS part, cluster_id FROM lineitem LEFT JOIN members ON part = l_partkey")
+def steps_left_join_members(spark, d):
+    """Every step with its clusters: unclustered steps stay, and some fan out."""
+    steps = tables.Catalog(spark, (d,)).table("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]).withColumnRenamed("l_partkey", "part")
+    return tables.left_join(steps, _members(spark, d), ["part"])
+
+
+@query(f"WITH {_MEMBERS} SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count_if(n > 1) AS repeated_keys, max(n) AS most FROM (SELECT count(*) AS n FROM members GROUP BY part)")
+def member_key_audit(spark, d):
+    return tables.key_audit(_members(spark, d), ["part"])
+
+
+@query(oracle.over("li", "SELECT pattern, L, support_total FROM ranked ORDER BY L DESC, support_total, pattern LIMIT 20"))
+def longest_rare(spark, d):
+    return _ranked(spark, d).orderBy(F.desc("L"), "support_total", "pattern").limit(20).select("pattern", "L", "support_total")
+
+
+@query(oracle.over("li", "SELECT CAST(trunc(quantile_cont(n, 0.5)) AS BIGINT) AS p50, CAST(trunc(quantile_cont(n, 0.95)) AS BIGINT) AS p95, CAST(ceil(quantile_cont(n, 0.99)) AS BIGINT) AS recommended_p99 FROM scen"))
+def truncated_lengths(spark, d):
+    rows = sequences.lengths(_steps(spark, d, "li"))
+    return rows.agg(*[F.percentile("n", q).cast("long").alias(k) for k, q in (("p50", 0.5), ("p95", 0.95))], F.ceil(F.percentile("n", 0.99)).cast("long").alias("recommended_p99"))
+
+
+@query(_PAIRS + "SELECT label, count_if(actual = label) AS support, count_if(actual = label AND predicted = label) / CAST(greatest(count_if(predicted = label), 1) AS DOUBLE) AS precision, count_if(actual = label AND predicted = label) / CAST(greatest(count_if(actual = label), 1) AS DOUBLE) AS recall FROM pairs, (VALUES (0), (1)) v(label) GROUP BY label")
+def class_report(spark, d):
+    return agreement.class_report(_pairs(spark, d))
+
+
+@query(oracle.over("ev", "SELECT 'outlier_fraction < 0.3' AS rule, count_if(outlier_fraction < 0.3 AND label = 1) AS tp, count_if(outlier_fraction < 0.3 AND label = 0) AS fp, count_if(outlier_fraction >= 0.3 AND label = 1) AS fn FROM labelled", LABELLED))
+def rule_of_outliers(spark, d):
+    """The rule that few places in spec suites mean yes, over the labelled pool."""
+    rows = _labelled(spark, d).select(F.col("label").alias("actual"), (F.col("outlier_fraction") < 0.3).cast("int").alias("predicted"))
+    return agreement.binary_metrics(rows).select(F.lit("outlier_fraction < 0.3").alias("rule"), "tp", "fp", "fn")

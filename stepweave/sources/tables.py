@@ -113,6 +113,20 @@ def append_missing(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("append").json(path)
 
 
+def left_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 8) -> DataFrame:
+    """Left join over salts, as a key may have a large share of the left rows: an
+    unmatched row stays, a key that ``right`` repeats gives a row for each."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+
+
+def key_audit(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows, keys, keys of more than one row, and the most rows of a key."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.max("n").alias("most"))
+
+
 def lineitem_steps(spark: SparkSession, base: str) -> DataFrame:
     """Orders as scenarios: repository = region and nation, file = customer."""
     t = Catalog(spark, (base,)).table

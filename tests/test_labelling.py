@@ -129,7 +129,7 @@ def test_streams(spark, tmp_path):
 )
 def test_answers_of_judges(spark, content, said, how):
     df = spark.createDataFrame([(content,)], "c string")
-    assert tuple(df.select(judging.verdict(F.col("c")), judging.mechanism(F.col("c"))).first()) == (said, how)
+    assert tuple(judging.parsed(df, "c").select("verdict", "mechanism").first()) == (said, how)
 
 
 def test_models_are_asked_once_a_key(spark, tmp_path):

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepweave.functions.columns import LENGTH_BUCKETS, bucket, has_quote_pair, not_blank
-from stepweave.operators import agreement, judging, patterns, sampling, sequences
+from stepweave.operators import agreement, judging, patterns, rollups, sampling, sequences, vectors
 from stepweave.sources import tables
+from stepweave.sources.versions import Stages
 
 STEP = "repo_slug string, file_path string, scenario string, line int, cluster_id int, text string, is_background boolean"
 
@@ -113,7 +114,7 @@ def test_verdicts(spark):
     more = {6: '{"extraction_worthy": "y"}', 7: '{"extraction_worthy": "unsure"}', 8: '{"extraction_worthy": true}', 9: '{"extraction_worthy": "it is flagged as spec"}', 10: '{"extraction_worthy": "", "label_a": "no"}', 11: 'so {"label_a": "no"}'}
     said = more | {1: '```json\n{"extraction_worthy": "Yes"}\n```', 2: 'I think {"extraction_worthy": "Flagged Spec"} fits {"x": 1}', 3: "", 4: None, 5: '{"label_extraction_worthy": "no"}'}
     df = spark.createDataFrame(list(said.items()), "k long, c string")
-    got = {r["k"]: r["v"] for r in df.select("k", judging.verdict(F.col("c")).alias("v")).collect()}
+    got = {r["k"]: r["v"] for r in judging.parsed(df, "c").withColumnRenamed("verdict", "v").collect()}
     assert got == {1: "yes", 2: "flagged-spec", 3: "PARSE_FAIL", 4: "API_FAIL", 5: "no", 6: "yes", 7: "PARSE_FAIL", 8: "PARSE_FAIL", 9: "flagged-spec", 10: "no", 11: "PARSE_FAIL"}
 
 
@@ -150,3 +151,55 @@ def test_auc_and_folds_over_ranges(spark):
         own = sorted((hashlib.md5(f"42|{i}".encode()).hexdigest(), i) for i, k in labels.items() if k == label)
         assert [got[i] for _, i in own] == [n % 5 for n in range(len(own))]
     assert len(got) == 1000
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 256])
+def test_percentiles_without_a_buffer_of_values(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(k, rng.choice([rng.random(), 0.25, 7.0])) for k in ("a", "b", None) for _ in range(rng.randrange(1, 90))] + [("c", 1.5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    marks = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in rollups.percentiles(df, "k", "v", marks, ranges).collect()}
+    want = {r["k"]: r for r in df.where("v is not null").groupBy("k").agg(*[F.percentile("v", q).alias(n) for n, q in marks.items()], F.count("v").alias("n")).collect()}
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert [got[k][c] for c in (*marks, "n")] == pytest.approx([r[c] for c in (*marks, "n")])
+
+
+def test_left_join_with_repeated_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "k int, t string")
+    right = spark.createDataFrame([(1, 10), (1, 11), (3, 12)], "k int, cluster_id int")
+    got = sorted((tuple(r) for r in tables.left_join(left, right, ["k"]).collect()), key=repr)
+    assert got == sorted([(1, "a", 10), (1, "a", 11), (1, "a", 10), (1, "a", 11), (2, "b", None), (None, "c", None)], key=repr)
+    row = tables.key_audit(right, ["k"]).first()
+    assert (row["rows"], row["keys"], row["repeated_keys"], row["most"]) == (3, 2, 1, 2)
+
+
+def test_files_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", 0.5), (2, None, 1.5)], "k int, t string, v double")
+    tables.write_csv(df, str(tmp_path / "c"))
+    tables.write_parquet(df, str(tmp_path / "p"))
+    assert sorted(tables.read_csv(spark, str(tmp_path / "c"), "k int, t string, v double").collect()) == sorted(df.collect())
+    assert sorted(spark.read.parquet(str(tmp_path / "p")).collect()) == sorted(df.collect())
+    last = tables.latest_per_key(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, n int, v string"), "k", "n")
+    assert sorted((r["k"], r["v"]) for r in last.collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_vectors_are_made_once(spark, tmp_path):
+    """The second run asks the model for nothing that the first one had."""
+    stages, calls = Stages(spark, f"file://{tmp_path}/cache"), tmp_path / "calls"
+    calls.mkdir()
+
+    def model(texts):
+        for i, t in enumerate(texts):
+            (calls / f"{len(list(calls.iterdir()))}-{i}-{hashlib.md5(t.encode()).hexdigest()}").touch()
+        return vectors.hashed_words(texts)
+
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red fox"), (3, None), (4, "blue")], "k int, text string")
+    first = {r["k"]: r["vector"] for r in vectors.cached(docs, model, stages, "k").collect()}
+    asked = len(list(calls.iterdir()))
+    assert asked == 3 and first[1] == first[2] and set(first) == {1, 2, 3, 4}
+    assert {r["k"]: r["vector"] for r in vectors.cached(docs, model, stages, "k").collect()} == first and len(list(calls.iterdir())) == asked
+    more = docs.union(spark.createDataFrame([(5, "green tea")], docs.schema))
+    assert vectors.cached(more, model, stages, "k").count() == 5 and len(list(calls.iterdir())) == asked + 1
+    assert sum(x * x for x in first[1]) == pytest.approx(1, abs=1e-6) and not any(first[3])
