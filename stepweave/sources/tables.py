@@ -30,11 +30,10 @@ class Catalog:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; a temporary
     one only where it names none, as in local tests."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
