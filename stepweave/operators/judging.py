@@ -12,6 +12,26 @@ from pyspark.sql import types as T
 
 FAILURES = ("PARSE_FAIL", "API_FAIL")
 
+#: What a judge is told before the first prompt.
+SYSTEM = "You judge recurring runs of test steps by the rules that each question states. Answer with one JSON object, without any text around it."
+#: The rules, with the answers that ``parsed`` knows.
+RUBRIC = """RULES
+A slice is a run of consecutive steps that recurs in scenarios. Its facts tell how far it spreads:
+- max_within_file_recurrence: scenarios of one file that hold it, at most; two or more speak for background
+- max_within_repo_files: files of one repository that hold it, at most; two or more speak for reusable_scenario
+- n_distinct_orgs: owners that hold it; two or more speak for shared_higher_level_step. Repositories of one owner may be clones, so they are no proof
+- outlier_permille: how many of 1000 of its places lie in files that a generator wrote
+extraction_worthy:
+- yes: one coherent behaviour, with the same values wherever it stands, worth a name, whole from its start to its end, and written by people
+- no: it begins or ends within a behaviour, hangs on values of one domain, is shared already, saves nothing (two short steps), or comes of an outline
+- flagged-spec: a high outlier_permille, and quoted pairs or <names> that a template left
+- uncertain: only where these rules leave it open
+mechanism, for yes alone, else n/a: background, reusable_scenario, shared_higher_level_step, or unsure where none fits
+A long slice that repeats a short one within may be yes: name the short one in the notes."""
+#: The answer's form, which ends each prompt.
+SHAPE = """Answer in this form:
+{"extraction_worthy": "yes, no, uncertain or flagged-spec", "mechanism": "background, reusable_scenario, shared_higher_level_step, unsure or n/a", "notes": "the rule that decides, in one sentence"}"""
+
 
 def prompts(rows: DataFrame, rubric: str, shape: str, fields: Sequence[str], longest: int = 160) -> DataFrame:
     """``rows`` with ``prompt``: the rubric, the named fields, the numbered texts

@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from stepweave.plans import catalogue, labelling, reporting  # each registers its queries
+from stepweave.plans import catalogue, figures, labelling, reporting  # each registers its queries
 
-__all__ = ["catalogue", "labelling", "reporting"]
+__all__ = ["catalogue", "figures", "labelling", "reporting"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import LENGTH_BUCKETS, SUPPORT_BUCKETS, bucket, mechanism_of
 from stepweave.operators import agreement, judging, models, patterns, rollups, sampling, sequences
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _PAIRS, LABELLED, _base, _candidates, _case, _labelled, _outliers, _pairs, _population, _ranked, _ranking, _slices, query
+from stepweave.plans.catalogue import _PAIRS, LABELLED, _base, _case, _labelled, _outliers, _pairs, _population, _ranked, _ranking, _slices, query
 from stepweave.sources.tables import cut
 
 _CELLS = ["l_bucket", "scope_repo", "support_bucket"]
@@ -281,19 +281,24 @@ def judge_parse(spark, d):
     return docs.join(F.broadcast(said), "k").select("doc_id", "verdict", "mechanism", "notes")  # a few rows
 
 
-_FACTS = ["L", "scope_org", "support_total", "n_distinct_repos", "n_distinct_files"]
+_FACTS = ["L", "scope_org", "support_total", "max_within_file_recurrence", "max_within_repo_files", "n_distinct_orgs", "n_distinct_repos", "n_distinct_files", "outlier_permille"]
+_LITERAL = "'{}'".format
 
 
 @query(
     oracle.over(
         "li",
-        "SELECT pattern, 'Judge by the rubric.' || chr(10) || 'SLICE TO LABEL:' || chr(10) || "
+        f"SELECT pattern, {_LITERAL(judging.SYSTEM)} AS system, {_LITERAL(judging.RUBRIC)} || chr(10) || 'SLICE TO LABEL:' || chr(10) || "
         + " || chr(10) || ".join(f"'  {f} = ' || {f}" for f in _FACTS)
-        + " || chr(10) || '  steps:' || chr(10) || array_to_string(list_transform(range(1, len(canonical) + 1), lambda i: '  [' || (i - 1) || '] ' || substring(canonical[i], 1, 160)), chr(10)) || chr(10) || 'Answer in JSON.' AS prompt FROM ranked WHERE scope_org <> 'noscope'",
+        + f" || chr(10) || '  steps:' || chr(10) || array_to_string(list_transform(range(1, len(canonical) + 1), lambda i: '  [' || (i - 1) || '] ' || substring(canonical[i], 1, 160)), chr(10)) || chr(10) || {_LITERAL(judging.SHAPE)} AS prompt"
+        + " FROM (SELECT *, CAST(floor(1000 * outlier_fraction) AS BIGINT) AS outlier_permille FROM ranked JOIN outliers USING (pattern) WHERE scope_org <> 'noscope')",
+        oracle.suite(50, 100, 0.30),
     )
 )
 def judge_prompts(spark, d):
-    return judging.prompts(_candidates(spark, d), "Judge by the rubric.", "Answer in JSON.", _FACTS).select("pattern", "prompt")
+    """What a judge is asked of each pattern with a scope."""
+    rows = patterns.with_scopes(_outliers(spark, d)).where("scope_org <> 'noscope'").withColumn("outlier_permille", F.floor(1000 * F.col("outlier_fraction")))
+    return judging.prompts(rows, judging.RUBRIC, judging.SHAPE, _FACTS).select("pattern", F.lit(judging.SYSTEM).alias("system"), "prompt")
 
 
 _RULED = oracle.over("ev", "", ", m AS (SELECT {} AS actual, {} AS predicted FROM ranked WHERE scope_repo <> 'noscope')".format(*(f"CASE {s} WHEN 'RQ3' THEN 'shared_higher_level_step' WHEN 'RQ2' THEN 'reusable_scenario' WHEN 'RQ1' THEN 'background' ELSE 'none' END" for s in ("scope_repo", "scope_org"))))

@@ -26,7 +26,7 @@ def plain(value):
     return float(value) if hasattr(value, "is_finite") else value
 
 
-ROWS_ONLY = {"density_hierarchy", "neighbour_layout", "neighbour_recall", "bootstrap_ci", "feature_importances", "gbt_intervals", "gbt_metrics", "gbt_predictions", "headline_predicted", "mechanism_metrics", "mechanism_predictions", "pattern_clusters", "population_mechanisms", "population_scores", "qa_predicted", "repo_prevalence_predicted"}
+ROWS_ONLY = {"density_hierarchy", "neighbour_layout", "neighbour_recall", "bootstrap_ci", "feature_importances", "gbt_intervals", "gbt_metrics", "gbt_predictions", "headline_predicted", "fold_measures", "mechanism_metrics", "mechanism_model_and_rule", "mechanism_predictions", "mechanism_rule_agreement", "pattern_clusters", "population_mechanisms", "population_scores", "qa_predicted", "raters_f1", "repo_prevalence_predicted"}
 
 
 def test_all_others_have_sql():
@@ -61,12 +61,26 @@ def test_models_out_of_fold(spark):
     assert catalogue.QUERIES["pattern_clusters"](spark, str(DATA)).select("cluster_id").distinct().count() == 10
 
 
+def test_measures_with_intervals(spark):
+    rows = rows_of(spark, "fold_measures")
+    assert {(r["metric"], r["fold"]) for r in rows} == {(m, k) for m in ("precision", "recall", "f1", "auc") for k in range(5)}
+    metrics = {r["fold"]: r for r in rows_of(spark, "gbt_metrics")}
+    assert all(r["value"] == metrics[r["fold"]][r["metric"]] and r["low"] <= r["median"] <= r["high"] for r in rows)
+    raters = {r["rater"]: r for r in rows_of(spark, "raters_f1")}
+    judges = {r["model"]: r["f1"] for r in rows_of(spark, "judge_agreement")}
+    assert set(raters) == {"classifier", *judges} and raters["classifier"]["f1"] == metrics[None]["f1"]
+    for name, r in raters.items():
+        assert r["low"] <= r["f1"] <= r["high"] and r["f1"] == judges.get(name, r["f1"])
+
+
 def test_predicted_population_equals_sql(spark, duck):
     """What follows from the stored predictions, by SQL over the same predictions."""
     predicted = catalogue.QUERIES["population_mechanisms"](spark, str(DATA)).toPandas()
     scores = {r["pattern"]: r["pred"] for r in rows_of(spark, "population_scores")}
     assert {p for p, v in scores.items() if v} == set(predicted["pattern"]) and len(predicted) > 10
     duck.register("predicted", predicted)
+    check(spark, duck, "mechanism_model_and_rule", "SELECT 'model' AS told_by, mechanism, count(*) AS patterns FROM predicted GROUP BY ALL UNION ALL SELECT 'rule', mechanism_rule, count(*) FROM predicted GROUP BY ALL")
+    check(spark, duck, "mechanism_rule_agreement", "SELECT count(*) AS patterns, avg(CAST(mechanism = mechanism_rule AS DOUBLE)) AS agreement FROM predicted")
     gate = "pattern IN (SELECT pattern FROM predicted)"
     for name, level in (("headline_predicted", "repo_slug, file_path, scenario"), ("repo_prevalence_predicted", "repo_slug")):
         check(spark, duck, name, oracle.rolled("ev", level, gate))
