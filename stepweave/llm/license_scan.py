@@ -1,13 +1,15 @@
 """Licence scans.
 
-One Aho-Corasick automaton finds notice phrases and the identifier tag in a
-text's words; the expression after a tag is turned to postfix form by a
-shunting yard and evaluated against the permitted licences.
+One Aho-Corasick automaton finds notice phrases and the identifier tag's words
+in a text's words, and where these are, a second one finds the tag itself in the
+text's bytes; the expression from a tag to the end of its line is turned to
+postfix form by a shunting yard and evaluated against the permitted licences.
 
 Defined cases: null and empty texts have no words, no labels and the score 0;
 texts of any length are scanned whole; a phrase inside a longer one counts as a
 base place but adds no further label; malformed expressions keep the licences
-they name and count as not permitted; of two phrases that start alike the longer
+they name and count as not permitted; several tags of a line each have their
+expression, and what follows a complete expression is ignored; of two phrases that start alike the longer
 labels; repeated rows give repeated rows; an empty table gives no row; columns
 with clashing names are not read.
 """
@@ -53,7 +55,7 @@ NOTICES = {
     "creative commons attribution": ("cc-by", 0.8),
     "all rights reserved": ("all-rights-reserved", 0.6),
 }
-TAG = "spdx license identifier"
+TAG, TAG_AS_WRITTEN = "spdx license identifier", "spdx-license-identifier:"
 # Identifiers (lower case) that permit use, modification and sale.
 PERMITTED = frozenset("mit apache-2.0 bsd-2-clause bsd-3-clause isc 0bsd unlicense cc0-1.0 cc-by-4.0 zlib bsl-1.0".split())
 # Labels of phrases that do not permit this.
@@ -61,7 +63,7 @@ RESTRICTED = frozenset("cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd all-rights-res
 # Exceptions that make a licence count as permitted.
 EXCEPTIONS = frozenset("classpath-exception-2.0 gcc-exception-3.1 llvm-exception".split())
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_REST = re.compile(rb"[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
@@ -123,6 +125,23 @@ def automaton():
     return found
 
 
+@lru_cache(maxsize=1)
+def tags():
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    found.add_word(TAG_AS_WRITTEN, TAG_AS_WRITTEN)
+    found.make_automaton()
+    return found
+
+
+def expressions(text: str) -> list[str]:
+    """What stands after each tag, A-Z in any case, up to the end of its line."""
+    data = text.encode("utf-8", "surrogatepass")
+    ends = [end + 1 for end, _ in tags().iter(data.lower().decode("latin-1"))]  # a character a byte
+    return [_REST.match(data, at)[1].decode("utf-8", "surrogatepass") for at in ends]
+
+
 def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score,
     expression and permitted of one text."""
@@ -151,7 +170,7 @@ def scan(text: str | None) -> tuple:
     verdicts += [label not in RESTRICTED for label in labels]
     first = None
     if any(phrase == TAG for _, _, phrase in spans):
-        for expression in _TAGGED.findall(text or ""):
+        for expression in expressions(text or ""):
             order = postfix(expression)
             first = first or expression.strip()
             names = order if order else [m.lower() for m in _TOKEN.findall(expression) if m not in "()"][:1]

@@ -37,8 +37,11 @@ SAMPLE_PER_CLASS = 6000
 #: A learned term occurs in so many toxic texts of the sample at least, and so
 #: many times as often (in logarithms) in toxic texts as in others.
 MIN_SUPPORT, MIN_LOG_RATIO = 3, 3.0
-#: A term's gain, in twice the log likelihood, is this at least beyond what chance gives the best of all terms tried.
-MIN_GAIN = -4.0
+#: A term's gain, in twice the log likelihood, is one of these at least beyond what
+#: chance gives the best of all terms tried: the one whose lexicon, learned on the
+#: other parts, has the least loss on the calibration's part, each half of it judged
+#: by the other half's weights.
+MIN_GAINS = (4.0, 0.0, -4.0, -8.0)
 #: The sample is dealt over so many parts: one for the calibration, the others for the lexicon.
 PARTS = 4
 PREFIXES = (4, 5, 6, 7)
@@ -192,6 +195,29 @@ class _Matcher:
         return np.log1p(out)
 
 
+def _chosen(strong: list) -> dict[str, float]:
+    """Terms and their weights; a prefix is kept where it reaches clearly more
+    texts than any one term in it."""
+    reach: dict[str, int] = {}
+    for r in strong:
+        for n in PREFIXES:
+            if len(r["term"]) > n + r["term"].endswith("*"):
+                head = r["term"][:n] + "*"
+                reach[head] = max(reach.get(head, 0), r["toxic"])
+    return {r["term"]: r["ratio"] for r in strong if r["toxic"] > 1.2 * reach.get(r["term"], 0)}
+
+
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The logistic loss of each half of the rows under the weights of the other."""
+    half = np.arange(len(y)) % 2 == 0
+    loss = 0.0
+    for own in (half, ~half):
+        beta = fit_logistic(x[~own], y[~own], w[~own], rising=True)
+        v = x[own] @ beta[:-1] + beta[-1]
+        loss += float((w[own] * (np.logaddexp(0, v) - y[own] * v)).sum())
+    return loss
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled texts of each class (those with the
     smallest hash of their key): one part, with weights for the classes' shares
@@ -244,31 +270,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     common = terms.where(F.col("toxic") >= MIN_SUPPORT).withColumns({"ratio": ratio, "gain": gain})
     # The more terms there are to choose from, the more support each must have.
     common = stored(common, "toxic-terms")
-    bar = 2 * math.log(max(2, common.count())) + MIN_GAIN
+    bar = 2 * math.log(max(2, common.count()))
     # Terms of the bounded sample only: each toxic text of it supports a few.
-    strong = common.where((F.col("ratio") >= MIN_LOG_RATIO) & (F.col("gain") >= bar)).orderBy("term").collect()
-    # A prefix is kept where it reaches clearly more texts than any one term in it.
-    reach: dict[str, int] = {}
-    for r in strong:
-        for n in PREFIXES:
-            if len(r["term"]) > n + r["term"].endswith("*"):
-                head = r["term"][:n] + "*"
-                reach[head] = max(reach.get(head, 0), r["toxic"])
-    chosen = {r["term"]: r["ratio"] for r in strong if r["toxic"] > 1.2 * reach.get(r["term"], 0)}
+    strong = common.where((F.col("ratio") >= MIN_LOG_RATIO) & (F.col("gain") >= bar + min(MIN_GAINS))).orderBy("term").collect()
+    lexicons = [_chosen([r for r in strong if r["gain"] >= bar + least]) for least in MIN_GAINS]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _Matcher(chosen)
+        matchers = [_Matcher(terms) for terms in lexicons]
         for whole in batches:
             for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(matcher.features(batch.column("text")).tolist(), pa.list_(pa.float64()))], ["y", "x"])
+                x = np.hstack([m.features(batch.column("text")) for m in matchers])
+                yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["k", "y", "x"])
 
-    got = rows.where("_part = 0").mapInArrow(measured, "y int, x array<double>").collect()
+    key_type = labels.schema[key].dataType.simpleString()
+    got = rows.where("_part = 0").mapInArrow(measured, f"k {key_type}, y int, x array<double>").collect()
+    got.sort(key=lambda r: (r["y"], str(r["k"]), r["x"]))  # halves don't depend on tasks
     y = np.array([r["y"] for r in got], float)
-    x = np.array([r["x"] for r in got], float).reshape(len(got), 6)
+    x = np.array([r["x"] for r in got], float).reshape(len(got), len(lexicons), 6)
     per = {k: counts[k] / max(1, (y == k).sum()) for k in counts}
     w = np.array([per[int(v)] for v in y])
     w *= len(w) / max(w.sum(), 1e-9)
-    return Model(chosen, tuple(fit_logistic(x, y, w, rising=True)))
+    best = min(range(len(lexicons)), key=lambda i: (_loss(x[:, i], y, w), i)) if len(got) else 0
+    return Model(lexicons[best], tuple(fit_logistic(x[:, best], y, w, rising=True)))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
