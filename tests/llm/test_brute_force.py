@@ -194,6 +194,14 @@ def test_held_out_accuracy(spark, name, label, folds, out):
     assert sum(right) / len(right) > 0.95
 
 
+def test_toxic_texts_held_out_are_found(spark):
+    data = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in read(spark, data, "labels").collect()}
+    rows = [r for r in queries.op7_toxicity_grammar(spark, data).collect() if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = ([r["predicted"] for r in rows if truth[r["doc_id"]] == y] for y in (1, 0))
+    assert sum(toxic) > 0.9 * len(toxic) and sum(clean) < 0.01 * len(clean)
+
+
 def test_op5_columns(spark):
     rules = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
     urls = {r["page_id"]: r["url"] for r in read(spark, DATA, "pages").collect()}
