@@ -101,11 +101,22 @@ def top_per_mechanism(flagged: DataFrame, n: int = 500) -> DataFrame:
     return flagged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def call_sites(slice_rows: DataFrame, wanted: DataFrame, n: int = 3) -> DataFrame:
-    """The first n occurrences of each wanted pattern, in order of slices."""
+def call_sites(slice_rows: DataFrame, wanted: DataFrame, n: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """The first n occurrences of each wanted pattern, in order of slices, with
+    ``more`` columns of these."""
     order = W.Window.partitionBy("pattern").orderBy("repo_slug", "file_path", "scenario", "position_start")
     rows = slice_rows.join(wanted.select("pattern"), "pattern", "left_semi").withColumn("site", F.row_number().over(order))
-    return rows.where(F.col("site") <= n).select("pattern", "site", "repo_slug", "file_path", "scenario", "position_start")
+    return rows.where(F.col("site") <= n).select("pattern", "site", "repo_slug", "file_path", "scenario", "position_start", *more)
+
+
+def site_texts(slice_rows: DataFrame, wanted: DataFrame, numbered_steps: DataFrame, n: int = 3) -> DataFrame:
+    """The call sites with ``texts``, the steps as they stand there: fetched by the
+    numbers of the steps, for these sites alone."""
+    sites = call_sites(slice_rows, wanted, n, ("at", "L"))
+    spots = sites.withColumn("at", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("L") - 1)))
+    rows = spots.join(numbered_steps.select("at", "text"), "at")
+    key = [c for c in sites.columns if c not in ("at", "L")]
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "text")))["text"].alias("texts"))  # L steps at most
 
 
 def call_site_lists(sites: DataFrame, ranked: DataFrame) -> DataFrame:

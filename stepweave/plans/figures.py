@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import mechanism_of
 from stepweave.operators import agreement, judging, patterns, sampling
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _PAIRS, _accepted, _pairs, _qa, _slices, gbt_intervals, gbt_metrics, query
+from stepweave.plans.catalogue import _PAIRS, _accepted, _numbered, _pairs, _qa, _slices, gbt_intervals, gbt_metrics, query
 from stepweave.plans.labelling import _judged, _summary
 from stepweave.sources.tables import cut
 
@@ -90,3 +90,16 @@ def target_call_sites(spark, d):
     best = [patterns.top_per_mechanism(rows, 20).select("pattern", "mechanism") for rows in lists]
     targets = best[0].union(best[1]).groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_set("mechanism")), ",").alias("mechanisms"))  # a mechanism a list
     return patterns.call_sites(_slices(spark, d), targets).join(targets, "pattern")
+
+
+@query(
+    oracle.qa(
+        "li",
+        "SELECT pattern, CAST(site AS INTEGER) AS site, repo_slug, file_path, scenario, position_start, array_to_string(text_seq, ' / ') AS texts"
+        " FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY repo_slug, file_path, scenario, position_start) AS site FROM slices) WHERE site <= 3 AND pattern IN (SELECT pattern FROM (SELECT *, row_number() OVER (PARTITION BY mechanism ORDER BY quality_score DESC, support_total DESC, pattern) AS rank FROM qa WHERE rejection_reason = 'kept') WHERE rank <= 20)",
+    )
+)
+def call_site_texts(spark, d):
+    """What the steps say at the first places of the best 20 patterns of each mechanism."""
+    best = patterns.top_per_mechanism(_qa(spark, d).where("rejection_reason = 'kept'"), 20)
+    return patterns.site_texts(_slices(spark, d), best, _numbered(spark, d)).withColumn("texts", F.array_join("texts", " / "))

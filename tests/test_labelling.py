@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.operators import agreement, judging, sampling, sequences, vectors
+from stepweave.operators import agreement, judging, patterns, sampling, sequences, vectors
 from stepweave.sources import report, tables
 from stepweave.streaming import supports
 
@@ -87,10 +87,28 @@ def test_only_noise(spark):
 def test_report_escapes_and_cuts(spark, tmp_path):
     df = spark.createDataFrame([("<b>", 1), (None, 2), ("late", 3)], "name string, n int").orderBy("n")
     report.write_html(spark, {"A & B": df}, str(tmp_path / "page"), most=2)
-    page = spark.read.text(str(tmp_path / "page")).first()["value"]
+    page = spark.read.option("wholetext", True).text(str(tmp_path / "page")).first()["value"]
     assert "A &amp; B" in page and "&lt;b&gt;" in page and "late" not in page
 
 
+def test_report_folds_out_steps_and_places(spark, tmp_path):
+    rows = spark.createDataFrame([("1,2", 3, ["a <b>", "c"]), ("2,2", 1, ["c", "c"])], "pattern string, n int, canonical_text_seq array<string>").orderBy(F.desc("n"))
+    sites = spark.createDataFrame([("1,2", 2, "r/late", 0, ["a", "c"]), ("1,2", 1, "r/f", 4, ["A", "C"])], "pattern string, site int, place string, start int, texts array<string>")
+    report.write_html(spark, {"Best": (rows, sites)}, str(tmp_path / "page"))
+    page = spark.read.option("wholetext", True).text(str(tmp_path / "page")).first()["value"]
+    first, second = page.split("<tbody>")[1:]
+    assert "a &lt;b&gt;" in first and first.index("r/f from step 5</p><ol start='5'><li>A") < first.index("r/late")
+    assert "no places" in second and "canonical_text_seq" not in page and page.count("<details>") == 2
+
+
+def test_site_texts_are_those_of_the_place(spark):
+    steps = spark.createDataFrame([("r", "f", "s", i, i % 2, f"t{i}", False) for i in range(5)], "repo_slug string, file_path string, scenario string, line int, cluster_id int, text string, is_background boolean")
+    numbered = sequences.numbered(tables.cut(sequences.placed(steps)))
+    rows = sequences.slices(sequences.blocks(numbered, 3), 3)
+    got = patterns.site_texts(rows, spark.createDataFrame([("0,1",)], "pattern string"), numbered, 2).orderBy("site").collect()
+    assert [(r["position_start"], r["texts"]) for r in got] == [(0, ["t0", "t1"]), (2, ["t2", "t3"])]
+
+
 def test_probe_and_documents(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "k long, `a.b` string")
     assert [tuple(r) for r in tables.probe(df).collect()] == [(0, "k", "bigint", 2, 0), (1, "a.b", "string", 2, 1)]
