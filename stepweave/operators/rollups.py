@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -22,6 +24,17 @@ def scenario_flags(slice_rows: DataFrame, ranked: DataFrame, gate: Column | None
     return held.groupBy(*KEY).agg(*[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in FLAGS])
 
 
+def unit_flags(rows: DataFrame, ranked: DataFrame, *unit: str, gate: Column | None = None) -> DataFrame:
+    """Per unit, whether it holds a recurring pattern of each scope (with a gate,
+    only of patterns that pass it), of rows with a pattern and the unit's columns;
+    rows may come several times. The flags are the bits of one number."""
+    held = (F.lit(True), F.col("max_within_file_recurrence") >= 2, F.col("max_within_repo_files") >= 2, F.col("n_distinct_orgs") >= 2)
+    bits = reduce(lambda a, b: a + b, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(held)])
+    known = (ranked.where(gate) if gate is not None else ranked).select("pattern", bits.alias("_bits"))
+    found = rows.select("pattern", *unit).join(known, "pattern", "left").groupBy(*unit).agg(F.coalesce(F.bit_or("_bits"), F.lit(0)).alias("_bits"))
+    return found.select(*unit, *[(F.col("_bits").bitwiseAND(1 << i) > 0).alias(f) for i, f in enumerate(FLAGS)])
+
+
 def prevalence(flags: DataFrame, *level: str) -> DataFrame:
     """Number and share (per cent) of the units of a level that have each flag."""
     units = flags.groupBy(*level).agg(*[F.bool_or(f).alias(f) for f in FLAGS])

@@ -24,13 +24,14 @@ def stratified(rows: DataFrame, cells: list[str], target: int, key: str = "patte
     from the rest in seeded order, or cut in that order.
 
     A cell's rows beyond its first ``target`` can't be picked, so each task
-    hands on no more of them, whatever share of the rows the cell holds."""
-    order = seeded(key, seed)
+    hands on no more of them, whatever share of the rows the cell holds. Only keys,
+    which tell rows apart, and cells are put in order; the rows are fetched then."""
     place = F.row_number().over(W.Window.partitionBy(*cells).orderBy("_order", key))
-    ranked = rows.withColumn("_order", order).withColumn("_place", place).where(F.col("_place") <= target)
+    ranked = cut(rows.select(key, *cells).withColumn("_order", seeded(key, seed)).withColumn("_place", place).where(F.col("_place") <= target))
     share = ranked.where("_place = 1").agg(F.greatest(F.lit(1), F.floor(F.lit(target) / F.greatest(F.count(F.lit(1)), F.lit(1)))).alias("_share"))
     late = ranked.join(F.broadcast(share)).withColumn("_late", F.col("_place") > F.col("_share"))  # one row
-    return late.orderBy("_late", "_order", key).limit(target).drop("_order", "_place", "_share", "_late")
+    picked = late.orderBy("_late", "_order", key).limit(target).select(key)
+    return rows.join(F.broadcast(picked), key, "left_semi")  # target rows
 
 
 def two_strata(rows: DataFrame, cells: list[str], quotas: dict[str, int], stratum: str = "stratum", key: str = "pattern", seed: int = 42) -> DataFrame:

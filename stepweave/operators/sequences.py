@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -12,6 +17,11 @@ KEY = ("repo_slug", "file_path", "scenario")
 L_MIN, L_MAX = 2, 18
 #: Steps of a row of a dealt scenario.
 BLOCK = 4096
+#: A window's spot is the number of its first step times SPOT, and its place in the
+#: row of ``blocks``: the least spot is the first window, and tells its row.
+SPOT = 1 << 13
+#: Steps whose windows a task counts together.
+_CHUNK = 1 << 20
 
 
 def clean_steps(steps: DataFrame) -> DataFrame:
@@ -52,8 +62,11 @@ def numbered(placed_steps: DataFrame) -> DataFrame:
 def blocks(numbered_steps: DataFrame, l_max: int = L_MAX, size: int = BLOCK) -> DataFrame:
     """Scenarios as rows of at most ``size`` steps and the l_max - 1 that follow
     them: ids, texts, n (the steps at which windows start), start (the position of
-    the first) and at (its number). A scenario of any share of all steps is dealt
-    over as many rows as it needs."""
+    the first), at (its number), scen (the number of the scenario's first step) and
+    whether the scenario is dealt over several rows. A scenario of any share of all
+    steps is dealt over as many rows as it needs."""
+    if size > SPOT:
+        raise ValueError(f"a row has at most {SPOT} steps")
     home = F.floor(F.col("at") / size)
     copies = F.when((F.col("at") % size < l_max - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
     grouped = numbered_steps.withColumn("block", F.explode(copies)).groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("at", "cluster_id", "text"))).alias("steps"))
@@ -64,7 +77,9 @@ def blocks(numbered_steps: DataFrame, l_max: int = L_MAX, size: int = BLOCK) ->
     long = ends.where(F.floor(F.col("first") / size) < F.floor(F.col("last") / size))
     began = long.select("first", F.explode(F.sequence(F.floor(F.col("first") / size) + 1, F.floor(F.col("last") / size))).alias("block"))
     rows = rows.join(began, "block", "left").withColumn("start", F.when(F.col("at") == F.col("block") * size, F.col("at") - F.col("first")))
-    return rows.select(*KEY, "ids", "texts", "n", "at", F.coalesce("start", F.lit(0)).cast("int").alias("start"))
+    start = F.coalesce("start", F.lit(0))
+    # Only where a scenario goes on do steps of the next block follow.
+    return rows.select(*KEY, "ids", "texts", "n", "at", start.cast("int").alias("start"), (F.col("at") - start).alias("scen"), ((start > 0) | (F.size("ids") > F.col("n"))).alias("dealt"))
 
 
 def slices(scenario_rows: DataFrame, l_max: int = L_MAX) -> DataFrame:
@@ -82,6 +97,126 @@ def slices(scenario_rows: DataFrame, l_max: int = L_MAX) -> DataFrame:
     return starts.select(*KEY, position, "L", F.array_join(window.cast("array<string>"), ",").alias("pattern"), F.slice("texts", F.col("_from") + 1, F.col("L")).alias("text_seq"), *own)
 
 
+def _windows(ids: np.ndarray, starts: np.ndarray, left: np.ndarray, l_max: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: the places of windows, a number for each that equal windows
+    share, and the numbers of the single steps. ``left`` counts the steps of a row
+    from each on."""
+    _, one = np.unique(ids, return_inverse=True)
+    code, kinds = one.astype(np.int64), int(one.max()) + 1
+    spots = np.flatnonzero(starts)
+    for length in range(L_MIN, l_max + 1):
+        spots = spots[left[spots] >= length]
+        if not len(spots):
+            return
+        # The window's first length - 1 steps, and its last one.
+        _, found = np.unique(code[spots] * kinds + one[spots + length - 1], return_inverse=True)
+        code[spots] = found
+        yield length, spots, found, one
+
+
+def _grouped(block_rows: DataFrame, by: tuple[str, ...], l_max: int) -> DataFrame:
+    """pattern, L, ``by``, n (windows), scenarios (rows of ``block_rows`` that hold
+    one) and spot (the least) of the windows of each chunk of rows, so that equal
+    windows of a task are one row; ``by`` may come several times."""
+    rows = block_rows.select(*by, "ids", "n", "at")
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            waiting.append(batch)
+            size += len(batch.column("ids").flatten())
+            if size >= _CHUNK:
+                yield from counted(pa.Table.from_batches(waiting).combine_chunks())
+                waiting, size = [], 0
+        if size:
+            yield from counted(pa.Table.from_batches(waiting).combine_chunks())
+
+    def counted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = rows.column("ids").combine_chunks()
+        ids, held = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+        row = np.repeat(np.arange(len(held)), held)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(held) - held, held)
+        at = rows.column("at").to_numpy()[row] + place
+        names = pa.array(np.unique(ids)).cast(pa.string())
+        # A number for each group.
+        group = np.zeros(len(held), np.int64)
+        for c in by:
+            codes = rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+        groups = int(group.max()) + 1
+        for length, spots, code, one in _windows(ids, place < rows.column("n").to_numpy()[row], held[row] - place, l_max):
+            key = code * groups + group[row[spots]]
+            order = np.argsort(key, kind="stable")
+            key, spots = key[order], spots[order]
+            edge = np.r_[True, key[1:] != key[:-1]]
+            first = np.flatnonzero(edge)
+            other = edge | np.r_[True, row[spots][1:] != row[spots][:-1]]
+            steps = one[spots[first][:, None] + np.arange(length)].ravel()
+            texts = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * length), names.take(pa.array(steps)))
+            of = pa.array(row[spots[first]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pc.binary_join(texts, ","),
+                    pa.array(np.full(len(first), length, np.int32)),
+                    *(rows.column(c).combine_chunks().take(of) for c, _ in kinds),
+                    pa.array(np.diff(np.r_[first, len(spots)])),
+                    pa.array(np.add.reduceat(other.astype(np.int64), first)),
+                    pa.array(np.minimum.reduceat(at[spots] * SPOT + place[spots], first)),
+                ],
+                ["pattern", "L", *(c for c, _ in kinds), "n", "scenarios", "spot"],
+            )
+
+    fields = ", ".join(f"{c} {t}" for c, t in kinds)
+    return rows.mapInArrow(run, f"pattern string, L int, {fields}, n long, scenarios long, spot long")
+
+
+def by_file(block_rows: DataFrame, l_max: int = L_MAX) -> DataFrame:
+    """pattern, L, repo_slug, file_path, n (windows), scenarios that hold one, and
+    spot: the windows of ``blocks``, counted within tasks before any shuffle. A file
+    that several tasks have comes several times, with other scenarios each."""
+    whole = _grouped(block_rows.where("not dealt"), ("repo_slug", "file_path"), l_max)
+    # Few: a scenario of several rows counts once.
+    parts = _grouped(block_rows.where("dealt"), ("repo_slug", "file_path", "scen"), l_max)
+    parts = parts.groupBy("pattern", "L", "repo_slug", "file_path", "scen").agg(F.sum("n").alias("n"), F.lit(1).cast("long").alias("scenarios"), F.min("spot").alias("spot"))
+    return whole.unionByName(parts.drop("scen"))
+
+
+def by_scenario(block_rows: DataFrame, l_max: int = L_MAX) -> DataFrame:
+    """scen and pattern of the windows of ``blocks``; a pair comes once for each row
+    of a dealt scenario that holds it."""
+    return _grouped(block_rows, ("scen",), l_max).select("scen", "pattern")
+
+
+def totals(file_rows: DataFrame, min_support: int = 2) -> DataFrame:
+    """What ``counts`` tells, of the rows of ``by_file``: one shuffle of these, by
+    pattern and repository, and one of a row for each pattern and repository. The
+    place is the least spot."""
+    n, low = F.count(F.lit(1)), F.min("spot").alias("spot")
+    total = lambda c: F.sum(c).alias(c)
+    most = lambda c: F.max(c).alias(c)
+    rows = file_rows.select("pattern", "repo_slug", "file_path", F.col("n").alias("support_total"), F.col("scenarios").alias("n_distinct_scenarios"), "spot").repartition("pattern", "repo_slug")
+    rows = rows.groupBy("pattern", "repo_slug", "file_path").agg(total("support_total"), total("n_distinct_scenarios"), low)
+    within = F.max("n_distinct_scenarios").alias("max_within_file_recurrence")
+    rows = rows.groupBy("pattern", "repo_slug").agg(total("support_total"), total("n_distinct_scenarios"), within, n.alias("n_distinct_files"), low).repartition("pattern")
+    rows = rows.groupBy("pattern", owner(F.col("repo_slug")).alias("owner")).agg(
+        total("support_total"), total("n_distinct_scenarios"), most("max_within_file_recurrence"), total("n_distinct_files"), F.max("n_distinct_files").alias("max_within_repo_files"), n.alias("n_distinct_repos"), low
+    )
+    rows = rows.groupBy("pattern").agg(total("support_total"), total("n_distinct_scenarios"), most("max_within_file_recurrence"), total("n_distinct_files"), most("max_within_repo_files"), total("n_distinct_repos"), n.alias("n_distinct_orgs"), low)
+    return rows.where(F.col("support_total") >= min_support).withColumn("L", F.size(F.split("pattern", ",")))
+
+
+def ranked(file_rows: DataFrame, block_rows: DataFrame, min_support: int = 2) -> DataFrame:
+    """What ``ranking`` tells, of the rows of ``by_file``: the texts are a part of
+    the row of ``blocks`` that the first window lies in, so each pattern is joined
+    with one row."""
+    rows = totals(file_rows, min_support).withColumns({"_place": F.col("spot") % SPOT, "_row": F.floor(F.col("spot") / SPOT) - F.col("spot") % SPOT})
+    texts = block_rows.select(F.col("at").alias("_row"), "texts").hint("merge")
+    rows = rows.join(texts, "_row").withColumn("canonical_text_seq", F.slice("texts", (F.col("_place") + 1).cast("int"), F.col("L"))).drop("_row", "_place", "spot", "texts")
+    return rows.withColumn("has_template_structure", has_quote_pair(F.col("canonical_text_seq")))
+
+
 def counts(slice_rows: DataFrame, min_support: int = 2) -> DataFrame:
     """Patterns with their support and spread, and ``at``, the number of their
     first window's first step, from one hierarchy of sums: scenario, file,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.columns import mechanism_of
 from stepweave.operators import agreement, density, hierarchy, neighbours, patterns, rollups, sequences, vectors
 from stepweave.plans import oracle
-from stepweave.plans.catalogue import _PAIRS, LABELLED, _candidates, _labelled, _outliers, _pairs, _qa, _ranked, _ranking, _slices, _steps, _suites, query
+from stepweave.plans.catalogue import _PAIRS, LABELLED, _blocks, _by_scenario, _candidates, _labelled, _outliers, _pairs, _qa, _ranked, _ranking, _slices, _steps, _suites, query
 from stepweave.sources import tables
 
 
@@ -24,8 +24,8 @@ def corpus_shape(spark, d):
 
 @query(oracle.rolled("li", "repo_slug, file_path, scenario", "pattern IN (SELECT pattern FROM outliers WHERE outlier_fraction <= 0.5)").replace(",\nheld AS", oracle.suite(50, 100, 0.30) + ",\nheld AS"))
 def real_signal_prevalence(spark, d):
-    flags = rollups.scenario_flags(_slices(spark, d), _outliers(spark, d), F.col("outlier_fraction") <= 0.5)
-    return rollups.prevalence(flags, *sequences.KEY)
+    flags = rollups.unit_flags(_by_scenario(spark, d), _outliers(spark, d), "scen", gate=F.col("outlier_fraction") <= 0.5)
+    return rollups.prevalence(flags, "scen")
 
 
 @query(
@@ -35,8 +35,9 @@ def real_signal_prevalence(spark, d):
     + " FROM (SELECT *, split_part(repo_slug, '_', 1) AS owner FROM flags) GROUP BY ROLLUP (owner, repo_slug, file_path)"
 )
 def prevalence_rollup(spark, d):
-    rows = _slices(spark, d)
-    return rollups.by_level(rollups.scenario_flags(rows, _ranking(spark, d)))
+    flags = rollups.unit_flags(_by_scenario(spark, d), _ranking(spark, d), "scen")
+    names = _blocks(spark, d).where("at = scen").select("scen", *sequences.KEY)
+    return rollups.by_level(names.join(flags, "scen"))
 
 
 @query(oracle.over("li", "SELECT count(*) AS files, count_if(is_spec_suite) AS suites, quantile_cont(n_distinct_rq1_patterns, 0.5) AS median_rq1_patterns FROM suites", oracle.suite(50, 100, 0.30)))
