@@ -117,7 +117,8 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 8
     unmatched row stays, a key that ``right`` repeats gives a row for each."""
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    # Never broadcast: the estimate of its size does not count the salts.
+    return salted.join(spread.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
 
 
 def key_audit(rows: DataFrame, keys: list[str]) -> DataFrame:

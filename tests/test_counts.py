@@ -68,3 +68,10 @@ def test_equal_windows_of_a_task_are_one_row(spark):
     blocks = tables.cut(sequences.blocks(tables.cut(sequences.numbered(tables.cut(sequences.placed(rows))))).coalesce(1))
     assert sequences.slices(blocks).count() == 50 * sum(40 - n + 1 for n in range(2, 19))
     assert sequences.by_file(blocks).count() == 2 * 17
+
+
+def test_left_join_does_not_broadcast(spark):
+    left = spark.range(100).select(F.col("id").alias("k"))
+    right = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    joined = tables.left_join(left, right, ["k"])
+    assert joined.count() == 100 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
