@@ -41,3 +41,12 @@ def test_odd_inputs(spark):
     assert found(spark.createDataFrame([(1, None, "a"), (None, [0.0], "b"), (3, [0.0], "c")], schema), 1.0, 1) == {1: (False, -1), None: (True, 3), 3: (True, 3)}
     with pytest.raises(ValueError, match="radius"):
         density.clusters(spark.createDataFrame([], schema), 0.0, 2)
+
+
+def test_vectors_in_many_chunks(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([c + 0.4 * rng.normal(size=(20, 3)) for c in rng.normal(size=(5, 3)) * 3])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["core"], r["cluster_id"]) for r in density.clusters(df, 0.6, 4, chunk=7).collect()}
+    assert got == plain(rows, 0.6, 4) and len(set(got.values())) > 3
