@@ -39,13 +39,18 @@ MEMBERS = 8
 
 def _roots(pairs: DataFrame, now: DataFrame) -> DataFrame:
     """id and root, the least id of each component: ``now`` has every id as its
-    own root, ``pairs`` are links (a, b) both ways. Ids may be structs."""
+    own root, ``pairs`` are links (a, b) both ways. Ids may be structs.
+
+    In each round an id, and its root too, moves to the least root of a root that a
+    neighbour has. As roots are hooked and not ids alone, rounds grow with the
+    logarithm of a chain's length, not with the length."""
     now = cut(now)
     while True:
-        around = pairs.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        least = now.join(around.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("low", "root")).alias("via"))
-        jump = now.select(F.col("id").alias("via"), F.col("root").alias("up"))
-        moved = cut(least.join(jump, "via").select("id", "was", F.least("via", "up").alias("root")))
+        now = now.join(now.select(F.col("id").alias("root"), F.col("root").alias("up")), "root")
+        around = pairs.join(now.select(F.col("id").alias("b"), "up"), "b").groupBy("a").agg(F.min("up").alias("low"))
+        least = now.join(around.withColumnRenamed("a", "id"), "id", "left").select("id", "root", F.least("up", F.coalesce("low", "up")).alias("via"))
+        hooks = least.where("via < root").groupBy(F.col("root").alias("id")).agg(F.min("via").alias("hook"))
+        moved = cut(least.join(hooks, "id", "left").select("id", F.col("root").alias("was"), F.least("via", F.coalesce("hook", "via")).alias("root")))
         now = moved.select("id", "root")
         if moved.where("root <> was").isEmpty():
             return now
@@ -142,9 +147,11 @@ def _chosen(points: DataFrame, tree: DataFrame, grid: list[float], min_cluster:
     spans = tree.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(F.col("level") >= first)
     at = lambda c: F.struct("level", F.col(c).alias("node"))
     links = cut(spans.select(at("a").alias("a"), at("b").alias("b")).unionByName(spans.select(at("b").alias("a"), at("a").alias("b"))))
-    each = points.select("node", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("level")).select(at("node").alias("id"))
-    roots = _roots(links, each.select("id", F.col("id").alias("root")))
-    member = roots.select(F.col("id.level").alias("level"), F.col("id.node").alias("node"), F.col("root.node").alias("root"))
+    ids = links.select(F.col("a").alias("id")).distinct()
+    roots = _roots(links, ids.select("id", F.col("id").alias("root")))
+    each = points.select("node", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("level"))
+    roots = roots.select(F.col("id.level").alias("level"), F.col("id.node").alias("node"), F.col("root.node").alias("root"))
+    member = each.join(roots, ["level", "node"], "left").select("level", "node", F.coalesce("root", "node").alias("root"))
     sizes = member.join(points.select("node", "copies"), "node").groupBy("level", "root").agg(F.sum("copies").alias("rows")).where(F.col("rows") >= min_cluster)
     member = cut(member.join(sizes, ["level", "root"]))
     big = member.select("level", "root", "rows").distinct()

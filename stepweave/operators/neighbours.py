@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def in_blocks(rows: DataFrame, compare: Callable[[list[pa.RecordBatch]], pa.Reco
         for whole in batches:
             for at in range(0, whole.num_rows, block):
                 batch = whole.slice(at, block)
-                v = np.array(batch.column("v").to_pylist(), float)
+                v = stacked([batch], "v").astype(float)
                 for tree, (made, median) in enumerate(zip(directions, medians, strict=True)):
                     far = v @ made - median
                     gray = far > 0
@@ -87,7 +88,16 @@ def in_blocks(rows: DataFrame, compare: Callable[[list[pa.RecordBatch]], pa.Reco
 
 
 def stacked(waiting: list[pa.RecordBatch], column: str) -> np.ndarray:
-    return np.concatenate([np.array(b.column(column).to_pylist()) for b in waiting])
+    """The values of a column of batches; vectors as rows of a matrix."""
+    parts = [b.column(column) for b in waiting]
+    if pa.types.is_list(parts[0].type):
+        widths = np.unique(np.concatenate([pc.list_value_length(p).to_numpy(zero_copy_only=False) for p in parts]))
+        if len(widths) != 1:
+            raise ValueError(f"vectors of several lengths: {widths[:5]}")
+        return np.concatenate([p.flatten().to_numpy(zero_copy_only=False) for p in parts]).reshape(-1, int(widths[0]))
+    if pa.types.is_primitive(parts[0].type):
+        return np.concatenate([p.to_numpy(zero_copy_only=False) for p in parts])
+    return np.concatenate([np.array(p.to_pylist()) for p in parts])
 
 
 def distances(v: np.ndarray) -> np.ndarray:

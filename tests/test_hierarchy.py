@@ -1,5 +1,7 @@
 """The graph of neighbours, its layout, and clusters of several densities."""
 
+from itertools import pairwise
+
 import numpy as np
 import pytest
 
@@ -142,3 +144,14 @@ def test_layout_keeps_groups_apart(spark):
     np.fill_diagonal(far, np.inf)
     assert np.mean([far[i].argmin() // 40 == i // 40 for i in range(160)]) > 0.95 and np.isfinite(places).all()
     assert neighbours.layout(points.where("false"), made.where("false")).count() == 0
+
+
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """Components of a chain in no order take rounds by the logarithm of its length."""
+    ids = np.random.default_rng(3).permutation(2000).tolist()
+    links = spark.createDataFrame([p for a, b in pairwise(ids) for p in ((a, b), (b, a))], "a long, b long")
+    written = []
+    monkeypatch.setattr(hierarchy, "cut", lambda df: written.append(1) or cut(df))
+    rows = hierarchy._roots(links, spark.createDataFrame([(i, i) for i in [*ids, 5000]], "id long, root long")).collect()
+    assert {r["id"]: r["root"] for r in rows} == {i: 0 for i in ids} | {5000: 5000}
+    assert len(written) <= 14
