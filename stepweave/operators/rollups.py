@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 from stepweave.functions.columns import owner
 from stepweave.operators.sequences import KEY
-from stepweave.sources.tables import cut
+from stepweave.sources.tables import cut, few
 
 FLAGS = ("recurring", "rq1", "rq2", "rq3")
 
@@ -31,7 +31,8 @@ def unit_flags(rows: DataFrame, ranked: DataFrame, *unit: str, gate: Column | No
     held = (F.lit(True), F.col("max_within_file_recurrence") >= 2, F.col("max_within_repo_files") >= 2, F.col("n_distinct_orgs") >= 2)
     bits = reduce(lambda a, b: a + b, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(held)])
     known = (ranked.where(gate) if gate is not None else ranked).select("pattern", bits.alias("_bits"))
-    found = rows.select("pattern", *unit).join(known, "pattern", "left").groupBy(*unit).agg(F.coalesce(F.bit_or("_bits"), F.lit(0)).alias("_bits"))
+    # Few patterns: the bits of a unit come together before any shuffle.
+    found = rows.select("pattern", *unit).join(few(known), "pattern", "left").groupBy(*unit).agg(F.coalesce(F.bit_or("_bits"), F.lit(0)).alias("_bits"))
     return found.select(*unit, *[(F.col("_bits").bitwiseAND(1 << i) > 0).alias(f) for i, f in enumerate(FLAGS)])
 
 

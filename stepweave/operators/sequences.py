@@ -59,24 +59,30 @@ def numbered(placed_steps: DataFrame) -> DataFrame:
     return placed_steps.join(F.broadcast(ahead), "part").withColumn("at", F.col("row") + F.col("ahead")).drop("part", "row", "ahead")
 
 
-def blocks(numbered_steps: DataFrame, l_max: int = L_MAX, size: int = BLOCK) -> DataFrame:
+def blocks(numbered_steps: DataFrame, l_max: int = L_MAX, size: int = BLOCK, parts: int | None = None) -> DataFrame:
     """Scenarios as rows of at most ``size`` steps and the l_max - 1 that follow
     them: ids, texts, n (the steps at which windows start), start (the position of
     the first), at (its number), scen (the number of the scenario's first step) and
     whether the scenario is dealt over several rows. A scenario of any share of all
-    steps is dealt over as many rows as it needs."""
+    steps is dealt over as many rows as it needs. Rows lie in ``parts`` ranges of
+    their numbers: steps are dealt once, by these."""
     if size > SPOT:
         raise ValueError(f"a row has at most {SPOT} steps")
     home = F.floor(F.col("at") / size)
     copies = F.when((F.col("at") % size < l_max - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    grouped = numbered_steps.withColumn("block", F.explode(copies)).groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("at", "cluster_id", "text"))).alias("steps"))
+    dealt = numbered_steps.withColumn("block", F.explode(copies))
+    dealt = dealt.repartitionByRange(parts, "block") if parts else dealt.repartitionByRange("block")
+    grouped = dealt.groupBy(*KEY, "block").agg(F.array_sort(F.collect_list(F.struct("at", "cluster_id", "text"))).alias("steps"))
     rows = grouped.select(*KEY, "block", F.col("steps.at")[0].alias("at"), F.col("steps.cluster_id").alias("ids"), F.col("steps.text").alias("texts"))
     rows = rows.withColumn("n", F.least(F.size("ids").cast("long"), (F.col("block") + 1) * size - F.col("at")).cast("int")).where("n > 0")
-    # At most one scenario goes on into a block: where it began.
-    ends = numbered_steps.groupBy(*KEY).agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    long = ends.where(F.floor(F.col("first") / size) < F.floor(F.col("last") / size))
-    began = long.select("first", F.explode(F.sequence(F.floor(F.col("first") / size) + 1, F.floor(F.col("last") / size))).alias("block"))
-    rows = rows.join(began, "block", "left").withColumn("start", F.when(F.col("at") == F.col("block") * size, F.col("at") - F.col("first")))
+    # At most one scenario goes on into a block: where it began. Such a one has the
+    # last step of a block and the first of the next; there are no more than blocks.
+    edges = numbered_steps.where((F.col("at") % size == 0) | (F.col("at") % size == size - 1)).groupBy(*KEY).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    across = edges.where(F.floor(F.col("first") / size) < F.floor(F.col("last") / size)).select(*[F.col(c).alias(f"_{c}") for c in KEY])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    ends = numbered_steps.join(F.broadcast(across), same, "left_semi").groupBy(*KEY).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    began = ends.select("first", F.explode(F.sequence(F.floor(F.col("first") / size) + 1, F.floor(F.col("last") / size))).alias("block"))
+    rows = rows.join(F.broadcast(began), "block", "left").withColumn("start", F.when(F.col("at") == F.col("block") * size, F.col("at") - F.col("first")))
     start = F.coalesce("start", F.lit(0))
     # Only where a scenario goes on do steps of the next block follow.
     return rows.select(*KEY, "ids", "texts", "n", "at", start.cast("int").alias("start"), (F.col("at") - start).alias("scen"), ((start > 0) | (F.size("ids") > F.col("n"))).alias("dealt"))

@@ -44,6 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys and a few numbers that are broadcast at most.
+FEW = 200_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, to be read of a stored table, broadcast in joins if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -128,26 +137,31 @@ def key_audit(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lineitem_steps(spark: SparkSession, base: str) -> DataFrame:
-    """Orders as scenarios: repository = region and nation, file = customer."""
+    """Orders as scenarios: repository = region and nation, file = customer. Lines
+    are dealt twice, by part and by order; the places within orders follow from the
+    second dealing."""
     t = Catalog(spark, (base,)).table
-    joined = (
-        t("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
-        .join(t("orders", ["o_orderkey", "o_custkey"]), F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.col("p_size") % 4
+    first_word = F.substring_index("p_name", " ", 1)
+    text = F.when(kind == 0, F.concat(F.lit('set "'), "p_type", F.lit('" "'), first_word, F.lit('"'))).when(kind == 1, F.concat(F.lit("check <"), "p_type", F.lit(">"))).otherwise(F.col("p_type"))
+    parts = t("part", ["p_partkey", "p_name", "p_type", "p_size"]).select("p_partkey", F.when(F.col("p_size") <= 46, kind).cast("int").alias("cluster_id"), text.alias("text"))
+    orders = (
+        t("orders", ["o_orderkey", "o_custkey"])
         .join(t("customer", ["c_custkey", "c_nationkey"]), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation", ["n_nationkey", "n_name", "n_regionkey"]), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region", ["r_regionkey", "r_name"]), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(t("part", ["p_partkey", "p_name", "p_type", "p_size"]), F.col("l_partkey") == F.col("p_partkey"))
+        .select("o_orderkey", F.concat_ws("_", "r_name", "n_name").alias("repo_slug"), F.col("c_custkey").cast("string").alias("file_path"))
     )
+    lines = t("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     order = W.Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    first_word = F.substring_index("p_name", " ", 1)
-    kind = F.col("p_size") % 4
     return joined.select(
-        F.concat_ws("_", "r_name", "n_name").alias("repo_slug"),
-        F.col("c_custkey").cast("string").alias("file_path"),
+        "repo_slug",
+        "file_path",
         F.col("o_orderkey").cast("string").alias("scenario"),
         F.row_number().over(order).alias("line"),
-        F.when(F.col("p_size") <= 46, kind).cast("int").alias("cluster_id"),
-        F.when(kind == 0, F.concat(F.lit('set "'), "p_type", F.lit('" "'), first_word, F.lit('"'))).when(kind == 1, F.concat(F.lit("check <"), "p_type", F.lit(">"))).otherwise(F.col("p_type")).alias("text"),
+        "cluster_id",
+        "text",
         ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)).alias("is_background"),
     )
 
