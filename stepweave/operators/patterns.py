@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from stepweave.functions.columns import MECHANISMS, guarded_ratio, has_placeholder, mechanism_of, scope
+from stepweave.sources.tables import few
 
 FILE = ("repo_slug", "file_path")
 
@@ -18,7 +19,7 @@ def spec_suite_files(slice_rows: DataFrame, ranked: DataFrame, patterns: int = 5
     recurrence, the share with template texts, and whether it is a spec suite."""
     inside = ranked.where("max_within_file_recurrence >= 2").select("pattern", "has_template_structure")
     if "scenarios" in slice_rows.columns:  # the rows of ``sequences.by_file``
-        per_file = slice_rows.select("pattern", *FILE, "scenarios").join(inside, "pattern").groupBy("pattern", *FILE).agg(F.sum("scenarios").alias("scenarios"), F.first("has_template_structure").alias("has_template_structure"))
+        per_file = slice_rows.select("pattern", *FILE, "scenarios").join(few(inside), "pattern").groupBy("pattern", *FILE).agg(F.sum("scenarios").alias("scenarios"), F.first("has_template_structure").alias("has_template_structure"))
     else:
         per_file = slice_rows.groupBy("pattern", *FILE, "scenario").agg(F.lit(1).alias("one")).groupBy("pattern", *FILE).agg(F.count(F.lit(1)).alias("scenarios")).join(inside, "pattern")
     rows = per_file.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n_distinct_rq1_patterns"), F.max("scenarios").alias("top_pattern_recurrence"), F.avg(F.col("has_template_structure").cast("double")).alias("template_fraction"))
@@ -29,7 +30,7 @@ def spec_suite_files(slice_rows: DataFrame, ranked: DataFrame, patterns: int = 5
 def outlier_fraction(slice_rows: DataFrame, ranked: DataFrame, files: DataFrame) -> DataFrame:
     """``ranked`` with the share of each pattern's occurrences in spec suites."""
     if "scenarios" in slice_rows.columns:  # the rows of ``sequences.by_file``
-        hits = slice_rows.join(files.where("is_spec_suite").select(*FILE), list(FILE), "left_semi").groupBy("pattern").agg(F.sum("n").alias("_hits"))
+        hits = slice_rows.join(few(files.where("is_spec_suite").select(*FILE)), list(FILE), "left_semi").groupBy("pattern").agg(F.sum("n").alias("_hits"))
         return ranked.join(hits, "pattern", "left").withColumn("outlier_fraction", F.coalesce("_hits", F.lit(0)) / F.col("support_total")).drop("_hits")
     per_file = slice_rows.groupBy("pattern", *FILE).agg(F.count(F.lit(1)).alias("n"))
     marked = per_file.join(files.where("is_spec_suite").select(*FILE, F.lit(1).alias("hit")), list(FILE), "left")
