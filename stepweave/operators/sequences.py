@@ -22,6 +22,11 @@ BLOCK = 4096
 SPOT = 1 << 13
 #: Steps whose windows a task counts together.
 _CHUNK = 1 << 20
+#: Patterns of a length, at most, whose windows are counted where they lie; those of
+#: longer windows hardly repeat within a task.
+_HELD = 100_000
+#: Rows of a range of ``recurring``.
+_RANGE = 250_000
 
 
 def clean_steps(steps: DataFrame) -> DataFrame:
@@ -189,6 +194,110 @@ def by_file(block_rows: DataFrame, l_max: int = L_MAX) -> DataFrame:
     return whole.unionByName(parts.drop("scen"))
 
 
+def short_length(block_rows: DataFrame, l_max: int = L_MAX) -> int:
+    """The greatest length of which the kinds of steps make no more than ``_HELD``
+    patterns: up to it windows are for ``by_file``, beyond it for ``recurring``."""
+    kinds = block_rows.select(F.explode(F.array_distinct("ids")).alias("id")).distinct().count()
+    return max([n for n in range(L_MIN, l_max + 1) if kinds**n <= _HELD], default=L_MIN)
+
+
+def _end(steps: np.ndarray, least: bool) -> int:
+    """The first or last row in order of ``steps``, which has a row for each place."""
+    rows = np.arange(steps.shape[1])
+    for place in steps:
+        on = place[rows]
+        rows = rows[on == (on.min() if least else on.max())]
+    return int(rows[0])
+
+
+def recurring(block_rows: DataFrame, short: int, l_max: int = L_MAX, min_support: int = 2, size: int = _RANGE) -> DataFrame:
+    """What ``by_file`` tells of the windows of more than ``short`` steps whose pattern
+    has ``min_support`` of them at least, as rows for ``merged``.
+
+    A row of the l_max steps that follow is dealt for each step, over ranges of these
+    rows, so equal windows of any length lie side by side: a range has all windows of
+    its patterns, but for those of its first and its last row. Windows of these come by
+    scenario, with ``scen``, as other ranges may have more of them; a pattern of any
+    share of the windows lies in as many ranges as it needs."""
+    starts = F.least(F.col("n"), F.size("ids") - short)
+    rows = block_rows.where((starts > 0) & F.lit(short < l_max)).select("repo_slug", "file_path", "scen", "ids", "at", starts.alias("_starts"))
+    dealt = rows.agg(F.sum("_starts")).first()[0] or 0
+    rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_starts") - 1)))
+    rows = rows.select("repo_slug", "file_path", "scen", F.slice("ids", F.col("_from") + 1, l_max).alias("ids"), ((F.col("at") + F.col("_from")) * SPOT + F.col("_from")).alias("spot"))
+    rows = rows.repartitionByRange(max(1, -(-dealt // size)), "ids", "scen", "spot")
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name in ("repo_slug", "file_path")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from counted(pa.Table.from_batches(held).combine_chunks())
+
+    def counted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = rows.column("ids").combine_chunks()
+        known, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        names, left = pa.array(known).cast(pa.string()), pc.list_value_length(lists).to_numpy()
+        # Steps by their place; none counts as less than any, as it does in the ranges.
+        steps = np.full((l_max, len(left)), -1, np.int64)
+        steps[np.arange(len(codes)) - np.repeat(np.cumsum(left) - left, left), np.repeat(np.arange(len(left)), left)] = codes
+        ends = [_end(steps, True), _end(steps, False)]
+        file = np.zeros(len(left), np.int64)
+        for c, _ in kinds:
+            codes = rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            file = np.unique(file * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+        scen, spot = rows.column("scen").to_numpy(), rows.column("spot").to_numpy()
+        _, unit = np.unique(scen, return_inverse=True)
+        _, unit = np.unique(file * (int(unit.max()) + 1) + unit, return_inverse=True)  # those of a file together
+        units = int(unit.max()) + 1
+        spots, code, open_ones = np.arange(len(left)), np.zeros(len(left), np.int64), np.ones((2, len(left)), bool)
+        for length in range(1, l_max + 1):
+            on = left[spots] >= length
+            spots, code, open_ones = spots[on], code[on], open_ones[:, on]
+            if not len(spots):
+                return
+            last = steps[length - 1]
+            _, code, n = np.unique(code * len(known) + last[spots], return_inverse=True, return_counts=True)
+            open_ones = open_ones & np.stack([last[spots] == last[e] for e in ends])
+            if length <= short:
+                continue
+            # The longer windows of a window without its like have none either.
+            on = (n[code] >= min_support) | open_ones.any(axis=0)
+            spots, code, open_ones = spots[on], code[on], open_ones[:, on]
+            for is_open in (False, True):
+                of = open_ones.any(axis=0) == is_open
+                if not of.any():
+                    continue
+                key = code[of] * units + unit[spots[of]]
+                order = np.argsort(key, kind="stable")
+                key, mine = key[order], spots[of][order]
+                other = np.r_[True, key[1:] != key[:-1]]
+                same, of_file = key // units, file[mine]
+                first = np.flatnonzero(other if is_open else np.r_[True, (same[1:] != same[:-1]) | (of_file[1:] != of_file[:-1])])
+                texts = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * length), names.take(pa.array(steps[:length, mine[first]].T.ravel())))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pc.binary_join(texts, ","),
+                        pa.array(np.full(len(first), length, np.int32)),
+                        *(rows.column(c).combine_chunks().take(pa.array(mine[first])) for c, _ in kinds),
+                        pa.array(np.diff(np.r_[first, len(mine)])),
+                        pa.array(np.add.reduceat(other.astype(np.int64), first)),
+                        pa.array(np.minimum.reduceat(spot[mine], first)),
+                        pa.array(scen[mine[first]]) if is_open else pa.nulls(len(first), pa.int64()),
+                    ],
+                    ["pattern", "L", *(c for c, _ in kinds), "n", "scenarios", "spot", "scen"],
+                )
+
+    fields = ", ".join(f"{c} {t}" for c, t in kinds)
+    return rows.mapInArrow(run, f"pattern string, L int, {fields}, n long, scenarios long, spot long, scen long")
+
+
+def merged(range_rows: DataFrame) -> DataFrame:
+    """The rows of ``by_file``, of those of ``recurring``, to be stored first: what
+    several ranges have of a scenario is one."""
+    parts = range_rows.where("scen is not null").groupBy("pattern", "L", "repo_slug", "file_path", "scen").agg(F.sum("n").alias("n"), F.min("spot").alias("spot"))
+    parts = parts.groupBy("pattern", "L", "repo_slug", "file_path").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("scenarios"), F.min("spot").alias("spot"))
+    return range_rows.where("scen is null").drop("scen").unionByName(parts)
+
+
 def by_scenario(block_rows: DataFrame, l_max: int = L_MAX) -> DataFrame:
     """scen and pattern of the windows of ``blocks``; a pair comes once for each row
     of a dealt scenario that holds it."""
