@@ -5,139 +5,112 @@ the radius. Core vectors within the radius of each other share a cluster, named
 by its least core key; any other vector joins the least cluster it reaches, and
 those that reach none are noise, -1.
 
-Near pairs are exact, and never stored. Vectors are put in order of their nearest
-pivot and their distance from it, and packed into chunks with a centre and a reach;
-chunks that may hold a near pair are compared as matrices, and each comparison hands
-on sums and links of single vectors. Distances by products only choose: those close
-to the radius are taken again, place by place. Where all chunks are near each other
-the work is that of all pairs. Equal vectors are one node with a number of copies.
+Near pairs are exact, and never stored: groups of vectors that may hold some are
+compared in ``pairs``, and each two groups hand on sums and links of single vectors.
+Distances by products only choose: those close to the radius are taken again, place by
+place. Where all vectors are near each other the work is that of all pairs, what is
+dealt and stored is not. Equal vectors are one node with a number of copies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.operators import pairs
+from stepweave.operators.pairs import CHUNK, Chunk
 from stepweave.sources.tables import cut
 
-#: Bound of the vectors, taken by hash, that are sent to the tasks as pivots.
-PIVOTS = 64
-#: Vectors of a chunk.
-CHUNK = 2048
 
+def _near(v: np.ndarray, w: np.ndarray, radius: float) -> np.ndarray:
+    """Which rows of v and w lie within the radius."""
+    middle = v.mean(axis=0)
+    middle = np.where(np.isfinite(middle), middle, 0.0)
+    x, y = v - middle, w - middle
+    a, b = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    # The square of the distance less that of the radius, as one product.
+    size = max(a.max(), b.max()) + radius * radius
+    kind = np.float32 if size < 1e30 else np.float64
+    far = np.c_[x, a - radius * radius, np.ones(len(a))].astype(kind) @ np.c_[-2 * y, np.ones(len(b)), b].astype(kind).T
+    slack = 4 * (v.shape[1] + 8) * float(np.finfo(kind).eps) * (size if np.isfinite(size) else np.inf)
+    near, may = far <= -slack, far <= slack
+    if np.count_nonzero(near) < np.count_nonzero(may):
+        i, j = np.nonzero(may & ~near)
+        for at in range(0, len(i), 1 << 16):
+            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            total = np.zeros(len(p))
+            for k in range(v.shape[1]):
+                total += (v[p, k] - w[q, k]) ** 2
+            near[p, q] = np.sqrt(total) <= radius
+    return near
 
-def _placed(nodes: DataFrame, chunk: int) -> DataFrame:
-    """``nodes`` in order of nearest pivot and distance, in partitions of about a chunk."""
-    # At most PIVOTS rows.
-    pivots = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("v"), "node").limit(PIVOTS).collect()], float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                v = np.array(batch.column("v").to_pylist(), float)
-                far = np.sqrt(((v[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(axis=1)), pa.array(far.min(axis=1))], [*batch.schema.names, "pivot", "far"])
+def _copies(near: np.ndarray, copies: pa.Array) -> np.ndarray:
+    """Copies of the columns that are near each row."""
+    n = copies.to_numpy()
+    return near.sum(axis=1) if (n == 1).all() else (near.astype(float) @ n).astype(np.int64)
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    placed = nodes.select("node", "copies", "v").mapInArrow(run, f"node {kind}, copies long, v array<double>, pivot long, far double")
-    parts = max(1, -(-nodes.count() // chunk))
-    return placed.repartitionByRange(parts, "pivot", "far", "node").sortWithinPartitions("pivot", "far", "node").drop("pivot", "far")
 
+def _counts(radius: float, least: int):
+    """node and n, the copies within the radius; where both chunks' rows have ``least``
+    already, no more are counted."""
 
-def _packed(rows: DataFrame, more: str, chunk: int) -> DataFrame:
-    """Chunks of rows (node, v and ``more``): id, names, values of ``more``, the
-    vectors as bytes, their centre, and its greatest distance from them."""
-    kind, value = (rows.schema[c].dataType.simpleString() for c in ("node", more))
+    def look(a: list[Chunk], b: list[Chunk]) -> Iterator[pa.RecordBatch]:
+        n, m = ([np.zeros(len(c.names), np.int64) for c in side] for side in (a, b))
+        for i, j in pairs.between(a, b, radius):
+            x, y, other = (a[i], b[j], m) if b else (a[i], a[j], n)
+            if n[i].min() >= least and other[j].min() >= least:
+                continue
+            near = _near(x.v, y.v, radius)
+            n[i] += _copies(near, y.held)
+            if x is not y:
+                other[j] += _copies(near.T, x.held)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.names for c in a + b]), pa.array(np.concatenate(n + m))], ["node", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk):
-                batch = whole.slice(at, chunk)
-                v = np.array(batch.column("v").to_pylist(), float)
-                centre = v.mean(axis=0)
-                reach = float(np.sqrt(((v - centre) ** 2).sum(axis=1)).max())
-                lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in ("node", more)]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([v.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([reach])], ["names", "held", "v", "centre", "reach"])
+    return look
 
-    made = rows.select("node", more, "v").mapInArrow(run, f"names array<{kind}>, held array<{value}>, v binary, centre array<double>, reach double")
-    return cut(made.withColumn("id", F.monotonically_increasing_id()))
 
+def _links(radius: float):
+    """a and b: edges that join what the near pairs of two groups join, fewer than rows."""
 
-def _near(v: np.ndarray, w: np.ndarray, radius: float) -> np.ndarray:
-    """Which rows of v and w lie within the radius."""
-    a, b = (v * v).sum(axis=1), (w * w).sum(axis=1)
-    far = a[:, None] + b[None, :] - 2 * (v @ w.T)
-    near = far <= radius * radius
-    slack = 1e-10 * (a.max() + b.max() + radius * radius)
-    i, j = np.nonzero(np.abs(far - radius * radius) <= slack)
-    for at in range(0, len(i), 1 << 16):
-        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        total = np.zeros(len(x))
-        for k in range(v.shape[1]):
-            total += (v[x, k] - w[y, k]) ** 2
-        near[x, y] = np.sqrt(total) <= radius
-    return near
+    def look(a: list[Chunk], b: list[Chunk]) -> Iterator[pa.RecordBatch]:
+        at = pairs.starts(a + b)
+        label = np.arange(at[-1])
+        for i, j in pairs.between(a, b, radius):
+            to = len(a) + j if b else j
+            rows, columns = label[at[i] : at[i + 1]], label[at[to] : at[to + 1]]
+            if (rows == rows[0]).all() and (columns == rows[0]).all():
+                continue
+            near = _near(a[i].v, (b or a)[j].v, radius)
+            # Each row and each column in turn names one that it is not joined with yet.
+            while (apart := near & (rows[:, None] != columns[None, :])).any():
+                p, q = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+                ends = np.r_[p, apart[:, q].argmax(axis=0)], np.r_[apart[p].argmax(axis=1), q]
+                pairs.joined(label, at[i] + ends[0], at[to] + ends[1])
+        names, moved = pa.concat_arrays([c.names for c in a + b]), np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(label[moved]))], ["a", "b"])
+
+    return look
+
+
+def _least_root(radius: float):
+    """node and the least root of the core rows within the radius, where there are any.
+    Rows of the second side come by root."""
 
+    def look(a: list[Chunk], b: list[Chunk]) -> Iterator[pa.RecordBatch]:
+        waiting = [np.arange(len(c.names)) for c in a]
+        for i, j in pairs.between(a, b, radius):
+            if len(waiting[i]):
+                near = _near(a[i].v[waiting[i]], b[j].v, radius)
+                hit = near.any(axis=1)
+                yield pa.RecordBatch.from_arrays([a[i].names.take(pa.array(waiting[i][hit])), b[j].held.take(pa.array(near[hit].argmax(axis=1)))], ["node", "root"])
+                waiting[i] = waiting[i][~hit]
 
-def _compared(left: DataFrame, right: DataFrame, radius: float, twice: bool, look: Callable[..., tuple[pa.Array, pa.Array]], schema: str) -> DataFrame:
-    """What ``look`` (near, both rows' names and values, whether both are one chunk)
-    makes of each two chunks that may hold a near pair; each pair of one table comes
-    once, unless ``twice``."""
-    gap = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    a, b = (t.select(F.col("id").alias(f"i{k}"), F.col("centre").alias(f"c{k}"), F.col("reach").alias(f"r{k}")) for t, k in ((left, "a"), (right, "b")))
-    pairs = a.crossJoin(b).where(gap <= (F.col("ra") + F.col("rb") + radius) * (1 + 1e-9)).select("ia", "ib")
-    pairs = pairs if twice else pairs.where("ia <= ib")
-    sides = [t.select(F.col("id").alias(f"i{k}"), F.col("names").alias(f"n{k}"), F.col("held").alias(f"h{k}"), F.col("v").alias(f"v{k}")).hint("merge") for t, k in ((left, "a"), (right, "b"))]
-    names = schema.replace(",", " ").split()[::2]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(whole.num_rows):
-                c = {n: whole.column(n)[k] for n in whole.schema.names}
-                v, w = (np.frombuffer(c[f"v{s}"].as_py()).reshape(len(c[f"n{s}"]), -1) for s in "ab")
-                made = look(_near(v, w, radius), c["na"].values, c["ha"].values, c["nb"].values, c["hb"].values, not twice and c["ia"].as_py() == c["ib"].as_py())
-                yield pa.RecordBatch.from_arrays(list(made), names)
-
-    n = max(1, left.count() * right.count() // (1 if twice else 2))
-    dealt = pairs.join(sides[0], "ia").join(sides[1], "ib").repartition(min(n, 512), "ia", "ib")
-    return dealt.mapInArrow(run, schema)
-
-
-def _copies_near(near, na, ha, nb, hb, same):
-    """node and n, the copies within the radius, of both sides' rows."""
-    left, right = near @ hb.to_numpy(), near.T @ ha.to_numpy()
-    return (na, pa.array(left)) if same else (pa.concat_arrays([na, nb]), pa.array(np.r_[left, right]))
-
-
-def _links(near, na, ha, nb, hb, same):
-    """a and b: edges that join what the near pairs of two chunks join."""
-    n, m = near.shape
-    label, other = np.arange(n), np.full(m, n)
-    while True:  # the least row of the left side that each one reaches
-        new_other = np.where(near, label[:, None], n).min(axis=0)
-        least = np.minimum(label, np.where(near, new_other[None, :], n).min(axis=1))
-        if (least == label).all() and (new_other == other).all():
-            break
-        label, other = least, new_other
-    rows, columns = np.flatnonzero(label != np.arange(n)), np.flatnonzero(other < n)
-    ends = pa.concat_arrays([na.take(pa.array(rows)), nb.take(pa.array(columns))])
-    return ends, na.take(pa.array(np.r_[label[rows], other[columns]].astype(np.int64)))
-
-
-def _least_root(near, na, ha, nb, hb, same):
-    """node and the least root of the core rows within the radius, where there are any."""
-    order = pc.rank(hb, tiebreaker="dense").to_numpy().astype(np.int64)
-    least = np.where(near, order[None, :], len(order) + 1).min(axis=1)
-    rows = np.flatnonzero(least <= len(order))
-    at = np.zeros(len(order) + 2, np.int64)
-    at[order] = np.arange(len(order))
-    return na.take(pa.array(rows)), hb.take(pa.array(at[least[rows]]))
+    return look
 
 
 def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,19 +135,18 @@ def clusters(vectors: DataFrame, radius: float, min_points: int, key: str = "vec
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     nodes = cut(rows.where("key is not null and v is not null").groupBy("v").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies")))
     kind = nodes.schema["node"].dataType.simpleString()
-    placed = cut(_placed(nodes, chunk))
-    every = _packed(placed, "copies", chunk)
-    degrees = _compared(every, every, radius, False, _copies_near, f"node {kind}, n long")
+    every = pairs.packed(pairs.placed(nodes, "copies", chunk), "copies", chunk)
+    degrees = pairs.met(every, None, _counts(radius, min_points), f"node {kind}, n long", radius)
     core = cut(degrees.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("node"))
-    held = _placed(nodes.join(core, "node", "left_semi"), chunk)
-    dense = _packed(held, "copies", chunk)
-    edges = _compared(dense, dense, radius, False, _links, f"a {kind}, b {kind}").where("a <> b")
-    edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    inner = nodes.join(core, "node", "left_semi")
+    dense = pairs.packed(pairs.placed(inner, "copies", chunk), "copies", chunk)
+    edges = cut(pairs.met(dense, None, _links(radius), f"a {kind}, b {kind}", radius))
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = _roots(core, edges)
     # Core rows have their root; the others take the least that they reach.
-    rest = _packed(_placed(nodes.join(core, "node", "left_anti"), chunk), "copies", chunk)
-    rooted = _packed(_placed(nodes.join(core, "node", "left_semi"), chunk).join(roots, "node").repartitionByRange(max(1, -(-core.count() // chunk)), "root", "node").sortWithinPartitions("root", "node"), "root", chunk)
-    reached = _compared(rest, rooted, radius, True, _least_root, f"node {kind}, root {kind}").groupBy("node").agg(F.min("root").alias("root"))
+    rest = pairs.packed(pairs.placed(nodes.join(core, "node", "left_anti"), "copies", chunk), "copies", chunk)
+    rooted = inner.join(roots, "node").repartitionByRange(pairs.groups(inner, chunk), "root", "node").sortWithinPartitions("root", "node")
+    reached = pairs.met(rest, pairs.packed(rooted, "root", chunk), _least_root(radius), f"node {kind}, root {kind}", radius).groupBy("node").agg(F.min("root").alias("root"))
     named = roots.unionByName(reached).select(F.col("node").alias("a"), F.col("root").alias("cluster_id"))
     of = nodes.join(named.withColumnRenamed("a", "node"), "node").join(core.withColumn("core", F.lit(True)), "node", "left").select("v", "cluster_id", "core")
     whole = rows.join(of, "v", "left")

@@ -1,9 +1,12 @@
 """Density clusters against a plain version, and on odd inputs."""
 
+import time
+
 import numpy as np
 import pytest
 
 from stepweave.operators import density
+from stepweave.sources.tables import cut
 
 
 def plain(rows, radius, least):
@@ -50,3 +53,34 @@ def test_vectors_in_many_chunks(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["core"], r["cluster_id"]) for r in density.clusters(df, 0.6, 4, chunk=7).collect()}
     assert got == plain(rows, 0.6, 4) and len(set(got.values())) > 3
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written to shuffles."""
+    time.sleep(1)  # the store of figures lags behind
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_what_is_dealt_grows_with_the_vectors(spark, monkeypatch):
+    """Vectors all near each other: pairs of chunks grow with the square of their
+    number; bytes dealt and links stored must not."""
+    links = []
+
+    def noted(df):
+        made = cut(df)
+        if made.columns == ["a", "b"]:
+            links.append(made.count())
+        return made
+
+    monkeypatch.setattr(density, "cut", noted)
+    sizes = []
+    for n in (400, 1600):
+        v = 0.1 * np.random.default_rng(n).normal(size=(n, 32))
+        df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+        before = shuffled(spark)
+        got = density.clusters(df, 2.0, 4, chunk=16).collect()
+        sizes.append(shuffled(spark) - before)
+        assert len(got) == n and {(r["core"], r["cluster_id"]) for r in got} == {(True, 0)}
+        assert links[-1] <= 13 * n
+    assert sizes[1] < 6 * sizes[0]
