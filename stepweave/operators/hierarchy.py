@@ -1,11 +1,12 @@
 """Clusters of several densities: a tree of density clusters, cut by stability.
 
 Two vectors reach each other at the greatest of their distance and of both core
-distances (to the ``min_points``-th row, the vector itself included). A minimum
-spanning tree under this measure comes of rounds: each component takes its least
-edge to another, found within blocks of neighbouring vectors as the graph of
-neighbours is, and components are joined along these edges. Components that no
-block links are linked through a few members of each.
+distances (to the ``min_points``-th row, the vector itself included). Both come of
+comparing all vectors, by pairs of groups (``pairs``). A minimum spanning tree of all
+is one of the trees of the parts that cover all edges: each two groups hand on the
+edges of their own tree, fewer than their rows, and rounds over these edges alone give
+the whole one: each component takes its least edge to another, and components are
+joined along these edges.
 
 The tree is read at ``levels`` distances at once: components of the edges up to
 each level follow from one run of joins over (level, node), not level by level.
@@ -15,26 +16,26 @@ sum over levels of its rows times the step of 1 / distance; clusters are chosen
 so that the sum of stabilities is greatest, never the one of all rows. Rows of no chosen
 cluster are noise, -1; a cluster is named by its least node.
 
-Results are those of the exact hierarchy with distances rounded up to a level,
-where one block holds all vectors: see ``neighbours``.
+Results are those of the exact hierarchy with distances rounded up to a level.
+Comparisons grow with the square of the number of different vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from stepweave.operators import neighbours
+from stepweave.operators import neighbours, pairs
+from stepweave.operators.pairs import CHUNK, Chunk
 from stepweave.sources.tables import cut
 
 LEVELS = 32
-#: Members of a component that stand for it, once no block links it to another.
-MEMBERS = 8
+#: Edges that a task holds before it keeps those of their tree alone.
+EDGES = 1 << 20
 
 
 def _roots(pairs: DataFrame, now: DataFrame) -> DataFrame:
@@ -64,53 +65,152 @@ def cores(points: DataFrame, made: DataFrame, min_points: int) -> DataFrame:
     return points.join(made.withColumnRenamed("a", "node"), "node", "left").withColumn("core", F.when(F.col("copies") >= min_points, 0.0).otherwise(far)).drop("near")
 
 
-def _bridges(rows: DataFrame, trees: int, block: int, seed: int) -> DataFrame:
-    """(w, a, b, x, y): least edges between components (x of a, y of b) that meet
-    in a block, for each component and block. ``rows`` have node, v, core, comp."""
-    kind = rows.schema["node"].dataType.simpleString()
-
-    def compare(waiting: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        comps = neighbours.stacked(waiting, "comp")
-        if (comps == comps[0]).all():
-            return None
-        v, core = neighbours.stacked(waiting, "v").astype(float), neighbours.stacked(waiting, "core")
-        names = pa.concat_arrays([b.column("node") for b in waiting])
-        far = np.maximum(np.maximum(core[:, None], core[None, :]), neighbours.distances(v))
-        far[comps[:, None] == comps[None, :]] = np.inf
-        other = far.argmin(axis=1)
-        least = far[np.arange(len(v)), other]
-        order = np.lexsort((least, comps))
-        rows = order[np.r_[True, comps[order][1:] != comps[order][:-1]]]
-        b = other[rows]
-        exact = np.maximum(np.maximum(core[rows], core[b]), np.sqrt(((v[rows] - v[b]) ** 2).sum(axis=1)))
-        comp = pa.concat_arrays([x.column("comp") for x in waiting])
-        at, to = pa.array(rows), pa.array(b)
-        return pa.RecordBatch.from_arrays([pa.array(exact), names.take(at), names.take(to), comp.take(at), comp.take(to)], ["w", "a", "b", "x", "y"])
-
-    return neighbours.in_blocks(rows.select("node", "v", "core", "comp"), compare, f"w double, a {kind}, b {kind}, x {kind}, y {kind}", trees, block, seed)
-
-
-def spanning_tree(points: DataFrame, trees: int = neighbours.TREES, block: int = neighbours.BLOCK, seed: int = 42) -> DataFrame:
+def _squares(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Squares of all distances of v and w, good enough to choose by."""
+    middle = v.mean(axis=0)
+    middle = np.where(np.isfinite(middle), middle, 0.0)
+    x, y = v - middle, w - middle
+    far = np.c_[x, (x * x).sum(axis=1), np.ones(len(x))] @ np.c_[-2 * y, np.ones(len(y)), (y * y).sum(axis=1)].T
+    # What is no number is as far as can be.
+    return np.clip(far, 0, None, out=far) if np.isfinite(far.sum()) else np.fmax(np.fmin(far, np.finfo(float).max), 0)
+
+
+def nearest(points: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
+    """a and near, the (distance, b, copies) of a node's k nearest other nodes, by
+    distance; all of them where there are fewer. ``points`` are ``neighbours.nodes``."""
+    kind = points.schema["node"].dataType.simpleString()
+    near = f"array<struct<distance:double,b:{kind},copies:long>>"
+    some = k + 4  # a few more by the rough distances; the exact ones then order them
+
+    def keep(best: np.ndarray, at: np.ndarray, far: np.ndarray, start: int) -> None:
+        rows = np.flatnonzero(far.min(axis=1) < best.max(axis=1))
+        if len(rows):
+            few = min(some, far.shape[1])
+            found = far[rows]
+            columns = np.argpartition(found, few - 1, axis=1)[:, :few]
+            both = np.c_[best[rows], np.take_along_axis(found, columns, axis=1)]
+            order = np.argpartition(both, some - 1, axis=1)[:, :some]
+            best[rows] = np.take_along_axis(both, order, axis=1)
+            at[rows] = np.take_along_axis(np.c_[at[rows], start + columns], order, axis=1)
+
+    def look(a: list[Chunk], b: list[Chunk]) -> Iterator[pa.RecordBatch]:
+        chunks, starts = a + b, pairs.starts(a + b)
+        held = [(np.full((len(c.names), some), np.inf), np.zeros((len(c.names), some), np.int64)) for c in chunks]
+        for i, j in pairs.between(a, b):
+            to = len(a) + j if b else j
+            far = _squares(chunks[i].v, chunks[to].v)
+            if i == to:
+                np.fill_diagonal(far, np.inf)
+            keep(*held[i], far, starts[to])
+            if i != to:
+                keep(*held[to], far.T, starts[i])
+        names, copies = (pa.concat_arrays([getattr(c, x) for c in chunks]) for x in ("names", "held"))
+        v = np.concatenate([c.v for c in chunks])
+        for c, (best, at) in zip(chunks, held, strict=True):
+            exact = np.where(np.isinf(best), np.inf, np.sqrt(((c.v[:, None, :] - v[at]) ** 2).sum(axis=2)))
+            order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            exact, at = np.take_along_axis(exact, order, axis=1), np.take_along_axis(at, order, axis=1)
+            known = np.isfinite(exact)
+            flat = pa.array(at[known])
+            members = pa.StructArray.from_arrays([pa.array(exact[known]), names.take(flat), copies.take(flat)], ["distance", "b", "copies"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, known.sum(axis=1).cumsum()].astype(np.int32)), members)
+            yield pa.RecordBatch.from_arrays([c.names, lists], ["a", "near"])
+
+    found = pairs.met(pairs.packed(pairs.placed(points, "copies", chunk), "copies", chunk), None, look, f"a {kind}, near {near}")
+    # At most k candidates a node and group.
+    return found.groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def _grown(far: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the edges of a minimum spanning tree of rows and columns, numbered on
+    from the rows, or of rows alone where both are the same: from node to node."""
+    n = len(far)
+    size = n if same else n + far.shape[1]
+    back = far if same else np.ascontiguousarray(far.T)
+    # Nodes of the tree stay at inf: out is added to what reaches them.
+    best, via, out = np.full(size, np.inf), np.zeros(size, np.int64), np.zeros(size)
+    ends, at = np.zeros((2, size - 1), np.int64), 0
+    for step in range(size - 1):
+        best[at] = out[at] = np.inf
+        row = far[at] if at < n else back[at - n]
+        start = 0 if same or at >= n else n
+        row = row + out[start : start + len(row)]
+        less = start + (row < best[start : start + len(row)]).nonzero()[0]
+        best[less] = row[less - start]
+        via[less] = at
+        at = int(best.argmin())
+        ends[:, step] = at, via[at]
+    return ends[0], ends[1]
+
+
+def _lightest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest of n rows."""
+    order = np.argsort(w, kind="stable")
+    label, chosen = np.arange(n), []
+    while True:
+        x, y = label[a[order]], label[b[order]]
+        order, x, y = order[x != y], x[x != y], y[x != y]
+        if not len(order):
+            return np.unique(np.concatenate(chosen)) if chosen else order
+        first = np.full(n, len(order))
+        for ends in (x, y):  # the last that is written is the first in order
+            mine = np.full(n, len(order))
+            mine[ends[::-1]] = np.arange(len(order))[::-1]
+            first = np.minimum(first, mine)
+        picked = order[np.unique(first[first < len(order)])]
+        chosen.append(picked)
+        pairs.joined(label, a[picked], b[picked])
+
+
+def _edges(a: list[Chunk], b: list[Chunk]) -> Iterator[pa.RecordBatch]:
+    """a, b and w of the edges of a minimum spanning tree of two groups, of the edges
+    between them, or of one group; ``held`` is the core distance."""
+    chunks, starts = a + b, pairs.starts(a + b)
+    core = [c.held.to_numpy() for c in chunks]
+    none = np.zeros(0, np.int64)
+    held, waiting = (none, none, np.zeros(0)), []
+
+    def lightest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, q, w = (np.concatenate(x) for x in zip(held, *waiting, strict=True))
+        kept = _lightest(starts[-1], p, q, w)
+        return p[kept], q[kept], w[kept]
+
+    for i, j in pairs.between(a, b):
+        to = len(a) + j if b else j
+        far = _squares(chunks[i].v, chunks[to].v)
+        np.maximum(far, (core[i] ** 2)[:, None], out=far)
+        np.maximum(far, (core[to] ** 2)[None, :], out=far)
+        p, q = _grown(far, i == to)
+        n = len(far)
+        rows, columns = (p, q) if i == to else (np.minimum(p, q), np.maximum(p, q) - n)
+        waiting.append((starts[i] + rows, starts[to] + columns, far[rows, columns]))
+        if sum(len(x[0]) for x in waiting) > EDGES:
+            held, waiting = lightest(), []
+    p, q, _ = lightest()
+    names, v, core = pa.concat_arrays([c.names for c in chunks]), np.concatenate([c.v for c in chunks]), np.concatenate(core)
+    for at in range(0, len(p), 1 << 14):
+        x, y = p[at : at + (1 << 14)], q[at : at + (1 << 14)]
+        w = np.maximum(np.maximum(core[x], core[y]), np.sqrt(((v[x] - v[y]) ** 2).sum(axis=1)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), names.take(pa.array(y)), pa.array(w)], ["a", "b", "w"])
+
+
+def spanning_tree(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """a, b and w of the edges of a minimum spanning tree; ``points`` have core.
     Among equal weights there may be edges to spare: they join what is joined."""
-    comps, tree, few = points.select("node", F.col("node").alias("comp")), None, False
+    kind = points.schema["node"].dataType.simpleString()
+    found = pairs.met(pairs.packed(pairs.placed(points, "core", chunk), "core", chunk), None, _edges, f"a {kind}, b {kind}, w double")
+    edges, tree = cut(found.where("not isnan(w)").select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y"))), None
     while True:
-        rows = points.join(comps, "node")
-        if few:  # by hash
-            place = F.row_number().over(W.Window.partitionBy("comp").orderBy(F.xxhash64("node"), "node"))
-            rows = rows.withColumn("_place", place).where(F.col("_place") <= MEMBERS).drop("_place")
-        ends = _bridges(cut(rows), trees, block, seed)
+        ends = edges.unionByName(edges.select("a", "b", "w", F.col("y").alias("x"), F.col("x").alias("y")))
         least = cut(ends.groupBy("x").agg(F.min(F.struct("w", "a", "b", "y")).alias("e")).select("x", "e.*"))
         if least.isEmpty():
-            if comps.select("comp").distinct().limit(2).count() < 2:
-                return tree if tree is not None else least.select("a", "b", "w")
-            few = True
-            continue
+            return tree if tree is not None else least.select("a", "b", "w")
         tree = cut(least.select("a", "b", "w") if tree is None else tree.unionByName(least.select("a", "b", "w")))
         links = cut(least.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(least.select(F.col("y").alias("a"), F.col("x").alias("b"))))
-        ids = links.select(F.col("a").alias("id")).distinct()
-        roots = _roots(links, ids.select("id", F.col("id").alias("root")))
-        comps = cut(comps.join(roots.withColumnRenamed("id", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+        roots = _roots(links, links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("root")))
+        # Every component that has an edge is among the roots.
+        moved = edges.join(roots.select(F.col("id").alias("x"), F.col("root").alias("_x")), "x").join(roots.select(F.col("id").alias("y"), F.col("root").alias("_y")), "y")
+        edges = cut(moved.where("_x <> _y").select("a", "b", "w", F.col("_x").alias("x"), F.col("_y").alias("y")))
 
 
 def _grid(tree: DataFrame, levels: int) -> list[float]:
@@ -123,13 +223,13 @@ def _grid(tree: DataFrame, levels: int) -> list[float]:
     return [float(s) for s in steps]
 
 
-def clusters(vectors: DataFrame, min_points: int = 3, min_cluster: int = 5, levels: int | Sequence[float] = LEVELS, key: str = "vec_id", vector: str = "embedding", trees: int = neighbours.TREES, block: int = neighbours.BLOCK, seed: int = 42) -> DataFrame:
+def clusters(vectors: DataFrame, min_points: int = 3, min_cluster: int = 5, levels: int | Sequence[float] = LEVELS, key: str = "vec_id", vector: str = "embedding", block: int = CHUNK) -> DataFrame:
     """Key, cluster_id and stability of every row's cluster. Null vectors and keys
-    are noise, with no stability."""
+    are noise, with no stability. ``block`` vectors are compared at once."""
     points = cut(neighbours.nodes(vectors, key, vector))
-    made = neighbours.graph(points, min_points, trees, block, seed)
+    made = nearest(points, min_points, block)
     points = cut(cores(points, made, min_points))
-    tree = spanning_tree(points, trees, block, seed)
+    tree = spanning_tree(points, block)
     grid = _grid(tree, levels) if isinstance(levels, int) else sorted(levels)
     named = _chosen(points, tree, grid, min_cluster)
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))

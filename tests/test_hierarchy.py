@@ -4,6 +4,7 @@ from itertools import pairwise
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stepweave.operators import hierarchy, neighbours
 from stepweave.sources.tables import cut
@@ -155,3 +156,27 @@ def test_rounds_of_a_long_chain(spark, monkeypatch):
     rows = hierarchy._roots(links, spark.createDataFrame([(i, i) for i in [*ids, 5000]], "id long, root long")).collect()
     assert {r["id"]: r["root"] for r in rows} == {i: 0 for i in ids} | {5000: 5000}
     assert len(written) <= 14
+
+
+@pytest.mark.parametrize("block", [16, 100])
+def test_no_edge_is_lost_between_blocks(spark, block):
+    """However few vectors are compared at once: the exact hierarchy, and a tree of
+    the least weight of all pairs."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 8)) * 2
+    v = centres[rng.integers(0, 12, 300)] + rng.uniform(0.2, 1.0, size=(300, 1)) * rng.normal(size=(300, 8))
+    rows = list(enumerate(v.tolist())) + [(1000, v[5].tolist()), (1001, v[5].tolist())]
+    levels = [0.4 * 1.3**i for i in range(9)]
+    want = plain(rows, 3, 5, levels)
+    assert found(hierarchy.clusters(table(spark, rows), levels=levels, block=block)) == want
+    assert len({c for _, c, _ in want}) >= 4
+    points = cut(neighbours.nodes(table(spark, rows), "vec_id", "embedding").withColumn("core", F.lit(0.0)))
+    tree = {tuple(sorted((r["a"], r["b"]))): r["w"] for r in hierarchy.spanning_tree(points, block).collect()}
+    far = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    best, total, out = far[0].copy(), 0.0, np.zeros(300, bool)
+    out[0] = True
+    for _ in range(299):
+        at = np.where(out, np.inf, best).argmin()
+        total, out[at] = total + best[at], True
+        best = np.minimum(best, far[at])
+    assert len(tree) == 299 and abs(sum(tree.values()) - total) < 1e-9
