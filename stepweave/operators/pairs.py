@@ -43,11 +43,15 @@ class Chunk(NamedTuple):
     reach: float
 
 
+def _groups(n: int, width: int, chunk: int) -> int:
+    most = max(chunk, GROUP_BYTES // (8 * max(1, width)))
+    return max(1, -(-n // most), min(GROUPS, -(-n // chunk)))
+
+
 def groups(nodes: DataFrame, chunk: int) -> int:
     """Groups of a table of vectors."""
-    n, first = nodes.count(), nodes.select("v").first()
-    most = max(chunk, GROUP_BYTES // (8 * max(1, len(first["v"]) if first else 1)))
-    return max(1, -(-n // most), min(GROUPS, -(-n // chunk)))
+    first = nodes.select("v").first()
+    return _groups(nodes.count(), len(first["v"]) if first else 1, chunk)
 
 
 def placed(nodes: DataFrame, more: str, chunk: int = CHUNK) -> DataFrame:
@@ -86,7 +90,10 @@ def packed(rows: DataFrame, more: str, chunk: int = CHUNK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([(short if (short == v).all() else v).tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([reach])], ["names", "held", "v", "centre", "reach"])
 
     made = rows.select("node", more, "v").mapInArrow(run, f"names array<{kind}>, held array<{value}>, v binary, centre array<double>, reach double")
-    return cut(made.withColumns({"id": F.monotonically_increasing_id(), "group": F.spark_partition_id()}))
+    made = cut(made.withColumns({"id": F.monotonically_increasing_id(), "part": F.spark_partition_id()}))
+    # Partitions are groups; where a session deals rows over more of them, several are one.
+    n, width, parts = made.agg(F.sum(F.size("names")), F.max(F.size("centre")), F.max("part") + 1).first()
+    return made.withColumn("group", F.floor(F.col("part") * _groups(n or 0, width or 1, chunk) / F.lit(parts or 1)).cast("int")).drop("part")
 
 
 def between(a: list[Chunk], b: list[Chunk], radius: float = np.inf) -> Iterator[tuple[int, int]]:

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from stepweave.operators import density
+from stepweave.operators import density, pairs
 from stepweave.sources.tables import cut
 
 
@@ -55,6 +55,15 @@ def test_vectors_in_many_chunks(spark):
     assert got == plain(rows, 0.6, 4) and len(set(got.values())) > 3
 
 
+def test_groups_of_many_partitions(spark):
+    """Rows that are dealt over more partitions than there are groups."""
+    rows = [(i, 1, [float(i), 0.5]) for i in range(300)]
+    made = pairs.packed(spark.createDataFrame(rows, "node long, copies long, v array<double>").repartitionByRange(50, "node"), "copies", 16)
+    held = sorted((r["group"], min(r["names"]), len(r["names"])) for r in made.collect())
+    assert {g for g, _, _ in held} == set(range(12)) and sum(n for _, _, n in held) == 300
+    assert [k for _, k, _ in held] == sorted(k for _, k, _ in held)
+
+
 def shuffled(spark):
     """Bytes that all tasks so far have written to shuffles."""
     time.sleep(1)  # the store of figures lags behind
